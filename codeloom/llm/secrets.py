@@ -1,0 +1,117 @@
+"""Secret scan over an incremental blob ledger.
+
+A version of a file is content-addressed by SHA-256. The ledger holds, for
+each blob and rule version ever scanned, the spans found (perhaps none). A
+scan takes only blobs that lack a pair with some current rule, adds what it
+finds to the ledger, and joins the ledger back to all paths and versions.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import common
+
+
+@dataclass(frozen=True)
+class Rule:
+    kind: str
+    pattern: str
+    version: int = 1
+    #: Characters that `group` must have for a match to count.
+    group: int = 0
+    least: int = 1
+    #: A cheap test that every text with a match passes.
+    hint: str = ""
+
+
+#: Patterns of the base kinds and of further kinds that this scan adds, in the order of kinds.
+RULES = (
+    Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", group=2, least=6, hint=r"(?i:passw|secret|token|api_?key)"),
+    Rule("access", r"AKIA[A-Z0-9]+", least=20, hint="AKIA[A-Z0-9]{16}"),
+    Rule("hex", r"[0-9a-f]+", least=24, hint="[0-9a-f]{24}"),
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", hint="-----BEGIN "),
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}", hint="gh[pousr]_"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", hint="eyJ"),
+    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", hint="xox[abprs]-"),
+)
+
+
+def spans(text: Column, rule: Rule) -> Column:
+    """The rule's leftmost non-overlapping matches that count, as array<struct<at, end>> of code points.
+
+    The pieces between matches and the matches themselves alternate, so
+    running sums of their lengths give the places.
+    """
+    gaps = F.split(text, rule.pattern, -1)
+    found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
+    counted = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else found
+    sized = F.arrays_zip(F.transform(gaps, F.length).alias("gap"), F.transform(found, F.length).alias("size"), F.transform(counted, F.length).alias("part"))
+    none = F.array().cast("array<struct<at:int,end:int>>")
+    walked = F.aggregate(
+        F.filter(sized, lambda x: x["size"].isNotNull()),
+        F.struct(F.lit(0).alias("end"), none.alias("out")),
+        lambda acc, x: F.struct(
+            (acc["end"] + x["gap"] + x["size"]).alias("end"),
+            F.when(x["part"] >= rule.least, F.concat(acc["out"], F.array(F.struct((acc["end"] + x["gap"]).alias("at"), (acc["end"] + x["gap"] + x["size"]).alias("end"))))).otherwise(acc["out"]).alias("out"),
+        ),
+        lambda acc: acc["out"],
+    )
+    return F.when(text.rlike(rule.hint or rule.pattern), walked).otherwise(none)
+
+
+def _rules_table(spark: SparkSession, rules) -> DataFrame:
+    return spark.createDataFrame([(r.kind, r.version) for r in rules], "kind string, version int")
+
+
+def scan(blobs: DataFrame, rules=RULES) -> DataFrame:
+    """(blob, kind, version, spans) for each blob of (blob, text) and each rule."""
+    found = blobs.select("blob", F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), spans(F.col("text"), r).alias("spans")) for r in rules]).alias("all"))
+    return found.select("blob", F.inline("all"))
+
+
+def update(versions: DataFrame, ledger: DataFrame | None, rules=RULES) -> DataFrame:
+    """What a scan of (blob, text) rows has to add to the ledger: unseen blob and rule-version pairs only."""
+    if ledger is None:
+        return scan(versions.groupBy("blob").agg(F.first("text").alias("text")), rules)
+    wanted = F.broadcast(_rules_table(versions.sparkSession, rules))  # a row per rule
+    seen = ledger.select("blob", "kind", "version").join(wanted, ["kind", "version"], "left_semi")
+    whole = seen.groupBy("blob").agg(F.countDistinct("kind").alias("n")).filter(F.col("n") == len(rules))
+    unseen = versions.join(whole, "blob", "left_anti").groupBy("blob").agg(F.first("text").alias("text"))
+    return scan(unseen, rules).join(seen, ["blob", "kind", "version"], "left_anti")
+
+
+def address(docs: DataFrame) -> DataFrame:
+    """`docs` with `blob`, the SHA-256 of the text; null counts as empty."""
+    return docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("blob", F.sha2(common.utf8(F.col("text")), 256))
+
+
+def findings(paths: DataFrame, ledger: DataFrame, rules=RULES) -> DataFrame:
+    """Columns of `paths` (which has `blob`) with `found`: array of (at, kind, end) for current rules, in order."""
+    order = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(f"{r.kind}:{r.version}"), F.lit(i))])
+    rank = order[F.concat_ws(":", "kind", F.col("version").cast("string"))]
+    hits = (
+        ledger.withColumn("rank", rank)
+        .filter(F.col("rank").isNotNull() & (F.size("spans") > 0))
+        .groupBy("blob")
+        .agg(F.sort_array(F.flatten(F.collect_list(F.transform("spans", lambda x: F.struct(x["at"].alias("at"), F.col("rank").alias("rank"), x["end"].alias("end"), F.col("kind").alias("kind")))))).alias("found"))
+    )
+    return paths.join(hits, "blob", "left")
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: its text is scanned once whatever the number of copies."""
+    scratch = common.Scratch(spark, "op6")
+    docs = address(common.read(spark, sf_dir, "documents").select("doc_id", "text"))
+    added = update(docs.select("blob", "text"), None)
+    ledger = scratch.keep(added, "ledger")
+    found = findings(docs.select("doc_id", "blob"), ledger)
+    base = ("assign", "access", "hex")
+    tagged = lambda xs: F.coalesce(F.array_join(F.transform(xs, lambda x: F.concat_ws(":", x["kind"], x["at"].cast("string"), x["end"].cast("string"))), ","), F.lit(""))
+    number = lambda kind: F.coalesce(F.size(F.filter("found", lambda x: x["kind"] == kind)), F.lit(0))
+    counts = [F.when(F.col("found").isNull(), 0).otherwise(number(k)).cast("long").alias(f"n_{k}") for k in base]
+    based = tagged(F.filter("found", lambda x: x["kind"].isin(*base)))
+    return found.select("doc_id", *counts, F.sha2(based.cast("binary"), 256).alias("base_sha256"), tagged(F.col("found")).alias("spans"))
