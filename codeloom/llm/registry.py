@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, secrets, sharding
+from . import decontam, mixing, quality, secrets, sharding, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality": quality.op1_quality,
         "op2_sharding": sharding.op2_sharding,
         "op3_mixing": mixing.op3_mixing,
         "op6_secrets": secrets.op6_secrets,
+        "op8_decontamination": decontam.op8_decontamination,
+        "op10_token_output": tokens.op10_token_output,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_decontamination": decontam.OP8_SQL}
