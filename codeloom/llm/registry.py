@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, quality, secrets, sharding, tokens
+from . import decontam, ledger, mixing, neardup, quality, sharding, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,8 +14,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality": quality.op1_quality,
         "op2_sharding": sharding.op2_sharding,
         "op3_mixing": mixing.op3_mixing,
-        "op6_secrets": secrets.op6_secrets,
+        "op6_secrets": ledger.op6_secrets,
         "op8_decontamination": decontam.op8_decontamination,
+        "op9_near_duplicates": neardup.op9_near_duplicates,
         "op10_token_output": tokens.op10_token_output,
     }
 

@@ -5,7 +5,7 @@ import random
 
 import brute
 
-from codeloom.llm import common, mixing, secrets, sharding
+from codeloom.llm import common, ledger, mixing, sharding
 
 ODD = [(1, None, None), (2, "", "b"), (3, "a b\tc", "a"), (3, "a b\tc", "a"), (4, "x " * 3000, None), (5, "é ü\x0bz", "b"), (6, "same words", "a"), (7, "same words", "a")]
 
@@ -36,7 +36,7 @@ def test_empty_tables(spark, corpus):
     at = corpus([])
     assert sharding.op2_sharding(spark, at).count() == 0
     assert mixing.op3_mixing(spark, at).count() == 0
-    assert secrets.op6_secrets(spark, at).count() == 0
+    assert ledger.op6_secrets(spark, at).count() == 0
 
 
 def test_mix_meets_targets(spark, corpus):
@@ -73,7 +73,7 @@ SECRETS = [
 
 def test_secrets(spark, corpus):
     rows = [(i, t, "s") for i, t in enumerate(SECRETS * 2)]
-    got = {r.doc_id: r for r in secrets.op6_secrets(spark, corpus(rows)).collect()}
+    got = {r.doc_id: r for r in ledger.op6_secrets(spark, corpus(rows)).collect()}
     assert len(got) == len(rows)
     for i, t, _ in rows:
         assert (got[i].n_assign, got[i].n_access, got[i].n_hex, got[i].base_sha256) == brute.secrets(t), t
@@ -81,14 +81,14 @@ def test_secrets(spark, corpus):
 
 
 def test_ledger_is_incremental(spark):
-    versions = secrets.address(spark.createDataFrame([("a", 1, "token=abcdef"), ("b", 1, "token=abcdef"), ("a", 2, "clean")], "path string, version int, text string"))
+    versions = ledger.address(spark.createDataFrame([("a", 1, "token=abcdef"), ("b", 1, "token=abcdef"), ("a", 2, "clean")], "path string, version int, text string"))
     blobs = versions.select("blob", "text")
-    rules = secrets.RULES[:2]
-    ledger = secrets.update(blobs, None, rules).cache()
-    assert ledger.count() == 4
-    assert secrets.update(blobs, ledger, rules).count() == 0
-    newer = (rules[0], secrets.Rule("access", "AKIA[A-Z0-9]+", version=2, least=20))
-    more = secrets.update(blobs, ledger, newer)
+    rules = ledger.RULES[:2]
+    known = ledger.update(blobs, None, rules).cache()
+    assert known.count() == 4
+    assert ledger.update(blobs, known, rules).count() == 0
+    newer = (rules[0], ledger.Rule("access", "AKIA[A-Z0-9]+", version=2, least=20))
+    more = ledger.update(blobs, known, newer)
     assert [(r.kind, r.version) for r in more.collect()] == [("access", 2)] * 2
-    found = secrets.findings(versions, ledger.unionByName(more), newer).collect()
+    found = ledger.findings(versions, known.unionByName(more), newer).collect()
     assert sorted((r.path, r.version, len(r.found or [])) for r in found) == [("a", 1, 1), ("a", 2, 0), ("b", 1, 1)]
