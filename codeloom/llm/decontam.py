@@ -96,8 +96,9 @@ def search(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFra
     )
     verified = (
         texts.join(found, F.col("doc_id").eqNullSafe(F.col("doc")))
+        .select("doc_id", "item_id", words(F.col("text")).alias("w"))
         .join(known.select("item_id", "length", "shingles", F.col("n").alias("n_item")), "item_id")
-        .select("doc_id", "item_id", "n_item", F.size(F.array_intersect(shingles(words(F.col("text")), F.col("length")), "shingles")).alias("n_shared"))
+        .select("doc_id", "item_id", "n_item", F.size(F.array_intersect(shingles(F.col("w"), F.col("length")), "shingles")).alias("n_shared"))
         .filter(F.col("n_shared") * 100 >= F.col("n_item") * percent)
     )
     return verified.groupBy("doc_id", "item_id", "n_item").agg(F.max("n_shared").alias("n_shared")).withColumn("containment", F.col("n_shared") / F.col("n_item"))
