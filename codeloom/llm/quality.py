@@ -106,9 +106,9 @@ def fit(rows: Iterator[tuple[str, int]], epochs: int = EPOCHS) -> np.ndarray:
     return weight(z, n).astype(np.float32)
 
 
-def train(labelled: DataFrame, rows: int = FIT_ROWS) -> np.ndarray:
-    """Weights from (doc_id, text, label), fitted in one task on at most `rows` documents. No rows: all weights are 0."""
-    sample = labelled.filter("label is not null").orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id", "label").limit(rows)
+def train(sample: DataFrame) -> np.ndarray:
+    """Weights from (doc_id, text, label), a bounded sample that one task reads in hash order. No rows: all weights are 0."""
+    ordered = sample.repartition(1).sortWithinPartitions(F.xxhash64(F.lit(11), "doc_id"), "doc_id", "text", "label")
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each():
@@ -118,7 +118,7 @@ def train(labelled: DataFrame, rows: int = FIT_ROWS) -> np.ndarray:
 
         yield pa.RecordBatch.from_pydict({"w": pa.array([fit(each()).tobytes()], "binary")})
 
-    got = sample.select("text", F.col("label").cast("int").alias("label")).coalesce(1).mapInArrow(fitted, "w binary").first()
+    got = ordered.select("text", F.col("label").cast("int").alias("label")).mapInArrow(fitted, "w binary").first()
     return np.frombuffer(got[0], np.float32) if got else np.zeros((1 << BITS) + 1, np.float32)
 
 
@@ -150,10 +150,14 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, label) of the documents to learn from: those not held out. Of several labels of a document, the larger counts."""
+def labelled(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
+    """(doc_id, text, label) of at most `rows` labelled documents, none of them held out: those whose hashed ids are smallest.
+
+    Of several labels of a document, the larger counts. The ids chosen are broadcast, 20 bytes for each of `rows`.
+    """
     known = labels.filter(~held_out() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("label"))
-    return docs.select("doc_id", "text").join(known, "doc_id")
+    chosen = known.orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id").limit(rows)
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
