@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, ledger, mixing, neardup, quality, sharding, tokens, vectors
+from . import decontam, ledger, mixing, neardup, quality, repeats, sharding, tokens, vectors
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality": quality.op1_quality,
         "op2_sharding": sharding.op2_sharding,
         "op3_mixing": mixing.op3_mixing,
+        "op4_repeats": repeats.op4_repeats,
         "op6_secrets": ledger.op6_secrets,
         "op7_near_vectors": vectors.op7_near_vectors,
         "op8_decontamination": decontam.op8_decontamination,
