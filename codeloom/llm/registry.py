@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, ledger, mixing, neardup, quality, repeats, sharding, tokens, vectors
+from . import backoff, decontam, ledger, mixing, neardup, quality, repeats, sharding, tokens, vectors
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_sharding": sharding.op2_sharding,
         "op3_mixing": mixing.op3_mixing,
         "op4_repeats": repeats.op4_repeats,
+        "op5_lm_scores": backoff.op5_lm_scores,
         "op6_secrets": ledger.op6_secrets,
         "op7_near_vectors": vectors.op7_near_vectors,
         "op8_decontamination": decontam.op8_decontamination,
