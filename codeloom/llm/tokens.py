@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,12 +35,14 @@ END = 0
 BLOCK = 1 << 16
 SEGMENT = 1 << 20
 #: Pieces whose ids a worker remembers; more are encoded anew.
-REMEMBERED = 600_000
+REMEMBERED = 1_200_000
 #: The letters, digits and marks for which the splitting below equals the tokenizer's own.
 LETTERS = "a-zA-Z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff"
 MARKS = "\\x21-\\x2f\\x3a-\\x40\\x5b-\\x60\\x7b-\\x7e\\xa1\\xab\\xbb\\xbf\\u2013\\u2014\\u2018-\\u201e\\u2026"
 PIECE = re.compile(rf" ?[{LETTERS}]+|'(?:[sdmt]|ll|ve|re)| ?[0-9]+| ?[{MARKS}]+|\s+(?!\S)|\s+")
-OTHER = re.compile(rf"[^\t\n\r {LETTERS}0-9{MARKS}]|<\|")
+OTHER = re.compile(rf"[^\t\n\r {LETTERS}0-9{MARKS}]")
+#: The Latin-1 characters that OTHER does not find.
+PLAIN = bytes(b for b in range(256) if not OTHER.search(chr(b)))
 HEAD = struct.Struct("<4sBBIQIII")
 
 
@@ -58,12 +61,16 @@ class Encoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self[piece] = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = self[piece] = array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
         return ids
 
     def ids(self, text: str) -> bytes:
-        if OTHER.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        try:
+            other = text.encode("latin-1").translate(None, PLAIN)
+        except UnicodeEncodeError:
+            other = OTHER.search(text)
+        if other or "<|" in text:
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         if len(self) > REMEMBERED:
             self.clear()
         return b"".join(map(self.__getitem__, PIECE.findall(text)))
