@@ -10,10 +10,12 @@ register is above, below or equal to the other is at least MARGIN below it
 (almost five standard errors); then the full sets decide.
 
 Texts with equal sets are one node from the start. Within a bucket the others
-are first held against the bucket's smallest node; once these links have
+are first held against the bucket's smallest node. Once these links have
 merged the nodes, only pairs of a bucket that are still in different
-components are left, and all of them are tried. So a group of copies costs
-as many pairs as it has members, and no link between components is lost.
+components are left. All of them are tried, in tasks that hold a block or two
+of nodes and give back no more than the links that join components. Nodes are
+dealt to these tasks by the clusters that mixed buckets form, or where a
+cluster is very large by the buckets themselves.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ REGISTERS = ROWS * BANDS
 BASE, RATE, TOP = 1.05, 20.0, 0x7FFE
 MARGIN = 20
 REMEMBERED = 500_000
+#: Nodes in a block of a tile; nodes of a cluster that is not taken apart into its buckets; nodes for each task of small clusters.
+TILE, LARGE, TOGETHER = 512, 1 << 15, 4096
 #: Ids that are broadcast at most, where texts are picked by id; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 _RNG = np.random.Generator(np.random.PCG64(20240607))
@@ -128,18 +132,32 @@ def near_sizes(percent: int) -> Column:
     return F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
 
 
-def linked(scratch: common.Scratch, docs: DataFrame, pairs: DataFrame, k: int, percent: int, name: str) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough."""
-    ids = scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{name}-ids")
+def likely(more: np.ndarray, less: np.ndarray, n_a: int, n_b: np.ndarray, percent: int) -> np.ndarray:
+    """As `alike`, from how often registers of a are above (more) or below (less) those of b."""
+    t, c, log_b = percent / 100, (BASE - 1) / BASE, math.log(BASE)
+    u, v = n_a / (n_a + n_b), n_b / (n_a + n_b)
+    x1, x2 = u - v * t, v - u * t
+    p1, p2, d1, d2 = -np.log(1 - c * x1) / log_b, -np.log(1 - c * x2) / log_b, c / log_b / (1 - c * x1), c / log_b / (1 - c * x2)
+    return -more * v * d1 / p1 - less * u * d2 / p2 + (REGISTERS - more - less) * (v * d1 + u * d2) / (1 - p1 - p2) >= 0
+
+
+def sets_of(scratch: common.Scratch, docs: DataFrame, ids: DataFrame, k: int, name: str) -> DataFrame:
+    """(id, set) of the documents in `ids` (doc_id), written."""
     few = ids.count() <= BROADCAST_IDS
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Hashes()
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t.as_py(), k, known).tobytes() for t in batch.column(1)], "binary")], ["id", "set"])
 
     picked = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id")
-    found = scratch.keep(picked.mapInArrow(sets, "id long, set binary"), f"{name}-sets")
+    return scratch.keep(picked.mapInArrow(run, "id long, set binary"), name)
+
+
+def linked(scratch: common.Scratch, docs: DataFrame, pairs: DataFrame, k: int, percent: int, name: str) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets are similar enough."""
+    ids = scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{name}-ids")
+    found = sets_of(scratch, docs, ids, k, f"{name}-sets")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,7 +172,83 @@ def linked(scratch: common.Scratch, docs: DataFrame, pairs: DataFrame, k: int, p
     return scratch.keep(full.select("a", "b", "set_a", "set_b").mapInArrow(verify, "a long, b long"), f"{name}-links")
 
 
-def near_duplicates(docs: DataFrame, scratch: common.Scratch, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def joining_links(ids: np.ndarray, comp: np.ndarray, side: np.ndarray, bands: np.ndarray, sets: list[np.ndarray], band: int, percent: int) -> list[tuple[int, int]]:
+    """Links between components of the nodes of a tile; side 2 marks nodes that are held against all, 0 and 1 against each other.
+
+    Pairs count if they meet in some band; or, with band >= 0, first in that one.
+    """
+    _, label = np.unique(comp, return_inverse=True)
+    n = np.array([len(s) for s in sets])
+    registers_ = bands.view(np.uint16).reshape(len(ids), REGISTERS)
+    out, common_ = [], int(np.bincount(label).argmax())
+    todo = np.flatnonzero(label != common_)
+    done = np.zeros(len(ids), bool)
+    for x in todo.tolist():
+        done[x] = True
+        same = bands == bands[x]
+        ok = same.any(axis=1) & (label != label[x]) & ~done & (np.minimum(n, n[x]) * 100 >= np.maximum(n, n[x]) * percent)
+        ok &= (side == 2) | (side != side[x])
+        if band >= 0:
+            ok &= same.argmax(axis=1) == band
+        ys = np.flatnonzero(ok)
+        if not len(ys):
+            continue
+        mine, theirs = registers_[x], registers_[ys]
+        ys = ys[likely((mine > theirs).sum(axis=1), (mine < theirs).sum(axis=1), int(n[x]), n[ys], percent - MARGIN)]
+        if not len(ys):
+            continue
+        values = np.concatenate([sets[y] for y in ys])
+        at = np.minimum(np.searchsorted(sets[x], values), n[x] - 1)
+        both = np.add.reduceat((sets[x][at] == values).astype(np.int64), np.cumsum(n[ys]) - n[ys])
+        for y in ys[100 * both >= percent * (n[x] + n[ys] - both)].tolist():
+            if label[x] != label[y]:
+                out.append((int(ids[x]), int(ids[y])))
+                label[label == label[y]] = label[x]
+    return out
+
+
+def settle(scratch: common.Scratch, docs: DataFrame, mixed: DataFrame, size: DataFrame, k: int, percent: int, large: int = LARGE) -> DataFrame:
+    """(a, b): links that join the components of buckets with more than one. mixed: (band, key, id, comp), size: (id, n, bands)."""
+    mixed = scratch.keep(mixed, "mixed")
+    heads = mixed.groupBy("band", "key").agg(F.min("id").alias("b"))
+    cluster = scratch.keep(components(scratch, mixed.join(heads, ["band", "key"]).select(F.col("id").alias("a"), "b").distinct(), "cc-cluster-"), "cluster")
+    sized = cluster.join(cluster.groupBy("component").agg(F.count("*").alias("c")), "component")
+    whole = sized.filter(F.col("c") <= large).select("id", F.col("component").alias("grp"), F.lit(-1).alias("band"))
+    apart = mixed.join(sized.filter(F.col("c") > large).select("id"), "id").select("id", F.xxhash64("band", "key").alias("grp"), "band")
+    members = scratch.keep(whole.unionByName(apart), "members")
+    groups = members.groupBy("grp", "band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
+    blk = F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks").cast("long")).cast("int")
+    dealt = members.join(groups, ["grp", "band"]).withColumn("blk", blk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    bins = max(1, members.count() // TOGETHER)
+    low, high = F.least("blk", "other"), F.greatest("blk", "other")
+    dealt = dealt.select(
+        "id", "grp", "band", low.alias("lo"), high.alias("hi"),
+        F.when(F.col("blk") == F.col("other"), 2).when(F.col("blk") == low, 0).otherwise(1).alias("side"),
+        F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("grp"), F.lit(bins))).otherwise(F.xxhash64("grp", "band", low, high)).alias("tile"),
+    )
+    comp = mixed.select("id", "comp").distinct()
+    sets = sets_of(scratch, docs, scratch.keep(members.select(F.col("id").alias("doc_id")).distinct(), "rest-ids"), k, "rest-sets")
+    full = dealt.join(comp.join(size.select("id", "bands"), "id").join(sets, "id"), "id")
+
+    def run(table: pa.Table) -> pa.Table:
+        found: list[tuple[int, int]] = []
+        group = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("grp", "band", "lo", "hi")], axis=1)
+        order = np.lexsort((table.column("id").to_numpy(), *group.T[::-1]))
+        group = group[order]
+        cut = np.flatnonzero((group[1:] != group[:-1]).any(axis=1)) + 1
+        ids, comp, side = (table.column(c).to_numpy() for c in ("id", "comp", "side"))
+        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(ids), BANDS)
+        raw = table.column("set")
+        for part in np.split(order, cut):
+            sets = [np.frombuffer(raw[i].as_buffer(), np.uint64) for i in part.tolist()]
+            found += joining_links(ids[part], comp[part], side[part], np.ascontiguousarray(bands[part]), sets, table.column("band")[int(part[0])].as_py(), percent)
+        return pa.table({"a": pa.array([x for x, _ in found], "int64"), "b": pa.array([y for _, y in found], "int64")})
+
+    links = full.select("tile", "grp", "band", "lo", "hi", "side", "id", "comp", "bands", "set").groupBy("tile").applyInArrow(run, "a long, b long")
+    return scratch.keep(links, "rest-links")
+
+
+def near_duplicates(docs: DataFrame, scratch: common.Scratch, k: int = WORDS, percent: int = PERCENT, large: int = LARGE) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of `docs`.
 
     Texts without words, and null ids, are alone. Of rows that repeat a doc_id,
@@ -178,17 +272,11 @@ def near_duplicates(docs: DataFrame, scratch: common.Scratch, k: int = WORDS, pe
     whole = scratch.keep(components(scratch, links, "cc-star-"), "whole")
 
     placed = crowd.join(whole.withColumnRenamed("component", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    placed = scratch.keep(placed.select("band", "key", "id", "n", "comp"), "placed")
+    placed = scratch.keep(placed.select("band", "key", "id", "comp"), "placed")
     split = placed.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("band", "key")
-    open_ = placed.join(split, ["band", "key"]).join(size.select("id", "bands"), "id")
-    one = lambda x: open_.select("band", "key", F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("comp").alias(f"comp_{x}"), F.col("bands").alias(f"bands_{x}"))
-    left, right = one("a"), one("b").withColumnsRenamed({"band": "band_", "key": "key_"})
-    rest = left.join(right, (F.col("band") == F.col("band_")) & (F.col("key") == F.col("key_")) & (F.col("comp_a") < F.col("comp_b")) & near_sizes(percent) & alike(percent - MARGIN))
-    rest = scratch.keep(rest.select("a", "b").distinct().join(stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        more = linked(scratch, docs, rest, k, percent, "rest")
-        links = links.unionByName(more)
-        whole = scratch.keep(components(scratch, links, "cc-rest-"), "whole-rest")
+    more = settle(scratch, docs, placed.join(split, ["band", "key"]), size, k, percent, large)
+    if not more.isEmpty():
+        whole = scratch.keep(components(scratch, links.unionByName(more), "cc-rest-"), "whole-rest")
 
     heads = nodes.select("mark", "id").join(whole, "id", "left").select("mark", F.coalesce("component", "id").alias("component_id"))
     solo = F.col("n").eqNullSafe(0) | F.col("doc_id").isNull()

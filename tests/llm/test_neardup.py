@@ -56,8 +56,25 @@ def test_against_all_pairs(spark, corpus):
 def test_five_words_and_clashing_columns(spark, corpus):
     rows = copies(random.Random(13), 8, 15)
     docs = common.read(spark, corpus(rows), "documents").withColumnRenamed("lang", "n").withColumnRenamed("n_chars", "id")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs, common.Scratch(spark, "t")).collect()}
-    assert got == all_pairs(rows, 5)
+    for large in (neardup.LARGE, 0):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs, common.Scratch(spark, "t"), large=large).collect()}
+        assert got == all_pairs(rows, 5)
+
+
+def test_blocks_of_a_group(spark, corpus, monkeypatch):
+    rng = random.Random(14)
+    base = ["".join(rng.choice("abcdefg") for _ in range(5)) for _ in range(60)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for j in rng.sample(range(60), rng.choice([0, 2, 4, 6, 8])):
+            w[j] = "".join(rng.choice("hijkl") for _ in range(rng.choice([1, 5])))
+        rows.append((i, " ".join(w), "s"))
+    monkeypatch.setattr(neardup, "TILE", 16)
+    docs = common.read(spark, corpus(rows), "documents")
+    for large in (neardup.LARGE, 0):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs, common.Scratch(spark, "t"), k=2, large=large).collect()}
+        assert got == all_pairs(rows, 2)
 
 
 def test_chains_that_no_centre_links(spark, corpus):
