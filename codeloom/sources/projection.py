@@ -86,7 +86,9 @@ select concat('parts/f', l_partkey % 97, '.ts') as path, cast(sum(l_quantity) as
 from {lineitem} group by 1
 """
 VECTORS = "select concat('p', vec_id) as symbol_id, embedding from {embeddings}"
-AGENT_DOCS = "select url as path, html as content from {pages}"
+AGENT_DOCS = """
+select concat('docs/', page_id, '.md') as path, concat('See src/src', page_id % 20, '/en/d', page_id, '.txt, `NATION_', page_id % 40, '` or `ab`; (src/x.ts).') as content from {pages}
+"""
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
