@@ -34,8 +34,8 @@ from . import common
 END = 0
 BLOCK = 1 << 16
 SEGMENT = 1 << 20
-#: Pieces whose ids a worker remembers; more are encoded anew.
-REMEMBERED = 1_200_000
+#: Pieces whose ids a worker remembers, of late and from before; others are encoded anew.
+REMEMBERED = 300_000
 #: The letters, digits and marks for which the splitting below equals the tokenizer's own.
 LETTERS = "a-zA-Z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff"
 MARKS = "\\x21-\\x2f\\x3a-\\x40\\x5b-\\x60\\x7b-\\x7e\\xa1\\xab\\xbb\\xbf\\u2013\\u2014\\u2018-\\u201e\\u2026"
@@ -59,9 +59,11 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.before: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self[piece] = array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+        ids = self.before.get(piece) or array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+        self[piece] = ids
         return ids
 
     def ids(self, text: str) -> bytes:
@@ -72,10 +74,21 @@ class Encoder(dict):
         if other or "<|" in text:
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         if len(self) > REMEMBERED:
+            self.before = dict(self)
             self.clear()
         return b"".join(map(self.__getitem__, PIECE.findall(text)))
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """The worker's encoder for a tokenizer file, which later tasks of the worker use again."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def pack(ids: np.ndarray, docs: list[int | None], lengths: list[int], block: int = BLOCK, bits: bool = False) -> bytes:
     """A segment of `ids` (u32), whose documents have `lengths` ids each."""
     squeeze = zstandard.ZstdCompressor(level=1).compress
@@ -128,7 +141,7 @@ def _writer(tokenizer: str | None, bits: bool, segment: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = Encoder(tokenizer or default_tokenizer())
+        encoder = encoder_of(tokenizer or default_tokenizer())
         part, seq, end = TaskContext.get().partitionId(), 0, np.array([END], "<u4").tobytes()
         docs, lengths, held, size = [], [], [], 0
 
