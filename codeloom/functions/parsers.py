@@ -1,7 +1,5 @@
 """Parsers of nested text, which Column expressions can't follow. Plain functions; `udf_of` makes Spark functions of them."""
 
-from __future__ import annotations
-
 import posixpath
 import re
 
@@ -110,12 +108,11 @@ def comment_text(text: str) -> str:
 
 
 def udf_of(function, returns: str):
-    """A Spark function of one of these, which works on Arrow batches."""
+    """A Spark function of one of these that take one text, which works on Arrow batches; null stays null."""
     import pandas as pd
     from pyspark.sql import functions as F
 
-    @F.pandas_udf(returns)
-    def run(*columns: pd.Series) -> pd.Series:
-        return pd.Series([None if any(x is None for x in row) else function(*row) for row in zip(*columns)])
+    def run(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda x: None if x is None else function(x))
 
-    return run
+    return F.pandas_udf(run, returns)

@@ -105,11 +105,11 @@ def dynamic(sites: DataFrame, c: Catalog) -> DataFrame:
 def same_class(sites: DataFrame, c: Catalog) -> DataFrame:
     """Methods called on `this` or `self`, by the caller's class; else its properties that begin the expression."""
     own = F.when(F.col("language_name") == "python", "self").otherwise("this")
-    mine = sites.filter((F.col("call_kind") == "method_call") & (F.split("callee_base", r"\.")[0] == own))
+    mine = sites.filter((F.col("call_kind") == "method_call") & (F.get(F.split("callee_base", r"\."), F.lit(0)) == own))
     placed = mine.join(c.symbols.select(F.col("id").alias("caller_id"), F.col("parent_id").alias("cls")), "caller_id").filter("cls is not null")
     member = c.symbols.select(F.col("id").alias("member"), F.col("parent_id").alias("cls"), F.col("name").alias("callee_name"), "kind", "line")
     method = _first(placed.join(member.filter(F.col("kind").isin(*schema.CALLABLE_KINDS)), ["cls", "callee_name"]), "line", "member")
-    field = F.split("callee_base", r"\.")[1]
+    field = F.get(F.split("callee_base", r"\."), F.lit(1))
     held = placed.filter(field.isNotNull()).withColumn("field", field).join(member.filter("kind = 'property'").withColumnRenamed("callee_name", "field"), ["cls", "field"])
     return _candidate(method, "project_symbol", "same_class", 1, callee="member").unionByName(_candidate(_first(held, "line", "member"), "project_symbol", "same_class_property", 2, callee="member"))
 
@@ -118,7 +118,7 @@ def same_file(sites: DataFrame, c: Catalog) -> DataFrame:
     """Callables and classes of the file with the callee's name, or variables of the caller that begin the expression; first by line."""
     there = c.symbols.select(F.col("id").alias("member"), F.col("file_path").alias("caller_file_path"), F.col("name").alias("callee_name"), "kind", "line", F.col("parent_id").alias("owner"))
     named = sites.join(there.filter(F.col("kind").isin(*schema.CALLABLE_KINDS, "class")).drop("owner"), ["caller_file_path", "callee_name"])
-    head = F.coalesce(F.split("callee_base", r"\.")[0], F.col("callee_name"))
+    head = F.coalesce(F.get(F.split("callee_base", r"\."), F.lit(0)), F.col("callee_name"))
     var = there.filter(F.col("kind").isin("var", "let", "const")).withColumnRenamed("callee_name", "head")
     held = sites.withColumn("head", head).join(var, ["caller_file_path", "head"]).filter("owner = caller_id")
     both = named.select("site", "caller_id", "member", "line").unionByName(held.select("site", "caller_id", "member", "line"))
@@ -129,7 +129,7 @@ def by_import(sites: DataFrame, c: Catalog) -> DataFrame:
     """Imports whose local names have the callee or the head of its receiver; with the symbol in the resolved file, or one re-export further, if found."""
     usable = c.imports.filter("importKind not in ('side-effect', 'type-only') and resolvedKind <> 'unresolved'")
     names = usable.select(F.col("id").alias("imp"), F.col("file_path").alias("caller_file_path"), "resolvedPath", "resolvedKind", F.explode(local_names(F.col("importedNames"))).alias("word"))
-    words = F.array_distinct(F.array_compact(F.array("callee_name", F.split("callee_base", r"\.")[0])))
+    words = F.array_distinct(F.array_compact(F.array("callee_name", F.get(F.split("callee_base", r"\."), F.lit(0)))))
     hit = _first(sites.withColumn("word", F.explode(words)).join(names, ["caller_file_path", "word"]), F.col("resolvedKind") != "source", "imp")
     goal = c.symbols.select(F.col("id").alias("member"), F.col("file_path").alias("resolvedPath"), F.col("name").alias("callee_name"), "line")
     direct = hit.join(goal, ["resolvedPath", "callee_name"], "left")
@@ -143,7 +143,7 @@ def by_import(sites: DataFrame, c: Catalog) -> DataFrame:
 
 
 def builtin(sites: DataFrame, c: Catalog) -> DataFrame:
-    words = F.array_distinct(F.array_compact(F.array("callee_name", F.split("callee_base", r"\.")[0])))
+    words = F.array_distinct(F.array_compact(F.array("callee_name", F.get(F.split("callee_base", r"\."), F.lit(0)))))
     table = F.broadcast(builtins(c))  # some 200 rows
     return _candidate(sites.withColumn("word", F.explode(words)).join(table, ["language_name", "call_kind", "word"]).dropDuplicates(["site"]), "builtin", "builtin_list", 5)
 

@@ -184,7 +184,9 @@ def blast_radius(c: Catalog, name: str, file_pattern: str | None = None, by_name
     if by_name:
         edges = joins._edges_with_sites(c)
         called = edges.select("caller_id", F.lower("callee_name").alias("src")).unionByName(edges.join(c.symbols.select(F.col("id").alias("callee_id"), F.lower("name").alias("src")), "callee_id").select("caller_id", "src"))
-        pairs = called.join(c.symbols.select(F.col("id").alias("caller_id"), F.lower("name").alias("dst")), "caller_id").select("src", "dst")
+        kids = c.symbols.filter("parent_id is not null").select(F.col("id").alias("child"), F.lower("name").alias("low"), F.col("parent_id").alias("id")).join(c.symbols.select("id", F.lower("name").alias("src")), "id")
+        below = edges.join(kids, F.col("callee_id") == F.col("child")).select("caller_id", "src").unionByName(edges.join(kids, F.lower("callee_name") == F.col("low")).select("caller_id", "src"))
+        pairs = called.unionByName(below).join(c.symbols.select(F.col("id").alias("caller_id"), F.lower("name").alias("dst")), "caller_id").select("src", "dst")
         found = graph.reach(pairs, start.select(F.lower("name").alias("node")))
         hit = c.symbols.withColumn("node", F.lower("name")).join(found.filter("depth > 0"), "node")
     else:
