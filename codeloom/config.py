@@ -18,7 +18,7 @@ class Config:
         default_factory=lambda: {"typescript": [".ts", ".mts", ".cts"], "tsx": [".tsx"], "python": [".py"], "javascript": [".js", ".mjs", ".cjs"]}
     )
     source_roots: list[str] = field(default_factory=lambda: ["src", ".", "app", "apps", "packages", "lib", "libs"])
-    path_aliases: dict[str, str] = field(default_factory=dict)
+    path_aliases: list[list[str]] = field(default_factory=list)
     embeddings: bool = False
     docstrings: bool = False
     embedding_width: int = 768

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from dataclasses import replace
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from .. import schema
 from ..catalog import Catalog
 from ..config import Config
 from ..functions.parsers import resolve_module
+from ..functions.workspace import path_aliases
 from ..operators import changes, resolve
 from ..sources import files as source_files
 from ..storage import Store
@@ -49,8 +51,8 @@ def extract(sources: DataFrame, store: Store, name: str = "extracted") -> dict[s
 
 
 def import_candidates(imports: DataFrame, config: Config) -> DataFrame:
-    """(id, target): the extensionless paths that an import may name, in the project."""
-    roots, aliases = list(config.source_roots), dict(config.path_aliases)
+    """(id, target, at): the extensionless paths that an import may name, in the project, likeliest first. Aliases are (folder, prefix, target prefix)."""
+    roots, aliases = list(config.source_roots), [tuple(x) for x in config.path_aliases]
 
     def targets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -60,7 +62,7 @@ def import_candidates(imports: DataFrame, config: Config) -> DataFrame:
                 if module.startswith("."):
                     names = [resolve_module(path, module)]
                 else:
-                    hits = [new.rstrip("*") + module[len(old.rstrip("*")) :] for old, new in aliases.items() if module.startswith(old.rstrip("*"))]
+                    hits = [] if python else [new + module[len(old) :] for scope, old, new in aliases if path.startswith(scope) and module.startswith(old)]
                     flat = module.replace(".", "/") if python else module
                     here = path.rsplit("/", 1)[0] + "/" + flat if "/" in path else flat
                     names = [*hits, *([here] if python else []), *(flat if r == "." else f"{r}/{flat}" for r in roots)]
@@ -111,6 +113,8 @@ def inherited(c: Catalog) -> DataFrame:
 def index(spark: SparkSession, root: str, config: Config | None = None, before: Catalog | None = None, now_millis: int = 0, only: DataFrame | None = None) -> Catalog:
     """The index of a source tree. With one from before, only new and changed files are read, and those gone are dropped (of `only` (path), if given)."""
     config = config or Config()
+    if not config.path_aliases:
+        config = replace(config, path_aliases=[list(x) for x in path_aliases(root, source_files.ignore_rules(root, config).ignored)])
     store = Store(spark, "index")
     found = store.keep(source_files.scan(spark, root, config), "scan")
     return apply(spark, found, config, before, now_millis, only, store)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import bisect
 import re
 
-from ..functions.parsers import comment_text, strip_parentheses, type_names
+from ..functions.parsers import comment_text, split_top, strip_parentheses, type_names
 from .rows import VARIABLES, Extracted
 
 _TOKEN = re.compile(
@@ -165,7 +165,7 @@ class _Walk:
                 i = self.match.get(open_, hi) + 1
             elif statement and t == "type" and self.is_name(i + 1) and self.t(i + 2) in ("=", "<"):
                 end = self.end_of(i + 3, hi)
-                self.define(name, "type", start, end, owners[-1], exported)
+                self.define(name, "type", start, end, owners[-1], exported, inheritence=self.combined(self.find(i + 2, end, "=") + 1, end))
                 i = end
             elif statement and t in ("enum", "namespace", "module") and self.is_name(i + 1):
                 open_ = self.find(i, hi, "{")
@@ -266,6 +266,18 @@ class _Walk:
             out += [{"inherits_from_name": n, "inherits_from_id": None, "inherits_from_imports_id": None, "inheritence_type": word} for n in type_names(names)]
         return out or None
 
+    def combined(self, lo: int, hi: int) -> list[dict] | None:
+        """What a type is put together from by `&`, or `|`, or a generic of one other type."""
+        text = self.src(lo, hi).strip().lstrip("|&")
+        for mark, kind in (("&", "intersection"), ("|", "union")):
+            parts = split_top(text, mark)
+            if len(parts) > 1:
+                names = [n for p in parts for n in type_names(p)]
+                return [{"inherits_from_name": n, "inherits_from_id": None, "inherits_from_imports_id": None, "inheritence_type": kind} for n in names] or None
+        inner = re.fullmatch(r"(?:Partial|Required|Readonly|Pick|Omit|Record|NonNullable|Extract|Exclude)<(.*)>", text, re.S)
+        names = type_names(split_top(inner[1])[0]) if inner else []
+        return [{"inherits_from_name": n, "inherits_from_id": None, "inherits_from_imports_id": None, "inheritence_type": "extends"} for n in names] or None
+
     def klass(self, i: int, hi: int, owners, exported, decorator, start) -> int:
         named = self.is_name(i + 1) and self.t(i + 1) not in ("extends", "implements")
         open_ = self.find(i, hi, "{")
@@ -334,8 +346,6 @@ class _Walk:
     def types(self, params: int, body: int) -> dict:
         import json
 
-        from ..functions.parsers import split_top
-
         close, rows = self.match.get(params, params), []
         for part in split_top(self.src(params + 1, close)):
             m = re.match(r"\s*(?:(?:public|private|protected|readonly|override)\s+)*(\.\.\.)?([\w$]+|\{.*?\}|\[.*?\])(\?)?\s*(?::\s*(.*?))?\s*(=(?!>).*)?$", part, re.S)

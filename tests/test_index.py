@@ -179,3 +179,36 @@ def test_settings(tmp_path):
     assert got.ignore == ["x/"] and got.embeddings is False and got.extensions[".pyx"] == "python" and ".ts" in got.extensions
     (tmp_path / settings.FILE_NAME).write_text("{")
     assert settings.load(str(tmp_path)) == settings.Config()
+
+
+def test_types_put_together():
+    got = {s["name"]: [(b["inherits_from_name"], b["inheritence_type"]) for b in s["inheritence"] or []] for s in extract_file("type A = B & C<D>\ntype E =\n  | 'x'\n  | F\ntype G = Partial<H>\ntype I = { a: J | K }\n", "a.ts", "typescript").symbols}
+    assert got == {"<module>": [], "A": [("B", "intersection"), ("C", "intersection")], "E": [("F", "union")], "G": [("H", "extends")], "I": []}
+
+
+def test_aliases(spark, tmp_path):
+    from codeloom.functions.workspace import path_aliases
+
+    (tmp_path / "web" / "lib").mkdir(parents=True)
+    (tmp_path / "tsconfig.json").write_text('{ // root\n "compilerOptions": {"paths": {"~/*": ["./*"],}}}')
+    (tmp_path / "web" / "tsconfig.json").write_text('{"compilerOptions": {"baseUrl": ".", "paths": {"@lib/*": ["lib/*"]}}}')
+    (tmp_path / "web" / "lib" / "a.ts").write_text("export const a = 1")
+    (tmp_path / "web" / "b.ts").write_text("import { a } from '@lib/a'\nimport { a as c } from 'lib/a'")
+    (tmp_path / "d.ts").write_text("import { a } from '~/web/lib/a'\nimport { a as e } from '@lib/a'")
+    assert path_aliases(str(tmp_path))[0] == ("web", "@lib/", "web/lib/")
+    got = names(index(spark, str(tmp_path)).imports, "file_path", "sourceModule", "resolvedPath")
+    assert got == {("web/b.ts", "@lib/a", "web/lib/a.ts"), ("web/b.ts", "lib/a", "web/lib/a.ts"), ("d.ts", "~/web/lib/a", "web/lib/a.ts"), ("d.ts", "@lib/a", None)}
+
+
+def test_workspace_and_log(tmp_path):
+    from codeloom.functions.workspace import inside, path_type, resolve_path
+    from codeloom.logs import file_logger
+
+    (tmp_path / "a").mkdir()
+    assert inside(str(tmp_path), "a/../a") == os.path.realpath(tmp_path / "a") and path_type(str(tmp_path / "a")) == "directory" and resolve_path("x", "/y/z/..") == "/y/x"
+    with pytest.raises(ValueError):
+        inside(str(tmp_path / "a"), "../b")
+    log = file_logger(str(tmp_path / "l.log"), "codeloom-test", most=200, backups=3)
+    for i in range(60):
+        log.info("line %d", i)
+    assert sorted(p.name for p in tmp_path.iterdir() if p.name.startswith("l.log")) == ["l.log", "l.log.1", "l.log.2", "l.log.3"]
