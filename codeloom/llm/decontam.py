@@ -106,8 +106,8 @@ def search(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFra
 
 def clean(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFrame:
     """`docs` without those that hold an item."""
-    found = search(docs, items, percent).select(F.col("doc_id").alias("doc")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("doc")), "left_anti")
+    found = search(docs, items, percent).select(F.col("doc_id").alias("__held")).distinct()
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("__held")), "left_anti")
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

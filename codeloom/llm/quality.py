@@ -131,7 +131,8 @@ def score_text(text: str, weights: np.ndarray, words: Words) -> float:
 
 
 def scored(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """`docs` with `score`; null and empty texts get the score of the bias."""
+    """`docs` with `score`, in place of a column of that name; null and empty texts get the score of the bias."""
+    docs = docs.drop("score")
     holder = docs.sparkSession.sparkContext.broadcast(weights)  # 2^BITS + 1 floats, whatever the corpus
     name = "score"
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])

@@ -46,17 +46,17 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a test item."""
     scratch = common.Scratch(spark, "decontamination")
-    found = scratch.keep(decontam.search(docs, common.read(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("held")).distinct(), "found")
-    return docs.join(_small(found), F.col("doc_id").eqNullSafe(F.col("held")), "left_anti").select(*docs.columns)
+    found = scratch.keep(decontam.search(docs, common.read(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__held")).distinct(), "found")
+    return docs.join(_small(found), F.col("doc_id").eqNullSafe(F.col("__held")), "left_anti").select(*docs.columns)
 
 
 def mixing_to_target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or drops documents so that sources meet their targets; a document occurs once for each copy taken."""
     scratch = common.Scratch(spark, "mixing")
-    copies = mixing.mix(docs, scratch).groupBy(F.col("doc_id").alias("taken_id")).agg(F.max("copies").alias("taken_copies")).filter("taken_copies > 0")
+    copies = mixing.mix(docs, scratch).groupBy(F.col("doc_id").alias("__taken")).agg(F.max("copies").alias("__copies")).filter("__copies > 0")
     copies = _small(scratch.keep(copies, "copies"))
-    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("taken_id")))
-    return taken.withColumn("taken_copies", F.explode(F.sequence(F.lit(1), "taken_copies"))).select(*docs.columns)
+    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("__taken")))
+    return taken.withColumn("__copies", F.explode(F.sequence(F.lit(1), "__copies"))).select(*docs.columns)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

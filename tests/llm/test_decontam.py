@@ -4,6 +4,7 @@ import random
 import re
 
 from codeloom.llm import decontam
+from pyspark.sql import functions as F
 
 SCHEMA = "item_id long, text string"
 
@@ -51,7 +52,7 @@ def test_shuffled_sketches_agree(spark, corpus, monkeypatch):
 
 
 def test_clean_and_empty(spark):
-    docs = spark.createDataFrame([(1, "a b c d e f", 1), (None, "x a b c d e f", 2), (3, "a b", 3)], "doc_id long, text string, doc long").withColumnRenamed("doc", "item_id")
+    docs = spark.createDataFrame([(1, "a b c d e f", 1), (None, "x a b c d e f", 2), (3, "a b", 3)], "doc_id long, text string, doc long").withColumn("item_id", F.col("doc")).withColumn("hash", F.lit(1))
     items = spark.createDataFrame([(1, "A b, c d e f")], SCHEMA)
     assert [r.doc_id for r in decontam.clean(docs, items).collect()] == [3]
     assert decontam.clean(docs, items.limit(0)).count() == 3

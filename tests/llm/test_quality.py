@@ -52,3 +52,5 @@ def test_clashing_columns(spark):
     docs = spark.createDataFrame([(1, "a b", 3.0)], "doc_id long, text string, w double")
     got = quality.scored(docs, np.zeros((1 << quality.BITS) + 1, np.float32))
     assert got.columns == ["doc_id", "text", "w", "score"] and got.first().score == 0.5
+    again = quality.scored(got.withColumnRenamed("w", "label"), np.zeros((1 << quality.BITS) + 1, np.float32))
+    assert again.columns == ["doc_id", "text", "label", "score"]
