@@ -189,4 +189,5 @@ def scores(docs: DataFrame, scratch: common.Scratch, block: int = BLOCK, part_by
 
 def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents under the counts of all others."""
-    return scores(common.read(spark, sf_dir, "documents"), common.Scratch(spark, "op5"))
+    found = scores(common.read(spark, sf_dir, "documents"), common.Scratch(spark, "op5"))
+    return found.select("doc_id", "n_words", F.round("log_score", 6).alias("log_score"), F.round("per_word", 6).alias("per_word"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import backoff, decontam, ledger, mixing, neardup, quality, repeats, sharding, tokens, vectors
+from . import backoff, decontam, ledger, mixing, neardup, quality, repeats, sharding, sql, tokens, vectors
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_decontamination": decontam.OP8_SQL}
+    return {"op5_lm_scores": sql.OP5, "op6_secrets": sql.OP6, "op7_near_vectors": sql.OP7, "op8_decontamination": decontam.OP8_SQL, "op9_near_duplicates": sql.OP9}
