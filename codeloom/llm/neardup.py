@@ -38,11 +38,13 @@ ROWS, BANDS = 4, 24
 REGISTERS = ROWS * BANDS
 BASE, RATE, TOP = 1.05, 20.0, 0x7FFE
 MARGIN = 20
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 #: Nodes in a block of a tile; nodes of a cluster that is not taken apart into its buckets; nodes for each task of small clusters.
 TILE, LARGE, TOGETHER = 512, 1 << 15, 4096
 #: Ids that are broadcast at most, where texts are picked by id; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: Rows of a few numbers (up to 40 bytes) that are broadcast at most, and rows with registers (some 230 bytes).
+BROADCAST_ROWS, BROADCAST_SKETCHES = 1_000_000, 200_000
 _RNG = np.random.Generator(np.random.PCG64(20240607))
 FACTORS = _RNG.integers(1, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SHIFTS = _RNG.integers(0, 1 << 63, REGISTERS, dtype=np.uint64)
@@ -128,6 +130,11 @@ def alike(percent: int) -> Column:
     return slope >= 0
 
 
+def small(df: DataFrame, most: int) -> DataFrame:
+    """`df`, which is already written, as a broadcast side if it has no more than `most` rows."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def near_sizes(percent: int) -> Column:
     return F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
 
@@ -142,21 +149,24 @@ def likely(more: np.ndarray, less: np.ndarray, n_a: int, n_b: np.ndarray, percen
 
 
 def sets_of(scratch: common.Scratch, docs: DataFrame, ids: DataFrame, k: int, name: str) -> DataFrame:
-    """(id, set) of the documents in `ids` (doc_id), written."""
-    few = ids.count() <= BROADCAST_IDS
+    """(id, set) of the documents in `ids` (doc_id), with its other columns, written."""
+    more = [f"{c} {t}" for c, t in ids.dtypes if c != "doc_id"]
+    wide = any(t.startswith("array") for _, t in ids.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Hashes()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t.as_py(), k, known).tobytes() for t in batch.column(1)], "binary")], ["id", "set"])
+            sets = pa.array([shingle_set(t.as_py(), k, known).tobytes() for t in batch.column(1)], "binary")
+            yield pa.RecordBatch.from_arrays([batch.column(0), sets, *batch.columns[2:]], ["id", "set", *batch.schema.names[2:]])
 
-    picked = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id")
-    return scratch.keep(picked.mapInArrow(run, "id long, set binary"), name)
+    picked = docs.select("doc_id", "text").join(small(ids, BROADCAST_SKETCHES if wide else BROADCAST_IDS), "doc_id")
+    return scratch.keep(picked.mapInArrow(run, ", ".join(["id long", "set binary", *more])), name)
 
 
 def linked(scratch: common.Scratch, docs: DataFrame, pairs: DataFrame, k: int, percent: int, name: str) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough."""
-    ids = scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{name}-ids")
+    ends = pairs.select(F.col("a").alias("doc_id"), F.lit(1).alias("role")).unionByName(pairs.select(F.col("b").alias("doc_id"), F.lit(2).alias("role")))
+    ids = scratch.keep(ends.groupBy("doc_id").agg(F.bit_or("role").cast("int").alias("role")), f"{name}-ids")
     found = sets_of(scratch, docs, ids, k, f"{name}-sets")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,8 +178,11 @@ def linked(scratch: common.Scratch, docs: DataFrame, pairs: DataFrame, k: int, p
                 keep.append(both > 0 and 100 * both >= percent * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, "bool"))
 
-    full = pairs.select("a", "b").join(found.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b").join(found.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
-    return scratch.keep(full.select("a", "b", "set_a", "set_b").mapInArrow(verify, "a long, b long"), f"{name}-links")
+    side = lambda x, role: found.filter(F.col("role").bitwiseAND(role) > 0).select(F.col("id").alias(x), F.col("set").alias(f"set_{x}"))
+    full = side("b", 2).join(small(pairs.select("a", "b"), BROADCAST_ROWS), "b").join(side("a", 1), "a")
+    out = scratch.keep(full.select("a", "b", "set_a", "set_b").mapInArrow(verify, "a long, b long"), f"{name}-links")
+    scratch.drop(f"{name}-ids", f"{name}-sets")
+    return out
 
 
 def joining_links(ids: np.ndarray, comp: np.ndarray, side: np.ndarray, bands: np.ndarray, sets: list[np.ndarray], band: int, percent: int) -> list[tuple[int, int]]:
@@ -226,9 +239,10 @@ def settle(scratch: common.Scratch, docs: DataFrame, mixed: DataFrame, size: Dat
         F.when(F.col("blk") == F.col("other"), 2).when(F.col("blk") == low, 0).otherwise(1).alias("side"),
         F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("grp"), F.lit(bins))).otherwise(F.xxhash64("grp", "band", low, high)).alias("tile"),
     )
-    comp = mixed.select("id", "comp").distinct()
-    sets = sets_of(scratch, docs, scratch.keep(members.select(F.col("id").alias("doc_id")).distinct(), "rest-ids"), k, "rest-sets")
-    full = dealt.join(comp.join(size.select("id", "bands"), "id").join(sets, "id"), "id")
+    comp = scratch.keep(mixed.select("id", "comp").distinct(), "comp")
+    ids = scratch.keep(size.join(small(comp, BROADCAST_ROWS), "id").select(F.col("id").alias("doc_id"), "comp", "bands"), "rest-ids")
+    sets = sets_of(scratch, docs, ids, k, "rest-sets")
+    full = sets.join(small(scratch.keep(dealt, "dealt"), BROADCAST_ROWS), "id")
 
     def run(table: pa.Table) -> pa.Table:
         found: list[tuple[int, int]] = []
@@ -245,7 +259,9 @@ def settle(scratch: common.Scratch, docs: DataFrame, mixed: DataFrame, size: Dat
         return pa.table({"a": pa.array([x for x, _ in found], "int64"), "b": pa.array([y for _, y in found], "int64")})
 
     links = full.select("tile", "grp", "band", "lo", "hi", "side", "id", "comp", "bands", "set").groupBy("tile").applyInArrow(run, "a long, b long")
-    return scratch.keep(links, "rest-links")
+    out = scratch.keep(links, "rest-links")
+    scratch.drop("mixed", "cluster", "members", "comp", "rest-ids", "rest-sets", "dealt")
+    return out
 
 
 def near_duplicates(docs: DataFrame, scratch: common.Scratch, k: int = WORDS, percent: int = PERCENT, large: int = LARGE) -> DataFrame:
@@ -260,25 +276,26 @@ def near_duplicates(docs: DataFrame, scratch: common.Scratch, k: int = WORDS, pe
     nodes = scratch.keep(usable.groupBy("mark").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes")
 
     met = nodes.select("id", "n", F.posexplode("bands").alias("band", "key"))
-    crowded = met.groupBy("band", "key").agg(F.min("id").alias("head"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    crowd = scratch.keep(met.join(crowded, ["band", "key"]), "crowd")  # only nodes that meet another
+    crowded = scratch.keep(met.groupBy("band", "key").agg(F.min("id").alias("head"), F.count("*").alias("c")).filter("c > 1").drop("c"), "crowded")
+    crowd = scratch.keep(met.join(small(crowded, BROADCAST_ROWS), ["band", "key"]), "crowd")  # only nodes that meet another
 
     size = nodes.select("id", "n", "bands")
     side = lambda x: size.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("bands").alias(f"bands_{x}"))
-    stars = crowd.filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    stars = stars.join(side("a"), "a").join(side("b"), "b").filter(near_sizes(percent) & alike(percent - MARGIN)).select("a", "b")
+    stars = scratch.keep(crowd.filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), "met")
+    stars = side("a").join(small(stars, BROADCAST_ROWS), "a").join(side("b"), "b").filter(near_sizes(percent) & alike(percent - MARGIN)).select("a", "b")
     stars = scratch.keep(stars, "stars")
     links = linked(scratch, docs, stars, k, percent, "star")
     whole = scratch.keep(components(scratch, links, "cc-star-"), "whole")
 
-    placed = crowd.join(whole.withColumnRenamed("component", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    placed = crowd.join(small(whole, BROADCAST_ROWS).withColumnRenamed("component", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     placed = scratch.keep(placed.select("band", "key", "id", "comp"), "placed")
-    split = placed.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("band", "key")
-    more = settle(scratch, docs, placed.join(split, ["band", "key"]), size, k, percent, large)
+    split = scratch.keep(placed.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("band", "key"), "split")
+    more = settle(scratch, docs, placed.join(small(split, BROADCAST_ROWS), ["band", "key"]), size, k, percent, large)
+    scratch.drop("crowded", "crowd", "met", "stars", "placed", "split")
     if not more.isEmpty():
         whole = scratch.keep(components(scratch, links.unionByName(more), "cc-rest-"), "whole-rest")
 
-    heads = nodes.select("mark", "id").join(whole, "id", "left").select("mark", F.coalesce("component", "id").alias("component_id"))
+    heads = nodes.select("mark", "id").join(small(whole, BROADCAST_ROWS), "id", "left").select("mark", F.coalesce("component", "id").alias("component_id"))
     solo = F.col("n").eqNullSafe(0) | F.col("doc_id").isNull()
     joined = known.filter(~solo).select("doc_id", "n", "mark").join(heads, "mark").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return joined.unionByName(known.filter(solo).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
