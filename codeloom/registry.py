@@ -395,6 +395,33 @@ _add("t02_debounce_sessions", _sessions, """
     with o as (select ts, case when lag(ts) over (order by ts) is null or ts >= lag(ts) over (order by ts) + interval 500 milliseconds then 1 else 0 end as fresh from events),
     g as (select sum(fresh) over (order by ts rows unbounded preceding) as k from o), s as (select k, count(*) as n from g group by 1) select n, count(*) as batches from s group by 1""", raw=True)
 
+# More lookups, counts and changes, by inventory id ---------------------------
+
+_add("f07_symbols_of_file", lambda c: _sym(lookup.symbols_of_files(c, ["geo/r3.ts"])), f"select {SYM} from symbols where file_path = 'geo/r3.ts'")
+_add("f12_need_docstrings_in_file", lambda c: _sym(lookup.without_docstring(c, ("class", "function"), "parts/f9.ts")), f"select {SYM} from symbols where kind in ('class', 'function') and name <> '<module>' and coalesce(docstring, '') = '' and file_path = 'parts/f9.ts'")
+_add("f15_file_hash", lambda c: lookup.file_hash(c, "src/src1/en/d1.txt"), "select hash from files where path = 'src/src1/en/d1.txt'")
+_add("f20_import_by_id", lambda spark, d: (lambda c: _imp(lookup.import_by_id(c, c.imports.agg(F.min("id")).first()[0])))(projection.project(spark, d)), f"select {_IMPORTS} from imports where id = (select min(id) from imports)", raw=True)
+_add("f22_imports_by_name_and_file", lambda c: _imp(lookup.imports_by_name(c.with_(imports=c.imports.withColumn("file_path", F.lit("one.ts"))), "small ring", "one.ts")), f"""select id, 'one.ts' as file_path, "sourceModule", "resolvedPath" from imports where list_contains("importedNames", 'small ring')""")
+_add("f25_import_between", lambda c: _imp(c.imports.filter("id like 'i-1%'").join(lookup.import_between(c.with_(imports=c.imports.withColumn("file_path", F.lit("one.ts"))), "one.ts", "parts/p3.ts").select("id"), "id", "left_semi")), f"""select {_IMPORTS} from imports where id like 'i-1%' and "resolvedPath" = 'parts/p3.ts'""")
+_add("f35_symbols_by_ids_frame", lambda c: _sym(lookup.symbols_by_ids(c, [f"p{i}" for i in range(300)])), f"select {SYM} from symbols where id in (select 'p' || unnest(range(300)))")
+_add("s06_all_files", lambda c: c.files.select("path", "hash", "language"), "select path, hash, language from files")
+_add("s08_all_imports", lambda c: _imp(c.imports.orderBy("file_path", "resolvedPath")), f"select {_IMPORTS} from imports")
+_add("a06_symbols_per_file", lambda c: c.symbols.groupBy("file_path").agg(F.count("*").alias("n")), "select file_path, count(*) as n from symbols group by 1")
+_add("a14_exported_counts", lambda c: agg.symbols_per_file(c).select("file_path", "total", "exported"), "select file_path, count(*) as total, count(*) filter (where exported) as exported from symbols group by 1")
+_add("j22_implementations_at", lambda c: _sym(joins.implementations_at(c, c.symbols.filter("kind = 'interface' and file_path like 'parts/f1%'"))), f"select {SYM} from symbols where (file_path, line) in (select (file_path, line) from symbols where kind = 'interface' and file_path like 'parts/f1%')")
+_add("j16_downstream_env_vars", lambda spark, d: modes.required_env_vars(projection.project(spark, d), "NATION_5").groupBy("scope").agg(F.count("*").alias("n")), """
+    with f as (select id from symbols where name = 'NATION_5'), r as (select id from f union select parent_id from symbols where name = 'NATION_5' union select s.id from symbols s join f on s.parent_id = f.id)
+    select case when lower(s.name) = 'nation_5' then 'direct' else 'downstream' end as scope, count(*) as n from env_vars x left join symbols s on s.id = x.symbol_id where x.symbol_id in (select id from r) group by 1""", raw=True)
+_add("t06_changed_files", lambda c: c.files.join(c.files.withColumn("hash", F.when(F.col("language") == "fr", F.lit("old")).otherwise(F.col("hash"))).filter("language <> 'es'").select("path", "hash"), ["path", "hash"], "left_anti").select("path"), "select path from files where language in ('fr', 'es')")
+_add("w08_upsert_vectors", lambda c: changes.upsert_vectors(c, c.vec_symbols.filter("symbol_id like 'p1%'").withColumn("embedding", F.slice("embedding", 1, 2))).vec_symbols.select("symbol_id", F.size("embedding").alias("n")), "select symbol_id, case when symbol_id like 'p1%' then 2 else cast(len(embedding) as integer) end as n from vec_symbols")
+_add("w10_delete_vectors_of_files", lambda c: changes.delete_vectors_of_files(c, c.symbols.filter("file_path like 'parts/f1%'").select(F.col("file_path").alias("path")).distinct()).vec_symbols.select("symbol_id"), "select symbol_id from vec_symbols where symbol_id not in (select id from symbols where file_path like 'parts/f1%')")
+_add("w13_remove_docstrings", lambda c: changes.without_docstrings(c.with_(symbols=c.symbols.withColumn("docstring", F.col("name"))), ("class", "type")).symbols.groupBy("kind").agg(F.count("docstring").alias("n")), "select kind, count(case when kind not in ('class', 'type') then name end) as n from symbols group by 1")
+_add("w17_usage_row", lambda c: changes.usage_row(c, "read_code", ["src/src1/en/d1.txt", "src/src2/en/d2.txt"], 17, 5).select("tool_name", "source_tokens", "response_tokens", "tokens_saved"), """
+    select 'read_code' as tool_name, t as source_tokens, cast(5 as bigint) as response_tokens, greatest(0, t - 5) as tokens_saved from (select cast(coalesce(sum(estimated_tokens), 36) as bigint) as t from files where path in ('src/src1/en/d1.txt', 'src/src2/en/d2.txt'))""")
+_add("x09_imported_names", lambda c: c.imports.select("id", F.array_join(scalars.local_names(F.transform("importedNames", lambda x: F.concat(F.lit(" type "), x, F.lit(" as q"))), types=True), ",").alias("local"), F.array_join(scalars.original_names(F.transform("importedNames", lambda x: F.concat(x, F.lit(" as q")))), ",").alias("original")), """select id, 'q' as local, array_to_string("importedNames", ',') as original from imports""")
+_add("x21_symbol_refs", lambda spark, d: projection.agent_docs(spark, d).select("path", F.array_join(scalars.symbol_refs(F.col("content")), ",").alias("refs"), F.array_join(scalars.path_refs(F.col("content")), ",").alias("paths")), """
+    select path, 'NATION_' || (regexp_extract(path, '([0-9]+)', 1)::int % 40) as refs, 'src/src' || (regexp_extract(path, '([0-9]+)', 1)::int % 20) || '/en/d' || regexp_extract(path, '([0-9]+)', 1) || '.txt,src/x.ts' as paths from agent_docs""", raw=True)
+
 
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
