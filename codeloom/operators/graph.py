@@ -39,16 +39,18 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataF
     return found
 
 
+def containment(c: Catalog) -> DataFrame:
+    """Edges from each symbol to those it holds."""
+    return c.symbols.filter("parent_id is not null").select(F.col("parent_id").alias("src"), F.col("id").alias("dst"))
+
+
 def subtree(c: Catalog, root: str) -> DataFrame:
-    """A symbol and all below it in the containment tree."""
-    return c.spark.sql(
-        """with recursive below(id, depth) as (
-             select id, 0 from {symbols} where id = :root
-             union all
-             select s.id, b.depth + 1 from {symbols} s join below b on s.parent_id = b.id)
-           select s.*, b.depth from below b join {symbols} s on s.id = b.id order by line, id""",
-        args={"root": root}, symbols=c.symbols,
-    )
+    """A symbol and all below it in the containment tree, with their depth.
+
+    A loop, not a recursive query: those stop at a million rows, and at any cycle.
+    """
+    found = reach(containment(c), c.symbols.filter(F.col("id") == root).select(F.col("id").alias("node")))
+    return c.symbols.join(found.withColumnRenamed("node", "id"), "id").orderBy("line", "id")
 
 
 def parent_class(c: Catalog, limit: int = 32) -> DataFrame:
@@ -69,14 +71,7 @@ def reachable_symbols(c: Catalog, name: str) -> DataFrame:
     """(id) of what the symbols of a name, and their parents, call directly or not; and, unexpanded, of what lies below these symbols."""
     start = c.symbols.filter(F.col("name") == name)
     seeds = start.select(F.explode(F.array("id", "parent_id")).alias("node")).filter("node is not null")
-    below = c.spark.sql(
-        """with recursive below(id) as (
-             select id from {start}
-             union all
-             select s.id from {symbols} s join below b on s.parent_id = b.id)
-           select id from below""",
-        start=start, symbols=c.symbols,
-    )
+    below = reach(containment(c), start.select(F.col("id").alias("node"))).select(F.col("node").alias("id"))
     return reach(call_graph(c), seeds).select(F.col("node").alias("id")).unionByName(below).distinct()
 
 
