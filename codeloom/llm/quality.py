@@ -28,7 +28,7 @@ EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.1
 SCALE = 8.0
 THRESHOLD = 0.7
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
