@@ -19,9 +19,10 @@ PROJECT = os.path.join(os.path.dirname(__file__), "project")
 def tree(tmp_path_factory):
     at = str(tmp_path_factory.mktemp("tree") / "project")
     shutil.copytree(PROJECT, at)
-    os.makedirs(f"{at}/node_modules/lib", exist_ok=True)
-    with open(f"{at}/node_modules/lib/a.ts", "w") as f:
-        f.write("export const a = 1")
+    for path in ("node_modules/lib/a.ts", "build/x.ts", "ignored.ts"):
+        os.makedirs(os.path.dirname(f"{at}/{path}"), exist_ok=True)
+        with open(f"{at}/{path}", "w") as f:
+            f.write("export const a = 1")
     return at
 
 
@@ -212,3 +213,12 @@ def test_workspace_and_log(tmp_path):
     for i in range(60):
         log.info("line %d", i)
     assert sorted(p.name for p in tmp_path.iterdir() if p.name.startswith("l.log")) == ["l.log", "l.log.1", "l.log.2", "l.log.3"]
+
+
+def test_sql_functions(spark):
+    from codeloom.extract.udtf import register
+
+    register(spark)
+    got = spark.sql("select tab, get_json_object(row, '$.name') as name from codeloom_extract('a.py', 'def f():\\n    g()', 'python')").collect()
+    assert ("symbols", "f") in {tuple(r) for r in got} and {r.tab for r in got} == {"symbols", "call_sites"}
+    assert spark.sql("select codeloom_type_names('A<B>, C') as x").first().x == ["A", "C"]
