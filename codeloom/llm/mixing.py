@@ -48,19 +48,18 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("sid") % len(weights) + 1).cast("int"))
     named = by_source.select("source", "source_size", (F.row_number().over(rank) - 1).alias("sid")).withColumn("w", weight)
     full = (F.lit(float(cap)) * F.col("source_size")).alias("full")
+    whole = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     fill = Window.orderBy(F.col("ratio"), F.col("sid"))
     to_here = fill.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ordered = named.withColumn("full", full).withColumn("ratio", F.col("full") / F.col("w"))
     levels = (
-        ordered.withColumn("total", F.sum("source_size").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) * share)
+        ordered.withColumn("total", F.sum("source_size").over(whole) * share)
         .withColumn("filled", F.coalesce(F.sum("full").over(to_here), F.lit(0.0)))
         .withColumn("open", F.sum("w").over(fill.rowsBetween(0, Window.unboundedFollowing)))
         .withColumn("level", (F.col("total") - F.col("filled")) / F.col("open"))
     )
     # The first source that its level does not fill up sets the level of all the rest.
-    last = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "sid", "level"))).over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    del whole
+    last = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "sid", "level"))).over(whole)
     return levels.withColumn("level", last["level"]).select(
         "sid", "source", "source_size", F.coalesce(F.least("full", F.col("level") * F.col("w")), F.col("full")).alias("target")
     )
