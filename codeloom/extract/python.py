@@ -5,7 +5,7 @@ from __future__ import annotations
 import ast
 import re
 
-from ..functions.parsers import strip_parentheses
+from ..functions.parsers import comment_text, strip_parentheses
 from .rows import VARIABLES, Extracted
 
 _DEFAULT = re.compile(r"\s+or\s+.*$", re.S)
@@ -21,6 +21,28 @@ class _Visitor(ast.NodeVisitor):
         self.type_only = False
         self.read: set[str] = set()
         self.stack[0]["docstring"] = ast.get_docstring(tree)
+        self.comments = _comments(text)
+        self.statement: ast.stmt | None = None
+
+    def visit(self, node):
+        if isinstance(node, ast.stmt):
+            before, self.statement = self.statement, node
+            super().visit(node)
+            self.statement = before
+        else:
+            super().visit(node)
+
+    def noted(self) -> str | None:
+        """Comments on the lines right above the statement, and after it on its last line."""
+        if self.statement is None:
+            return None
+        at, own = self.statement.lineno - 1, []
+        while at in self.comments and self.lines[at - 1].lstrip().startswith("#"):
+            own.insert(0, self.comments[at])
+            at -= 1
+        if self.statement.end_lineno in self.comments:
+            own.append(self.comments[self.statement.end_lineno])
+        return comment_text("\n".join(own)) if own else None
 
     # Places: rows from 0, columns in characters.
     def at(self, node) -> tuple[int, int]:
@@ -157,7 +179,7 @@ class _Visitor(ast.NodeVisitor):
             name, kind = key.value if isinstance(key, ast.Constant) and isinstance(key.value, str) else self.source(key), kind or "dynamic_call"
         else:
             return
-        self.out.call(self.owner(), kind, name, expression, self.source(node), self.at(f), self.end(f), base, prop)
+        self.out.call(self.owner(), kind, name, expression, self.source(node), self.at(f), self.end(f), base, prop, self.noted())
 
 
 def _parameters(v: _Visitor, args: ast.arguments) -> str:
@@ -169,6 +191,17 @@ def _parameters(v: _Visitor, args: ast.arguments) -> str:
     return json.dumps([{"name": a.arg, "type": v.source(a.annotation) if a.annotation else None, "optional": o} for a, o in rows if a.arg not in ("self", "cls")])
 
 
+def _comments(text: str) -> dict[int, str]:
+    """Comments by line, from 1."""
+    import io
+    import tokenize
+
+    try:
+        return {t.start[0]: t.string for t in tokenize.generate_tokens(io.StringIO(text).readline) if t.type == tokenize.COMMENT}
+    except (tokenize.TokenError, SyntaxError):
+        return {}
+
+
 def _all_names(tree: ast.Module) -> set[str]:
     for node in tree.body:
         if isinstance(node, ast.Assign) and any(isinstance(t, ast.Name) and t.id == "__all__" for t in node.targets) and isinstance(node.value, (ast.List, ast.Tuple)):

@@ -114,10 +114,11 @@ class _Walk:
         """Comments right before a statement, or after it on its last line."""
         start, stop = self.off(lo), self.stop(hi - 1)
         before = self.stop(lo - 1) if lo else 0
-        own = [self.text[a:b] for a, b in self.comments if before <= a < start and (lo == 0 or self.pos(a)[0] > self.pos(before)[0])]
+        near = self.comments[bisect.bisect_left(self.comments, (before, 0)) : bisect.bisect_left(self.comments, (start, 0))]
+        own = [self.text[a:b] for a, b in near if lo == 0 or self.pos(a)[0] > self.pos(before)[0]]
         if not own:
             rest = self.text[stop:].split("\n", 1)[0]
-            own = [self.text[a:b] for a, b in self.comments if stop <= a < stop + len(rest)]
+            own = [self.text[a:b] for a, b in self.comments[bisect.bisect_left(self.comments, (stop, 0)) :][:8] if a < stop + len(rest)]
         return comment_text("\n".join(own)) if own else None
 
     def define(self, name: str, kind: str, lo: int, hi: int, owner: dict, exported: bool = False, decorator: str | None = None, head: int | None = None, **more) -> dict:
@@ -245,7 +246,10 @@ class _Walk:
             prop = parts[-1].strip()
             base = ".".join(p.strip() for p in parts[:-1])
             base = strip_parentheses(re.sub(r"\s*(\?\?|\|\|)\s*[^()]*$", "", re.sub(r"\s+as\s+[\w$.<>\[\]]+", "", base)))
-        doc = None
+        lo = first
+        while lo > 0 and self.t(lo - 1) not in (";", "{", "}") and self.row(lo - 1) == self.row(lo):
+            lo -= 1
+        doc = self.docstring(lo, min(close + 1, len(self.toks)))
         self.out.call(self.caller(owners), kind, self.t(i), expression, self.src(first, close + 1), self.pos(self.off(i)), self.pos(self.stop(i)), base, prop, doc)
 
     def decorator(self, i: int, hi: int, owners: list[dict]) -> tuple[str, int]:

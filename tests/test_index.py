@@ -222,3 +222,10 @@ def test_sql_functions(spark):
     got = spark.sql("select tab, get_json_object(row, '$.name') as name from codeloom_extract('a.py', 'def f():\\n    g()', 'python')").collect()
     assert ("symbols", "f") in {tuple(r) for r in got} and {r.tab for r in got} == {"symbols", "call_sites"}
     assert spark.sql("select codeloom_type_names('A<B>, C') as x").first().x == ["A", "C"]
+
+
+def test_comments_of_calls():
+    ts = extract_file("function f() {\n  // why\n  g(1)\n  h() // then\n  const x = k()\n}\n", "a.ts", "typescript").call_sites
+    assert {c["callee_name"]: c["docstring"] for c in ts} == {"g": "why", "h": "then", "k": None}
+    py = extract_file("def f():\n    # why\n    # so\n    g(1)\n    h()  # then\n    s = k('#')\n", "a.py", "python").call_sites
+    assert {c["callee_name"]: c["docstring"] for c in py} == {"g": "why\nso", "h": "then", "k": None}
