@@ -46,7 +46,7 @@ def scan(spark: SparkSession, root: str, config: Config | None = None) -> DataFr
     relative = F.expr(f"substring({{}}, {len(prefix) + 2})".format("full"))
     found = raw.withColumn("full", at).withColumn("path", relative)
     found = found.withColumn("language", language_of("path", config)).filter(F.col("language").isNotNull() & ~rules.column(F.col("path")))
-    text = found.withColumn("content", F.decode("content", "UTF-8")).select("path", "content", "language")
+    text = found.withColumn("content", F.make_valid_utf8(F.col("content").cast("string"))).select("path", "content", "language")
     return text.withColumn("hash", content_hash(F.col("content"))).withColumn("estimated_tokens", token_estimate(F.col("content")))
 
 

@@ -229,3 +229,8 @@ def test_comments_of_calls():
     assert {c["callee_name"]: c["docstring"] for c in ts} == {"g": "why", "h": "then", "k": None}
     py = extract_file("def f():\n    # why\n    # so\n    g(1)\n    h()  # then\n    s = k('#')\n", "a.py", "python").call_sites
     assert {c["callee_name"]: c["docstring"] for c in py} == {"g": "why\nso", "h": "then", "k": None}
+
+
+def test_bytes_that_are_no_text(spark, tmp_path):
+    (tmp_path / "a.ts").write_bytes(b"export const a = '\xff\xfe'\n")
+    assert index(spark, str(tmp_path)).symbols.filter("name = 'a'").count() == 1
