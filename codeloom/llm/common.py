@@ -55,7 +55,7 @@ def word_count(text: Column) -> Column:
 
 def utf8(text: Column) -> Column:
     """UTF-8 bytes of a text; null is empty."""
-    return F.encode(F.coalesce(text, F.lit("")), "UTF-8")
+    return F.coalesce(text, F.lit("")).cast("binary")
 
 
 def unit(hashed: Column) -> Column:
