@@ -17,6 +17,14 @@ from ..functions.paths import is_test, top_dir
 from ..operators import aggregates as agg
 from ..operators import graph, joins, lookup, search
 
+
+
+def _top(df: DataFrame, limit: int | None, *order) -> DataFrame:
+    """The first `limit` rows in an order, or all: a top-k keeps room for its whole limit in memory, so no large number stands for "all"."""
+    out = df.orderBy(*order)
+    return out if limit is None else out.limit(limit)
+
+
 # Search -------------------------------------------------------------------
 
 
@@ -110,7 +118,7 @@ def importance(c: Catalog, limit: int = 20, kind=None, exclude_tests: bool = Tru
     return out.select("id", "name", "kind", "file_path", "line", F.round("rank", 9).alias("rank")).orderBy(F.desc("rank"), "id").limit(limit)
 
 
-def resolve_type(c: Catalog, name: str, limit: int = 20) -> DataFrame:
+def resolve_type(c: Catalog, name: str, limit: int | None = 20) -> DataFrame:
     """(role, id): definitions of a type, callables that return or take it, and heirs; each at most `limit`."""
     like = f"%{name}%"
     where = {
@@ -121,7 +129,8 @@ def resolve_type(c: Catalog, name: str, limit: int = 20) -> DataFrame:
     parts = {role: c.symbols.filter(ok) for role, ok in where.items()} | {"inheritor": joins.inheriting(c, name=name)}
     out = None
     for role, df in parts.items():
-        part = df.select(F.lit(role).alias("role"), "id", "name", "kind", "file_path", "line").orderBy("file_path", "line", "id").limit(limit)
+        part = df.select(F.lit(role).alias("role"), "id", "name", "kind", "file_path", "line")
+        part = _top(part, limit, "file_path", "line", "id")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -299,7 +308,7 @@ def coupling_metrics(c: Catalog, sort_by: str = "distance", limit: int = 30, min
 # Quality ------------------------------------------------------------------
 
 
-def dead_code(c: Catalog, kind=None, exclude_tests: bool = True, limit: int = 50, compat: bool = False) -> DataFrame:
+def dead_code(c: Catalog, kind=None, exclude_tests: bool = True, limit: int | None = 50, compat: bool = False) -> DataFrame:
     """Exported symbols that nothing imports or calls, and internal callables that nothing calls.
 
     `compat` takes imported names as written, with aliases, and counts constructors towards the limit before it drops them.
@@ -313,12 +322,12 @@ def dead_code(c: Catalog, kind=None, exclude_tests: bool = True, limit: int = 50
         out = out.filter(~is_test("file_path"))
     order = ["part", "file_path", "line", "id"]
     made = (F.col("kind") == "method") & F.col("name").isin("constructor", "__init__", "new")
-    out = out.orderBy(*order).limit(limit).filter(~made) if compat else out.filter(~made).orderBy(*order).limit(limit)
+    out = _top(out, limit, *order).filter(~made) if compat else _top(out.filter(~made), limit, *order)
     return out.select("id", "name", "kind", "file_path", "line", F.when(F.col("part") == 0, "exported").otherwise("internal").alias("part"))
 
 
-def untested(c: Catalog, kind=None, limit: int = 50) -> DataFrame:
-    return joins.untested_symbols(c, kind).select("id", "name", "kind", "file_path", "line").orderBy("file_path", "line", "id").limit(limit)
+def untested(c: Catalog, kind=None, limit: int | None = 50) -> DataFrame:
+    return _top(joins.untested_symbols(c, kind).select("id", "name", "kind", "file_path", "line"), limit, "file_path", "line", "id")
 
 
 def similar_patterns(c: Catalog, symbol, match_on=("kind", "return_type", "decorator", "inheritance", "params"), limit: int = 20) -> DataFrame:

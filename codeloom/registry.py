@@ -232,7 +232,7 @@ _add("m02_files_detailed", lambda c: modes.search_files(c.with_(symbols=c.symbol
 _add("m10_references", lambda spark, d: modes.references(projection.project(spark, d), _name7(spark, d)), f"""
     select distinct 'call' as ref_kind, caller_file as file_path, caller_name as name, caller_line as line from ({_NESTED.format(caller=_CALLER, target=f"lower(t.name) = lower({_NAME7})")})
     union all select 'import', file_path, "sourceModule", null from imports where list_contains("importedNames", {_NAME7})""", raw=True)
-_add("m13_resolve_type", lambda c: modes.resolve_type(c, "ECONOMY", 1_000_000).select("role", "id"), "select 'producer' as role, id from symbols where return_type ilike '%ECONOMY%'")
+_add("m13_resolve_type", lambda c: modes.resolve_type(c, "ECONOMY", None).select("role", "id"), "select 'producer' as role, id from symbols where return_type ilike '%ECONOMY%'")
 _add("m16_blast_radius", lambda c: modes.blast_radius(c.with_(symbols=c.symbols.withColumn("name", F.when(F.col("id") == "p3", "the one").otherwise(F.col("name")))), "the one").select("id"), f"""
     with recursive {_E}, r as (select t as a, s as b from e union select y.parent_id, e.s from e join symbols y on y.id = e.t where y.parent_id is not null),
     go as (select 'p3' as node union select r.b from go join r on r.a = go.node) select node as id from go where node <> 'p3'""")
@@ -275,7 +275,7 @@ _DEAD = f"""with {_THROUGH}, names as (select distinct unnest("importedNames") a
     dead as (select 'exported' as part, s.* from symbols s where {_ENTRY} and name not in (select name from names) union all select 'internal', s.* from symbols s where {_INTERNAL})
     select id, name, kind, file_path, line, part from dead where id not in (select id from alive) and not (kind = 'method' and name in ('constructor', '__init__', 'new'))"""
 _add("m25_dead_code", lambda c: modes.dead_code(c, limit=50), f"{_DEAD} order by part, file_path, line, id limit 50")
-_add("m25_dead_code_all", lambda c: modes.dead_code(c, limit=1_000_000_000), _DEAD)
+_add("m25_dead_code_all", lambda c: modes.dead_code(c, limit=None), _DEAD)
 
 
 def _with_tests(c: Catalog) -> Catalog:
@@ -287,7 +287,7 @@ def _with_tests(c: Catalog) -> Catalog:
 
 
 _T = "case when try_cast(regexp_extract({x}, 'f([0-9]+)[.]ts', 1) as int) % 3 = 0 then concat('tests/', {x}) else {x} end"
-_add("m26_untested", lambda c: modes.untested(_with_tests(c), limit=1_000_000_000).select("id", "file_path"), f"""
+_add("m26_untested", lambda c: modes.untested(_with_tests(c), limit=None).select("id", "file_path"), f"""
     with s as (select id, name, kind, parent_id, exported, {_T.format(x='file_path')} as file_path from symbols),
     i as (select {_T.format(x=_FILE97.format('file_path'))} as file_path, {_T.format(x=_FILE97.format('"resolvedPath"'))} as dst from imports),
     seen as (select file_path as p from s where file_path like 'tests/%' union select dst from i where file_path like 'tests/%')
