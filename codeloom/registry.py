@@ -224,6 +224,9 @@ def lookup_only(c: Catalog) -> Catalog:
     return c.with_(symbols=c.symbols.filter("file_path = 'geo/r1.ts'"))
 
 
+_add("v03_embedding_text_all", search.embedding_text, "select id, concat_ws(chr(10), name, kind, file_path) as text from symbols")
+
+
 # Modes ---------------------------------------------------------------------
 
 _add("m02_files_detailed", lambda c: modes.search_files(c.with_(symbols=c.symbols.withColumn("file_path", F.lit("src/src1/en/d1.txt"))), "src/src1/", limit=10, detailed=True).select("path", "symbols", "exported"), """
