@@ -53,6 +53,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def row_key(*columns: str) -> Column:
+    """A hash of columns, nulls told apart, by which rows that share an id, or have none, are matched."""
+    return F.xxhash64(*columns, *[F.col(c).isNull() for c in columns])
+
+
 def utf8(text: Column) -> Column:
     """UTF-8 bytes of a text; null is empty."""
     return F.coalesce(text, F.lit("")).cast("binary")

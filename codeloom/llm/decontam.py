@@ -61,17 +61,18 @@ def _items(items: DataFrame) -> DataFrame:
     return sized.withColumn("shingles", shingles(F.col("w"), F.col("length"))).withColumn("n", F.size("shingles"))
 
 
-def search(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFrame:
+def search(docs: DataFrame, items: DataFrame, percent: int = PERCENT, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(doc_id, item_id, n_item, n_shared, containment) of each document that holds at least `percent` of an item's shingles.
 
     Items shorter than a shingle count as one shingle of their words; items
     without words, and null texts, match nothing. Rows that repeat a doc_id
     are searched one by one and reported once, with the largest containment.
+    With other `keys` than doc_id these stand for it, here and in the result.
     """
     known = _items(items)
     lengths = sorted(r[0] for r in known.select("length").distinct().collect())  # at most SHINGLE values
     if not lengths:
-        return docs.limit(0).select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("n_item"), F.lit(0).alias("n_shared"), F.lit(0.0).alias("containment"))
+        return docs.limit(0).select(*keys, F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("n_item"), F.lit(0).alias("n_shared"), F.lit(0.0).alias("containment"))
     coded = known.withColumn("code", F.transform("w", lambda x: F.xxhash64(x)))
     own = F.array_distinct(F.coalesce(*[F.when(F.col("length") == k, hashes("code", [k])) for k in lengths]))
     sketched = coded.select("item_id", "n", own.alias("all")).select(
@@ -83,31 +84,41 @@ def search(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFra
     size = sketched.agg((F.count("*") * 64).alias("b")).first()[0]
     sketched = F.broadcast(sketched) if size <= BROADCAST_BYTES else sketched
 
-    texts = docs.select("doc_id", "text")
+    texts = docs.select(*keys, "text")
     found = (
-        texts.select("doc_id", words(F.col("text")).alias("w"))
-        .select("doc_id", F.transform("w", lambda x: F.xxhash64(x)).alias("code"))
-        .select("doc_id", F.explode(hashes("code", lengths)).alias("hash"))
+        texts.select(*keys, words(F.col("text")).alias("w"))
+        .select(*keys, F.transform("w", lambda x: F.xxhash64(x)).alias("code"))
+        .select(*keys, F.explode(hashes("code", lengths)).alias("hash"))
         .join(sketched, "hash")
-        .groupBy("doc_id", "item_id", "hash").agg(F.first("least").alias("least"))
-        .groupBy("doc_id", "item_id").agg(F.count("*").alias("hits"), F.first("least").alias("least"))
+        .groupBy(*keys, "item_id", "hash").agg(F.first("least").alias("least"))
+        .groupBy(*keys, "item_id").agg(F.count("*").alias("hits"), F.first("least").alias("least"))
         .filter(F.col("hits") >= F.col("least"))
-        .select(F.col("doc_id").alias("doc"), "item_id")
+        .select(*[F.col(k).alias(f"found_{k}") for k in keys], "item_id")
     )
     verified = (
-        texts.join(found, F.col("doc_id").eqNullSafe(F.col("doc")))
-        .select("doc_id", "item_id", words(F.col("text")).alias("w"))
+        texts.join(found, [F.col(k).eqNullSafe(F.col(f"found_{k}")) for k in keys])
+        .select(*keys, "item_id", words(F.col("text")).alias("w"))
         .join(known.select("item_id", "length", "shingles", F.col("n").alias("n_item")), "item_id")
-        .select("doc_id", "item_id", "n_item", F.size(F.array_intersect(shingles(F.col("w"), F.col("length")), "shingles")).alias("n_shared"))
+        .select(*keys, "item_id", "n_item", F.size(F.array_intersect(shingles(F.col("w"), F.col("length")), "shingles")).alias("n_shared"))
         .filter(F.col("n_shared") * 100 >= F.col("n_item") * percent)
     )
-    return verified.groupBy("doc_id", "item_id", "n_item").agg(F.max("n_shared").alias("n_shared")).withColumn("containment", F.col("n_shared") / F.col("n_item"))
+    return verified.groupBy(*keys, "item_id", "n_item").agg(F.max("n_shared").alias("n_shared")).withColumn("containment", F.col("n_shared") / F.col("n_item"))
+
+
+def held(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(__held, __held_row): ids, null ones too, and row keys of the texts that hold an item."""
+    texts = docs.select("doc_id", "text").withColumn("__row", common.row_key("text"))
+    return search(texts, items, percent, ("doc_id", "__row")).select(F.col("doc_id").alias("__held"), F.col("__row").alias("__held_row")).distinct()
+
+
+def without(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """`docs` without the rows of `held`."""
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("__held")) & (common.row_key("text") == F.col("__held_row")), "left_anti")
 
 
 def clean(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFrame:
     """`docs` without those that hold an item."""
-    found = search(docs, items, percent).select(F.col("doc_id").alias("__held")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("__held")), "left_anti")
+    return without(docs, held(docs, items, percent))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -103,18 +103,18 @@ def solve(scratch: common.Scratch, hist: DataFrame, goal: DataFrame, cap: float
     return state.select("sid", "lam")
 
 
-def mix(docs: DataFrame, scratch: common.Scratch, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, seed: int = SEED) -> DataFrame:
-    """`doc_id`, `size`, `source_size`, `target`, `copies` for each row of `docs`.
+def mix(docs: DataFrame, scratch: common.Scratch, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, seed: int = SEED, keys: tuple[str, ...] = ()) -> DataFrame:
+    """`doc_id`, `size`, `source_size`, `target`, `copies` for each row of `docs`, and its `keys`.
 
     Size is the number of words (null text: 0). Null sources form one source.
     Documents without words get no copies. Repeated rows are rounded one by
-    one, and an empty table gives an empty result. Extra columns are ignored.
+    one, and an empty table gives an empty result. Other columns are ignored.
     """
     light = scratch.keep(
-        docs.select("doc_id", F.col("source").cast("string").alias("source"), common.word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id").alias("h")), "light"
+        docs.select("doc_id", *keys, F.col("source").cast("string").alias("source"), common.word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id").alias("h")), "light"
     )
     goal = scratch.keep(targets(light.select("source", "size"), weights, share, cap), "goal")
-    known = light.join(goal.select("sid", F.col("source").alias("source_"), "source_size", "target"), F.col("source").eqNullSafe(F.col("source_"))).select("doc_id", "size", "h", "sid", "source_size", "target")
+    known = light.join(goal.select("sid", F.col("source").alias("source_"), "source_size", "target"), F.col("source").eqNullSafe(F.col("source_"))).select("doc_id", *keys, "size", "h", "sid", "source_size", "target")
 
     mean = goal.join(known.groupBy("sid").agg(F.avg("size").alias("mean")), "sid").select("sid", "mean")
     z = F.pow(F.col("size") / F.col("mean"), F.lit(TILT))
@@ -149,11 +149,11 @@ def mix(docs: DataFrame, scratch: common.Scratch, weights=WEIGHTS, share: float
             break
         bins = scratch.keep(bins.join(best, ["sid", "size", "sub"], "left").withColumn("extra", F.col("extra") + F.coalesce("move", F.lit(0))).drop("move"), f"bins{step}")
 
-    rank = F.row_number().over(Window.partitionBy("sid", "size", "sub").orderBy("h", "doc_id"))
-    chosen = split.select("doc_id", "size", "h", "sid", "sub", "source_size", "target").withColumn("rank", rank).join(bins.select("sid", "size", "sub", "base", "extra"), ["sid", "size", "sub"])
+    rank = F.row_number().over(Window.partitionBy("sid", "size", "sub").orderBy("h", "doc_id", *keys))
+    chosen = split.select("doc_id", *keys, "size", "h", "sid", "sub", "source_size", "target").withColumn("rank", rank).join(bins.select("sid", "size", "sub", "base", "extra"), ["sid", "size", "sub"])
     copies = F.col("base") + (F.col("rank") <= F.col("extra")).cast("int")
-    empty = known.filter("size = 0").select("doc_id", "size", "source_size", "target", F.lit(0).alias("copies"))
-    return chosen.select("doc_id", "size", "source_size", "target", copies.cast("int").alias("copies")).unionByName(empty)
+    empty = known.filter("size = 0").select("doc_id", *keys, "size", "source_size", "target", F.lit(0).alias("copies"))
+    return chosen.select("doc_id", *keys, "size", "source_size", "target", copies.cast("int").alias("copies")).unionByName(empty)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

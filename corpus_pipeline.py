@@ -2,8 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is
 written as Parquet and read back as the next stage's documents. All stages but the
-last return the columns of documents. Rows with a null doc_id are kept apart
-from each other wherever rows are matched by id.
+last return the columns of documents. Rows are matched by doc_id and a hash of
+what the stage looks at, so that rows with a null doc_id, and different texts
+under one doc_id, are kept apart from each other.
 """
 
 from __future__ import annotations
@@ -17,11 +18,13 @@ from codeloom.llm import common, decontam, mixing, neardup, quality, tokens
 LEAST_QUALITY = 0.5
 #: Rows of ids (with a count) that are broadcast at most; more are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
+#: The same for rows of ids and row keys.
+BROADCAST_KEYED = 1_000_000
 
 
-def _small(df: DataFrame) -> DataFrame:
+def _small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """`df`, which is already written, as a broadcast side if its rows allow."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,31 +34,43 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that of the smallest id, of each component of near-duplicates."""
+    """Keeps one document, that of the smallest id, of each component of near-duplicates; of rows that repeat an id and its text, one."""
     scratch = common.Scratch(spark, "near-dedup")
-    found = scratch.keep(neardup.near_duplicates(docs, scratch), "components")
-    gone = scratch.keep(found.filter("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    kept = docs.join(_small(gone), "doc_id", "left_anti")
-    again = scratch.keep(found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "again")
-    if not again.isEmpty():  # rows that repeat an id: one of them stays
-        few = _small(again)
-        kept = kept.join(few, "doc_id", "left_anti").unionByName(kept.join(few, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return kept.select(*docs.columns)
+    again = scratch.keep(docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "again")
+    if again.isEmpty():
+        found = scratch.keep(neardup.near_duplicates(docs, scratch), "components")
+        gone = scratch.keep(found.filter("doc_id <> component_id").select("doc_id").distinct(), "gone")
+        return docs.join(_small(gone), "doc_id", "left_anti").select(*docs.columns)
+
+    # An id that repeats does not name a text, so every id and text gets a number of its own; null ids get none, and stay.
+    keyed, few = docs.withColumn("__row", common.row_key("text")), _small(again)
+    keyed = keyed.join(few, "doc_id", "left_anti").unionByName(keyed.join(few, "doc_id", "left_semi").dropDuplicates(["doc_id", "__row"]))
+    numbers = keyed.filter("doc_id is not null").select("doc_id", "__row").withColumn("__number", F.monotonically_increasing_id())
+    numbers = scratch.keep(numbers, "numbers")
+    numbered = scratch.keep(keyed.join(_small(numbers, BROADCAST_KEYED), ["doc_id", "__row"], "left"), "numbered")
+    found = scratch.keep(neardup.near_duplicates(numbered.select(F.col("__number").alias("doc_id"), "text"), scratch), "components")
+    parts = found.filter("doc_id is not null").select(F.col("doc_id").alias("__number"), "component_id")
+    first = parts.join(numbers, "__number").groupBy("component_id").agg(F.min(F.struct("doc_id", "__row", "__number")).alias("first"))
+    gone = scratch.keep(parts.join(first.select("first.__number"), "__number", "left_anti").select("__number"), "gone")
+    return numbered.join(_small(gone), "__number", "left_anti").select(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a test item."""
     scratch = common.Scratch(spark, "decontamination")
-    found = scratch.keep(decontam.search(docs, common.read(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__held")).distinct(), "found")
-    return docs.join(_small(found), F.col("doc_id").eqNullSafe(F.col("__held")), "left_anti").select(*docs.columns)
+    found = scratch.keep(decontam.held(docs, common.read(spark, sf_dir, "benchmark")), "found")
+    return decontam.without(docs, _small(found, BROADCAST_KEYED)).select(*docs.columns)
 
 
 def mixing_to_target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or drops documents so that sources meet their targets; a document occurs once for each copy taken."""
     scratch = common.Scratch(spark, "mixing")
-    copies = mixing.mix(docs, scratch).groupBy(F.col("doc_id").alias("__taken")).agg(F.max("copies").alias("__copies")).filter("__copies > 0")
-    copies = _small(scratch.keep(copies, "copies"))
-    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("__taken")))
+    row = common.row_key(*docs.columns)
+    mixed = mixing.mix(docs.withColumn("__row", row), scratch, keys=("__row",)).groupBy(F.col("doc_id").alias("__taken"), F.col("__row").alias("__taken_row"))
+    copies = scratch.keep(mixed.agg(F.sum("copies").alias("__copies"), (F.count("*") > 1).alias("__again")).filter("__copies > 0"), "copies")
+    taken = docs.join(_small(copies, BROADCAST_KEYED), F.col("doc_id").eqNullSafe(F.col("__taken")) & (row == F.col("__taken_row")))
+    if not copies.filter("__again").isEmpty():  # equal rows: one of them is repeated for all
+        taken = taken.filter("not __again").unionByName(taken.filter("__again").dropDuplicates(docs.columns))
     return taken.withColumn("__copies", F.explode(F.sequence(F.lit(1), "__copies"))).select(*docs.columns)
 
 

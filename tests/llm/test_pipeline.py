@@ -71,3 +71,32 @@ def test_repeats_nulls_and_empty(spark, corpus):
     docs = common.read(spark, at, "documents")
     assert sorted(str(r.doc_id) for r in cp.minhash_near_dedup(spark, docs, at).collect()) == ["1", "2", "None"]
     assert {r.doc_id for r in cp.run(spark, at).collect()} <= {None, 1, 2}
+
+
+def test_rows_of_one_id_are_matched_by_text(spark, corpus):
+    rng = random.Random(7)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    item, x, y = " ".join(words(12)), words(40), words(40)
+    near = [*x[:39], "other"]
+    text = {"held": " ".join(words(9)) + " " + item, "clean": " ".join(words(30)), "x": " ".join(x), "y": " ".join(y), "near": " ".join(near), "z": " ".join(words(35))}
+    rows = [(None, text["held"], "s"), (None, text["clean"], "s"), (5, text["x"], "s"), (5, text["y"], "s"), (5, text["y"], "s"), (2, text["near"], "s"), (7, text["held"], "s"), (7, text["z"], "s")]
+    at = corpus(rows, benchmark=spark.createDataFrame([(1, item)], "item_id long, text string"))
+    docs, name = common.read(spark, at, "documents"), {t: n for n, t in text.items()}
+    left = lambda df: sorted((str(r.doc_id), name[r.text]) for r in df.collect())
+    # 2 is near one text of 5, whose other text stays; once, though two rows have it.
+    assert left(cp.minhash_near_dedup(spark, docs, at)) == [("2", "near"), ("5", "y"), ("7", "held"), ("7", "z"), ("None", "clean"), ("None", "held")]
+    assert left(cp.benchmark_decontamination(spark, docs, at)) == [("2", "near"), ("5", "x"), ("5", "y"), ("5", "y"), ("7", "z"), ("None", "clean")]
+
+
+def test_mix_of_rows_without_ids(spark, corpus):
+    rng = random.Random(8)
+    rows = [(None, " ".join(["w"] * rng.randint(5, 60)) + f" {i // 2}", "ab"[i % 2]) for i in range(400)]
+    rows += rows[:60]
+    at = corpus(rows)
+    docs = common.read(spark, at, "documents")
+    sizes, taken = {}, {}
+    for out, some in ((sizes, rows), (taken, [(r.doc_id, r.text, r.source) for r in cp.mixing_to_target_weights(spark, docs, at).collect()])):
+        for _, t, s in some:
+            out[s] = out.get(s, 0) + len(t.split())
+    for s, want in brute.targets(sizes).items():
+        assert abs(taken.get(s, 0) - want) <= 0.02 * want + 5
