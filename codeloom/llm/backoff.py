@@ -93,6 +93,11 @@ def cuts(hashed: np.ndarray, parts: int) -> list[int]:
     return [0, *np.searchsorted(hashed, np.array(edges, np.uint64)).tolist(), len(hashed)]
 
 
+def open_bytes(parts: int) -> int:
+    """The low bytes of a hash that its part leaves open: hashes of one of `parts` ranges differ in them."""
+    return 8 if parts < 1 << 8 else 7 if parts < 1 << 16 else 6
+
+
 def counted(table: DataFrame, parts: int) -> DataFrame:
     """(kind, part, block, grams, counts) of each block, kind and range of hashes: kind 1 are words, 2 pairs."""
 
@@ -105,8 +110,7 @@ def counted(table: DataFrame, parts: int) -> DataFrame:
                 pairs, number = np.unique(pair_hashes(words, places, lengths.astype(np.int64)), return_counts=True)
                 for kind, grams, counts in ((1, words, np.bincount(places, minlength=len(words))), (2, pairs, number)):
                     counts, at = counts.astype("<u4"), cuts(grams, parts)
-                    # The range is known from the part, so the low six bytes tell grams apart.
-                    low = np.ascontiguousarray(grams, "<u8").view("u1").reshape(-1, 8)[:, :6]
+                    low = np.ascontiguousarray(grams, "<u8").view("u1").reshape(-1, 8)[:, : open_bytes(parts)]
                     some = [k for k in range(parts) if at[k] < at[k + 1]]
                     yield pa.RecordBatch.from_pydict({
                         "kind": pa.array([kind] * len(some), "int32"), "part": pa.array(some, "int32"), "block": pa.array([block.as_py()] * len(some), "int64"),
@@ -116,18 +120,20 @@ def counted(table: DataFrame, parts: int) -> DataFrame:
     return table.select("block", "words", "data").mapInArrow(run, "kind int, part int, block long, grams binary, counts binary")
 
 
-def totals(grams: DataFrame) -> DataFrame:
-    """(kind, part, block, totals): the rows of `counted`, with sums over all blocks in the order of each row's grams."""
+def totals(grams: DataFrame, parts: int) -> DataFrame:
+    """(kind, part, block, totals): the rows of `counted` for `parts`, with sums over all blocks in the order of each row's grams."""
+
+    width = open_bytes(parts)
 
     def run(table: pa.Table) -> pa.Table:
         squeeze, expand = zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
         raw = [x.as_py() for x in table.column("grams")]
-        wide = np.zeros((sum(map(len, raw)) // 6, 8), "u1")
-        wide[:, :6] = np.frombuffer(b"".join(raw), "u1").reshape(-1, 6)
+        wide = np.zeros((sum(map(len, raw)) // width, 8), "u1")
+        wide[:, :width] = np.frombuffer(b"".join(raw), "u1").reshape(-1, width)
         _, place = np.unique(wide.view("<u8").ravel(), return_inverse=True)
         number = np.frombuffer(b"".join(expand(x.as_py()) for x in table.column("counts")), "<u4")
         sums = np.bincount(place, number).astype("<u8")
-        ends = np.cumsum([len(x) // 6 for x in raw]).tolist()
+        ends = np.cumsum([len(x) // width for x in raw]).tolist()
         out = [squeeze(sums[place[a:b]].tobytes()) for a, b in zip([0, *ends], ends)]
         return pa.table({"kind": table.column("kind"), "part": table.column("part"), "block": table.column("block"), "totals": pa.array(out, pa.binary())})
 
@@ -169,7 +175,7 @@ def scores(docs: DataFrame, scratch: common.Scratch, block: int = BLOCK, part_by
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, math.ceil(size / part_bytes))
     n_words, n_docs = table.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("n_docs"), F.lit(0))).first()
-    sums = scratch.keep(totals(counted(table, parts)), "totals")
+    sums = scratch.keep(totals(counted(table, parts), parts), "totals")
     mine = sums.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("kind", "part", "totals"))).alias("totals"))  # one block's own
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,6 +4,9 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
+import zstandard
+
 from codeloom.llm import backoff, common
 
 
@@ -36,3 +39,16 @@ def test_against_counts(spark, corpus):
 def test_one_and_none(spark, corpus):
     assert abs(backoff.op5_lm_scores(spark, corpus([(1, "a b", "s")])).first().log_score - 2 * math.log(0.16)) < 1e-6
     assert backoff.op5_lm_scores(spark, corpus([])).count() == 0
+
+
+def test_hashes_that_differ_in_high_bytes_only(spark):
+    expand = zstandard.ZstdDecompressor().decompress
+    for parts, shift in ((1, 48), (300, 48), (1 << 16, 47)):
+        # Words of two blocks: hashes of the same low bytes, four of them in a range or near it.
+        words = np.arange(1, 5, dtype=np.uint64) << np.uint64(shift)
+        places = (np.array([0, 1, 1, 2, 3], "<u4"), np.array([3, 3, 3, 0, 1], "<u4"))
+        rows = [(k, 5, 1, words.tobytes(), backoff.pack(p, [k], [5])) for k, p in enumerate(places)]
+        table = spark.createDataFrame(rows, backoff.BLOCKS)
+        got = backoff.totals(backoff.counted(table, parts), parts).filter("kind = 1").orderBy("block", "part").collect()
+        sums = [np.frombuffer(b"".join(expand(r.totals) for r in got if r.block == k), "<u8").tolist() for k in (0, 1)]
+        assert sums == [[2, 3, 1, 4]] * 2
