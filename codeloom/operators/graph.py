@@ -53,18 +53,23 @@ def subtree(c: Catalog, root: str) -> DataFrame:
     return c.symbols.join(found.withColumnRenamed("node", "id"), "id").orderBy("line", "id")
 
 
-def parent_class(c: Catalog, limit: int = 32) -> DataFrame:
+def parent_class(c: Catalog) -> DataFrame:
     """(id, class_id): the nearest enclosing class of each symbol, itself if it is one; symbols outside of classes are left out."""
+    store, step = Store(c.spark, "parent-class"), 0
     parents = c.symbols.select(F.col("id").alias("at"), "kind", "parent_id")
-    found, open_ = None, c.symbols.select("id", F.col("id").alias("at"))
-    for _ in range(limit):
+    found, seen, open_ = None, None, store.keep(c.symbols.select("id", F.col("id").alias("at")), "0")
+    while True:
+        step += 1
         here = open_.join(parents, "at")
         done = here.filter("kind = 'class'").select("id", F.col("at").alias("class_id"))
         found = done if found is None else found.unionByName(done)
-        open_ = Store(c.spark, "parent-class").keep(here.filter("kind <> 'class' and parent_id is not null").select("id", F.col("parent_id").alias("at")), "open")
+        seen = open_ if seen is None else seen.unionByName(open_)
+        after = here.filter("kind <> 'class' and parent_id is not null").select("id", F.col("parent_id").alias("at"))
+        open_ = store.keep(after.join(seen, ["id", "at"], "left_anti"), str(step))  # a cycle leads to what was seen
         if open_.isEmpty():
-            break
-    return found
+            return found
+        if step % KEEP_EVERY == 0:
+            found, seen = store.keep(found, f"found{step}"), store.keep(seen, f"seen{step}")
 
 
 def reachable_symbols(c: Catalog, name: str) -> DataFrame:
@@ -182,11 +187,6 @@ def layers(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def ancestors(c: Catalog, id_: str) -> DataFrame:
     """A symbol's chain of parents, nearest first."""
-    return c.spark.sql(
-        """with recursive up(id, parent_id, depth) as (
-             select id, parent_id, 0 from {symbols} where id = :id
-             union all
-             select s.id, s.parent_id, u.depth + 1 from {symbols} s join up u on s.id = u.parent_id where u.depth < 64)
-           select s.id, s.name, s.kind, s.file_path, s.line, u.depth from up u join {symbols} s on s.id = u.id where u.depth > 0 order by depth""",
-        args={"id": id_}, symbols=c.symbols,
-    )
+    up = c.symbols.filter("parent_id is not null").select(F.col("id").alias("src"), F.col("parent_id").alias("dst"))
+    found = reach(up, c.symbols.filter(F.col("id") == id_).select(F.col("id").alias("node"))).filter("depth > 0")
+    return c.symbols.join(found.withColumnRenamed("node", "id"), "id").select("id", "name", "kind", "file_path", "line", "depth").orderBy("depth")

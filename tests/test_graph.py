@@ -84,3 +84,13 @@ def test_blast_radius_counts_children(spark):
 @pytest.mark.parametrize("direction", ["in", "out"])
 def test_trace_is_bounded(spark, direction):
     assert modes.trace(calls(spark, G), ["a"], direction, 1).count() == (1 if direction == "in" else 2)
+
+
+def test_trees_of_any_depth(spark):
+    symbols = [{"id": "s0", "kind": "class"}] + [{"id": f"s{i}", "parent_id": f"s{i - 1}"} for i in range(1, 67)]
+    symbols += [{"id": "x", "parent_id": "y"}, {"id": "y", "parent_id": "x"}]
+    c = catalog(spark, symbols=[{"name": s["id"], **s} for s in symbols])
+    assert [r.id for r in graph.ancestors(c, "s66").collect()] == [f"s{i}" for i in range(65, -1, -1)]
+    assert [r.id for r in graph.ancestors(c, "x").collect()] == ["y"]
+    deep = c.with_(symbols=c.symbols.filter("id in ('x', 'y') or cast(substring(id, 2) as int) <= 33"))
+    assert {r.id: r.class_id for r in graph.parent_class(deep).collect()} == {f"s{i}": "s0" for i in range(34)}
