@@ -406,6 +406,7 @@ _add("f15_file_hash", lambda c: lookup.file_hash(c, "src/src1/en/d1.txt"), "sele
 _add("f20_import_by_id", lambda spark, d: (lambda c: _imp(lookup.import_by_id(c, c.imports.agg(F.min("id")).first()[0])))(projection.project(spark, d)), f"select {_IMPORTS} from imports where id = (select min(id) from imports)", raw=True)
 _add("f22_imports_by_name_and_file", lambda c: _imp(lookup.imports_by_name(c.with_(imports=c.imports.withColumn("file_path", F.lit("one.ts"))), "small ring", "one.ts")), f"""select id, 'one.ts' as file_path, "sourceModule", "resolvedPath" from imports where list_contains("importedNames", 'small ring')""")
 _add("f25_import_between", lambda c: _imp(c.imports.filter("id like 'i-1%'").join(lookup.import_between(c.with_(imports=c.imports.withColumn("file_path", F.lit("one.ts"))), "one.ts", "parts/p3.ts").select("id"), "id", "left_semi")), f"""select {_IMPORTS} from imports where id like 'i-1%' and "resolvedPath" = 'parts/p3.ts'""")
+_add("f25_import_between_all", lambda c: _imp(c.imports.join(lookup.import_between(c.with_(imports=c.imports.withColumn("file_path", F.lit("one.ts"))), "one.ts", "parts/p3.ts").select("id"), "id", "left_semi")), f"""select {_IMPORTS} from imports where "resolvedPath" = 'parts/p3.ts'""")
 _add("f35_symbols_by_ids_frame", lambda c: _sym(lookup.symbols_by_ids(c, [f"p{i}" for i in range(300)])), f"select {SYM} from symbols where id in (select 'p' || unnest(range(300)))")
 _add("s06_all_files", lambda c: c.files.select("path", "hash", "language"), "select path, hash, language from files")
 _add("s08_all_imports", lambda c: _imp(c.imports.orderBy("file_path", "resolvedPath")), f"select {_IMPORTS} from imports")

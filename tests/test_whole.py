@@ -26,3 +26,8 @@ def test_embedding_texts_of_all_symbols(spark, duck):  # noqa: F811
     found, symbols = rows(spark, duck, "v03_embedding_text_all"), projection.project(spark, DIR).symbols
     assert {i for i, _ in found} == {r.id for r in symbols.select("id").collect()}
     assert len(found) == symbols.count()
+
+
+def test_imports_between_of_any_id(spark, duck):  # noqa: F811
+    found = rows(spark, duck, "f25_import_between_all")
+    assert any(not r[0].startswith("i-1") for r in found)
