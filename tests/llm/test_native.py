@@ -4,6 +4,7 @@ import collections
 import random
 
 import brute
+from pyspark.sql import functions as F
 
 from codeloom.llm import common, ledger, mixing, sharding
 
@@ -23,13 +24,66 @@ def test_shards_are_even_and_gapless(spark, corpus):
     assert max(map(len, slots.values())) - min(len(slots.get(k, [])) for k in range(16)) <= 1
 
 
-def test_shards_over_many_buckets_mix_and_agree(spark, corpus):
-    at = corpus([(i, "w" * 50, "s") for i in range(500)])
-    docs = common.read(spark, at, "documents").withColumnRenamed("n_chars", "slot")
-    once, again = ({r.record.doc_id: (r.shard, r.slot) for r in sharding.shard(docs, bucket_bytes=1000).collect()} for _ in range(2))
-    assert once == again and len(set(once.values())) == 500
-    place = [once[i][1] for i in range(500)]
-    assert place != sorted(place)
+def places(docs, scratch, **how):
+    return sorted(((tuple(r.record), r.shard, r.slot) for r in sharding.shard(docs, scratch, **how).collect()), key=str)
+
+
+def test_places_do_not_depend_on_partitions(spark, corpus):
+    rows = [(i, "w" * (20 + i % 60), "s") for i in range(400)] + [(None, f"n{i}", "s") for i in range(300)] + [(7, "same", None)] * 500
+    docs = common.read(spark, corpus(rows), "documents").withColumnRenamed("n_chars", "slot").withColumnRenamed("lang", "key")
+    scratch = common.Scratch(spark, "t")
+    want = places(docs.coalesce(1), scratch, bucket_bytes=2000)
+    for n in (4, 16, 211):
+        assert places(docs.repartition(n), scratch, bucket_bytes=2000) == want, n
+    assert places(docs.orderBy(F.desc("text")), scratch, bucket_bytes=2000) == want
+    assert places(docs, scratch, bucket_bytes=2000, seed=4) != want
+
+
+def mersenne(seed):
+    """Draws of 31 bits as the generator of Spark's shuffle gives them."""
+    import random as r
+
+    gen = r.Random()
+    gen.seed((seed & 0xFFFFFFFF) << 32 | seed >> 32 & 0xFFFFFFFF)
+    return lambda: gen.getrandbits(32) >> 1
+
+
+def fisher_yates(xs, seed):
+    """Inside-out, as items come in."""
+    draw, out = mersenne(seed), []
+    for i, x in enumerate(xs):
+        n = i + 1
+        if n & -n == n:
+            j = n * draw() >> 31
+        else:
+            while True:
+                bits = draw()
+                j = bits % n
+                if bits - j + n - 1 < 1 << 31:
+                    break
+        out.append(None)
+        out[i] = out[j]
+        out[j] = x
+    return out
+
+
+def test_buckets_are_permuted_by_fisher_yates(spark, corpus):
+    at = corpus([(i, "w" * 50, "s") for i in range(300)])
+    docs, seed = common.read(spark, at, "documents"), (3 << 32) + 5
+    got = [r for r, *_ in sorted(places(docs, common.Scratch(spark, "t"), bucket_bytes=1500, seed=seed, n_shards=1), key=lambda x: x[2])]
+    hashed = sharding.keyed(docs, common.Scratch(spark, "t"), seed).select(
+        F.pmod(F.xxhash64(F.lit(seed), "key"), F.lit(-(-300 * 51 // 1500))).alias("b"), F.xxhash64(F.lit(seed + 1), "key").alias("h"), "record"
+    ).collect()
+    want = []
+    for b in range(-(-300 * 51 // 1500)):
+        want += [tuple(r.record) for r in fisher_yates(sorted((r for r in hashed if r.b == b), key=lambda r: r.h), seed + b)]
+    assert got == want
+
+
+def test_hot_records_scatter(spark, corpus):
+    rows = [(None, "same text", "s")] * 9000 + [(i, f"t{i}", "s") for i in range(1000)]
+    got = sharding.op2_sharding(spark, corpus(rows)).groupBy("shard").agg(F.count("*").alias("n"), F.count_if(F.col("doc_id").isNull()).alias("hot")).collect()
+    assert {r.n for r in got} == {625} and all(500 < r.hot < 610 for r in got)
 
 
 def test_empty_tables(spark, corpus):
