@@ -131,7 +131,11 @@ def score_text(text: str, weights: np.ndarray, words: Words) -> float:
 
 
 def scored(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """`docs` with `score`, in place of a column of that name; null and empty texts get the score of the bias."""
+    """`docs` with `score`, in place of a column of that name.
+
+    Null and empty texts get the score of the bias, equal texts equal scores.
+    A very long text is scored whole; an empty table stays empty.
+    """
     docs = docs.drop("score")
     holder = docs.sparkSession.sparkContext.broadcast(weights)  # 2^BITS + 1 floats, whatever the corpus
     name = "score"
@@ -154,11 +158,16 @@ def held_out(doc_id="doc_id"):
 def labelled(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
     """(doc_id, text, label) of at most `rows` labelled documents, none of them held out: those whose hashed ids are smallest.
 
-    Of several labels of a document, the larger counts. The ids chosen are broadcast, 20 bytes for each of `rows`.
+    Of several labels of a document the larger counts, of several texts under
+    one id the smallest, so that a row stands for each id however often the
+    id occurs. Labels that are null, and those of null ids, count for nothing;
+    without labels or documents the result is empty. The ids chosen are
+    broadcast, 20 bytes for each of `rows`.
     """
     known = labels.filter(~held_out() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("label"))
     chosen = known.orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id").limit(rows)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    return texts.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,3 +54,38 @@ def test_clashing_columns(spark):
     assert got.columns == ["doc_id", "text", "w", "score"] and got.first().score == 0.5
     again = quality.scored(got.withColumnRenamed("w", "label"), np.zeros((1 << quality.BITS) + 1, np.float32))
     assert again.columns == ["doc_id", "text", "label", "score"]
+
+
+def test_weights_are_those_of_plain_updates():
+    rng = random.Random(9)
+    rows, labels = sample(60, rng)
+    data = [(t, q) for (_, t, _), (_, q, _) in zip(rows, labels)]
+    z, n = {}, {}
+
+    def weight(i):
+        zi = z.get(i, 0.0)
+        return 0.0 if abs(zi) <= quality.L1 else ((quality.L1 if zi > 0 else -quality.L1) - zi) / ((quality.BETA + n.get(i, 0.0) ** 0.5) / quality.ALPHA + quality.L2)
+
+    for _ in range(quality.EPOCHS):
+        for text, label in data:
+            x = {1 << quality.BITS: 1.0}
+            for view in quality.views(text, quality.Words()):
+                for i in view.tolist():
+                    x[i] = x.get(i, 0.0) + quality.SCALE / len(view)
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + np.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - label) * v
+                old = n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - ((old + g * g) ** 0.5 - old**0.5) / quality.ALPHA * w[i]
+                n[i] = old + g * g
+    got = quality.fit(iter(data))
+    assert np.allclose(got[sorted(z)], [weight(i) for i in sorted(z)], atol=1e-4) and np.count_nonzero(got) <= len(z)
+
+
+def test_fit_rows_bound_rows(spark):
+    docs = spark.createDataFrame([(1, f"t{i}", "x") for i in range(3000)] + [(i, None, "y") for i in range(2, 9)], "doc_id long, text string, label string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(9)] * 2, LABELS)
+    got = quality.labelled(docs, labels, rows=4).collect()
+    assert 0 < len(got) <= 4 and len({r.doc_id for r in got}) == len(got)
+    assert {r.text for r in quality.labelled(docs, labels).collect() if r.doc_id == 1} <= {"t0"}
