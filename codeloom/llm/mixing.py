@@ -2,15 +2,19 @@
 
 Every document gets a rate r in [0, CAP]: the number of times the mix takes
 it, on average. The rates minimise the relative entropy to "take everything
-once", subject to each source's words meeting its target. The solution is
-r = min(CAP, exp(lambda_s * z)) with z = (size / mean size)^TILT, where the
+once", the sum of q * (r * log(r) - r + 1), subject to each source's words,
+the sum of size * r, meeting its target. Documents weigh q = size / z in the
+entropy, with z = (size / mean size)^TILT: a long one as much more than a
+short one as its size to the power 1 - TILT. So the solution is
+r = min(CAP, exp(lambda_s * size / q)) = min(CAP, exp(lambda_s * z)), where the
 multipliers lambda maximise a concave dual that splits by source; safeguarded
 Newton steps find them from per-source sums over a histogram of sizes, which
 each step computes as a distributed aggregate.
 
 Rates are rounded into copies by systematic sampling in order of size, and
 the few words that a source is then off by are mended by moving single copies.
-No step needs the documents of a source together.
+No step needs the documents of a source together. Equal rows are counted
+before anything else and told apart again at the end.
 """
 
 from __future__ import annotations
@@ -33,17 +37,21 @@ TOLERANCE = 1e-7
 #: Documents of one size and source that are ranked together, on average.
 RANKED = 4096
 REPAIRS = 6
+#: Newton steps between two written states.
+STEPS = 3
+#: Equal rows that one task tells apart at a time.
+CHUNK = 4096
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """`sid`, `source`, `source_size` and `target` for each source of (source, size).
+    """`sid`, `source`, `source_size` and `target` for each source of (source, size, m), `m` rows of that size.
 
     Sources in code point order, null last, weigh `weights` in turn; they
     share `share` of all sizes and stop at `cap` times their own. What that
     leaves is shared again by weight, which in the end gives every source
     min(cap * size, level * weight) for one level.
     """
-    by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    by_source = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size"))
     rank = Window.orderBy(F.col("source").asc_nulls_last())  # a row per source
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("sid") % len(weights) + 1).cast("int"))
     named = by_source.select("source", "source_size", (F.row_number().over(rank) - 1).alias("sid")).withColumn("w", weight)
@@ -77,11 +85,11 @@ def solve(scratch: common.Scratch, hist: DataFrame, goal: DataFrame, cap: float
         "sid", "target", "source_size", start.alias("lam"), F.lit(-1e6).alias("lo"), F.lit(1e6).alias("hi"),
         ((F.col("target") <= 0) | (F.col("target") >= F.col("source_size") * cap * (1 - 1e-12))).alias("ended"),
     ).withColumn("lam", F.when(F.col("target") <= 0, -1e6).when(F.col("ended"), 1e6).otherwise(F.least("lam", F.lit(log_cap))))
-    state, before = scratch.keep(state, "state0"), None
+    state = scratch.keep(state, "state0")
     for step in range(1, MAX_STEPS + 1):
         words = F.col("n") * F.col("size") * _rate(cap)
         sums = (
-            hist.join(state.filter(~F.col("ended")).select("sid", "lam"), "sid")
+            hist.join(F.broadcast(state.filter(~F.col("ended")).select("sid", "lam")), "sid")  # a row per source
             .groupBy("sid")
             .agg(F.sum(words).alias("now"), F.sum(F.when(F.col("lam") * F.col("z") < log_cap, words * F.col("z")).otherwise(0.0)).alias("slope"))
         )
@@ -90,35 +98,37 @@ def solve(scratch: common.Scratch, hist: DataFrame, goal: DataFrame, cap: float
         newton = F.col("lam") - off / F.col("slope")
         inside = (F.col("slope") > 0) & (newton > F.col("lo1")) & (newton < F.col("hi1"))
         middle = F.when(F.col("hi1") >= 1e6, F.greatest(F.col("lam") * 2, F.col("lam") + 1)).when(F.col("lo1") <= -1e6, F.least(F.col("lam") * 2, F.col("lam") - 1)).otherwise((F.col("lo1") + F.col("hi1")) / 2)
-        after = (
-            state.join(sums, "sid", "left")
+        state = (
+            state.join(F.broadcast(sums), "sid", "left")
             .withColumn("lo1", lo).withColumn("hi1", hi)
             .withColumn("done", F.col("ended") | (F.abs(off) <= F.col("target") * TOLERANCE))
             .select("sid", "target", "source_size", F.when(F.col("done"), F.col("lam")).when(inside, newton).otherwise(middle).alias("lam"), F.coalesce("lo1", "lo").alias("lo"), F.coalesce("hi1", "hi").alias("hi"), F.col("done").alias("ended"))
         )
-        before, state = f"state{step - 1}", scratch.keep(after, f"state{step}")
-        scratch.drop(before)
-        if state.filter(~F.col("ended")).isEmpty():
-            break
+        if step % STEPS == 0 or step == MAX_STEPS:
+            state = scratch.keep(state, f"state{step}")
+            if state.filter(~F.col("ended")).isEmpty():
+                break
     return state.select("sid", "lam")
 
 
 def mix(docs: DataFrame, scratch: common.Scratch, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, seed: int = SEED, keys: tuple[str, ...] = ()) -> DataFrame:
     """`doc_id`, `size`, `source_size`, `target`, `copies` for each row of `docs`, and its `keys`.
 
-    Size is the number of words (null text: 0). Null sources form one source.
-    Documents without words get no copies. Repeated rows are rounded one by
-    one, and an empty table gives an empty result. Other columns are ignored.
+    Size is the number of words (null text: 0), of very long texts too. Null
+    sources form one source. Documents without words get no copies. Documents
+    of one size and source are in order of a hash of id and text, so ties of
+    ids do not matter; equal rows are rounded one by one. An empty table gives
+    an empty result. Other columns are ignored.
     """
-    light = scratch.keep(
-        docs.select("doc_id", *keys, F.col("source").cast("string").alias("source"), common.word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id").alias("h")), "light"
-    )
-    goal = scratch.keep(targets(light.select("source", "size"), weights, share, cap), "goal")
-    known = light.join(goal.select("sid", F.col("source").alias("source_"), "source_size", "target"), F.col("source").eqNullSafe(F.col("source_"))).select("doc_id", *keys, "size", "h", "sid", "source_size", "target")
+    own = ["doc_id", *keys]
+    light = docs.select(*own, F.col("source").cast("string").alias("source"), common.word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text", F.col("doc_id").isNull()).alias("h"))
+    light = scratch.keep(light.groupBy(*own, "source", "size", "h").agg(F.count("*").alias("m")), "light")
+    goal = scratch.keep(targets(light.select("source", "size", "m"), weights, share, cap), "goal")
+    known = light.join(goal.select("sid", F.col("source").alias("source_"), "source_size", "target"), F.col("source").eqNullSafe(F.col("source_"))).select(*own, "size", "h", "m", "sid", "source_size", "target")
 
-    mean = goal.join(known.groupBy("sid").agg(F.avg("size").alias("mean")), "sid").select("sid", "mean")
+    mean = goal.join(known.groupBy("sid").agg((F.sum(F.col("size") * F.col("m")) / F.sum("m")).alias("mean")), "sid").select("sid", "mean")
     z = F.pow(F.col("size") / F.col("mean"), F.lit(TILT))
-    hist = scratch.keep(known.filter("size > 0").groupBy("sid", "size").agg(F.count("*").alias("n")).join(mean, "sid").withColumn("z", z).drop("mean"), "hist")
+    hist = scratch.keep(known.filter("size > 0").groupBy("sid", "size").agg(F.sum("m").alias("n")).join(mean, "sid").withColumn("z", z).drop("mean"), "hist")
     lam = solve(scratch, hist, goal, cap)
 
     # Copies by (source, size, hash range): the whole part of the rate for all, one more for `extra` of the documents.
@@ -126,7 +136,7 @@ def mix(docs: DataFrame, scratch: common.Scratch, weights=WEIGHTS, share: float
     parts = F.ceil(F.col("n") / RANKED)
     rated = scratch.keep(rated.select("sid", "size", F.floor("rate").cast("int").alias("base"), (F.col("rate") - F.floor("rate")).alias("part"), parts.alias("parts")), "rated")
     split = known.filter("size > 0").join(rated, ["sid", "size"]).withColumn("sub", F.floor(common.unit(F.xxhash64(F.lit(seed + 1), "h")) * F.col("parts")).cast("long"))
-    bins = split.groupBy("sid", "size", "sub").agg(F.count("*").alias("n"), F.first("base").alias("base"), F.first("part").alias("part"))
+    bins = split.groupBy("sid", "size", "sub").agg(F.sum("m").alias("n"), F.first("base").alias("base"), F.first("part").alias("part"))
     run = Window.partitionBy("sid").orderBy("size", "sub")  # a row per bin of about RANKED documents or one size
     upto = F.sum(F.col("n") * F.col("part")).over(run.rowsBetween(Window.unboundedPreceding, 0))
     count = lambda x: F.floor(x + 0.5)
@@ -149,11 +159,18 @@ def mix(docs: DataFrame, scratch: common.Scratch, weights=WEIGHTS, share: float
             break
         bins = scratch.keep(bins.join(best, ["sid", "size", "sub"], "left").withColumn("extra", F.col("extra") + F.coalesce("move", F.lit(0))).drop("move"), f"bins{step}")
 
-    rank = F.row_number().over(Window.partitionBy("sid", "size", "sub").orderBy("h", "doc_id", *keys))
-    chosen = split.select("doc_id", *keys, "size", "h", "sid", "sub", "source_size", "target").withColumn("rank", rank).join(bins.select("sid", "size", "sub", "base", "extra"), ["sid", "size", "sub"])
-    copies = F.col("base") + (F.col("rank") <= F.col("extra")).cast("int")
-    empty = known.filter("size = 0").select("doc_id", *keys, "size", "source_size", "target", F.lit(0).alias("copies"))
-    return chosen.select("doc_id", *keys, "size", "source_size", "target", copies.cast("int").alias("copies")).unionByName(empty)
+    order = Window.partitionBy("sid", "size", "sub").orderBy("h", *own).rowsBetween(Window.unboundedPreceding, -1)
+    chosen = split.select(*own, "size", "h", "m", "sid", "sub", "source_size", "target").withColumn("ahead", F.coalesce(F.sum("m").over(order), F.lit(0))).join(bins.select("sid", "size", "sub", "base", "extra"), ["sid", "size", "sub"])
+    more = F.least(F.greatest(F.col("extra") - F.col("ahead"), F.lit(0)), F.col("m")).alias("more")  # of the m equal rows, so many get a copy more
+    result = chosen.select(*own, "size", "source_size", "target", "m", "base", more).unionByName(known.filter("size = 0").select(*own, "size", "source_size", "target", "m", F.lit(0).alias("base"), F.lit(0).cast("long").alias("more")))
+    shown = [*own, "size", "source_size", "target"]
+    if light.filter("m > 1").isEmpty():
+        return result.select(*shown, (F.col("base") + F.col("more")).cast("int").alias("copies"))
+    number = lambda a, b, name: F.explode(F.sequence(a, b)).alias(name)
+    again = result.filter("m > 1").select(*shown, "m", "base", "more", number(F.lit(0).cast("long"), F.floor((F.col("m") - 1) / CHUNK), "chunk")).repartition(*own, "chunk")
+    first = F.col("chunk") * CHUNK
+    again = again.select(*shown, "base", "more", number(first, F.least(first + CHUNK, F.col("m")) - 1, "i")).select(*shown, (F.col("base") + (F.col("i") < F.col("more")).cast("int")).cast("int").alias("copies"))
+    return result.filter("m = 1").select(*shown, (F.col("base") + F.col("more")).cast("int").alias("copies")).unionByName(again)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
