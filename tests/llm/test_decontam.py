@@ -1,5 +1,6 @@
 """Containment search against sets of shingles."""
 
+import math
 import random
 import re
 
@@ -44,11 +45,26 @@ def test_against_sets(spark, corpus):
     assert got == brute(docs, items) and len(got) > 40
 
 
-def test_shuffled_sketches_agree(spark, corpus, monkeypatch):
+def test_shuffled_sketches_agree(spark, corpus):
     items = [(1, "one two three four five six seven eight")]
-    at = corpus([(1, "zero one two three four five six seven eight nine", "s"), (2, "none", "s")], benchmark=spark.createDataFrame(items, SCHEMA))
-    monkeypatch.setattr(decontam, "BROADCAST_BYTES", 0)
-    assert [r.doc_id for r in decontam.op8_decontamination(spark, at).collect()] == [1]
+    at = corpus([(1, "zero one two three four five six seven eight nine", "s"), (2, "none of these words here", "s")], benchmark=spark.createDataFrame(items, SCHEMA))
+    found = decontam.search(*[spark.read.parquet(f"{at}/{t}.parquet") for t in ("documents", "benchmark")], broadcast_bytes=0)
+    assert [r.doc_id for r in found.collect()] == [1]
+
+
+def test_hits_asked_for_are_seldom_missed():
+    for _, sketch in decontam.SIZES:
+        for percent in (50, 80, 100):
+            least = decontam.least_hits(sketch, percent)
+            assert 1 <= least <= sketch and sum(math.comb(sketch, k) * (percent / 100) ** k * (1 - percent / 100) ** (sketch - k) for k in range(least)) <= decontam.MISSED or least == 1
+    assert decontam.least_hits(16, 100) == 16
+
+
+def test_rows_without_ids(spark):
+    docs = spark.createDataFrame([(None, f"text {i} a b c d e f" if i % 2 else f"clean {i}") for i in range(400)] + [(1, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "a b c d e f"), (2, "no such words in it at all")], SCHEMA)
+    assert [tuple(r) for r in decontam.search(docs, items).collect()] == [(None, 1, 2, 2, 1.0)]
+    assert decontam.clean(docs, items).count() == 201
 
 
 def test_clean_and_empty(spark):
