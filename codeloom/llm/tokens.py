@@ -34,6 +34,8 @@ from . import common
 END = 0
 BLOCK = 1 << 16
 SEGMENT = 1 << 20
+#: Bytes of text that one task encodes: PART_BYTES, or more where there would be over MANY tasks, up to LARGE_BYTES.
+PART_BYTES, LARGE_BYTES, MANY = 16 << 20, 512 << 20, 1 << 15
 #: Pieces whose ids a worker remembers, of late and from before; others are encoded anew.
 REMEMBERED = 300_000
 #: The letters, digits and marks for which the splitting below equals the tokenizer's own.
@@ -171,14 +173,18 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, bits: bool = False, segment: int = SEGMENT) -> None:
+def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, bits: bool = False, segment: int = SEGMENT, part_bytes: int = PART_BYTES) -> None:
     """Writes the ids of (doc_id, text), in ascending doc_id order (null first), END after each document.
 
-    Null texts are empty: they have the end id alone. Documents may repeat;
-    columns other than these two are ignored. `tokenizer` is a path that every executor has.
+    Null texts are empty: they have the end id alone. Rows of one doc_id, and
+    those of null ids, are in order of a hash of their text, then of the text,
+    and spread over tasks. Columns other than these two are ignored; an empty
+    table gives no segment. `tokenizer` is a path that every executor has.
     """
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select("doc_id", "text").repartitionByRange(parts, F.col("doc_id").asc()).sortWithinPartitions(F.col("doc_id").asc())
+    total = docs.agg(F.sum(F.octet_length("text") + F.lit(16))).first()[0] or 0
+    parts = max(1, -(-total // min(max(part_bytes, total // MANY), max(part_bytes, LARGE_BYTES))))
+    order = [F.col("doc_id").asc(), F.xxhash64("text").asc()]
+    ordered = docs.select("doc_id", "text").repartitionByRange(parts, *order).sortWithinPartitions(*order, F.col("text").asc())
     ordered.mapInArrow(_writer(tokenizer, bits, segment), SEGMENTS).write.mode("overwrite").option("compression", "none").parquet(path)
 
 

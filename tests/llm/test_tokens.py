@@ -48,3 +48,16 @@ def test_segments_repeats_and_empty(spark, corpus, tmp_path):
     assert sorted((r.start, r.n_tokens) for r in got) == [(0, 2), (2, 3), (5, 3), (8, 1)]
     assert next(r for r in got if r.doc_id is None).start == 0
     assert tokens.op10_token_output(spark, corpus([])).count() == 0
+
+
+def test_ties_and_null_ids_have_one_order(spark, corpus, tmp_path):
+    rows = [(None, f"text {i} " * (i % 5), "s") for i in range(300)] + [(7, f"word{i}", "s") for i in range(50)] + [(7, "word1", "s")] * 3
+    docs = common.read(spark, corpus(rows), "documents")
+    got = [
+        sorted(map(tuple, tokens.token_table(d, str(tmp_path / f"ids{k}"), part_bytes=400).collect()), key=str)
+        for k, d in enumerate((docs.coalesce(1), docs.repartition(9), docs.orderBy("text")))
+    ]
+    assert got[0] == got[1] == got[2] and len(got[0]) == len(rows)
+    ends = sorted((r[1], r[1] + r[2]) for r in got[0])
+    assert ends[0][0] == 0 and all(a[1] == b[0] for a, b in zip(ends, ends[1:]))
+    assert spark.read.parquet(str(tmp_path / "ids0")).select("part").distinct().count() > 5
