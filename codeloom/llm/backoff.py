@@ -1,24 +1,28 @@
 """Stupid-backoff language-model scores, computed as joins with hash-partitioned count tables.
 
 The model is the corpus itself, less the document that is scored: all counts
-are over all other documents. A word w after v scores
-
-    c(v w) / c(v)      where the pair occurs elsewhere,
-    ALPHA * c(w) / N   else, where the word does,
-    ALPHA^2 / N        else,
-
-with v the start mark for a first word. Texts are first written as blocks of
-about BLOCK words: a dictionary of word hashes and the words as places in it.
-A block's distinct n-grams, a row for each partition of the hash range, meet
-those of all other blocks; what is sent there is already counted, so a
-frequent n-gram costs an entry a block. Each partition sums its part of the
-count table, and sends every block the totals of its own n-grams in the order
-they came, which the block puts back to its words and sums by document.
+are over all other documents. With order 3, a word w after u v scores
+
+    c(u v w) / c(u v)    where the three occur elsewhere,
+    ALPHA * S(w | v)     else, with S(w | v) = c(v w) / c(v) where the pair occurs,
+                         and ALPHA * S(w) else, with S(w) = c(w) / N, or ALPHA / N for an unseen word,
+
+and so on for other orders. The start mark stands before a first word; words
+have no more history than that.
+
+Texts are first written as blocks of about BLOCK words: a dictionary of word
+hashes and the words as places in it. For each order, blocks are exploded into
+rows (gram, block, n), one for each distinct n-gram of a block, so a frequent
+n-gram is a row a block, and rows grow as the corpus. These rows, partitioned
+by the n-gram's hash, are summed to the count table of n-grams that several
+blocks have, and joined with it; a block gets its counts back, subtracts what
+each document has itself, and sums by document. N-grams of order 3 and more are
+exploded only where both n-grams in them, one word shorter, occur in other
+documents: all others occur in none.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,13 +37,15 @@ from .neardup import Hashes
 from .tokens import pack, unpack
 
 ALPHA = 0.4
+ORDER = 3
 BLOCK = 1 << 20
-#: Bytes of text for each partition of the count tables.
-PART_BYTES = 12 << 20
+#: Bytes of text for each partition of the count tables, or more where there would be over MANY.
+PART_BYTES, MANY = 8 << 20, 1 << 16
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
 START = np.uint64(xxhash.xxh3_64_intdigest(b" start of text "))
 REMEMBERED = 500_000
-BLOCKS = "block long, n_words long, n_docs long, words binary, data binary"
+#: `totals` has for each order that is counted so far the counts of the block's distinct n-grams, in order of their hashes.
+BLOCKS = "block long, n_words long, n_docs long, words binary, data binary, totals array<binary>"
 
 
 def blocks(docs: DataFrame, size: int) -> DataFrame:
@@ -54,7 +60,10 @@ def blocks(docs: DataFrame, size: int) -> DataFrame:
         def row():
             words, places = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_inverse=True)
             data = pack(places.astype("<u4"), docs, lengths)
-            return pa.RecordBatch.from_pydict({"block": [first + made], "n_words": [total], "n_docs": [len(docs)], "words": pa.array([words.tobytes()], "binary"), "data": pa.array([data], "binary")})
+            return pa.RecordBatch.from_pydict({
+                "block": [first + made], "n_words": [total], "n_docs": [len(docs)], "words": pa.array([words.tobytes()], "binary"),
+                "data": pa.array([data], "binary"), "totals": pa.array([[]], pa.list_(pa.binary())),
+            })
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -74,126 +83,139 @@ def blocks(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, BLOCKS)
 
 
-def pair_hashes(words: np.ndarray, places: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """A hash of each word with the one before it in its document."""
-    current = words[places]
-    before = np.empty_like(current)
-    before[1:] = current[:-1]
-    starts = np.cumsum(lengths) - lengths
-    before[starts[lengths > 0]] = START
-    h = (before * MIX[0]) ^ current
-    h ^= h >> np.uint64(32)
-    h *= MIX[1]
-    return h ^ (h >> np.uint64(29))
+class Block:
+    """The tokens of a block, and what is known of their n-grams."""
 
+    def __init__(self, words: pa.Scalar, data: pa.Scalar, totals: pa.Scalar):
+        self.words = np.frombuffer(words.as_buffer(), "<u8")
+        places, self.ids, lengths = unpack(data.as_py())
+        self.places, self.lengths = places.astype(np.int64), lengths.astype(np.int64)
+        self.doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        self.at = np.arange(len(places)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
+        expand = zstandard.ZstdDecompressor().decompress
+        self.hashes: list[np.ndarray] = []
+        #: For each order, for each token: how often the n-gram that ends there occurs in other documents.
+        self.others: list[np.ndarray] = []
+        for order, raw in enumerate(totals.as_py(), 1):
+            tokens, grams, index, _ = self.grams(order)
+            both = self.doc[tokens] * max(len(grams), 1) + index
+            _, place, own = np.unique(both, return_inverse=True, return_counts=True)
+            other = np.zeros(len(self.places), np.int64)
+            other[tokens] = np.frombuffer(expand(raw), "<i8")[index] - own[place]
+            self.others.append(other)
+
+    def hash(self, order: int) -> np.ndarray:
+        """A hash of the n-gram that ends at each token; START stands before a first word."""
+        while len(self.hashes) < order:
+            current = self.words[self.places]
+            if self.hashes:
+                before = np.empty_like(current)
+                before[1:] = self.hashes[-1][:-1]
+                before[self.at == 0] = START
+                h = (before * MIX[0]) ^ current
+                h ^= h >> np.uint64(32)
+                h *= MIX[1]
+                current = h ^ (h >> np.uint64(29))
+            self.hashes.append(current)
+        return self.hashes[order - 1]
+
+    def grams(self, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens whose n-gram could occur elsewhere, the sorted distinct hashes of these, each token's place among them, and their numbers."""
+        tokens = np.arange(len(self.places))
+        if order == 1:
+            return tokens, self.words, self.places, np.bincount(self.places, minlength=len(self.words))
+        if order > 2:
+            shorter = self.others[order - 2]
+            some = (self.at >= order - 2) & (shorter > 0)
+            some[1:] &= shorter[:-1] > 0
+            tokens = tokens[some]
+        grams, index, number = np.unique(self.hash(order)[tokens], return_inverse=True, return_counts=True)
+        return tokens, grams, index, number
+
+    def scores(self, n_words: int, n_docs: int) -> np.ndarray:
+        """The sum of log scores of each document."""
+        rest = np.maximum(n_words - self.lengths[self.doc], 1).astype(float)
+        score = np.where(self.others[0] > 0, self.others[0], ALPHA) / rest
+        for order, other in enumerate(self.others[1:], 2):
+            context = np.ones(len(other), np.int64)
+            context[1:] = self.others[order - 2][:-1]
+            if order == 2:
+                context[self.at == 0] = n_docs - 1
+            score = np.where(other > 0, other / np.maximum(context, 1), np.where(self.at >= order - 2, ALPHA, 1.0) * score)
+        return np.bincount(self.doc, np.log(score), len(self.lengths))
+
+
+def exploded(table: DataFrame, orders: tuple[int, ...]) -> DataFrame:
+    """(gram, block, n): the distinct n-grams of each block."""
 
-def cuts(hashed: np.ndarray, parts: int) -> list[int]:
-    """Where each of `parts` equal ranges of hashes begins in a sorted array, and its end."""
-    edges = [-(-(k << 64) // parts) for k in range(1, parts)]
-    return [0, *np.searchsorted(hashed, np.array(edges, np.uint64)).tolist(), len(hashed)]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, *columns in zip(*(batch.column(k) for k in ("block", "words", "data", "totals"))):
+                block = Block(*columns)
+                for order in orders:
+                    _, grams, _, number = block.grams(order)
+                    yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(np.full(len(grams), name.as_py())), pa.array(number.astype(np.int64))], ["gram", "block", "n"])
 
+    return table.select("block", "words", "data", "totals").mapInArrow(run, "gram long, block long, n long")
 
-def open_bytes(parts: int) -> int:
-    """The low bytes of a hash that its part leaves open: hashes of one of `parts` ranges differ in them."""
-    return 8 if parts < 1 << 8 else 7 if parts < 1 << 16 else 6
 
+def counted(grams: DataFrame, parts: int) -> DataFrame:
+    """(block, gram, total): the rows of `grams` whose n-gram another block has too, with its count in the corpus."""
+    dealt = grams.repartition(parts, "gram")
+    table = dealt.groupBy("gram").agg(F.sum("n").alias("total"), F.count("*").alias("blocks")).filter("blocks > 1").select("gram", "total")
+    return dealt.select("block", "gram").join(table.hint("shuffle_hash"), "gram")
 
-def counted(table: DataFrame, parts: int) -> DataFrame:
-    """(kind, part, block, grams, counts) of each block, kind and range of hashes: kind 1 are words, 2 pairs."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=1).compress
-        for batch in batches:
-            for block, words, data in zip(*(batch.column(k) for k in ("block", "words", "data"))):
-                words = np.frombuffer(words.as_buffer(), "<u8")
-                places, _, lengths = unpack(data.as_py())
-                pairs, number = np.unique(pair_hashes(words, places, lengths.astype(np.int64)), return_counts=True)
-                for kind, grams, counts in ((1, words, np.bincount(places, minlength=len(words))), (2, pairs, number)):
-                    counts, at = counts.astype("<u4"), cuts(grams, parts)
-                    low = np.ascontiguousarray(grams, "<u8").view("u1").reshape(-1, 8)[:, : open_bytes(parts)]
-                    some = [k for k in range(parts) if at[k] < at[k + 1]]
-                    yield pa.RecordBatch.from_pydict({
-                        "kind": pa.array([kind] * len(some), "int32"), "part": pa.array(some, "int32"), "block": pa.array([block.as_py()] * len(some), "int64"),
-                        "grams": pa.array([low[at[k] : at[k + 1]].tobytes() for k in some], "binary"), "counts": pa.array([squeeze(counts[at[k] : at[k + 1]].tobytes()) for k in some], "binary"),
-                    })
-
-    return table.select("block", "words", "data").mapInArrow(run, "kind int, part int, block long, grams binary, counts binary")
-
-
-def totals(grams: DataFrame, parts: int) -> DataFrame:
-    """(kind, part, block, totals): the rows of `counted` for `parts`, with sums over all blocks in the order of each row's grams."""
-
-    width = open_bytes(parts)
-
-    def run(table: pa.Table) -> pa.Table:
-        squeeze, expand = zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
-        raw = [x.as_py() for x in table.column("grams")]
-        wide = np.zeros((sum(map(len, raw)) // width, 8), "u1")
-        wide[:, :width] = np.frombuffer(b"".join(raw), "u1").reshape(-1, width)
-        _, place = np.unique(wide.view("<u8").ravel(), return_inverse=True)
-        number = np.frombuffer(b"".join(expand(x.as_py()) for x in table.column("counts")), "<u4")
-        sums = np.bincount(place, number).astype("<u8")
-        ends = np.cumsum([len(x) // width for x in raw]).tolist()
-        out = [squeeze(sums[place[a:b]].tobytes()) for a, b in zip([0, *ends], ends)]
-        return pa.table({"kind": table.column("kind"), "part": table.column("part"), "block": table.column("block"), "totals": pa.array(out, pa.binary())})
-
-    return grams.groupBy("kind", "part").applyInArrow(run, "kind int, part int, block long, totals binary")
-
-
-def own_counts(docs: np.ndarray, grams: np.ndarray, n: int) -> np.ndarray:
-    """For each word, how often its gram occurs in its own document."""
-    _, place, number = np.unique(docs * n + grams, return_inverse=True, return_counts=True)
-    return number[place]
-
-
-def block_scores(words: np.ndarray, places: np.ndarray, lengths: np.ndarray, c1: np.ndarray, c2: np.ndarray, n_words: int, n_docs: int) -> np.ndarray:
-    """The sum of log scores of each document of a block, from the totals of its words and pairs."""
-    lengths = lengths.astype(np.int64)
-    doc = np.repeat(np.arange(len(lengths)), lengths)
-    _, pair = np.unique(pair_hashes(words, places, lengths), return_inverse=True)
-    places = places.astype(np.int64)
-    word = c1[places].astype(np.int64) - own_counts(doc, places, max(len(c1), 1))
-    both = c2[pair].astype(np.int64) - own_counts(doc, pair, max(len(c2), 1))
-    before = np.empty_like(word)
-    before[1:] = word[:-1]
-    starts = np.cumsum(lengths) - lengths
-    before[starts[lengths > 0]] = n_docs - 1
-    rest = np.maximum(n_words - lengths[doc], 1).astype(float)
-    score = np.where(both > 0, both / np.maximum(before, 1), np.where(word > 0, ALPHA * word / rest, ALPHA**2 / rest))
-    return np.bincount(doc, np.log(score), len(lengths))
-
-
-def scores(docs: DataFrame, scratch: common.Scratch, block: int = BLOCK, part_bytes: int = PART_BYTES) -> DataFrame:
+def scores(docs: DataFrame, scratch: common.Scratch, order: int = ORDER, block: int = BLOCK, part_bytes: int = PART_BYTES) -> DataFrame:
     """(doc_id, n_words, log_score, per_word) for each row of (doc_id, text).
 
     Words are as in the near-duplicate operator: split at ASCII white space,
     A-Z lower-cased. Texts without words, null ones too, score 0 with a null
-    `per_word`. Rows that repeat are documents of their own. Other columns are
-    ignored.
+    `per_word`. Rows that repeat, or have no id, are documents of their own,
+    and a very long text is a block of its own. An empty table gives an empty
+    result. Other columns are ignored.
     """
     table = scratch.keep(blocks(docs, block), "blocks")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, math.ceil(size / part_bytes))
+    parts = max(1, min(-(-size // part_bytes), MANY))
     n_words, n_docs = table.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("n_docs"), F.lit(0))).first()
-    sums = scratch.keep(totals(counted(table, parts), parts), "totals")
-    mine = sums.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("kind", "part", "totals"))).alias("totals"))  # one block's own
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        expand = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
-            for words, data, got in zip(*(batch.column(k) for k in ("words", "data", "totals"))):
-                words = np.frombuffer(words.as_buffer(), "<u8")
-                places, ids, lengths = unpack(data.as_py())
-                got = got.as_py() or []
-                c1, c2 = (np.frombuffer(b"".join(expand(x["totals"]) for x in got if x["kind"] == kind), "<u8") for kind in (1, 2))
-                logs = block_scores(words, places, lengths, c1, c2, n_words, n_docs)
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, "int64"), "n_words": pa.array(lengths.astype(np.int64)), "log_score": pa.array(logs)})
-
-    scored = table.join(mine, "block", "left").select("words", "data", "totals").mapInArrow(run, "doc_id long, n_words long, log_score double")
+    steps = [tuple(range(1, min(order, 2) + 1)), *((k,) for k in range(3, order + 1))]
+    for step, orders in enumerate(steps):
+
+        def take(found: pa.Table, own: pa.Table, orders=orders) -> tuple[Block, pa.Array]:
+            """The block, and its counts with those of `orders`: the counts found, and else the block's own."""
+            squeeze = zstandard.ZstdCompressor(level=1).compress
+            words, data, totals = (own.column(k)[0] for k in ("words", "data", "totals"))
+            block, all_ = Block(words, data, totals), totals.as_py()
+            hashed, sums = found.column("gram").to_numpy().view(np.uint64), found.column("total").to_numpy()
+            for k in orders:
+                _, grams, _, number = block.grams(k)
+                number = number.astype("<i8")
+                if len(grams):
+                    at = np.minimum(np.searchsorted(grams, hashed), len(grams) - 1)
+                    here = grams[at] == hashed
+                    number[at[here]] = sums[here]
+                all_.append(squeeze(number.tobytes()))
+            return block, pa.array([all_], pa.list_(pa.binary()))
+
+        def extend(found: pa.Table, own: pa.Table) -> pa.Table:
+            return own.set_column(own.schema.get_field_index("totals"), "totals", take(found, own)[1])
+
+        def score(found: pa.Table, own: pa.Table) -> pa.Table:
+            _, totals = take(found, own)
+            block = Block(own.column("words")[0], own.column("data")[0], totals[0])
+            return pa.table({"doc_id": pa.array(block.ids, "int64"), "n_words": pa.array(block.lengths), "log_score": pa.array(block.scores(n_words, n_docs))})
+
+        found = counted(exploded(table, orders), parts)
+        both = found.groupBy("block").cogroup(table.groupBy("block"))  # a block's own n-grams
+        if step + 1 < len(steps):
+            table = scratch.keep(both.applyInArrow(extend, BLOCKS), f"blocks{step}")
+            scratch.drop("blocks" if step == 0 else f"blocks{step - 1}")
+    scored = both.applyInArrow(score, "doc_id long, n_words long, log_score double")
     return scored.withColumn("per_word", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
 
 
 def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of all documents under the counts of all others."""
+    """Scores of all documents under the counts of all others, by n-grams of up to three words."""
     found = scores(common.read(spark, sf_dir, "documents"), common.Scratch(spark, "op5"))
     return found.select("doc_id", "n_words", F.round("log_score", 6).alias("log_score"), F.round("per_word", 6).alias("per_word"))

@@ -9,14 +9,20 @@ _WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCD
 OP5 = f"""
 with d as (select row_number() over () as r, doc_id, {_WORDS} as w from documents),
 t as (select r, unnest(range(1, len(w) + 1)) as i, w from d),
-k as (select r, i, case when i = 1 then chr(0) else w[i - 1] end as v, w[i] as x from t),
+k as (select r, case when i = 1 then null when i = 2 then chr(0) else w[i - 2] end as u, case when i = 1 then chr(0) else w[i - 1] end as v, w[i] as x from t),
 n as (select count(*) as words, (select count(*) from d) as docs from k),
-c1 as (select x as g, count(*) as c from k group by 1), o1 as (select r, x as g, count(*) as o from k group by 1, 2),
-c2 as (select v, x, count(*) as c from k group by 1, 2), o2 as (select r, v, x, count(*) as o from k group by 1, 2, 3),
+o3 as (select r, u, v, x, count(*) as o from k group by 1, 2, 3, 4), c3 as (select u, v, x, sum(o) as c from o3 where u is not null group by 1, 2, 3),
+o2 as (select r, v, x, sum(o) as o from o3 group by 1, 2, 3), c2 as (select v, x, sum(o) as c from o2 group by 1, 2),
+o1 as (select r, x as g, sum(o) as o from o2 group by 1, 2), c1 as (select g, sum(o) as c from o1 group by 1),
 s as (
-  select o2.r, o2.o as times, c2.c - o2.o as pair, case when o2.v = chr(0) then n.docs - 1 else cv.c - ov.o end as before, cx.c - ox.o as word, greatest(n.words - len(d.w), 1) as rest
-  from o2 join c2 using (v, x) join d on d.r = o2.r cross join n left join c1 cv on cv.g = o2.v left join o1 ov on ov.r = o2.r and ov.g = o2.v join c1 cx on cx.g = o2.x join o1 ox on ox.r = o2.r and ox.g = o2.x),
-l as (select r, sum(times * ln(case when pair > 0 then pair / before when word > 0 then 0.4 * word / rest else 0.16 / rest end)) as score from s group by 1)
+  select o3.r, o3.o as times, o3.u, coalesce(c3.c - o3.o, 0) as three, cu.c - ou.o as two_before, c2.c - o2.o as pair,
+    case when o3.v = chr(0) then n.docs - 1 else cv.c - ov.o end as before, cx.c - ox.o as word, greatest(n.words - len(d.w), 1) as rest
+  from o3 join o2 on o2.r = o3.r and o2.v = o3.v and o2.x = o3.x join c2 on c2.v = o3.v and c2.x = o3.x join d on d.r = o3.r cross join n
+  left join c3 on c3.u = o3.u and c3.v = o3.v and c3.x = o3.x
+  left join c2 cu on cu.v = o3.u and cu.x = o3.v left join o2 ou on ou.r = o3.r and ou.v = o3.u and ou.x = o3.v
+  left join c1 cv on cv.g = o3.v left join o1 ov on ov.r = o3.r and ov.g = o3.v join c1 cx on cx.g = o3.x join o1 ox on ox.r = o3.r and ox.g = o3.x),
+p as (select *, case when pair > 0 then pair / before when word > 0 then 0.4 * word / rest else 0.16 / rest end as shorter from s),
+l as (select r, sum(times * ln(case when three > 0 then three / two_before when u is null then shorter else 0.4 * shorter end)) as score from p group by 1)
 select d.doc_id, cast(len(d.w) as bigint) as n_words, round(coalesce(score, 0), 6) as log_score, round(score / nullif(len(d.w), 0), 6) as per_word from d left join l using (r)
 """
 
