@@ -11,14 +11,15 @@ and so on for other orders. The start mark stands before a first word; words
 have no more history than that.
 
 Texts are first written as blocks of about BLOCK words: a dictionary of word
-hashes and the words as places in it. For each order, blocks are exploded into
-rows (gram, block, n), one for each distinct n-gram of a block, so a frequent
-n-gram is a row a block, and rows grow as the corpus. These rows, partitioned
-by the n-gram's hash, are summed to the count table of n-grams that several
-blocks have, and joined with it; a block gets its counts back, subtracts what
-each document has itself, and sums by document. N-grams of order 3 and more are
-exploded only where both n-grams in them, one word shorter, occur in other
-documents: all others occur in none.
+hashes and the words as places in it. Blocks are exploded into rows (gram,
+block, n), one for each distinct n-gram of a block, so a frequent n-gram is a
+row a block, and rows grow as the corpus. These rows, partitioned by the
+n-gram's hash, are summed to the count table of n-grams that several blocks
+have, and joined with it; a block gets its counts back, subtracts what each
+document has itself, and sums by document. This is done for RANGES ranges of
+the hashes one after the other, which bounds what is on disk at a time.
+N-grams of order 3 and more are exploded only where both n-grams in them, one
+word shorter, occur in other documents: all others occur in none.
 """
 
 from __future__ import annotations
@@ -41,15 +42,19 @@ ORDER = 3
 BLOCK = 1 << 20
 #: Bytes of text for each partition of the count tables, or more where there would be over MANY.
 PART_BYTES, MANY = 8 << 20, 1 << 16
+#: Ranges of hashes, for orders 1 and 2 and for each higher order.
+RANGES, MORE_RANGES = 3, 2
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
 START = np.uint64(xxhash.xxh3_64_intdigest(b" start of text "))
 REMEMBERED = 500_000
-#: `totals` has for each order that is counted so far the counts of the block's distinct n-grams, in order of their hashes.
-BLOCKS = "block long, n_words long, n_docs long, words binary, data binary, totals array<binary>"
+BLOCKS = "block long, n_words long, n_docs long, words binary, data binary"
+#: What is counted of a block: totals of its distinct n-grams by order and range, in order of their hashes; or, with range -1, a
+#: bit for each token, whether the n-gram that ends there occurs in other documents.
+TOTALS = "block long, order int, range int, totals binary"
 
 
 def blocks(docs: DataFrame, size: int) -> DataFrame:
-    """The texts of (doc_id, text) as rows of BLOCKS: sorted distinct word hashes, and the documents' words as places there."""
+    """The texts of (doc_id, text) as rows of BLOCKS: distinct word hashes, frequent ones first, and the documents' words as places there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -58,12 +63,12 @@ def blocks(docs: DataFrame, size: int) -> DataFrame:
         docs, lengths, held, total = [], [], [], 0
 
         def row():
-            words, places = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_inverse=True)
-            data = pack(places.astype("<u4"), docs, lengths)
-            return pa.RecordBatch.from_pydict({
-                "block": [first + made], "n_words": [total], "n_docs": [len(docs)], "words": pa.array([words.tobytes()], "binary"),
-                "data": pa.array([data], "binary"), "totals": pa.array([[]], pa.list_(pa.binary())),
-            })
+            words, places, number = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_inverse=True, return_counts=True)
+            by = np.argsort(-number, kind="stable")
+            rank = np.empty(len(by), "<u4")
+            rank[by] = np.arange(len(by))
+            data = pack(rank[places], docs, lengths)
+            return pa.RecordBatch.from_pydict({"block": [first + made], "n_words": [total], "n_docs": [len(docs)], "words": pa.array([words[by].tobytes()], "binary"), "data": pa.array([data], "binary")})
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -86,23 +91,14 @@ def blocks(docs: DataFrame, size: int) -> DataFrame:
 class Block:
     """The tokens of a block, and what is known of their n-grams."""
 
-    def __init__(self, words: pa.Scalar, data: pa.Scalar, totals: pa.Scalar):
+    def __init__(self, words: pa.Scalar, data: pa.Scalar, known: pa.Scalar | None):
         self.words = np.frombuffer(words.as_buffer(), "<u8")
         places, self.ids, lengths = unpack(data.as_py())
         self.places, self.lengths = places.astype(np.int64), lengths.astype(np.int64)
         self.doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
         self.at = np.arange(len(places)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
-        expand = zstandard.ZstdDecompressor().decompress
         self.hashes: list[np.ndarray] = []
-        #: For each order, for each token: how often the n-gram that ends there occurs in other documents.
-        self.others: list[np.ndarray] = []
-        for order, raw in enumerate(totals.as_py(), 1):
-            tokens, grams, index, _ = self.grams(order)
-            both = self.doc[tokens] * max(len(grams), 1) + index
-            _, place, own = np.unique(both, return_inverse=True, return_counts=True)
-            other = np.zeros(len(self.places), np.int64)
-            other[tokens] = np.frombuffer(expand(raw), "<i8")[index] - own[place]
-            self.others.append(other)
+        self.known = {} if known is None or not known.is_valid else {(x["order"], x["range"]): x["totals"] for x in known.as_py()}
 
     def hash(self, order: int) -> np.ndarray:
         """A hash of the n-gram that ends at each token; START stands before a first word."""
@@ -119,51 +115,103 @@ class Block:
             self.hashes.append(current)
         return self.hashes[order - 1]
 
-    def grams(self, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Tokens whose n-gram could occur elsewhere, the sorted distinct hashes of these, each token's place among them, and their numbers."""
-        tokens = np.arange(len(self.places))
+    def tokens(self, order: int) -> np.ndarray:
+        """Where n-grams end that could occur in other documents."""
+        if order < 3:
+            return np.arange(len(self.places))
+        shorter = np.unpackbits(np.frombuffer(self.known[order - 1, -1], np.uint8), count=len(self.places)).astype(bool)
+        some = (self.at >= order - 2) & shorter
+        some[1:] &= shorter[:-1]
+        return np.flatnonzero(some)
+
+    def grams(self, order: int, part: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+        """The sorted distinct hashes of such n-grams, of one of `parts` ranges, and their numbers."""
+        h = self.words if order == 1 else self.hash(order)[self.tokens(order)]
+        low, high = (-(-(k << 64) // parts) for k in (part, part + 1))
+        some = h >= np.uint64(low)
+        if high < 1 << 64:
+            some &= h < np.uint64(high)
+        if order > 1:
+            return np.unique(h[some], return_counts=True)
+        here = np.flatnonzero(some)
+        here = here[np.argsort(h[here])]
+        return h[here], np.bincount(self.places, minlength=len(h))[here]
+
+    def others(self, order: int) -> np.ndarray:
+        """For each token: how often the n-gram that ends there occurs in other documents."""
+        tokens = self.tokens(order)
+        expand = zstandard.ZstdDecompressor().decompress
+        totals = np.frombuffer(b"".join(expand(self.known[k]) for k in sorted(self.known) if k[0] == order and k[1] >= 0), "<i8")
         if order == 1:
-            return tokens, self.words, self.places, np.bincount(self.places, minlength=len(self.words))
-        if order > 2:
-            shorter = self.others[order - 2]
-            some = (self.at >= order - 2) & (shorter > 0)
-            some[1:] &= shorter[:-1] > 0
-            tokens = tokens[some]
-        grams, index, number = np.unique(self.hash(order)[tokens], return_inverse=True, return_counts=True)
-        return tokens, grams, index, number
-
-    def scores(self, n_words: int, n_docs: int) -> np.ndarray:
+            by = np.argsort(self.words)
+            rank = np.empty(len(by), np.int64)
+            rank[by] = np.arange(len(by))
+            index = rank[self.places]
+        else:
+            index = np.unique(self.hash(order)[tokens], return_inverse=True)[1]
+        _, place, own = np.unique(self.doc[tokens] * max(len(totals), 1) + index, return_inverse=True, return_counts=True)
+        other = np.zeros(len(self.places), np.int64)
+        other[tokens] = totals[index] - own[place]
+        return other
+
+    def scores(self, orders: int, n_words: int, n_docs: int) -> np.ndarray:
         """The sum of log scores of each document."""
         rest = np.maximum(n_words - self.lengths[self.doc], 1).astype(float)
-        score = np.where(self.others[0] > 0, self.others[0], ALPHA) / rest
-        for order, other in enumerate(self.others[1:], 2):
+        shorter = self.others(1)
+        score = np.where(shorter > 0, shorter, ALPHA) / rest
+        for order in range(2, orders + 1):
+            other = self.others(order)
             context = np.ones(len(other), np.int64)
-            context[1:] = self.others[order - 2][:-1]
+            context[1:] = shorter[:-1]
             if order == 2:
                 context[self.at == 0] = n_docs - 1
             score = np.where(other > 0, other / np.maximum(context, 1), np.where(self.at >= order - 2, ALPHA, 1.0) * score)
+            shorter = other
         return np.bincount(self.doc, np.log(score), len(self.lengths))
 
 
-def exploded(table: DataFrame, orders: tuple[int, ...]) -> DataFrame:
-    """(gram, block, n): the distinct n-grams of each block."""
+def each_block(table: DataFrame, make, schema: str) -> DataFrame:
+    """Batches of make(block, its name) for the rows (block, words, data, known) of `table`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, *columns in zip(*(batch.column(k) for k in ("block", "words", "data", "totals"))):
-                block = Block(*columns)
-                for order in orders:
-                    _, grams, _, number = block.grams(order)
-                    yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(np.full(len(grams), name.as_py())), pa.array(number.astype(np.int64))], ["gram", "block", "n"])
+            for name, words, data, known in zip(*(batch.column(k) for k in range(4))):
+                yield from make(Block(words, data, known), name.as_py())
+
+    return table.select("block", "words", "data", "known").mapInArrow(run, schema)
+
+
+def exploded(table: DataFrame, orders: tuple[int, ...], part: int, parts: int) -> DataFrame:
+    """(gram, block, n): the distinct n-grams of each block in a range of hashes."""
+
+    def make(block: Block, name: int) -> Iterator[pa.RecordBatch]:
+        for order in orders:
+            grams, number = block.grams(order, part, parts)
+            yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(np.full(len(grams), name)), pa.array(number.astype(np.int64))], ["gram", "block", "n"])
+
+    return each_block(table, make, "gram long, block long, n long")
+
 
-    return table.select("block", "words", "data", "totals").mapInArrow(run, "gram long, block long, n long")
+def totals(found: DataFrame, table: DataFrame, orders: tuple[int, ...], part: int, parts: int) -> DataFrame:
+    """TOTALS of a range: those of (block, gram, total), and else the block's own numbers."""
 
+    def take(found: pa.Table, own: pa.Table) -> pa.Table:
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        block = Block(*(own.column(k)[0] for k in ("words", "data", "known")))
+        hashed, sums, out = found.column("gram").to_numpy().view(np.uint64), found.column("total").to_numpy(), []
+        for k in orders:
+            grams, number = block.grams(k, part, parts)
+            number = number.astype("<i8")
+            if len(grams):
+                at = np.minimum(np.searchsorted(grams, hashed), len(grams) - 1)
+                here = grams[at] == hashed
+                number[at[here]] = sums[here]
+            out.append(squeeze(number.tobytes()))
+        n = len(orders)
+        return pa.table({"block": pa.array([own.column("block")[0].as_py()] * n, "int64"), "order": pa.array(orders, "int32"), "range": pa.array([part] * n, "int32"), "totals": pa.array(out, "binary")})
 
-def counted(grams: DataFrame, parts: int) -> DataFrame:
-    """(block, gram, total): the rows of `grams` whose n-gram another block has too, with its count in the corpus."""
-    dealt = grams.repartition(parts, "gram")
-    table = dealt.groupBy("gram").agg(F.sum("n").alias("total"), F.count("*").alias("blocks")).filter("blocks > 1").select("gram", "total")
-    return dealt.select("block", "gram").join(table.hint("shuffle_hash"), "gram")
+    own = table.select("block", "words", "data", "known")
+    return found.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(take, TOTALS)  # a block's own n-grams
 
 
 def scores(docs: DataFrame, scratch: common.Scratch, order: int = ORDER, block: int = BLOCK, part_bytes: int = PART_BYTES) -> DataFrame:
@@ -175,43 +223,43 @@ def scores(docs: DataFrame, scratch: common.Scratch, order: int = ORDER, block:
     and a very long text is a block of its own. An empty table gives an empty
     result. Other columns are ignored.
     """
-    table = scratch.keep(blocks(docs, block), "blocks")
+    bare = scratch.keep(blocks(docs, block), "blocks")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, min(-(-size // part_bytes), MANY))
-    n_words, n_docs = table.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("n_docs"), F.lit(0))).first()
-    steps = [tuple(range(1, min(order, 2) + 1)), *((k,) for k in range(3, order + 1))]
-    for step, orders in enumerate(steps):
-
-        def take(found: pa.Table, own: pa.Table, orders=orders) -> tuple[Block, pa.Array]:
-            """The block, and its counts with those of `orders`: the counts found, and else the block's own."""
-            squeeze = zstandard.ZstdCompressor(level=1).compress
-            words, data, totals = (own.column(k)[0] for k in ("words", "data", "totals"))
-            block, all_ = Block(words, data, totals), totals.as_py()
-            hashed, sums = found.column("gram").to_numpy().view(np.uint64), found.column("total").to_numpy()
-            for k in orders:
-                _, grams, _, number = block.grams(k)
-                number = number.astype("<i8")
-                if len(grams):
-                    at = np.minimum(np.searchsorted(grams, hashed), len(grams) - 1)
-                    here = grams[at] == hashed
-                    number[at[here]] = sums[here]
-                all_.append(squeeze(number.tobytes()))
-            return block, pa.array([all_], pa.list_(pa.binary()))
-
-        def extend(found: pa.Table, own: pa.Table) -> pa.Table:
-            return own.set_column(own.schema.get_field_index("totals"), "totals", take(found, own)[1])
-
-        def score(found: pa.Table, own: pa.Table) -> pa.Table:
-            _, totals = take(found, own)
-            block = Block(own.column("words")[0], own.column("data")[0], totals[0])
-            return pa.table({"doc_id": pa.array(block.ids, "int64"), "n_words": pa.array(block.lengths), "log_score": pa.array(block.scores(n_words, n_docs))})
-
-        found = counted(exploded(table, orders), parts)
-        both = found.groupBy("block").cogroup(table.groupBy("block"))  # a block's own n-grams
-        if step + 1 < len(steps):
-            table = scratch.keep(both.applyInArrow(extend, BLOCKS), f"blocks{step}")
-            scratch.drop("blocks" if step == 0 else f"blocks{step - 1}")
-    scored = both.applyInArrow(score, "doc_id long, n_words long, log_score double")
+    n_words, n_docs = bare.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("n_docs"), F.lit(0))).first()
+
+    def known(rows: DataFrame | None) -> DataFrame:
+        """Blocks with what is counted of them, a few rows each."""
+        if rows is None:
+            return bare.withColumn("known", F.lit(None).cast("array<struct<order:int,range:int,totals:binary>>"))
+        return bare.join(rows.groupBy("block").agg(F.collect_list(F.struct("order", "range", "totals")).alias("known")), "block", "left")
+
+    rows, table = None, known(None)
+    for orders in [tuple(range(1, min(order, 2) + 1)), *((k,) for k in range(3, order + 1))]:
+        ranges = RANGES if orders[0] == 1 else MORE_RANGES
+        masks = rows.filter("range < 0") if rows is not None else None
+        table = known(masks)
+        for part in range(ranges):
+            name = f"{orders[-1]}-{part}"
+            grams = exploded(table, orders, part, ranges)
+            counts = grams.groupBy("gram").agg(F.sum("n").alias("total"), F.count("*").alias("blocks")).filter("blocks > 1").select("gram", "total")
+            counts = scratch.keep(counts, f"counts-{name}")
+            found = grams.select("block", "gram").repartition(parts, "gram").join(counts.hint("shuffle_hash"), "gram")
+            got = scratch.keep(totals(found, table, orders, part, ranges), f"totals-{name}")
+            scratch.drop(f"counts-{name}")
+            rows = got if rows is None else rows.unionByName(got)
+        if orders[-1] >= 2 and orders[-1] < order:
+
+            def mask(block: Block, name: int, last=orders[-1]) -> Iterator[pa.RecordBatch]:
+                bits = np.packbits(block.others(last) > 0).tobytes()
+                yield pa.RecordBatch.from_pydict({"block": [name], "order": pa.array([last], "int32"), "range": pa.array([-1], "int32"), "totals": pa.array([bits], "binary")})
+
+            rows = rows.unionByName(scratch.keep(each_block(known(rows), mask, TOTALS), f"mask-{orders[-1]}"))
+
+    def score(block: Block, name: int) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_pydict({"doc_id": pa.array(block.ids, "int64"), "n_words": pa.array(block.lengths), "log_score": pa.array(block.scores(order, n_words, n_docs))})
+
+    scored = each_block(known(rows), score, "doc_id long, n_words long, log_score double")
     return scored.withColumn("per_word", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: A word: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Spark's setting that removes a query's shuffle files as soon as it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,8 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Tables written to the shared folder, so that a lost executor costs no more than its own tasks.
 
-    `keep` writes a DataFrame and reads it back, which also cuts its lineage.
-    `drop` deletes tables that no later step reads.
+    `keep` writes a DataFrame and reads it back, which also cuts its lineage;
+    the shuffle files of that write are removed with its end. `drop` deletes tables that no later step reads.
     """
 
     def __init__(self, spark: SparkSession, owner: str):
@@ -41,7 +43,12 @@ class Scratch:
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.at}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
