@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .neardup import Hashes
+from .repeats import Powers, word_hashes
 from .tokens import pack, unpack
 
 ALPHA = 0.4
@@ -46,7 +46,6 @@ PART_BYTES, MANY = 8 << 20, 1 << 16
 RANGES, MORE_RANGES = 3, 2
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
 START = np.uint64(xxhash.xxh3_64_intdigest(b" start of text "))
-REMEMBERED = 500_000
 BLOCKS = "block long, n_words long, n_docs long, words binary, data binary"
 #: What is counted of a block: totals of its distinct n-grams by order and range, in order of their hashes; or, with range -1, a
 #: bit for each token, whether the n-gram that ends there occurs in other documents.
@@ -59,7 +58,7 @@ def blocks(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        known, first, made = Hashes(), TaskContext.get().partitionId() << 32, 0
+        powers, first, made = Powers(), TaskContext.get().partitionId() << 32, 0
         docs, lengths, held, total = [], [], [], 0
 
         def row():
@@ -72,10 +71,9 @@ def blocks(docs: DataFrame, size: int) -> DataFrame:
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if len(known) > REMEMBERED:
-                    known.clear()
-                words = (text.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
-                held.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
+                raw = (text.as_py() or "").encode("utf-8", "surrogatepass").lower()  # bytes: A-Z only
+                words = word_hashes(np.frombuffer(raw, np.uint8), powers)
+                held.append(words)
                 docs.append(doc)
                 lengths.append(len(words))
                 total += len(words)
@@ -181,31 +179,44 @@ def each_block(table: DataFrame, make, schema: str) -> DataFrame:
     return table.select("block", "words", "data", "known").mapInArrow(run, schema)
 
 
-def exploded(table: DataFrame, orders: tuple[int, ...], part: int, parts: int) -> DataFrame:
-    """(gram, block, n): the distinct n-grams of each block in a range of hashes."""
+def grams_of(table: DataFrame, orders: tuple[int, ...], part: int, parts: int) -> DataFrame:
+    """(block, grams, numbers): the distinct n-grams of each block in a range of hashes, a row for each order."""
 
     def make(block: Block, name: int) -> Iterator[pa.RecordBatch]:
         for order in orders:
             grams, number = block.grams(order, part, parts)
-            yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(np.full(len(grams), name)), pa.array(number.astype(np.int64))], ["gram", "block", "n"])
+            yield pa.RecordBatch.from_pydict({"block": [name], "grams": pa.array([grams.view(np.int64)], pa.list_(pa.int64())), "numbers": pa.array([number], pa.list_(pa.int32()))})
 
-    return each_block(table, make, "gram long, block long, n long")
+    return each_block(table, make, "block long, grams array<long>, numbers array<int>")
+
+
+def counted(grams: DataFrame, parts: int) -> DataFrame:
+    """(block, gram, more): n-grams of each block that another block has too, with their numbers in all others.
+
+    The n-grams are exploded and dealt by hash once, and both summed to a count
+    table and joined with it, partition by partition. Both sides read the same
+    columns, so that they share one exchange.
+    """
+    each = grams.select("block", "numbers", F.posexplode("grams").alias("at", "gram")).select("gram", "block", F.get("numbers", F.col("at")).alias("n"))
+    dealt = each.repartition(parts, "gram")
+    table = dealt.groupBy("gram").agg(F.sum("n").alias("total"), F.min("block").alias("first"), F.max("block").alias("last")).filter("first < last").select("gram", "total")
+    return dealt.join(table.hint("shuffle_hash"), "gram").select("block", "gram", (F.col("total") - F.col("n")).alias("more"))
 
 
 def totals(found: DataFrame, table: DataFrame, orders: tuple[int, ...], part: int, parts: int) -> DataFrame:
-    """TOTALS of a range: those of (block, gram, total), and else the block's own numbers."""
+    """TOTALS of a range: the block's own numbers, with those of (block, gram, more) added."""
 
     def take(found: pa.Table, own: pa.Table) -> pa.Table:
         squeeze = zstandard.ZstdCompressor(level=1).compress
         block = Block(*(own.column(k)[0] for k in ("words", "data", "known")))
-        hashed, sums, out = found.column("gram").to_numpy().view(np.uint64), found.column("total").to_numpy(), []
+        hashed, more, out = found.column("gram").to_numpy().view(np.uint64), found.column("more").to_numpy(), []
         for k in orders:
             grams, number = block.grams(k, part, parts)
             number = number.astype("<i8")
             if len(grams):
                 at = np.minimum(np.searchsorted(grams, hashed), len(grams) - 1)
                 here = grams[at] == hashed
-                number[at[here]] = sums[here]
+                number[at[here]] += more[here]
             out.append(squeeze(number.tobytes()))
         n = len(orders)
         return pa.table({"block": pa.array([own.column("block")[0].as_py()] * n, "int64"), "order": pa.array(orders, "int32"), "range": pa.array([part] * n, "int32"), "totals": pa.array(out, "binary")})
@@ -241,12 +252,9 @@ def scores(docs: DataFrame, scratch: common.Scratch, order: int = ORDER, block:
         table = known(masks)
         for part in range(ranges):
             name = f"{orders[-1]}-{part}"
-            grams = exploded(table, orders, part, ranges)
-            counts = grams.groupBy("gram").agg(F.sum("n").alias("total"), F.count("*").alias("blocks")).filter("blocks > 1").select("gram", "total")
-            counts = scratch.keep(counts, f"counts-{name}")
-            found = grams.select("block", "gram").repartition(parts, "gram").join(counts.hint("shuffle_hash"), "gram")
-            got = scratch.keep(totals(found, table, orders, part, ranges), f"totals-{name}")
-            scratch.drop(f"counts-{name}")
+            grams = scratch.keep(grams_of(table, orders, part, ranges), f"grams-{name}")
+            got = scratch.keep(totals(counted(grams, parts), table, orders, part, ranges), f"totals-{name}")
+            scratch.drop(f"grams-{name}")
             rows = got if rows is None else rows.unionByName(got)
         if orders[-1] >= 2 and orders[-1] < order:
 
