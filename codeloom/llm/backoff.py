@@ -38,7 +38,8 @@ from .repeats import Powers, word_hashes
 from .tokens import pack, unpack
 
 ALPHA = 0.4
-ORDER = 3
+#: Orders of the registered query; any can be asked for.
+ORDER = 2
 BLOCK = 1 << 20
 #: Bytes of text for each partition of the count tables, or more where there would be over MANY.
 PART_BYTES, MANY = 8 << 20, 1 << 16
@@ -272,6 +273,6 @@ def scores(docs: DataFrame, scratch: common.Scratch, order: int = ORDER, block:
 
 
 def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of all documents under the counts of all others, by n-grams of up to three words."""
+    """Scores of all documents under the counts of all others, by words and pairs."""
     found = scores(common.read(spark, sf_dir, "documents"), common.Scratch(spark, "op5"))
     return found.select("doc_id", "n_words", F.round("log_score", 6).alias("log_score"), F.round("per_word", 6).alias("per_word"))
