@@ -25,6 +25,7 @@ word shorter, occur in other documents: all others occur in none.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +45,7 @@ BLOCK = 1 << 20
 #: Bytes of text for each partition of the count tables, or more where there would be over MANY.
 PART_BYTES, MANY = 8 << 20, 1 << 16
 #: Ranges of hashes, for orders 1 and 2 and for each higher order.
-RANGES, MORE_RANGES = 3, 2
+RANGES, MORE_RANGES = 4, 2
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
 START = np.uint64(xxhash.xxh3_64_intdigest(b" start of text "))
 BLOCKS = "block long, n_words long, n_docs long, words binary, data binary"
@@ -94,11 +95,20 @@ class Block:
         self.words = np.frombuffer(words.as_buffer(), "<u8")
         places, self.ids, lengths = unpack(data.as_py())
         self.places, self.lengths = places.astype(np.int64), lengths.astype(np.int64)
-        self.doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
-        self.at = np.arange(len(places)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
+        self.starts = (np.cumsum(self.lengths) - self.lengths)[self.lengths > 0]
         self.hashes: list[np.ndarray] = []
         self.known = {} if known is None or not known.is_valid else {(x["order"], x["range"]): x["totals"] for x in known.as_py()}
 
+    @cached_property
+    def doc(self) -> np.ndarray:
+        """Each token's document."""
+        return np.repeat(np.arange(len(self.lengths)), self.lengths)
+
+    @cached_property
+    def at(self) -> np.ndarray:
+        """Each token's place in its document."""
+        return np.arange(len(self.places)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
+
     def hash(self, order: int) -> np.ndarray:
         """A hash of the n-gram that ends at each token; START stands before a first word."""
         while len(self.hashes) < order:
@@ -106,7 +116,7 @@ class Block:
             if self.hashes:
                 before = np.empty_like(current)
                 before[1:] = self.hashes[-1][:-1]
-                before[self.at == 0] = START
+                before[self.starts] = START
                 h = (before * MIX[0]) ^ current
                 h ^= h >> np.uint64(32)
                 h *= MIX[1]
@@ -125,7 +135,7 @@ class Block:
 
     def grams(self, order: int, part: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
         """The sorted distinct hashes of such n-grams, of one of `parts` ranges, and their numbers."""
-        h = self.words if order == 1 else self.hash(order)[self.tokens(order)]
+        h = self.words if order == 1 else self.hash(order) if order == 2 else self.hash(order)[self.tokens(order)]
         low, high = (-(-(k << 64) // parts) for k in (part, part + 1))
         some = h >= np.uint64(low)
         if high < 1 << 64:
