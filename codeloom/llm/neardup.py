@@ -15,7 +15,9 @@ merged the nodes, only pairs of a bucket that are still in different
 components are left. All of them are tried, in tasks that hold a block or two
 of nodes and give back no more than the links that join components. Nodes are
 dealt to these tasks by the clusters that mixed buckets form, or where a
-cluster is very large by the buckets themselves.
+cluster is very large by the buckets themselves. In a cluster, nodes of its
+largest component only meet those outside of it, so a large group of copies is
+sent once for each block of nodes that the links did not reach.
 """
 
 from __future__ import annotations
@@ -39,8 +41,8 @@ REGISTERS = ROWS * BANDS
 BASE, RATE, TOP = 1.05, 20.0, 0x7FFE
 MARGIN = 20
 REMEMBERED = 200_000
-#: Nodes in a block of a tile; nodes of a cluster that is not taken apart into its buckets; nodes for each task of small clusters.
-TILE, LARGE, TOGETHER = 512, 1 << 15, 4096
+#: Nodes in a block of a tile, and bytes of their sets; nodes of a cluster that is not taken apart into its buckets; bytes of sets for each task of small clusters.
+TILE, TILE_BYTES, LARGE, TOGETHER = 2048, 16 << 20, 1 << 15, 16 << 20
 #: Ids that are broadcast at most, where texts are picked by id; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 #: Rows of a few numbers (up to 40 bytes) that are broadcast at most, and rows with registers (some 230 bytes).
@@ -185,17 +187,17 @@ def linked(scratch: common.Scratch, docs: DataFrame, pairs: DataFrame, k: int, p
     return out
 
 
-def joining_links(ids: np.ndarray, comp: np.ndarray, side: np.ndarray, bands: np.ndarray, sets: list[np.ndarray], band: int, percent: int) -> list[tuple[int, int]]:
-    """Links between components of the nodes of a tile; side 2 marks nodes that are held against all, 0 and 1 against each other.
+def joining_links(comp: np.ndarray, side: np.ndarray, bands: np.ndarray, sets: list[np.ndarray], band: int, percent: int) -> list[tuple[int, int]]:
+    """Pairs of components that links join, of the nodes of a tile; side 2 marks nodes that are held against all, 0 and 1 against each other.
 
     Pairs count if they meet in some band; or, with band >= 0, first in that one.
     """
     _, label = np.unique(comp, return_inverse=True)
     n = np.array([len(s) for s in sets])
-    registers_ = bands.view(np.uint16).reshape(len(ids), REGISTERS)
+    registers_ = bands.view(np.uint16).reshape(len(comp), REGISTERS)
     out, common_ = [], int(np.bincount(label).argmax())
     todo = np.flatnonzero(label != common_)
-    done = np.zeros(len(ids), bool)
+    done = np.zeros(len(comp), bool)
     for x in todo.tolist():
         done[x] = True
         same = bands == bands[x]
@@ -215,29 +217,46 @@ def joining_links(ids: np.ndarray, comp: np.ndarray, side: np.ndarray, bands: np
         both = np.add.reduceat((sets[x][at] == values).astype(np.int64), np.cumsum(n[ys]) - n[ys])
         for y in ys[100 * both >= percent * (n[x] + n[ys] - both)].tolist():
             if label[x] != label[y]:
-                out.append((int(ids[x]), int(ids[y])))
+                out.append((int(comp[x]), int(comp[y])))
                 label[label == label[y]] = label[x]
     return out
 
 
-def settle(scratch: common.Scratch, docs: DataFrame, mixed: DataFrame, size: DataFrame, k: int, percent: int, large: int = LARGE) -> DataFrame:
-    """(a, b): links that join the components of buckets with more than one. mixed: (band, key, id, comp), size: (id, n, bands)."""
+def settle(scratch: common.Scratch, docs: DataFrame, mixed: DataFrame, size: DataFrame, k: int, percent: int, large: int = LARGE, tile: int = TILE) -> DataFrame:
+    """(a, b): links between the components of buckets with more than one. mixed: (band, key, id, n, comp), size: (id, n, bands)."""
     mixed = scratch.keep(mixed, "mixed")
     heads = mixed.groupBy("band", "key").agg(F.min("id").alias("b"))
     cluster = scratch.keep(components(scratch, mixed.join(heads, ["band", "key"]).select(F.col("id").alias("a"), "b").distinct(), "cc-cluster-"), "cluster")
-    sized = cluster.join(cluster.groupBy("component").agg(F.count("*").alias("c")), "component")
-    whole = sized.filter(F.col("c") <= large).select("id", F.col("component").alias("grp"), F.lit(-1).alias("band"))
-    apart = mixed.join(sized.filter(F.col("c") > large).select("id"), "id").select("id", F.xxhash64("band", "key").alias("grp"), "band")
+    sizes = scratch.keep(cluster.groupBy("component").agg(F.count("*").alias("c")), "cluster-sizes")
+    sized = cluster.join(small(sizes, BROADCAST_ROWS), "component")
+    of = mixed.select("id", "n", "comp").distinct()
+    whole = sized.filter(F.col("c") <= large).select("id", F.col("component").alias("grp"), F.lit(-1).alias("band")).join(of, "id")
+    apart = mixed.join(sized.filter(F.col("c") > large).select("id"), "id").select("id", F.xxhash64("band", "key").alias("grp"), "band", "n", "comp")
     members = scratch.keep(whole.unionByName(apart), "members")
-    groups = members.groupBy("grp", "band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
-    blk = F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks").cast("long")).cast("int")
-    dealt = members.join(groups, ["grp", "band"]).withColumn("blk", blk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    bins = max(1, members.count() // TOGETHER)
+
+    # Blocks of the nodes in a group's largest component (core) come after those of the others; a group that fits in one block has no core.
+    bytes_ = (F.sum("n") * 8 + F.count("*") * 200).alias("bytes")
+    parts = scratch.keep(members.groupBy("grp", "band", "comp").agg(F.count("*").alias("c"), bytes_), "parts")
+    blocks = lambda c, b: F.ceil(F.greatest(c / tile, b / TILE_BYTES)).cast("int")
+    most = F.max(F.struct("c", "comp", "bytes"))
+    groups = parts.groupBy("grp", "band").agg(most.alias("core"), F.sum("c").alias("c"), F.sum("bytes").alias("bytes"))
+    one = blocks(F.col("c"), F.col("bytes")) == 1
+    groups = groups.select(
+        "grp", "band", F.when(~one, F.col("core.comp")).alias("core"),
+        F.when(one, 1).otherwise(F.greatest(blocks(F.col("c") - F.col("core.c"), F.col("bytes") - F.col("core.bytes")), F.lit(1))).alias("rest"),
+        F.when(one, 0).otherwise(blocks(F.col("core.c"), F.col("core.bytes"))).alias("cores"),
+    )
+    groups = scratch.keep(groups, "groups")
+    placed = members.join(small(groups, BROADCAST_ROWS), ["grp", "band"]).withColumn("in_core", F.coalesce(F.col("comp") == F.col("core"), F.lit(False)))
+    dealt = F.pmod(F.xxhash64("id", F.lit(5)), F.when(F.col("in_core"), F.col("cores")).otherwise(F.col("rest")).cast("long")).cast("int")
+    placed = placed.withColumn("blk", dealt + F.when(F.col("in_core"), F.col("rest")).otherwise(0))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("rest") + F.when(F.col("in_core"), 0).otherwise(F.col("cores")) - 1)))
+    bins = max(1, -(-(parts.agg(F.sum("bytes")).first()[0] or 0) // TOGETHER))
     low, high = F.least("blk", "other"), F.greatest("blk", "other")
     dealt = dealt.select(
         "id", "grp", "band", low.alias("lo"), high.alias("hi"),
         F.when(F.col("blk") == F.col("other"), 2).when(F.col("blk") == low, 0).otherwise(1).alias("side"),
-        F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("grp"), F.lit(bins))).otherwise(F.xxhash64("grp", "band", low, high)).alias("tile"),
+        F.when(F.col("rest") + F.col("cores") == 1, F.pmod(F.xxhash64("grp"), F.lit(bins))).otherwise(F.xxhash64("grp", "band", low, high)).alias("tile"),
     )
     comp = scratch.keep(mixed.select("id", "comp").distinct(), "comp")
     ids = scratch.keep(size.join(small(comp, BROADCAST_ROWS), "id").select(F.col("id").alias("doc_id"), "comp", "bands"), "rest-ids")
@@ -250,26 +269,27 @@ def settle(scratch: common.Scratch, docs: DataFrame, mixed: DataFrame, size: Dat
         order = np.lexsort((table.column("id").to_numpy(), *group.T[::-1]))
         group = group[order]
         cut = np.flatnonzero((group[1:] != group[:-1]).any(axis=1)) + 1
-        ids, comp, side = (table.column(c).to_numpy() for c in ("id", "comp", "side"))
-        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(ids), BANDS)
+        comp, side = (table.column(c).to_numpy() for c in ("comp", "side"))
+        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(comp), BANDS)
         raw = table.column("set")
         for part in np.split(order, cut):
             sets = [np.frombuffer(raw[i].as_buffer(), np.uint64) for i in part.tolist()]
-            found += joining_links(ids[part], comp[part], side[part], np.ascontiguousarray(bands[part]), sets, table.column("band")[int(part[0])].as_py(), percent)
+            found += joining_links(comp[part], side[part], np.ascontiguousarray(bands[part]), sets, table.column("band")[int(part[0])].as_py(), percent)
         return pa.table({"a": pa.array([x for x, _ in found], "int64"), "b": pa.array([y for _, y in found], "int64")})
 
     links = full.select("tile", "grp", "band", "lo", "hi", "side", "id", "comp", "bands", "set").groupBy("tile").applyInArrow(run, "a long, b long")
     out = scratch.keep(links, "rest-links")
-    scratch.drop("mixed", "cluster", "members", "comp", "rest-ids", "rest-sets", "dealt")
+    scratch.drop("mixed", "cluster", "cluster-sizes", "members", "parts", "groups", "comp", "rest-ids", "rest-sets", "dealt")
     return out
 
 
-def near_duplicates(docs: DataFrame, scratch: common.Scratch, k: int = WORDS, percent: int = PERCENT, large: int = LARGE) -> DataFrame:
+def near_duplicates(docs: DataFrame, scratch: common.Scratch, k: int = WORDS, percent: int = PERCENT, large: int = LARGE, tile: int = TILE) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of `docs`.
 
     Texts without words, and null ids, are alone. Of rows that repeat a doc_id,
-    each gets the component of its own text. Extra columns are ignored; an
-    empty table gives an empty result.
+    each gets the component of its own text; ties go to the smallest id. Very
+    long texts are compared whole. Extra columns are ignored; an empty table
+    gives an empty result.
     """
     known = scratch.keep(sketches(docs, k), "sketches")
     usable = known.filter("n > 0 and doc_id is not null")
@@ -288,14 +308,15 @@ def near_duplicates(docs: DataFrame, scratch: common.Scratch, k: int = WORDS, pe
     whole = scratch.keep(components(scratch, links, "cc-star-"), "whole")
 
     placed = crowd.join(small(whole, BROADCAST_ROWS).withColumnRenamed("component", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    placed = scratch.keep(placed.select("band", "key", "id", "comp"), "placed")
+    placed = scratch.keep(placed.select("band", "key", "id", "n", "comp"), "placed")
     split = scratch.keep(placed.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("band", "key"), "split")
-    more = settle(scratch, docs, placed.join(small(split, BROADCAST_ROWS), ["band", "key"]), size, k, percent, large)
+    more = settle(scratch, docs, placed.join(small(split, BROADCAST_ROWS), ["band", "key"]), size, k, percent, large, tile)
     scratch.drop("crowded", "crowd", "met", "stars", "placed", "split")
-    if not more.isEmpty():
-        whole = scratch.keep(components(scratch, links.unionByName(more), "cc-rest-"), "whole-rest")
-
     heads = nodes.select("mark", "id").join(small(whole, BROADCAST_ROWS), "id", "left").select("mark", F.coalesce("component", "id").alias("component_id"))
+    if not more.isEmpty():  # links between components
+        joined = scratch.keep(components(scratch, more, "cc-rest-"), "joined")
+        heads = heads.join(small(joined, BROADCAST_ROWS).withColumnRenamed("id", "component_id"), "component_id", "left").select("mark", F.coalesce("component", "component_id").alias("component_id"))
+
     solo = F.col("n").eqNullSafe(0) | F.col("doc_id").isNull()
     joined = known.filter(~solo).select("doc_id", "n", "mark").join(heads, "mark").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return joined.unionByName(known.filter(solo).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))

@@ -3,9 +3,10 @@
 import random
 import string
 
+import brute
 import numpy as np
+import pytest
 
-import brute
 from codeloom.llm import common, neardup
 from codeloom.llm.components import components
 
@@ -61,7 +62,7 @@ def test_five_words_and_clashing_columns(spark, corpus):
         assert got == all_pairs(rows, 5)
 
 
-def test_blocks_of_a_group(spark, corpus, monkeypatch):
+def test_blocks_of_a_group(spark, corpus):
     rng = random.Random(14)
     base = ["".join(rng.choice("abcdefg") for _ in range(5)) for _ in range(60)]
     rows = []
@@ -70,10 +71,9 @@ def test_blocks_of_a_group(spark, corpus, monkeypatch):
         for j in rng.sample(range(60), rng.choice([0, 2, 4, 6, 8])):
             w[j] = "".join(rng.choice("hijkl") for _ in range(rng.choice([1, 5])))
         rows.append((i, " ".join(w), "s"))
-    monkeypatch.setattr(neardup, "TILE", 16)
     docs = common.read(spark, corpus(rows), "documents")
     for large in (neardup.LARGE, 0):
-        got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs, common.Scratch(spark, "t"), k=2, large=large).collect()}
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs, common.Scratch(spark, "t"), k=2, large=large, tile=16).collect()}
         assert got == all_pairs(rows, 2)
 
 
@@ -115,7 +115,9 @@ def test_sketches_merge():
     assert (np.maximum(part(a), part(b)) == part(np.union1d(a, b))).all()
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [2000, 0])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr("codeloom.llm.components.FEW", few)
     rng = random.Random(2)
     pairs = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 140)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(60)] + [(400, 400)]
     got = {r.id: r.component for r in components(common.Scratch(spark, "t"), spark.createDataFrame(pairs, "a long, b long")).collect()}
