@@ -225,8 +225,8 @@ def joining_links(comp: np.ndarray, side: np.ndarray, bands: np.ndarray, sets: l
 def settle(scratch: common.Scratch, docs: DataFrame, mixed: DataFrame, size: DataFrame, k: int, percent: int, large: int = LARGE, tile: int = TILE) -> DataFrame:
     """(a, b): links between the components of buckets with more than one. mixed: (band, key, id, n, comp), size: (id, n, bands)."""
     mixed = scratch.keep(mixed, "mixed")
-    heads = mixed.groupBy("band", "key").agg(F.min("id").alias("b"))
-    cluster = scratch.keep(components(scratch, mixed.join(heads, ["band", "key"]).select(F.col("id").alias("a"), "b").distinct(), "cc-cluster-"), "cluster")
+    heads = scratch.keep(mixed.groupBy("band", "key").agg(F.min("id").alias("b")), "heads")
+    cluster = scratch.keep(components(scratch, mixed.join(small(heads, BROADCAST_ROWS), ["band", "key"]).select(F.col("id").alias("a"), "b").distinct(), "cc-cluster-"), "cluster")
     sizes = scratch.keep(cluster.groupBy("component").agg(F.count("*").alias("c")), "cluster-sizes")
     sized = cluster.join(small(sizes, BROADCAST_ROWS), "component")
     of = mixed.select("id", "n", "comp").distinct()
@@ -279,7 +279,7 @@ def settle(scratch: common.Scratch, docs: DataFrame, mixed: DataFrame, size: Dat
 
     links = full.select("tile", "grp", "band", "lo", "hi", "side", "id", "comp", "bands", "set").groupBy("tile").applyInArrow(run, "a long, b long")
     out = scratch.keep(links, "rest-links")
-    scratch.drop("mixed", "cluster", "cluster-sizes", "members", "parts", "groups", "comp", "rest-ids", "rest-sets", "dealt")
+    scratch.drop("mixed", "heads", "cluster", "cluster-sizes", "members", "parts", "groups", "comp", "rest-ids", "rest-sets", "dealt")
     return out
 
 
