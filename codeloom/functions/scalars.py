@@ -114,7 +114,7 @@ def callee_parts(x: Column, language: str) -> Column:
 
 def _named(imported: Column, types: bool) -> Column:
     """Trimmed, not empty names; those of types without their mark, or left out."""
-    names = F.filter(F.transform(imported, F.trim), lambda x: x != "")
+    names = F.filter(F.transform(imported, lambda x: F.trim(x)), lambda x: x != "")
     return F.transform(names, lambda x: F.regexp_replace(x, r"^type\s+", "")) if types else F.filter(names, lambda x: ~x.startswith("type "))
 
 

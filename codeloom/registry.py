@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import registry_sources
 from .catalog import Catalog
 from .functions import scalars
 from .functions.paths import extension, is_test, top_dir
@@ -19,6 +20,7 @@ from .operators import aggregates as agg
 from .operators import changes, graph, joins, lookup, resolve, search
 from .plans import modes
 from .sources import projection
+from .streaming import watch
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -181,13 +183,13 @@ _add("g05_reachable", lambda spark, d: graph.reachable_symbols(projection.projec
 _add("g06_blast_radius", lambda c: graph.blast_radius(c, c.symbols.filter("id = 'p3'").select(F.col("id").alias("node"))).select("node"), f"""
     with recursive {_E}, r as (select t as a, s as b from e union select y.parent_id, e.s from e join symbols y on y.id = e.t where y.parent_id is not null),
     go as (select 'p3' as node union select r.b from go join r on r.a = go.node) select node from go""")
-_add("g07_pagerank", lambda c: graph.pagerank(graph.call_graph(c)).select(F.col("node").alias("id"), F.round("rank", 6).alias("rank")), """
-    with recursive e as (select caller_id as a, callee_id as b from call_edges where callee_id is not null), deg as (select a, count(*) as d from e group by 1),
+_RANKS = """with recursive e as (select caller_id as a, callee_id as b from call_edges where callee_id is not null), deg as (select a, count(*) as d from e group by 1),
     nodes as (select a as n from e union select b from e), cnt as (select count(*)::double as c from nodes),
     pr(i, n, r) as (select 0, n, 1 / c from nodes, cnt union all
       select pr_i + 1, n, r from (select max(p.i) as pr_i, x.n as n, 0.15 / max(cnt.c) + 0.85 * sum(x.v) as r from (select i from pr limit 1) p,
-        (select n, 0.0 as v from nodes union all select e.b, pr.r / deg.d from pr join e on e.a = pr.n join deg on deg.a = e.a) x, cnt group by x.n) q where pr_i < 30)
-    select n as id, round(r, 6) as rank from pr where i = 30""")
+        (select n, 0.0 as v from nodes union all select e.b, pr.r / deg.d from pr join e on e.a = pr.n join deg on deg.a = e.a) x, cnt group by x.n) q where pr_i < 30)"""
+_add("g07_pagerank", lambda c: graph.pagerank(graph.call_graph(c)).select(F.col("node").alias("id"), F.round("rank", 6).alias("rank")), f"""
+    {_RANKS} select n as id, round(r, 6) as rank from pr where i = 30""")
 _SCC = """reach as (select src, dst from pairs union select r.src, p.dst from reach r join pairs p on p.src = r.dst),
     both_ as (select a.src as node, least(a.src, min(a.dst)) as scc from reach a join reach b on a.src = b.dst and a.dst = b.src where a.src <> a.dst group by a.src)"""
 _add("g09_scc", lambda c: graph.cyclic_components(agg.import_edges(c)), f"with recursive {_PAIRS}, {_SCC} select scc, node from both_")
@@ -301,7 +303,9 @@ _add("m17_related_tests", lambda c: modes.related_tests(_with_tests(c), "parts/f
 _add("m27_similar", lambda c: modes.similar_patterns(c, c.symbols.filter("id = 'p8'").first(), ("kind", "return_type", "inheritance")), f"""
     select x.{SYM.replace(', ', ', x.')} from symbols x, (select * from symbols where id = 'p8') q where x.id <> q.id and x.kind = q.kind and x.return_type ilike '%' || q.return_type || '%'
     and (q.inheritence is null or list_has_any(list_transform(x.inheritence, lambda b: b.inherits_from_name), list_transform(q.inheritence, lambda b: b.inherits_from_name))) order by x.file_path, x.line, x.id limit 20""")
-_add("m28_importance", lambda c: modes.importance(c, 20).select("id"), None)
+_add("m28_importance", lambda c: modes.importance(c, 20).select("id"), f"""
+    {_RANKS} select n as id from (select n, round(r, 9) as rank from pr where i = 30) q join symbols s on s.id = q.n
+    where not (s.file_path like 'tests/%' or s.file_path like '%/tests/%') order by rank desc, n limit 20""")
 _add("m29_hotspots", lambda spark, d: modes.hotspots(projection.project(spark, d), projection.churn(spark, d)).select("path", F.round("score", 4).alias("score")), """
     with s as (select file_path as path, count(*) as n from symbols group by 1) select c.path, round((added + removed) * (1 + coalesce(n, 0) / 10), 4) as score from churn c left join s using (path) order by (added + removed) * (1 + coalesce(n, 0) / 10) desc, c.path limit 20""", raw=True)
 _add("m33_stale_refs", lambda spark, d: modes.stale_references(projection.project(spark, d), projection.agent_docs(spark, d)), r"""
@@ -388,16 +392,16 @@ _add("x36_times", lambda c: c.tool_usage.select("id", scalars.duration(F.col("so
 _add("x22_cost", lambda c: c.tool_usage.select("id", scalars.approximate_cost(F.col("tokens_saved")).alias("cost"), scalars.token_estimate(F.col("tool_name")).alias("tokens")), "select id, (tokens_saved * 3 + 50) // 100 / 10000.0 as cost, cast(ceil(length(tool_name) / 4.0) as bigint) as tokens from tool_usage")
 
 
-def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bursts of events less than half a second apart, as the debounced watcher would batch them."""
-    events = projection.table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"))
-    return events.groupBy(F.session_window("ts", "500 milliseconds").alias("w")).agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("batches"))
+def _debounced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of customers as changes of files, in batches without a pause of half a second, of which each has a file's last event."""
+    events = projection.table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") % 20).cast("string").alias("path"), F.col("event_type").alias("kind"))
+    return watch.debounced(events).groupBy("start", "end").agg(F.count("*").alias("files"), F.max("kind").alias("kind")).groupBy("files", "kind").agg(F.count("*").alias("batches"))
 
 
-_add("t02_debounce_sessions", _sessions, """
-    with o as (select ts, case when lag(ts) over (order by ts) is null or ts >= lag(ts) over (order by ts) + interval 500 milliseconds then 1 else 0 end as fresh from events),
-    g as (select sum(fresh) over (order by ts rows unbounded preceding) as k from o), s as (select k, count(*) as n from g group by 1) select n, count(*) as batches from s group by 1""", raw=True)
-
+_add("t02_debounced_batches", _debounced, """
+    with o as (select ts, user_id % 20 as path, event_type as kind, case when ts < lag(ts) over (order by ts) + interval 500 milliseconds then 0 else 1 end as fresh from events),
+    g as (select *, sum(fresh) over (order by ts rows unbounded preceding) as k from o), f as (select k, path, arg_max(kind, ts) as kind from g group by 1, 2),
+    b as (select k, count(*) as files, max(kind) as kind from f group by 1) select files, kind, count(*) as batches from b group by 1, 2""", raw=True)
 # More lookups, counts and changes, by inventory id ---------------------------
 
 _add("f07_symbols_of_file", lambda c: _sym(lookup.symbols_of_files(c, ["geo/r3.ts"])), f"select {SYM} from symbols where file_path = 'geo/r3.ts'")
@@ -405,8 +409,7 @@ _add("f12_need_docstrings_in_file", lambda c: _sym(lookup.without_docstring(c, (
 _add("f15_file_hash", lambda c: lookup.file_hash(c, "src/src1/en/d1.txt"), "select hash from files where path = 'src/src1/en/d1.txt'")
 _add("f20_import_by_id", lambda spark, d: (lambda c: _imp(lookup.import_by_id(c, c.imports.agg(F.min("id")).first()[0])))(projection.project(spark, d)), f"select {_IMPORTS} from imports where id = (select min(id) from imports)", raw=True)
 _add("f22_imports_by_name_and_file", lambda c: _imp(lookup.imports_by_name(c.with_(imports=c.imports.withColumn("file_path", F.lit("one.ts"))), "small ring", "one.ts")), f"""select id, 'one.ts' as file_path, "sourceModule", "resolvedPath" from imports where list_contains("importedNames", 'small ring')""")
-_add("f25_import_between", lambda c: _imp(c.imports.filter("id like 'i-1%'").join(lookup.import_between(c.with_(imports=c.imports.withColumn("file_path", F.lit("one.ts"))), "one.ts", "parts/p3.ts").select("id"), "id", "left_semi")), f"""select {_IMPORTS} from imports where id like 'i-1%' and "resolvedPath" = 'parts/p3.ts'""")
-_add("f25_import_between_all", lambda c: _imp(c.imports.join(lookup.import_between(c.with_(imports=c.imports.withColumn("file_path", F.lit("one.ts"))), "one.ts", "parts/p3.ts").select("id"), "id", "left_semi")), f"""select {_IMPORTS} from imports where "resolvedPath" = 'parts/p3.ts'""")
+_add("f25_import_between", lambda c: _imp(c.imports.join(lookup.import_between(c.with_(imports=c.imports.withColumn("file_path", F.lit("one.ts"))), "one.ts", "parts/p3.ts").select("id"), "id", "left_semi")), f"""select {_IMPORTS} from imports where "resolvedPath" = 'parts/p3.ts'""")
 _add("f35_symbols_by_ids_frame", lambda c: _sym(lookup.symbols_by_ids(c, [f"p{i}" for i in range(300)])), f"select {SYM} from symbols where id in (select 'p' || unnest(range(300)))")
 _add("s06_all_files", lambda c: c.files.select("path", "hash", "language"), "select path, hash, language from files")
 _add("s08_all_imports", lambda c: _imp(c.imports.orderBy("file_path", "resolvedPath")), f"select {_IMPORTS} from imports")
@@ -428,8 +431,8 @@ _add("x21_symbol_refs", lambda spark, d: projection.agent_docs(spark, d).select(
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return _QUERIES | registry_sources.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | registry_sources.oracle_sql()

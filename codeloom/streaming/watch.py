@@ -83,6 +83,10 @@ class TreeSource(DataSource):
         return TreeReader(self.options)
 
 
+#: Time by which events find their burst.
+BUCKET_MILLIS = 60_000
+
+
 def last_events(events: DataFrame) -> DataFrame:
     """The last event of each path."""
     w = Window.partitionBy("path").orderBy(F.desc("seq"), F.desc("kind"))
@@ -90,12 +94,18 @@ def last_events(events: DataFrame) -> DataFrame:
 
 
 def debounced(events: DataFrame) -> DataFrame:
-    """Batches (window) that a stream of (ts, path, kind) falls into: bursts without a pause of half a second, with the last event of each path."""
-    burst = events.withColumn("window", F.lit(None)).drop("window").select("ts", "path", "kind")
-    gap = F.when(F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(Window.orderBy("ts")) < 500_000, 0).otherwise(1)
-    numbered = burst.withColumn("batch", F.sum(gap).over(Window.orderBy("ts", "path").rowsBetween(Window.unboundedPreceding, 0)))
-    w = Window.partitionBy("batch", "path").orderBy(F.desc("ts"))
-    return numbered.withColumn("_n", F.row_number().over(w)).filter("_n = 1").select("batch", "path", "kind")
+    """(start, end, path, kind): the batches that (ts, path, kind) fall into, bursts without a pause of half a second, with the last event of each path.
+
+    Sessions merge what tasks have found of them, so no task orders all events;
+    a batch's paths are joined by its time.
+    """
+    gap = "500 milliseconds"
+    bursts = events.groupBy(F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"))
+    # A burst is known to events by the buckets of time that it touches.
+    bucket = lambda t: F.floor(F.unix_millis(t) / BUCKET_MILLIS)
+    spread = bursts.withColumn("bucket", F.explode(F.sequence(bucket(F.col("start")), bucket(F.col("end")))))
+    placed = events.withColumn("bucket", bucket(F.col("ts"))).join(spread, "bucket").filter((F.col("ts") >= F.col("start")) & (F.col("ts") < F.col("end")))
+    return placed.groupBy("start", "end", "path").agg(F.max_by("kind", F.struct("ts", "kind")).alias("kind"))
 
 
 def process_batch(spark: SparkSession, c: Catalog, events: DataFrame, root: str, config: Config, now_millis: int) -> Catalog:

@@ -26,6 +26,7 @@ def test_scalars(spark):
     assert one(spark, scalars.approximate_cost(lit(12_345))) == 0.037 and one(spark, scalars.token_estimate(lit("123456789"))) == 3
     names = F.array(lit(" a as b "), lit("type T as U"), lit("c"), lit(""))
     assert one(spark, scalars.local_names(names)) == ["b", "c"] and one(spark, scalars.original_names(names, types=True)) == ["a", "T", "c"]
+    assert one(spark, scalars.local_names(F.array(lit("Item0"), lit("1up1"), lit(" z2 ")))) == ["Item0", "1up1", "z2"]
     assert one(spark, scalars.path_refs(lit("see src/a.ts, `lib/b` and (c/d/e.py) src/a.ts"))) == ["src/a.ts", "lib/b", "c/d/e.py"]
     assert one(spark, scalars.symbol_refs(lit("`abc` `ab` `abc` `a b`"))) == ["abc"]
     assert one(spark, scalars.callee_parts(lit("a?.b!.c.d"), "typescript")) == ["a", "b", "c", "d"]
