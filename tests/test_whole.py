@@ -29,5 +29,5 @@ def test_embedding_texts_of_all_symbols(spark, duck):  # noqa: F811
 
 
 def test_imports_between_of_any_id(spark, duck):  # noqa: F811
-    found = rows(spark, duck, "f25_import_between_all")
+    found = rows(spark, duck, "f25_import_between")
     assert any(not r[0].startswith("i-1") for r in found)
