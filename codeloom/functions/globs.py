@@ -89,3 +89,51 @@ class IgnoreRules:
         for regex, negated in self.rules:
             verdict = F.when(path.rlike(regex), not negated).otherwise(verdict)
         return verdict
+
+
+@dataclass(frozen=True)
+class LinkedGlobs:
+    """Globs in order, where a negated one belongs to the others that match its text.
+
+    The first glob that is not negated and matches a path decides: the path is
+    ignored unless a negated glob of that one matches it too. A negated glob
+    that belongs to none has no effect. A pattern without wildcards means the
+    path and all below it; one without a slash in front, any depth.
+    """
+
+    globs: tuple[tuple[str, bool], ...] = ()
+
+    def plus(self, patterns, scope: str = "") -> LinkedGlobs:
+        out = dict(self.globs)
+        base = scope.strip("/") + "/" if scope.strip("/") else ""
+        for line in patterns:
+            line = trim_pattern(line)
+            if not line or line.startswith("#"):
+                continue
+            negated = line.startswith("!")
+            body = line[1:] if negated else line.removeprefix("\\")
+            glob = base + (body[1:] if body.startswith("/") else body if body.startswith("**/") else f"**/{body}")
+            bare = glob.rstrip("/")
+            out |= dict.fromkeys([glob] if re.search(r"[*?\[\]{}]", body) else [bare, f"{bare}/**/*"], negated)
+        return LinkedGlobs(tuple(out.items()))
+
+    def linked(self) -> list[tuple[str, list[str]]]:
+        """Expressions of the globs that are not negated, each with those of its negated ones."""
+        shape = {glob: f"^{glob_regex(glob)}$" for glob, _ in self.globs}
+        negated = [glob for glob, no in self.globs if no]
+        return [(shape[glob], [shape[n] for n in negated if re.match(shape[glob], n)]) for glob, no in self.globs if not no]
+
+    def ignored(self, path: str) -> bool:
+        for regex, negated in self.linked():
+            if re.match(regex, path):
+                return not any(re.match(n, path) for n in negated)
+        return False
+
+    def column(self, path: Column) -> Column:
+        verdict = F.lit(False)
+        for regex, negated in reversed(self.linked()):
+            kept = F.lit(False)
+            for n in negated:
+                kept = kept | path.rlike(n)
+            verdict = F.when(path.rlike(regex), ~kept).otherwise(verdict)
+        return verdict

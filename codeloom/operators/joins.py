@@ -45,11 +45,11 @@ def callers(c: Catalog, name: str) -> DataFrame:
     return by_id.unionByName(by_name).join(_caller(c), "caller_id").distinct().select("caller_file", "caller_name", "caller_line", "caller_id")
 
 
-def nested_callers(c: Catalog, targets: DataFrame, keep_module: bool = False) -> DataFrame:
+def nested_callers(c: Catalog, targets: DataFrame, keep_module: bool = False, with_ids: bool = False) -> DataFrame:
     """Callers of the target symbols (id, name) or of their children, with the child called if it is one.
 
     A call that reaches a target and one of its children alike counts as the child's.
-    Names compare without case.
+    Names compare without case. `with_ids` adds the target `t` and the `child`, for targets that are looked at together.
     """
     low = lambda x: F.lower(F.col(x))
     edges = _edges_with_sites(c).select(F.col("id").alias("edge"), "caller_id", "callee_id", low("callee_name").alias("called"))
@@ -58,11 +58,12 @@ def nested_callers(c: Catalog, targets: DataFrame, keep_module: bool = False) ->
     kids = kids.join(target.select("t"), "t")
     direct = edges.join(target, F.col("callee_id") == F.col("t")).unionByName(edges.join(target, F.col("called") == F.col("t_name"))).select("edge", "caller_id", "t").distinct()
     on_child = edges.join(kids, F.col("callee_id") == F.col("child")).unionByName(edges.join(kids, F.col("called") == low("child_name")))
-    on_child = on_child.select("edge", "caller_id", "t", "child_name", "child_file", "child_line").distinct()
+    on_child = on_child.select("edge", "caller_id", "t", "child", "child_name", "child_file", "child_line").distinct()
     plain = direct.join(on_child.select("edge", "t").distinct(), ["edge", "t"], "left_anti")
     none = {"child_name": F.lit(None).cast("string"), "child_file": F.lit(None).cast("string"), "child_line": F.lit(None).cast("int")}
-    found = plain.withColumns(none).select("caller_id", *none).unionByName(on_child.select("caller_id", *none))
-    out = found.join(_caller(c), "caller_id").distinct().select("caller_file", "caller_name", "caller_line", "caller_id", *none)
+    ids = ["t", "child"] if with_ids else []
+    found = plain.withColumns(none).withColumn("child", F.lit(None).cast("string")).select("caller_id", *none, *ids).unionByName(on_child.select("caller_id", *none, *ids))
+    out = found.join(_caller(c), "caller_id").distinct().select("caller_file", "caller_name", "caller_line", "caller_id", *none, *ids)
     return out if keep_module else out.filter(F.col("caller_name") != schema.MODULE)
 
 

@@ -8,14 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..functions.globs import IgnoreRules
+from ..functions.globs import IgnoreRules, LinkedGlobs
 from ..functions.paths import extension
 from ..functions.scalars import content_hash, token_estimate
 
 
-def ignore_rules(root: str, config: Config) -> IgnoreRules:
-    """Configured patterns, then those of each ignore file outside of ignored folders, within its own folder."""
-    rules = IgnoreRules().plus(config.ignore)
+def ignore_rules(root: str, config: Config, compat: bool = False) -> IgnoreRules | LinkedGlobs:
+    """Configured patterns, then those of each ignore file outside of ignored folders, within its own folder.
+
+    The last pattern that matches decides; with `compat`, the first one less the negated ones that belong to it.
+    """
+    rules = (LinkedGlobs() if compat else IgnoreRules()).plus(config.ignore)
     if not config.use_gitignore or not os.path.isdir(root):
         return rules
     for at, folders, files in os.walk(root):
@@ -35,11 +38,12 @@ def language_of(path, config: Config):
     return out
 
 
-def scan(spark: SparkSession, root: str, config: Config | None = None) -> DataFrame:
+def scan(spark: SparkSession, root: str, config: Config | None = None, compat: bool = False) -> DataFrame:
     """Files of enabled languages under `root` that no pattern ignores, wherever Spark can read."""
     config = config or Config()
-    rules = ignore_rules(root, config)
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    rules = ignore_rules(root, config, compat)
+    # Files of other extensions are left out of the listing, so that no task opens them.
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*{" + ",".join(config.extensions) + "}").load(root)
     base = spark._jvm.org.apache.hadoop.fs.Path(root)
     prefix = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toUri().getPath().rstrip("/")
     at = F.regexp_replace(F.regexp_replace("path", r"^[a-z0-9]+:(//[^/]*)?(?=/)", ""), "^/+", "/")

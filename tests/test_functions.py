@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeloom.functions import parsers, scalars
-from codeloom.functions.globs import IgnoreRules, trim_pattern
+from codeloom.functions.globs import IgnoreRules, LinkedGlobs, trim_pattern
 from codeloom.functions.paths import is_test, top_dir
 
 
@@ -65,7 +65,22 @@ def test_ignore_patterns(spark, patterns, path, ignored):
     assert rules.ignored(path) == ignored == one(spark, rules.column(F.lit(path)))
 
 
+@pytest.mark.parametrize(
+    ("patterns", "path", "ignored"),
+    [
+        (["*.ts", "!keep.ts"], "keep.ts", False), (["!keep.ts", "*.ts"], "a/keep.ts", False), (["*.ts", "!keep.ts"], "a/drop.ts", True), (["*.ts", "a/*", "!a/b.js"], "a/b.js", False), (["!a.js"], "a.js", False),
+        (["*.ts", "*.t?", "!keep.ts"], "keep.ts", False), (["x.*", "*.ts", "!y.ts"], "y.ts", False), (["docs"], "src/docs/a/b.ts", True), (["docs"], "src/docs", True), (["/docs"], "src/docs/a.ts", False),
+        (["docs", "!docs/keep.ts"], "docs/keep.ts", False), (["docs", "!docs/keep.ts"], "docs/other.ts", True), (["keep.ts", "!keep.ts"], "keep.ts", False), (["# c", ""], "c", False),
+    ],
+)
+def test_linked_globs(spark, patterns, path, ignored):
+    rules = LinkedGlobs().plus(patterns)
+    assert rules.ignored(path) == ignored == one(spark, rules.column(F.lit(path)))
+
+
 def test_scoped_patterns():
+    linked = LinkedGlobs().plus(["*.log"]).plus(["*.ts", "!keep.ts"], "pkg")
+    assert linked.ignored("a.log") and linked.ignored("pkg/a/b.ts") and not linked.ignored("pkg/keep.ts") and not linked.ignored("a.ts")
     rules = IgnoreRules().plus(["gen/"]).plus(["/local.ts", "!gen/"], "pkg")
     assert rules.ignored("gen/a.ts") and not rules.ignored("pkg/gen/a.ts") and rules.ignored("pkg/local.ts") and not rules.ignored("local.ts")
     assert trim_pattern("  a\\  ") == "a\\ " and trim_pattern("a  ") == "a"

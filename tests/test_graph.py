@@ -66,6 +66,16 @@ def test_tree_walk_marks(spark):
     assert [x[1] for x in modes.trace_tree(c, "c", "in", 1)] == ["c", "a", "b", "d"]
 
 
+def test_inbound_tree_groups_callers_by_member(spark):
+    named = [{"id": x, "name": x, "line": n} for n, x in enumerate("Kxyz")] + [{"id": m, "name": m, "line": 10 + n, "parent_id": "K"} for n, m in enumerate(("m", "n"))]
+    c = calls(spark, [("x", "K"), ("y", "m"), ("x", "m"), ("y", "n"), ("z", "x"), ("K", "z")], named)
+    assert modes.trace_tree(c, "K", "in", 3) == [
+        (0, "K", ""), (1, "x", ""), (2, "z", ""), (3, "K", "cycle"),
+        (1, "m", "member"), (2, "x", "revisit"), (2, "y", ""), (1, "n", "member"), (2, "y", "revisit"),
+    ]
+    assert modes.trace_tree(c, "K", "in", 0) == [(0, "K", "")] and modes.trace_tree(c, "none", "in", 2) == [(0, "none", "")]
+
+
 def test_containment(spark):
     c = catalog(spark, symbols=[{"id": "m", "name": "<module>", "kind": "module"}, {"id": "k", "name": "K", "kind": "class", "parent_id": "m"}, {"id": "f", "name": "f", "kind": "method", "parent_id": "k"}, {"id": "g", "name": "g", "parent_id": "f"}])
     assert [(r.id, r.depth) for r in graph.subtree(c, "k").orderBy("depth").collect()] == [("k", 0), ("f", 1), ("g", 2)]
