@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import backoff, decontam, kmeans, ledger, mixing, neardup, quality, repeats, sharding, sql, tokens, vectors
+from . import backoff, decontam, kmeans, ledger, mixing, neardup, quality, repeats, sharding, sql, tokens, trie, vectors
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,9 +21,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": decontam.op8_decontamination,
         "op9_near_duplicates": neardup.op9_near_duplicates,
         "op10_token_output": tokens.op10_token_output,
+        "op11_conversation_trie": trie.op11_conversation_trie,
         "op13_clusters": kmeans.op13_clusters,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_lm_scores": sql.OP5, "op6_secrets": sql.OP6, "op7_near_vectors": sql.OP7, "op8_decontamination": decontam.OP8_SQL, "op9_near_duplicates": sql.OP9, "op13_clusters": kmeans.OP13_SQL}
+    return {"op5_lm_scores": sql.OP5, "op6_secrets": sql.OP6, "op7_near_vectors": sql.OP7, "op8_decontamination": decontam.OP8_SQL, "op9_near_duplicates": sql.OP9, "op11_conversation_trie": sql.OP11, "op13_clusters": kmeans.OP13_SQL}

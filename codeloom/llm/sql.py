@@ -65,3 +65,19 @@ m as (select a, least(a, min(b)) as component_id from far group by a)
 select d.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(component_id, d.doc_id) as component_id, coalesce(component_id, d.doc_id) = d.doc_id as kept
 from d left join n using (doc_id) left join m on m.a = d.doc_id
 """
+
+#: CRC-32 of a text of ASCII characters, bit by bit: every character is followed by seven zeros, and each entry shifts once.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split({0}, ''), lambda c: [ascii(c)::bigint, 0, 0, 0, 0, 0, 0, 0]))),
+  lambda a, b: xor(xor(a, b) >> 1, 3988292384 * (xor(a, b) & 1))))"""
+
+OP11 = f"""
+with o as (
+  select conv_id, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} order by turn nulls first) as turns, {_CRC.format("conv_id::varchar")} % 9 as h from conversations where conv_id is not null group by conv_id),
+r as (select a.conv_id, list_concat(coalesce(b.turns[1:a.h], []), a.turns[a.h + 1:]) as s from o a left join o b on b.conv_id = a.conv_id - a.conv_id % 5),
+p as (select conv_id, len(s) as n, d, md5(to_json(s[1:d])::varchar) as k, if(d = 0, null, md5(to_json(s[1:d - 1])::varchar)) as up, if(d = 0, 0, octet_length(encode(s[d].t))) as bytes from r, unnest(range(0, len(s) + 1)) as u(d)),
+v as (select k, any_value(up) as up, any_value(d) as d, min(conv_id) as c, count(*) as n, any_value(bytes) as bytes, string_agg(conv_id::varchar, ',' order by conv_id) filter (where n = d) as ends from p group by k),
+w as (select v.*, (select count(*) from v x where x.up = v.k) as children from v),
+t as (select p.k, sum(if(w.children = 0, 1, 0)) as leaves, sum((w.n - 1) * w.bytes) as saved from w join p on p.conv_id = w.c and p.d <= w.d group by p.k)
+select w.c as conv_id, w.d as depth, u.c as parent_conv_id, w.n as n_convs, w.children as n_children, t.leaves::bigint as n_leaves, t.saved::bigint as saved_tokens, sha256(coalesce(w.ends, '')) as ends_sha256
+from w join t using (k) left join w u on u.k = w.up
+"""
