@@ -84,14 +84,14 @@ def numbered(conversations: DataFrame, scratch: common.Scratch) -> DataFrame:
     return moved.select("conv_id", (F.col("place") + F.coalesce("earlier", F.lit(0))).alias("place"), "key", "bytes")
 
 
-def pieces(turns: DataFrame) -> DataFrame:
-    """(conv_id, piece, turns): up to SEGMENT turns of a conversation at a time."""
+def pieces(turns: DataFrame, segment: int) -> DataFrame:
+    """(conv_id, piece, turns): up to `segment` turns of a conversation at a time."""
     listed = F.array_sort(F.collect_list(F.struct("place", "key", "bytes")))
-    by = turns.groupBy("conv_id", F.floor(F.col("place") / SEGMENT).alias("piece")).agg(listed.alias("turns"))
+    by = turns.groupBy("conv_id", F.floor(F.col("place") / segment).alias("piece")).agg(listed.alias("turns"))
     return by.withColumn("turns", F.transform("turns", lambda x: F.struct(x["key"].alias("key"), x["bytes"].alias("bytes"))))
 
 
-def rebuilt(parts: DataFrame) -> DataFrame:
+def rebuilt(parts: DataFrame, segment: int) -> DataFrame:
     """(conv_id, seg, at, turns): pieces of the rebuilt conversations by the segment that they belong to; one of segment 0 for each conversation."""
     base = F.col("conv_id") - F.pmod("conv_id", F.lit(FAMILY))
     heads = parts.filter((F.col("piece") == 0) & (base == F.col("conv_id"))).select(F.col("conv_id").alias("base"), F.slice("turns", 1, HEADS - 1).alias("head"))
@@ -100,9 +100,9 @@ def rebuilt(parts: DataFrame) -> DataFrame:
     own = parts.withColumn("base", base).join(heads, "base", "left").withColumn("h", h).withColumn("head", F.slice(F.coalesce("head", F.slice("turns", 1, 0)), F.lit(1), F.col("h")))
     shift = F.col("h") - F.size("head")  # a short head draws later turns nearer
     part = lambda seg, at, turns: F.struct(seg.cast("long").alias("seg"), at.cast("int").alias("at"), turns.alias("turns"))
-    first = part(F.lit(0), F.lit(0), F.concat("head", F.slice("turns", F.col("h") + 1, F.lit(SEGMENT))))
-    rest = F.slice("turns", F.col("shift") + 1, F.lit(SEGMENT))
-    later = F.array(part(F.col("piece") - 1, SEGMENT - F.col("shift"), F.when(F.col("shift") > 0, F.slice("turns", F.lit(1), F.col("shift"))).otherwise(none)), part(F.col("piece"), F.lit(0), rest))
+    first = part(F.lit(0), F.lit(0), F.concat("head", F.slice("turns", F.col("h") + 1, F.lit(segment))))
+    rest = F.slice("turns", F.col("shift") + 1, F.lit(segment))
+    later = F.array(part(F.col("piece") - 1, segment - F.col("shift"), F.when(F.col("shift") > 0, F.slice("turns", F.lit(1), F.col("shift"))).otherwise(none)), part(F.col("piece"), F.lit(0), rest))
     cut = own.withColumn("shift", shift).select("conv_id", F.when(F.col("piece") == 0, F.array(first)).otherwise(later).alias("cut"))
     return cut.select("conv_id", F.inline("cut")).filter("seg = 0 and at = 0 or size(turns) > 0")
 
@@ -111,43 +111,48 @@ def _joined(turns: str):
     return F.unhex(F.array_join(F.transform(turns, lambda x: x["key"]), "")).alias("keys"), F.transform(turns, lambda x: x["bytes"]).alias("sizes")
 
 
-def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _chain(segment: int):
     """From (conv_id, seg, size, digest) in order: the hash of what a segment follows, and whether the conversation ends in it; an empty segment after a last full one."""
-    held, root = None, b""
 
-    def out(rows):
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.bool_())], names=["conv_id", "seg", "root", "ends"])
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, root = None, b""
 
-    def settled(following: bool):
-        c, seg, size, digest, root = held
-        yield c, seg, root, not following
-        if size == SEGMENT and not following:
-            yield c, seg + 1, hashlib.sha256(root + digest).digest(), True
+        def out(rows):
+            columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.bool_()))]
+            return pa.RecordBatch.from_arrays(columns, names=["conv_id", "seg", "root", "ends"])
 
-    for batch in batches:
-        rows = []
-        for c, seg, size, digest in zip(*(col.to_pylist() for col in batch.columns)):
-            more = held is not None and held[0] == c
-            if held is not None:
-                rows += settled(more)
-            root = hashlib.sha256(held[4] + held[3]).digest() if more else b""
-            held = (c, seg, size, digest, root)
-        yield out(rows)
-    if held is not None:
-        yield out(list(settled(False)))
-
-
-def segments(parts: DataFrame, scratch: common.Scratch) -> tuple[DataFrame, DataFrame | None]:
+        def settled(following: bool):
+            c, seg, size, digest, root = held
+            yield c, seg, root, not following
+            if size == segment and not following:
+                yield c, seg + 1, hashlib.sha256(root + digest).digest(), True
+
+        for batch in batches:
+            rows = []
+            for c, seg, size, digest in zip(*(col.to_pylist() for col in batch.columns)):
+                more = held is not None and held[0] == c
+                if held is not None:
+                    rows += settled(more)
+                root = hashlib.sha256(held[4] + held[3]).digest() if more else b""
+                held = (c, seg, size, digest, root)
+            yield out(rows)
+        if held is not None:
+            yield out(list(settled(False)))
+
+    return chain
+
+
+def segments(parts: DataFrame, scratch: common.Scratch, segment: int) -> tuple[DataFrame, DataFrame | None]:
     """(conv_id, seg, root, keys, sizes, ends) of segment 0 and, where any conversation fills it, of later segments."""
-    cut = scratch.keep(rebuilt(parts), "cut")
-    full = cut.filter(f"seg = 0 and at = 0 and size(turns) >= {SEGMENT - HEADS}").select("conv_id")
+    cut = scratch.keep(rebuilt(parts, segment), "cut")
+    full = cut.filter(f"seg = 0 and at = 0 and size(turns) >= {segment - HEADS}").select("conv_id")
     if full.isEmpty():
         return cut.select("conv_id", F.lit(0).cast("long").alias("seg"), F.lit(b"").alias("root"), *_joined("turns"), F.lit(True).alias("ends")), None
     short = cut.join(full.distinct(), "conv_id", "left_anti")
     whole = cut.join(full.distinct(), "conv_id").groupBy("conv_id", "seg").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "turns"))), lambda x: x["turns"])).alias("turns"))
     whole = scratch.keep(whole.select("conv_id", "seg", *_joined("turns")), "whole")
     light = whole.select("conv_id", "seg", F.size("sizes").alias("size"), F.unhex(F.sha2("keys", 256)).alias("digest")).repartition("conv_id").sortWithinPartitions("conv_id", "seg")
-    chain = light.mapInArrow(_chain, "conv_id long, seg long, root binary, ends boolean")
+    chain = light.mapInArrow(_chain(segment), "conv_id long, seg long, root binary, ends boolean")
     named = scratch.keep(chain.join(whole, ["conv_id", "seg"], "left").select("conv_id", "seg", "root", F.coalesce("keys", F.lit(b"")).alias("keys"), F.coalesce("sizes", F.array().cast("array<long>")).alias("sizes"), "ends"), "named")
     first = short.select("conv_id", F.lit(0).cast("long").alias("seg"), F.lit(b"").alias("root"), *_joined("turns"), F.lit(True).alias("ends")).unionByName(named.filter("seg = 0"))
     return first, named.filter("seg > 0")
@@ -183,7 +188,8 @@ def common_turns(a: bytes, b: bytes) -> int:
 class _Sweep:
     """One pass over sorted rows of a partition."""
 
-    def __init__(self, p: int):
+    def __init__(self, p: int, piece: int):
+        self.piece = piece
         self.p, self.stack, self.rows, self.seq, self.run = p, [], [], 0, 0
         self.first = self.last = None
         self.through = 0
@@ -233,7 +239,7 @@ class _Sweep:
 
     def member(self, c: str) -> None:
         self.pending.append(c)
-        if len(self.pending) == PIECE:
+        if len(self.pending) == self.piece:
             self.send()
 
     def send(self) -> None:
@@ -299,15 +305,18 @@ class _Sweep:
         self.put(ENDS, root=self.first[0], key=self.first[1], sizes=self.first[2], last_root=self.last[0], last_key=self.last[1], depth=depth, n=self.through, seq=self.run, leaves=leaves, saved=deeper, children=children)
 
 
-def _swept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sweep = _Sweep(TaskContext.get().partitionId())
-    for batch in batches:
-        for root, key, sizes, c, ends, leaves, deeper, children in zip(*(col.to_pylist() for col in batch.columns)):
-            sweep.row(root, key, sizes, c, ends, None if leaves is None else (leaves, deeper, children))
-            if len(sweep.rows) >= ROWS:
-                yield sweep.batch()
-    sweep.finish()
-    yield sweep.batch()
+def _swept(piece: int):
+    def swept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sweep = _Sweep(TaskContext.get().partitionId(), piece)
+        for batch in batches:
+            for root, key, sizes, c, ends, leaves, deeper, children in zip(*(col.to_pylist() for col in batch.columns)):
+                sweep.row(root, key, sizes, c, ends, None if leaves is None else (leaves, deeper, children))
+                if len(sweep.rows) >= ROWS:
+                    yield sweep.batch()
+        sweep.finish()
+        yield sweep.batch()
+
+    return swept
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,11 +350,11 @@ def ends(rows) -> tuple[list, list]:
     return lacks, owner
 
 
-def sweep(rows: DataFrame, scratch: common.Scratch, name: str) -> DataFrame:
+def sweep(rows: DataFrame, scratch: common.Scratch, name: str, piece: int = PIECE) -> DataFrame:
     """Nodes (depth, conv_id, parent, n, children, leaves, saved, sha, root) of the sub-tries of (root, keys, sizes, conv_id, ends, leaves, deeper, children)."""
     spark, order = scratch.spark, ["root", "keys", "conv_id"]
     ordered = rows.select("root", "keys", "sizes", "conv_id", "ends", "leaves", "deeper", "children").repartitionByRange(*order).sortWithinPartitions(*order)
-    swept = scratch.keep(ordered.mapInArrow(_swept, SWEPT_DDL), f"{name}-swept")
+    swept = scratch.keep(ordered.mapInArrow(_swept(piece), SWEPT_DDL), f"{name}-swept")
     lacks, owner = ends(swept.filter(f"kind = {ENDS}").select("p", "root", "key", "sizes", "last_root", "last_key", "depth", "n", "seq", "leaves", "saved", "children").collect())  # a row for each partition
     lack = spark.createDataFrame(lacks, "p int, cut int, bytes long, first int, last int, run long, leaves_ long, deeper_ long, children_ long")
     owners = spark.createDataFrame(owner, "p int, left boolean, depth int, op int, oleft boolean")  # at most SEGMENT + 1 for each partition
@@ -388,7 +397,7 @@ def _named(swept: DataFrame, stitched: DataFrame, lack: DataFrame, owned, scratc
     )
 
 
-def trie(conversations: DataFrame, scratch: common.Scratch) -> DataFrame:
+def trie(conversations: DataFrame, scratch: common.Scratch, segment: int = SEGMENT, piece: int = PIECE) -> DataFrame:
     """Nodes of the prefix trie of rebuilt conversations: conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256.
 
     Rows without a conv_id belong to no conversation. Null roles and texts are
@@ -397,23 +406,23 @@ def trie(conversations: DataFrame, scratch: common.Scratch) -> DataFrame:
     multiple of five. An empty table has no conversation, and so not even a
     root. Other columns are ignored, whatever their names.
     """
-    parts = scratch.keep(pieces(numbered(conversations.select("conv_id", "turn", "role", "text"), scratch)), "pieces")
-    first, later = segments(parts, scratch)
+    parts = scratch.keep(pieces(numbered(conversations.select("conv_id", "turn", "role", "text"), scratch), segment), "pieces")
+    first, later = segments(parts, scratch, segment)
     none = [F.lit(None).cast("long").alias(c) for c in ("leaves", "deeper", "children")]
 
     def shown(df: DataFrame, seg: int) -> DataFrame:
         named = (("parent", "parent_conv_id"), ("n", "n_convs"), ("children", "n_children"), ("leaves", "n_leaves"), ("saved", "saved_tokens"))
-        return df.select("conv_id", (F.col("depth") + seg * SEGMENT).cast("long").alias("depth"), *[F.col(c).cast("long").alias(n) for c, n in named], F.col("sha").alias("ends_sha256"))
+        return df.select("conv_id", (F.col("depth") + seg * segment).cast("long").alias("depth"), *[F.col(c).cast("long").alias(n) for c, n in named], F.col("sha").alias("ends_sha256"))
 
     if later is None:
-        return shown(sweep(first.select("*", *none), scratch, "s0"), 0)
+        return shown(sweep(first.select("*", *none), scratch, "s0", piece), 0)
 
     groups = scratch.keep(later.groupBy("seg", "root").agg(F.count("*").alias("n")), "groups")
     alone = later.join(groups.filter("n = 1").drop("n"), ["seg", "root"])
     size = F.size("sizes")
     last = F.col("i") == size
     chains = alone.filter(size > 0).select("conv_id", "seg", "sizes", "ends", F.explode(F.sequence(F.lit(1), size)).alias("i")).select(
-        "conv_id", (F.col("seg") * SEGMENT + F.col("i")).alias("depth"), F.col("conv_id").alias("parent_conv_id"), F.lit(1).cast("long").alias("n_convs"), F.when(last & F.col("ends"), 0).otherwise(1).cast("long").alias("n_children"),
+        "conv_id", (F.col("seg") * segment + F.col("i")).alias("depth"), F.col("conv_id").alias("parent_conv_id"), F.lit(1).cast("long").alias("n_convs"), F.when(last & F.col("ends"), 0).otherwise(1).cast("long").alias("n_children"),
         F.lit(1).cast("long").alias("n_leaves"), F.lit(0).cast("long").alias("saved_tokens"), F.when(last & F.col("ends"), F.sha2(F.col("conv_id").cast("string").cast("binary"), 256)).otherwise(F.lit(EMPTY)).alias("ends_sha256"),
     )
     below = alone.select("seg", "root", F.lit(1).cast("long").alias("leaves"), F.lit(0).cast("long").alias("deeper"), (size > 0).cast("long").alias("children"))
@@ -425,7 +434,7 @@ def trie(conversations: DataFrame, scratch: common.Scratch) -> DataFrame:
         rows = (first if seg == 0 else shared.filter(F.col("seg") == seg)).join(following.filter(F.col("seg") == seg).drop("seg"), "conv_id", "left")
         weights = below.filter(F.col("seg") == seg + 1).select(F.col("root").alias("next_root"), "leaves", "deeper", "children")
         weights = weights if roots is None else weights.unionByName(roots)
-        nodes = scratch.keep(sweep(rows.join(weights, "next_root", "left"), scratch, f"s{seg}"), f"nodes{seg}")
+        nodes = scratch.keep(sweep(rows.join(weights, "next_root", "left"), scratch, f"s{seg}", piece), f"nodes{seg}")
         found.append(shown(nodes.filter("depth > 0") if seg else nodes, seg))
         roots = nodes.filter("depth = 0").select(F.col("root").alias("next_root"), "leaves", F.col("saved").alias("deeper"), "children")
     result = found[0]

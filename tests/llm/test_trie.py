@@ -39,9 +39,9 @@ def brute(rows):
     return sorted(out, key=str)
 
 
-def run(spark, rows):
+def run(spark, rows, **how):
     df = spark.createDataFrame([(*r, "x", 1, 0.5) for r in rows], SCHEMA)
-    return sorted((tuple(r) for r in trie.trie(df, common.Scratch(spark, "t")).collect()), key=str)
+    return sorted((tuple(r) for r in trie.trie(df, common.Scratch(spark, "t"), **how).collect()), key=str)
 
 
 def conversations(seed, n, words, longest, skip=0.2):
@@ -73,21 +73,18 @@ def test_nodes(many, seed, n, words, longest):
 
 
 @pytest.mark.parametrize("segment", [10, 12])
-def test_segments(many, monkeypatch, segment):
+def test_segments(many, segment):
     """Long conversations, shared in several segments and alone, some of them ending where a segment does."""
-    monkeypatch.setattr(trie, "SEGMENT", segment)
-    monkeypatch.setattr(trie, "PIECE", 3)
     rows = conversations(3, 40, 1, 60) + conversations(4, 3, 50, 80, 0)
     rows += [(c, t, "user", "same" if t < 47 else f"x{c % 3}") for c in range(100, 130) for t in range(segment * (c % 5) + (c % 2))]
-    assert run(many, rows) == brute(rows)
+    assert run(many, rows, segment=segment, piece=3) == brute(rows)
 
 
-def test_hot_groups(many, monkeypatch):
+def test_hot_groups(many):
     """A third of all conversations equal, and one conversation with a third of all turns."""
-    monkeypatch.setattr(trie, "PIECE", 7)
     rows = [(c, t, "user", f"all{t}") for c in range(0, 300, 2) for t in range(12)] + conversations(6, 100, 3, 10)
     rows += [(1001, t, "user", f"long{t}") for t in range(2000)]
-    assert run(many, rows) == brute(rows)
+    assert run(many, rows, piece=7) == brute(rows)
 
 
 def test_odd_rows(spark):
