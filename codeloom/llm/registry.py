@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import backoff, decontam, kmeans, ledger, mixing, neardup, quality, repeats, sharding, sql, tokens, trie, vectors
+from . import backoff, decontam, kmeans, ledger, mixing, neardup, personal, quality, repeats, sharding, sql, tokens, trie, vectors
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_near_duplicates": neardup.op9_near_duplicates,
         "op10_token_output": tokens.op10_token_output,
         "op11_conversation_trie": trie.op11_conversation_trie,
+        "op12_personal_data": personal.op12_personal_data,
         "op13_clusters": kmeans.op13_clusters,
     }
 
