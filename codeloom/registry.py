@@ -392,16 +392,19 @@ _add("x36_times", lambda c: c.tool_usage.select("id", scalars.duration(F.col("so
 _add("x22_cost", lambda c: c.tool_usage.select("id", scalars.approximate_cost(F.col("tokens_saved")).alias("cost"), scalars.token_estimate(F.col("tool_name")).alias("tokens")), "select id, (tokens_saved * 3 + 50) // 100 / 10000.0 as cost, cast(ceil(length(tool_name) / 4.0) as bigint) as tokens from tool_usage")
 
 
-def _debounced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of customers as changes of files, in batches without a pause of half a second, of which each has a file's last event."""
-    events = projection.table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") % 20).cast("string").alias("path"), F.col("event_type").alias("kind"))
-    return watch.debounced(events).groupBy("start", "end").agg(F.count("*").alias("files"), F.max("kind").alias("kind")).groupBy("files", "kind").agg(F.count("*").alias("batches"))
-
-
-_add("t02_debounced_batches", _debounced, """
-    with o as (select ts, user_id % 20 as path, event_type as kind, case when ts < lag(ts) over (order by ts) + interval 500 milliseconds then 0 else 1 end as fresh from events),
-    g as (select *, sum(fresh) over (order by ts rows unbounded preceding) as k from o), f as (select k, path, arg_max(kind, ts) as kind from g group by 1, 2),
-    b as (select k, count(*) as files, max(kind) as kind from f group by 1) select files, kind, count(*) as batches from b group by 1, 2""", raw=True)
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of customers as changes of files."""
+    return projection.table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") % 20).cast("string").alias("path"), F.col("event_type").alias("kind"), (F.col("user_id") % 3).cast("string").alias("root"))
+
+
+#: Bursts of the events in DuckDB: rows (root, k, ts, path, kind), k the burst's number.
+_BURSTS = """o as (select cast(user_id % 3 as varchar) as root, ts, cast(user_id % 20 as varchar) as path, event_type as kind,
+      case when ts < lag(ts) over (partition by user_id % 3 order by ts) + interval 500 milliseconds then 0 else 1 end as fresh from events),
+    g as (select *, sum(fresh) over (partition by root order by ts rows unbounded preceding) as k from o),
+    t as (select root, k, min(ts) as start, max(ts) + interval 500 milliseconds as "end" from g group by 1, 2), f as (select root, k, path, max({'ts': ts, 'kind': kind})['kind'] as kind from g group by 1, 2, 3)"""
+_add("t02_debounced_batches", lambda spark, d: watch.debounced(_events(spark, d)).select("root", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "path", "kind"), f"""
+    with {_BURSTS} select root, epoch_us(start) as start_us, epoch_us("end") as end_us, path, kind from f join t using (root, k)""", raw=True)
+_add("t03_last_events", lambda spark, d: watch.last_events(_events(spark, d).withColumn("seq", F.unix_micros("ts"))).select("path", "kind", "seq"), "select path, max({'s': epoch_us(ts), 'k': kind})['k'] as kind, max(epoch_us(ts)) as seq from (select *, cast(user_id % 20 as varchar) as path, event_type as kind from events) group by 1", raw=True)
 # More lookups, counts and changes, by inventory id ---------------------------
 
 _add("f07_symbols_of_file", lambda c: _sym(lookup.symbols_of_files(c, ["geo/r3.ts"])), f"select {SYM} from symbols where file_path = 'geo/r3.ts'")

@@ -1,14 +1,17 @@
 """Incremental indexing: changes of files as a stream, batches of them as updates of a saved index.
 
-Events are rows (path, kind, seq), kind `upsert` or `unlink`. A trigger of
-half a second gathers what comes in; of several events of one path the last
-one counts. An index lives in numbered snapshots under a folder, and a batch
-that is run again writes its own snapshot again.
+Events are rows (path, kind, seq), kind `upsert` or `unlink`. They are debounced
+(see `debounce`): a batch is a burst of changes that nothing has followed for
+half a second, with the last event of each path. An index lives in buckets of
+files (`buckets.BucketedIndex`), of which a batch rewrites those that it changes,
+or in numbered snapshots; a batch that is run again gives the same.
 """
 
 from __future__ import annotations
 
 import os
+import time
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,13 +19,14 @@ from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.window import Window
 
+from ..buckets import BucketedIndex
 from ..catalog import Catalog
 from ..config import Config
 from ..extract.run import apply
 from ..sources import files as source_files
 from ..storage import Store
+from .debounce import debounced, debounced_stream  # noqa: F401
 
-DEBOUNCE = "500 milliseconds"
 EVENTS = "path string, kind string, seq long"
 
 
@@ -83,31 +87,12 @@ class TreeSource(DataSource):
         return TreeReader(self.options)
 
 
-#: Time by which events find their burst.
-BUCKET_MILLIS = 60_000
-
-
 def last_events(events: DataFrame) -> DataFrame:
     """The last event of each path."""
     w = Window.partitionBy("path").orderBy(F.desc("seq"), F.desc("kind"))
     return events.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
-def debounced(events: DataFrame) -> DataFrame:
-    """(start, end, path, kind): the batches that (ts, path, kind) fall into, bursts without a pause of half a second, with the last event of each path.
-
-    Sessions merge what tasks have found of them, so no task orders all events;
-    a batch's paths are joined by its time.
-    """
-    gap = "500 milliseconds"
-    bursts = events.groupBy(F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"))
-    # A burst is known to events by the buckets of time that it touches.
-    bucket = lambda t: F.floor(F.unix_millis(t) / BUCKET_MILLIS)
-    spread = bursts.withColumn("bucket", F.explode(F.sequence(bucket(F.col("start")), bucket(F.col("end")))))
-    placed = events.withColumn("bucket", bucket(F.col("ts"))).join(spread, "bucket").filter((F.col("ts") >= F.col("start")) & (F.col("ts") < F.col("end")))
-    return placed.groupBy("start", "end", "path").agg(F.max_by("kind", F.struct("ts", "kind")).alias("kind"))
-
-
 def process_batch(spark: SparkSession, c: Catalog, events: DataFrame, root: str, config: Config, now_millis: int) -> Catalog:
     """The catalog after a batch of events: only their paths are read, and unchanged contents are not parsed."""
     latest = last_events(events)
@@ -143,21 +128,49 @@ class Snapshots:
         return saved
 
 
-def watch(spark: SparkSession, root: str, snapshots: Snapshots, checkpoint: str, config: Config | None = None, trigger: str = DEBOUNCE, now=None) -> StreamingQuery:
-    """Keeps the snapshots up to date with a tree until the query is stopped; batches run one at a time."""
-    import time
+class Watch:
+    """A running watch. What is pending when it stops is part of the checkpoint, and processed by the next watch over it."""
+
+    def __init__(self, query: StreamingQuery):
+        self.query = query
+
+    def pending(self) -> bool:
+        progress = self.query.lastProgress
+        return progress is None or any(s.numRowsTotal > 0 for s in progress.stateOperators)
 
+    def stop(self, drain: bool = False, timeout: float = 60) -> None:
+        """Ends the watch after the batch that runs; with `drain`, after what is pending has been processed as well."""
+        ends = time.time() + timeout
+        while drain and self.query.isActive and self.pending() and time.time() < ends:
+            time.sleep(0.2)
+        self.query.stop()
+
+
+def watch(spark: SparkSession, root: str, snapshots: Snapshots | BucketedIndex, checkpoint: str, config: Config | None = None, trigger: str = "100 milliseconds", now=None, after: Sequence[Callable[[Catalog, DataFrame], Catalog]] = ()) -> Watch:
+    """Keeps an index up to date with a tree until it is stopped; batches run one at a time.
+
+    `after` are further steps over the catalog and the changed paths (path):
+    enhancement, docstrings, vectors. They run in order once for a batch.
+    """
     config = config or Config()
     spark.dataSource.register(TreeSource)
     first = max(snapshots.numbers(), default=0) + 1
 
     def batch(events: DataFrame, number: int) -> None:
-        if events.isEmpty():
-            return
-        at = (now or (lambda: int(time.time() * 1000)))()
-        snapshots.put(process_batch(spark, snapshots.current(first + number), events, root, config, at), first + number)
-
-    stream = spark.readStream.format("codeloom_tree").load(root)
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(processingTime=trigger).start()
-
-
+        events = events.persist()
+        try:
+            if events.isEmpty():
+                return
+            at = (now or (lambda: int(time.time() * 1000)))()
+            latest = events.groupBy("path").agg(F.max_by("kind", "end").alias("kind"), F.max(F.unix_micros("end")).alias("seq"))
+            made = process_batch(spark, snapshots.current(first + number), latest, root, config, at)
+            paths = latest.filter("kind = 'upsert'").select("path")
+            for step in after:
+                made = step(made, paths)
+            snapshots.put(made, first + number)
+        finally:
+            events.unpersist()
+
+    stream = spark.readStream.format("codeloom_tree").load(root).withColumn("ts", F.current_timestamp()).withColumn("root", F.lit(root))
+    bursts = debounced_stream(stream, None)
+    return Watch(bursts.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(processingTime=trigger).start())

@@ -10,6 +10,7 @@ import pytest
 from codeloom import config as settings
 from codeloom.engine import NO_RESULTS, Engine, document_missing, embed_missing, hash_embedding, render
 from codeloom.extract.run import extract_file, index
+from codeloom.buckets import BucketedIndex
 from codeloom.streaming.watch import Snapshots, debounced, last_events, process_batch, watch
 
 PROJECT = os.path.join(os.path.dirname(__file__), "project")
@@ -137,13 +138,14 @@ def test_debounce(spark):
     assert [r.kind for r in debounced(df).orderBy("start").collect()] == ["upsert", "unlink"]
 
 
-def test_watch(spark, tmp_path):
-    root, store = str(tmp_path / "root"), Snapshots(spark, str(tmp_path / "store"))
+@pytest.mark.parametrize("kind", [Snapshots, BucketedIndex])
+def test_watch(spark, tmp_path, kind):
+    root, store = str(tmp_path / "root"), kind(spark, str(tmp_path / "store"))
     os.makedirs(root)
     with open(f"{root}/a.py", "w") as f:
         f.write("def one():\n    pass\n")
     store.put(index(spark, root, now_millis=1), 1)
-    query = watch(spark, root, store, str(tmp_path / "checkpoint"), now=lambda: 2)
+    running = watch(spark, root, store, str(tmp_path / "checkpoint"), now=lambda: 2)
     try:
         time.sleep(4)
         with open(f"{root}/b.py", "w") as f:
@@ -152,9 +154,10 @@ def test_watch(spark, tmp_path):
             if max(store.numbers()) > 1:
                 break
             time.sleep(1)
-            assert query.exception() is None
+            assert running.query.exception() is None
     finally:
-        query.stop()
+        running.stop(drain=True)
+    assert not running.query.isActive
     assert {r.path for r in store.current().files.collect()} == {"a.py", "b.py"}
 
 
