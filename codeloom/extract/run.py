@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from dataclasses import replace
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -14,11 +13,12 @@ from .. import schema
 from ..catalog import Catalog
 from ..config import Config
 from ..functions.parsers import resolve_module
-from ..functions.workspace import path_aliases
-from ..operators import changes, resolve
+from ..operators import changes, nearest, resolve
 from ..sources import files as source_files
 from ..storage import Store
 
+#: Candidates that an import's aliases come before.
+ALIASES = 1_000_000
 TABLES = ("symbols", "imports", "call_sites", "exceptions", "env_vars")
 
 
@@ -72,9 +72,12 @@ def import_candidates(imports: DataFrame, config: Config) -> DataFrame:
     return imports.select("id", "file_path", "sourceModule").mapInPandas(targets, "id string, target string, at int")
 
 
-def resolve_imports(imports: DataFrame, files: DataFrame, config: Config) -> DataFrame:
-    """Imports with the project files that they name; others are packages or parts of the language."""
+def resolve_imports(imports: DataFrame, files: DataFrame, config: Config, settings: DataFrame | None = None) -> DataFrame:
+    """Imports with the project files that they name; others are packages or parts of the language. Path aliases are those of `config`, else of the nearest `settings` (see `nearest.alias_targets`)."""
     tries = import_candidates(imports, config)
+    if settings is not None:
+        aliased = nearest.alias_targets(imports.filter(~F.col("file_path").endswith(".py")).select("id", "file_path", "sourceModule"), settings)
+        tries = tries.unionByName(aliased.select("id", "target", (F.col("at") - ALIASES).cast("int").alias("at")))
     hits = tries.select("id", "at", F.posexplode(F.array(*[F.concat("target", F.lit(x)) for x in resolve.EXTENSIONS])).alias("e", "path")).join(files.select("path"), "path")
     best = hits.groupBy("id").agg(F.min_by("path", F.struct("at", "e")).alias("found"))
     relative = F.col("sourceModule").startswith(".")
@@ -113,14 +116,17 @@ def inherited(c: Catalog) -> DataFrame:
 def index(spark: SparkSession, root: str, config: Config | None = None, before: Catalog | None = None, now_millis: int = 0, only: DataFrame | None = None) -> Catalog:
     """The index of a source tree. With one from before, only new and changed files are read, and those gone are dropped (of `only` (path), if given)."""
     config = config or Config()
-    if not config.path_aliases:
-        config = replace(config, path_aliases=[list(x) for x in path_aliases(root, source_files.ignore_rules(root, config).ignored)])
     store = Store(spark, "index")
     found = store.keep(source_files.scan(spark, root, config), "scan")
-    return apply(spark, found, config, before, now_millis, only, store)
+    return apply(spark, found, config, before, now_millis, only, store, settings_of(spark, root, config, store))
 
 
-def apply(spark: SparkSession, found: DataFrame, config: Config, before: Catalog | None, now_millis: int, only: DataFrame | None, store: Store) -> Catalog:
+def settings_of(spark: SparkSession, root: str, config: Config, store: Store) -> DataFrame | None:
+    """The tree's compiler settings, where `config` names no aliases itself."""
+    return None if config.path_aliases else store.keep(source_files.settings(spark, root, source_files.ignore_rules(root, config)), "settings")
+
+
+def apply(spark: SparkSession, found: DataFrame, config: Config, before: Catalog | None, now_millis: int, only: DataFrame | None, store: Store, settings: DataFrame | None = None) -> Catalog:
     """As `index`, for files (path, content, language, hash, estimated_tokens)."""
     old = before or Catalog.empty(spark)
     if only is not None:
@@ -132,7 +138,7 @@ def apply(spark: SparkSession, found: DataFrame, config: Config, before: Catalog
     kept = changes.delete_files(old, gone)
     stamped = changed.withColumn("indexed_at", F.lit(now_millis).cast("long")).select(*schema.FILES.names)
     files = store.keep(kept.files.unionByName(stamped), "files")
-    imports = resolve_imports(kept.imports.unionByName(new["imports"]), files, config)
+    imports = resolve_imports(kept.imports.unionByName(new["imports"]), files, config, settings)
     c = kept.with_(
         files=files, symbols=kept.symbols.unionByName(new["symbols"]), imports=store.keep(imports, "imports"), call_sites=store.keep(kept.call_sites.unionByName(new["call_sites"]), "sites"),
         exceptions=kept.exceptions.unionByName(new["exceptions"]), env_vars=kept.env_vars.unionByName(new["env_vars"]),

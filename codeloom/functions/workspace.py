@@ -30,31 +30,3 @@ def loose_json(text: str):
     """JSON with comments and trailing commas."""
     text = re.sub(r'("(?:\\.|[^"\\])*")|//[^\n]*|/\*.*?\*/', lambda m: m[1] or "", text, flags=re.S)
     return json.loads(re.sub(r",(\s*[}\]])", r"\1", text))
-
-
-def path_aliases(root: str, ignored=lambda path: False) -> list[tuple[str, str, str]]:
-    """(folder, prefix, target prefix) of path aliases in compiler settings, those of the deepest folder first.
-
-    Settings hold for their folder and what is below it; targets are project paths.
-    """
-    out = []
-    for at, folders, files in os.walk(root):
-        scope = os.path.relpath(at, root).replace(os.sep, "/")
-        scope = "" if scope == "." else scope
-        folders[:] = sorted(d for d in folders if d != "node_modules" and not ignored(f"{scope}/{d}".lstrip("/")))
-        if "tsconfig.json" not in files:
-            continue
-        try:
-            with open(os.path.join(at, "tsconfig.json")) as f:
-                options = (loose_json(f.read()) or {}).get("compilerOptions") or {}
-        except (OSError, ValueError, AttributeError):
-            continue
-        base = os.path.normpath(os.path.join(scope, options.get("baseUrl") or ".")).replace(os.sep, "/")
-        for pattern, targets in (options.get("paths") or {}).items():
-            for target in targets:
-                full = os.path.normpath(os.path.join(base, target.rstrip("*"))).replace(os.sep, "/")
-                slash = "/" if target.rstrip("*").endswith("/") else ""
-                out.append((scope, pattern.rstrip("*"), "" if full == "." else full + slash))
-        if options.get("baseUrl"):
-            out.append((scope, "", "" if base == "." else base + "/"))
-    return sorted(out, key=lambda x: (-len(x[0]), -len(x[1])))

@@ -17,7 +17,7 @@ from .catalog import Catalog
 from .functions import scalars
 from .functions.paths import extension, is_test, top_dir
 from .operators import aggregates as agg
-from .operators import changes, graph, joins, lookup, resolve, search
+from .operators import changes, graph, joins, lookup, nearest, prefixes, resolve, search, spans
 from .plans import modes
 from .sources import projection
 from .streaming import watch
@@ -439,3 +439,87 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return _SQL | registry_sources.oracle_sql()
+
+# Joins of intervals, prefixes and folders ----------------------------------------
+
+
+def _spanned(c: Catalog, sf: DataFrame) -> Catalog:
+    """Symbols of parts as spans that begin at their line and are as long as the part is large."""
+    sized = sf.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_size").alias("_n"))
+    s = c.symbols.join(sized, "id").withColumn("end_line", F.col("line") + F.col("_n")).withColumn("end_column", F.col("_n") % 7)
+    return c.with_(symbols=s.select(*c.symbols.columns))
+
+
+def _positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A position for each line of an order: in the file of its part, at a line that its supplier gives."""
+    at = projection.table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.min("l_linenumber").alias("n"))
+    return at.select((F.col("l_partkey") * 1_000_000 + F.col("l_suppkey")).alias("position"), F.format_string("parts/f%d.ts", F.col("l_partkey") % 97).alias("file_path"), (F.col("l_suppkey") * 3 % 251).cast("int").alias("line"), F.col("n").cast("int").alias("column"))
+
+
+_SPANS = """held as (select s.id, s.file_path, s.name, s.kind, s.return_type, s.line as a, 0 as ac, s.line + p_size as b, p_size % 7 as bc from symbols s join part on s.id = 'p' || p_partkey),
+    asked as (select l_partkey * 1000000 + l_suppkey as position, 'parts/f' || (l_partkey % 97) || '.ts' as file_path, l_suppkey * 3 % 251 as line, min(l_linenumber) as col from lineitem group by l_partkey, l_suppkey),
+    met as (select position, arg_min(h, {'x': -h.a, 'y': -h.ac, 'b': h.b, 'bc': h.bc, 'id': h.id}) as h from asked q join held h on h.file_path = q.file_path and h.a <= q.line and (h.b > q.line or h.b = q.line and h.bc >= q.col) group by position)"""
+_add("c15_symbols_at", lambda spark, d: spans.symbols_at(_spanned(projection.project(spark, d), projection.table(spark, d, "part")), _positions(spark, d)), f"with {_SPANS} select position, h.id as id from met", raw=True)
+_add("c15_callables_at", lambda spark, d: spans.symbols_at(_spanned(projection.project(spark, d), projection.table(spark, d, "part")), _positions(spark, d), ("function", "method", "arrowFunction", "class")),
+     "with " + _SPANS.replace("from symbols s", "from (select * from symbols where kind in ('function', 'method', 'arrowFunction', 'class')) s") + " select position, h.id as id from met", raw=True)
+_add("h08_types_at", lambda spark, d: spans.types_at(_spanned(projection.project(spark, d), projection.table(spark, d, "part")), _positions(spark, d)), f"""
+    with {_SPANS} select q.position, h.id as id, coalesce(h.name || ': ' || h.return_type, h.kind || ' ' || h.name) as type from asked q left join met using (position)""", raw=True)
+
+
+def _type_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each part, in the file of its imports, its name cut short, its brand, and its name with more after it."""
+    p = projection.table(spark, sf_dir, "part")
+    name = F.col("p_name")
+    names = F.when(F.col("p_size") % 3 == 0, F.array(F.upper(F.substring(name, 1, 4)))).when(F.col("p_size") % 3 == 1, F.array(F.col("p_brand"), F.concat(name, F.lit("Extra")))).otherwise(F.array(F.lit(""), F.concat(F.lit("x"), name)))
+    return p.select(F.concat(F.lit("t"), F.col("p_partkey").cast("string")).alias("id"), F.format_string("parts/p%d.ts", "p_partkey").alias("file_path"), names.alias("names"))
+
+
+_add("h06_imports_of_types", lambda spark, d: prefixes.imports_of_types(projection.project(spark, d), _type_names(spark, d)), """
+    with t as (select 't' || p_partkey as id, 'parts/p' || p_partkey || '.ts' as file_path,
+      unnest(case p_size % 3 when 0 then [upper(p_name[1:4])] when 1 then [p_brand, p_name || 'Extra'] else ['', 'x' || p_name] end) as name from part),
+    i as (select id, file_path, resolvedPath, unnest(importedNames) as name from imports)
+    select t.id, min({'r': i.resolvedPath, 'i': i.id})['i'] as imports_id from t join i on t.file_path = i.file_path and t.name <> '' and i.name <> ''
+      and (starts_with(lower(i.name), lower(t.name)) or starts_with(lower(t.name), lower(i.name))) group by 1""", raw=True)
+
+
+def _defined(c: Catalog) -> DataFrame:
+    """Call sites as if they stood in the file of their caller's imports; a third of the definitions lie in the folder of the imports."""
+    n = F.substring("caller_id", 2, 20).cast("long")
+    where = F.when(n % 3 == 0, F.lit("parts/any.ts")).when(n % 3 == 1, F.lit("far/away.ts"))
+    return c.call_sites.select(F.col("id").alias("site"), F.concat(F.lit("parts/"), "caller_id", F.lit(".ts")).alias("file_path"), where.alias("definition_path"), F.concat(F.lit("made."), "callee_name", F.lit("?.go")).alias("callee_expression"))
+
+
+_add("c16_imports_of_definitions", lambda c: prefixes.imports_of_definitions(c, _defined(c)), """
+    with q as (select id as site, 'parts/' || caller_id || '.ts' as file_path, cast(caller_id[2:] as bigint) % 3 as k, callee_name from call_sites),
+    i as (select id, file_path, resolvedPath, importedNames[1] as name from imports),
+    near as (select site, min({'r': resolvedPath, 'i': id})['i'] as imp from q join i using (file_path) where k = 0 group by 1),
+    chained as (select site, min({'r': resolvedPath, 'i': id})['i'] as imp from q join i using (file_path) where name in ('made', callee_name, 'go') group by 1)
+    select site, coalesce(near.imp, chained.imp) as imports_id from q left join near using (site) left join chained using (site) where coalesce(near.imp, chained.imp) is not null""")
+
+
+def _marked(c: Catalog) -> DataFrame:
+    """Compiler settings in the root, in the folders of a third of the sources, and in some of their languages' folders."""
+    folder = c.files.select(F.array(F.lit(""), F.concat_ws("/", F.get(F.split("path", "/"), F.lit(0)), F.get(F.split("path", "/"), F.lit(1))), F.regexp_replace("path", "/[^/]*$", "")).alias("d")).select(F.explode("d").alias("dir")).distinct()
+    return folder.filter("dir = '' or length(dir) % 3 = 0")
+
+
+_NEAR = """folder as (select distinct unnest(['', regexp_extract(path, '^[^/]*/[^/]*'), regexp_replace(path, '/[^/]*$', '')]) as dir from files), marked as (select dir from folder where dir = '' or length(dir) % 3 = 0),
+    near as (select path, arg_max(dir, length(dir)) as dir from files join marked on dir = '' or starts_with(path, dir || '/') group by 1)"""
+_add("r04_nearest_settings", lambda c: nearest.nearest(c.files, _marked(c)), f"with {_NEAR} select path, dir from near")
+
+
+def _aliased(c: Catalog) -> DataFrame:
+    """Every file imports its own name by an alias and by one that only the root's settings know."""
+    imports = c.files.select(F.explode(F.array(F.lit("@/"), F.lit("~/"), F.lit("@/sub/"), F.lit("./"))).alias("start"), "path").select(F.concat("start", "path").alias("id"), F.col("path").alias("file_path"), F.concat("start", F.regexp_extract("path", "[^/]*$", 0)).alias("sourceModule"))
+    pair = lambda p, *t: F.struct(F.lit(p).alias("pattern"), F.array(*map(F.lit, t)).alias("targets"))
+    paths = F.when(F.col("dir") == "", F.array(pair("~/*", "top/*", "../*"), pair("@/*", "all/*"))).otherwise(F.array(pair("@/*", "./own/*"), pair("@/sub/*", "../deep/*/index")))
+    return nearest.alias_targets(imports, _marked(c).select("dir", F.when(F.length("dir") % 2 == 1, F.lit("./base")).alias("base_url"), paths.alias("paths")))
+
+
+_add("r03_alias_targets", _aliased, f"""
+    with {_NEAR}, q as (select path, dir, parse_filename(path) as name, if(length(dir) % 2 = 1, concat_ws('/', nullif(dir, ''), 'base'), dir) as base, length(dir) % 2 = 1 as based, unnest(['@/', '~/', '@/sub/']) as start from near),
+    t as (select start || path as id, base, based, start || name as module, list_concat(
+      case when dir = '' and start = '~/' then ['top/' || name, name] when dir = '' and start = '@/' then ['all/' || name] when dir = '' then ['all/sub/' || name]
+        when start = '@/' then [concat_ws('/', nullif(base, ''), 'own/' || name)] when start = '@/sub/' then [concat_ws('/', nullif(regexp_replace(base, '/?[^/]*$', ''), ''), 'deep/' || name || '/index')] else [] end,
+      if(based, [concat_ws('/', nullif(base, ''), start || name)], [])) as targets from q)
+    select id, unnest(targets) as target, unnest(range(0, len(targets)))::int as at from t""")

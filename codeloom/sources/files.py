@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions.globs import IgnoreRules, LinkedGlobs
-from ..functions.paths import extension
+from ..functions.paths import dirname, extension
 from ..functions.scalars import content_hash, token_estimate
+from ..functions.workspace import loose_json
 
 
 def ignore_rules(root: str, config: Config, compat: bool = False) -> IgnoreRules | LinkedGlobs:
@@ -38,17 +41,42 @@ def language_of(path, config: Config):
     return out
 
 
+def _relative(spark: SparkSession, root: str, path):
+    """A file's full path as one below `root`."""
+    base = spark._jvm.org.apache.hadoop.fs.Path(root)
+    prefix = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toUri().getPath().rstrip("/")
+    at = F.regexp_replace(F.regexp_replace(path, r"^[a-z0-9]+:(//[^/]*)?(?=/)", ""), "^/+", "/")
+    return F.substring(at, F.lit(len(prefix) + 2), F.length(at))
+
+
+def settings(spark: SparkSession, root: str, rules: IgnoreRules | LinkedGlobs) -> DataFrame:
+    """(dir, base_url, paths) of the compiler settings below `root`, as Spark lists and reads them; those of ignored folders and of packages, and ones that are no JSON, are left out."""
+
+    def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for folder, text in zip(batch["dir"], batch["value"]):
+                try:
+                    options = (loose_json(text) or {}).get("compilerOptions") or {}
+                    paths = [{"pattern": k, "targets": [str(t) for t in v]} for k, v in (options.get("paths") or {}).items()]
+                    rows.append((folder, options.get("baseUrl"), paths))
+                except (ValueError, AttributeError, TypeError):
+                    continue
+            yield pd.DataFrame(rows, columns=["dir", "base_url", "paths"])
+
+    raw = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="tsconfig.json")
+    path = _relative(spark, root, F.col("_metadata.file_path"))
+    found = raw.select(path.alias("path"), "value").filter(~rules.column(F.col("path")) & ~F.col("path").rlike("(^|/)node_modules/"))
+    return found.select(dirname("path").alias("dir"), "value").mapInPandas(parsed, "dir string, base_url string, paths array<struct<pattern:string,targets:array<string>>>")
+
+
 def scan(spark: SparkSession, root: str, config: Config | None = None, compat: bool = False) -> DataFrame:
     """Files of enabled languages under `root` that no pattern ignores, wherever Spark can read."""
     config = config or Config()
     rules = ignore_rules(root, config, compat)
     # Files of other extensions are left out of the listing, so that no task opens them.
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*{" + ",".join(config.extensions) + "}").load(root)
-    base = spark._jvm.org.apache.hadoop.fs.Path(root)
-    prefix = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toUri().getPath().rstrip("/")
-    at = F.regexp_replace(F.regexp_replace("path", r"^[a-z0-9]+:(//[^/]*)?(?=/)", ""), "^/+", "/")
-    relative = F.expr(f"substring({{}}, {len(prefix) + 2})".format("full"))
-    found = raw.withColumn("full", at).withColumn("path", relative)
+    found = raw.withColumn("path", _relative(spark, root, F.col("path")))
     found = found.withColumn("language", language_of("path", config)).filter(F.col("language").isNotNull() & ~rules.column(F.col("path")))
     text = found.withColumn("content", F.make_valid_utf8(F.col("content").cast("string"))).select("path", "content", "language")
     return text.withColumn("hash", content_hash(F.col("content"))).withColumn("estimated_tokens", token_estimate(F.col("content")))

@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 from ..buckets import BucketedIndex
 from ..catalog import Catalog
 from ..config import Config
-from ..extract.run import apply
+from ..extract.run import apply, settings_of
 from ..sources import files as source_files
 from ..storage import Store
 from .debounce import debounced, debounced_stream  # noqa: F401
@@ -98,7 +98,7 @@ def process_batch(spark: SparkSession, c: Catalog, events: DataFrame, root: str,
     latest = last_events(events)
     store = Store(spark, "batch")
     only = store.keep(latest.select("path"), "paths")
-    return apply(spark, source_files.scan(spark, root, config), config, c, now_millis, only, store)
+    return apply(spark, source_files.scan(spark, root, config), config, c, now_millis, only, store, settings_of(spark, root, config, store))
 
 
 class Snapshots:
