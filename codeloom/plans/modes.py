@@ -14,7 +14,7 @@ from .. import schema
 from ..catalog import Catalog
 from ..functions import scalars
 from ..functions.paths import is_test, top_dir
-from ..operators import aggregates as agg
+from ..operators import aggregates as agg, calltree
 from ..operators import graph, joins, lookup, search
 
 
@@ -159,68 +159,14 @@ def trace(c: Catalog, ids: list[str], direction: str = "out", depth: int = 3) ->
     return edges.join(found.select(F.col("node").alias(end), (F.col("depth") + 1).alias("depth")), end).groupBy("src", "dst", "depth").agg(F.min("call_line").alias("call_line")).orderBy("depth", "src", "call_line", "dst")
 
 
-def trace_tree(c: Catalog, id_: str, direction: str = "out", depth: int = 3) -> list[tuple[int, str, str]]:
-    """(level, id, mark) lines of a depth-first walk over the traced calls; `revisit` marks a symbol expanded before, `cycle` one that is being expanded.
-
-    A symbol counts as met before the depth is looked at, so one met at the limit is not expanded later.
-    Direction `in` gives `inbound_tree`.
-    """
-    if direction == "in":
-        return inbound_tree(c, id_, depth)
-    rows = trace(c, [id_], direction, depth).collect()  # bounded by depth
-    ahead: dict[str, list[str]] = {}
-    for r in rows:
-        ahead.setdefault(r.src, []).append(r.dst)
-    out, met = [], set()
-
-    def walk(node: str, level: int, path: tuple[str, ...]) -> None:
-        mark = "cycle" if node in path else "revisit" if node in met else ""
-        out.append((level, node, mark))
-        if mark:
-            return
-        met.add(node)
-        if level < depth:
-            for b in ahead.get(node, []):
-                walk(b, level + 1, (*path, node))
-
-    walk(id_, 0, ())
-    return out
+#: Lines of a call tree that are shown at a time.
+PAGE = 1000
 
 
-def inbound_tree(c: Catalog, id_: str, depth: int = 3) -> list[tuple[int, str, str]]:
-    """The lines of `trace_tree` against the calls: those who call a symbol itself, then a `member` line for each name among its children, above those who call it.
-
-    One join for each step of the depth serves all symbols of that step. A member line indents its callers and takes no step.
-    """
-    groups: dict[str, dict[str | None, tuple[str | None, dict[str, None]]]] = {}
-    known, ahead = {id_}, [id_]
-    for _ in range(depth):
-        if not ahead:
-            break
-        found = joins.nested_callers(c, lookup.symbols_by_ids(c, ahead), with_ids=True)
-        order = (F.col("child").isNotNull(), "child_line", "child_name", "child", "caller_file", "caller_line", "caller_id")
-        met_here = set()
-        for r in found.orderBy(*order).collect():  # bounded by depth
-            groups.setdefault(r.t, {}).setdefault(r.child_name, (r.child, {}))[1][r.caller_id] = None
-            met_here.add(r.caller_id)
-        ahead = sorted(met_here - known)
-        known |= met_here
-    out, met = [], set()
-
-    def walk(node: str, level: int, left: int, path: tuple[str, ...]) -> None:
-        mark = "cycle" if node in path else "revisit" if node in met else ""
-        out.append((level, node, mark))
-        if mark:
-            return
-        met.add(node)
-        for name, (child, callers) in groups.get(node, {}).items() if left else ():
-            if name is not None:
-                out.append((level + 1, child, "member"))
-            for caller in callers:
-                walk(caller, level + 1 + (name is not None), left - 1, (*path, node))
-
-    walk(id_, 0, depth, ())
-    return out
+def trace_tree(c: Catalog, id_: str, direction: str = "out", depth: int = 3, limit: int = PAGE, offset: int = 0) -> list[tuple[int, str, str]]:
+    """(level, id, mark): `limit` lines of `calltree.call_lines`, after `offset` ones; no more reach the driver."""
+    page = calltree.call_lines(c, id_, direction, depth).orderBy("path").offset(offset).limit(limit)
+    return [(r.level, r.id, r.mark) for r in page.select("level", "id", "mark").collect()]
 
 
 def blast_radius(c: Catalog, name: str, file_pattern: str | None = None, by_name: bool = False) -> DataFrame:

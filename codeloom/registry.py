@@ -17,7 +17,7 @@ from .catalog import Catalog
 from .functions import scalars
 from .functions.paths import extension, is_test, top_dir
 from .operators import aggregates as agg
-from .operators import changes, graph, joins, lookup, nearest, prefixes, resolve, search, spans
+from .operators import calltree, changes, graph, joins, lookup, nearest, prefixes, resolve, search, spans
 from .plans import modes
 from .sources import projection
 from .streaming import watch
@@ -523,3 +523,40 @@ _add("r03_alias_targets", _aliased, f"""
         when start = '@/' then [concat_ws('/', nullif(base, ''), 'own/' || name)] when start = '@/sub/' then [concat_ws('/', nullif(regexp_replace(base, '/?[^/]*$', ''), ''), 'deep/' || name || '/index')] else [] end,
       if(based, [concat_ws('/', nullif(base, ''), start || name)], [])) as targets from q)
     select id, unnest(targets) as target, unnest(range(0, len(targets)))::int as at from t""")
+
+# Call trees ------------------------------------------------------------------------
+
+
+def _nested(c: Catalog) -> Catalog:
+    """Parts are named after their ids, and every fourth is a member of the part of a quarter of its number."""
+    n = F.substring("id", 2, 20).cast("long")
+    parent = F.when((n % 4 == 0) & (n > 0), F.concat(F.lit("p"), F.floor(n / 4).cast("string")))
+    return c.with_(symbols=c.symbols.filter(F.col("id").startswith("p")).withColumn("name", F.col("id")).withColumn("parent_id", parent).select(*c.symbols.columns))
+
+
+def _walk(kids: str) -> str:
+    """SQL of a walk from p3 to depth 3, one line at a time, over lists of what is below each symbol."""
+    return f"""
+    with recursive s as (select id, line, file_path, cast(id[2:] as bigint) as k, case when cast(id[2:] as bigint) % 4 = 0 and cast(id[2:] as bigint) > 0 then 'p' || (cast(id[2:] as bigint) // 4) end as parent from symbols where id like 'p%'),
+    e as (select distinct caller_id as a, callee_id as b from call_edges where callee_id is not null),
+    {kids},
+    walk as (
+      select [{{'id': 'p3', 'lv': 0, 'st': 0, 'm': false, 'path': []::varchar[]}}] as stack, []::varchar[] as met, null::int as level, null::varchar as id, null::varchar as parent, null::varchar as mark
+      union all
+      select list_concat(case when not top.m and not list_contains(met, top.id) and top.st < 3 then coalesce(list_transform(ks, lambda x: {{'id': x.id, 'lv': top.lv + 1 + if(x.m, 0, x.g), 'st': top.st + 1, 'm': x.m, 'path': list_append(top.path, top.id)}}), []) else [] end, stack[2:]),
+        case when top.m or list_contains(met, top.id) then met else list_append(met, top.id) end, top.lv, top.id, top.path[-1],
+        case when top.m then 'member' when list_contains(top.path, top.id) then 'cycle' when list_contains(met, top.id) then 'revisit' else '' end
+      from (select *, stack[1] as top from walk where len(stack) > 0) w left join kids on kids.t = w.top.id)
+    select level, id, parent, mark from walk where level is not null"""
+
+
+_LINES = ("level", "id", "parent", "mark")
+_add("g04_inbound_tree", lambda c: calltree.call_lines(_nested(c), "p3", "in", 3).select(*_LINES), _walk("""
+    g as (select b as t, 0 as g, null::int as ml, null::varchar as mn, true as caller, s.file_path, s.line, a as id from e join s on s.id = a
+      union all select m.parent, 1, m.line, m.id, true, s.file_path, s.line, a from e join s on s.id = a join s m on m.id = b where m.parent is not null
+      union all select distinct m.parent, 1, m.line, m.id, false, null, null::int, m.id from e join s on s.id = a join s m on m.id = b where m.parent is not null),
+    kids as (select t, list({'id': id, 'm': not caller, 'g': g} order by g, ml, mn, caller, file_path, line, id) as ks from g group by t)"""))
+_add("g03_outbound_tree", lambda c: calltree.call_lines(_nested(c), "p3", "out", 3).select(*_LINES), _walk("""
+    made as (select caller_id as t, callee_id as id, min(call_line) as line from call_edges x join call_sites y on y.id = x.call_site_id where callee_id is not null group by 1, 2),
+    g as (select t, id, 0 as g, line from made union all select parent, id, 2, line from s where parent is not null and id in (select caller_id from call_edges)),
+    kids as (select t, list({'id': id, 'm': false, 'g': 0} order by g, line, id) as ks from g group by t)"""))

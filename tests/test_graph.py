@@ -4,9 +4,12 @@ import random
 
 import pytest
 from graphs import G, calls, catalog
+from pyspark.sql import functions as F
 
-from codeloom.operators import graph
+from codeloom.catalog import Catalog
+from codeloom.operators import calltree, graph
 from codeloom.plans import modes
+from codeloom.storage import Store
 
 
 def frame(spark, pairs):
@@ -104,3 +107,41 @@ def test_trees_of_any_depth(spark):
     assert [r.id for r in graph.ancestors(c, "x").collect()] == ["y"]
     deep = c.with_(symbols=c.symbols.filter("id in ('x', 'y') or cast(substring(id, 2) as int) <= 33"))
     assert {r.id: r.class_id for r in graph.parent_class(deep).collect()} == {f"s{i}": "s0" for i in range(34)}
+
+
+def _walked(edges, root, depth):
+    """Lines (level, id, mark) of a walk over (src, dst, key) edges."""
+    out, met = [], set()
+
+    def walk(node, level, path):
+        mark = "cycle" if node in path else "revisit" if node in met else ""
+        out.append((level, node, mark))
+        if not mark:
+            met.add(node)
+            for _, b in sorted((k, b) for a, b, k in edges if a == node) if level < depth else ():
+                walk(b, level + 1, (*path, node))
+
+    walk(root, 0, ())
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_lines_are_those_of_a_walk(spark, seed):
+    """Random graphs with rings, where limits of depth hide what another order would show."""
+    rng = random.Random(seed)
+    n = 14
+    edges = {(f"n{rng.randrange(n):02}", f"n{rng.randrange(n):02}"): rng.randrange(5) for _ in range(40)}
+    edges = [(a, b, k) for (a, b), k in edges.items()]
+    frame = spark.createDataFrame(edges, "src string, dst string, k int")
+    keyed = frame.select("src", "dst", calltree._key(grp=F.lit(0), child_line=F.col("k"), id=F.col("dst")).alias("key"))
+    for depth in (1, 3, 5):
+        got = calltree.lines(Catalog.empty(spark), "n00", keyed, depth, Store(spark, "t")).orderBy("path").collect()
+        assert [(r.level, r.id, r.mark) for r in got] == _walked([(a, b, (k, b)) for a, b, k in edges], "n00", depth)
+
+
+def test_a_hub_is_paged(spark):
+    """100 000 callers: a page of them reaches the driver."""
+    edges = spark.range(100_000).select(F.lit("hub").alias("src"), F.format_string("c%06d", "id").alias("dst")).withColumn("key", calltree._key(grp=F.lit(0), id=F.col("dst")))
+    found = calltree.lines(Catalog.empty(spark), "hub", edges, 2, Store(spark, "t"))
+    assert found.count() == 100_001
+    assert [r.id for r in found.orderBy("path").offset(2).limit(2).collect()] == ["c000001", "c000002"]
