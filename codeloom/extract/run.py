@@ -113,12 +113,12 @@ def inherited(c: Catalog) -> DataFrame:
     return c.symbols.drop("inheritence").join(lists.select("id", plain.alias("inheritence")), "id", "left").select(*schema.SYMBOLS.names)
 
 
-def index(spark: SparkSession, root: str, config: Config | None = None, before: Catalog | None = None, now_millis: int = 0, only: DataFrame | None = None) -> Catalog:
-    """The index of a source tree. With one from before, only new and changed files are read, and those gone are dropped (of `only` (path), if given)."""
+def index(spark: SparkSession, root: str, config: Config | None = None, before: Catalog | None = None, now_millis: int = 0, only: DataFrame | None = None, definitions: DataFrame | None = None, hovers: DataFrame | None = None) -> Catalog:
+    """The index of a source tree. With one from before, only new and changed files are read, and those gone are dropped (of `only` (path), if given). `definitions` and `hovers` are what a language server gave (see `resolve.resolve_calls`)."""
     config = config or Config()
     store = Store(spark, "index")
     found = store.keep(source_files.scan(spark, root, config), "scan")
-    return apply(spark, found, config, before, now_millis, only, store, settings_of(spark, root, config, store))
+    return apply(spark, found, config, before, now_millis, only, store, settings_of(spark, root, config, store), definitions, hovers)
 
 
 def settings_of(spark: SparkSession, root: str, config: Config, store: Store) -> DataFrame | None:
@@ -126,7 +126,7 @@ def settings_of(spark: SparkSession, root: str, config: Config, store: Store) ->
     return None if config.path_aliases else store.keep(source_files.settings(spark, root, source_files.ignore_rules(root, config)), "settings")
 
 
-def apply(spark: SparkSession, found: DataFrame, config: Config, before: Catalog | None, now_millis: int, only: DataFrame | None, store: Store, settings: DataFrame | None = None) -> Catalog:
+def apply(spark: SparkSession, found: DataFrame, config: Config, before: Catalog | None, now_millis: int, only: DataFrame | None, store: Store, settings: DataFrame | None = None, definitions: DataFrame | None = None, hovers: DataFrame | None = None) -> Catalog:
     """As `index`, for files (path, content, language, hash, estimated_tokens)."""
     old = before or Catalog.empty(spark)
     if only is not None:
@@ -144,4 +144,4 @@ def apply(spark: SparkSession, found: DataFrame, config: Config, before: Catalog
         exceptions=kept.exceptions.unionByName(new["exceptions"]), env_vars=kept.env_vars.unionByName(new["env_vars"]),
     )
     c = c.with_(symbols=store.keep(inherited(c), "symbols"))
-    return c.with_(call_edges=store.keep(resolve.resolve_calls(c), "edges"))
+    return c.with_(call_edges=store.keep(resolve.resolve_calls(c, definitions=definitions, hovers=hovers), "edges"))

@@ -15,8 +15,8 @@ from pyspark.sql.window import Window
 
 from .. import schema
 from ..catalog import Catalog
-from ..functions.paths import dirname
 from ..functions.scalars import confidence, local_names
+from . import prefixes
 
 # Names that a language brings along, by kind of call.
 TYPESCRIPT_CALLS = (
@@ -84,11 +84,11 @@ def resolve_imports(c: Catalog, targets: DataFrame) -> DataFrame:
     return joined.withColumns(new).select(*c.imports.columns)
 
 
-def _candidate(df: DataFrame, kind: str, source, priority: int, callee=None, imports=None) -> DataFrame:
+def _candidate(df: DataFrame, kind: str, source, priority: int, callee=None, imports=None, kind_=None) -> DataFrame:
     none = F.lit(None).cast("string")
     source = F.lit(source) if isinstance(source, str) else source
     return df.select(
-        F.col("site").alias("call_site_id"), "caller_id", F.lit(kind).alias("target_kind"), (none if callee is None else F.col(callee)).alias("callee_id"),
+        F.col("site").alias("call_site_id"), "caller_id", (F.col(kind_) if kind_ else F.lit(kind)).alias("target_kind"), (none if callee is None else F.col(callee)).alias("callee_id"),
         (none if imports is None else F.col(imports)).alias("imports_id"), source.alias("resolution_source"), F.lit(priority).alias("priority"),
     )
 
@@ -155,12 +155,61 @@ def unresolved(sites: DataFrame, c: Catalog) -> DataFrame:
 STAGES: tuple[Callable[[DataFrame, Catalog], DataFrame], ...] = (dynamic, same_class, same_file, by_import, builtin, unresolved)
 
 
-def resolve_calls(c: Catalog, sites: DataFrame | None = None, stages=STAGES, definitions: DataFrame | None = None) -> DataFrame:
-    """One edge for each call site. `definitions` (call_site_id, callee_id), where a language server gave some, rank below builtins."""
+def by_definition(sites: DataFrame, c: Catalog, locations: DataFrame, builtin_paths: tuple[str, ...] = ()) -> DataFrame:
+    """Where a language server says that callees are defined: locations (call_site_id, path, line, column), with `n` if it gave several.
+
+    A callable or class that begins there is called; else a path below one of
+    `builtin_paths` is a part of the language; else the file's import of that
+    folder, or of a name in the expression, is. Of several locations the last
+    one that leads to anything counts.
+    """
+    n = F.col("n") if "n" in locations.columns else F.lit(0)
+    asked = sites.join(locations.select(F.col("call_site_id").alias("site"), n.alias("n"), "path", F.col("line").alias("at_line"), F.col("column").alias("at_column")), "site")
+    asked = asked.withColumn("place", F.concat_ws("#", "site", F.col("n").cast("string")))
+    there = c.symbols.filter(F.col("kind").isin(*schema.CALLABLE_KINDS, "class")).groupBy(F.col("file_path").alias("path"), F.col("line").alias("at_line"), F.col("column").alias("at_column")).agg(F.min("id").alias("member"))
+    known = asked.join(there, ["path", "at_line", "at_column"], "left")
+    language = F.lit(False)
+    for start in builtin_paths:
+        language = language | F.col("path").startswith(start)
+    known = known.withColumn("language", language)
+    open_ = known.filter("member is null and not language").select(F.col("place").alias("site"), F.col("caller_file_path").alias("file_path"), F.col("path").alias("definition_path"), "callee_expression", "language_name")
+    found = None
+    for name in ("typescript", "python"):
+        one = prefixes.imports_of_definitions(c, open_.filter(F.col("language_name") == name if name == "python" else F.coalesce(F.col("language_name") != "python", F.lit(True))), name)
+        found = one if found is None else found.unionByName(one)
+    full = known.join(found.select(F.col("site").alias("place"), F.col("imports_id").alias("imp")), "place", "left").filter("member is not null or language or imp is not null")
+    last = _first(full, F.desc("n"), "member", "imp")
+    kind = F.when(F.col("member").isNotNull(), "project_symbol").when(F.col("language"), "builtin").otherwise("import")
+    out = last.withColumn("imp", F.when(kind == "import", F.col("imp"))).withColumn("kind_", kind)
+    return _candidate(out, "", "lsp_definition", 6, callee="member", imports="imp", kind_="kind_")
+
+
+def by_hover(sites: DataFrame, c: Catalog, hovers: DataFrame) -> DataFrame:
+    """What hovers over the receivers of a call say: (call_site_id, n, text), the nearest receiver first. The first import of a name or type that one of them shows is called."""
+    from .enhance import hover_parts, type_names
+
+    shown = hovers.select(F.col("call_site_id").alias("site"), "n", hover_parts(F.col("text")).alias("h")).filter("h.name <> '' and h.type <> ''")
+    words = F.array_distinct(F.array(F.col("h.name"), F.array_join(type_names(F.col("h.type")), " ")))
+    asked = sites.select("site", "caller_id", "caller_file_path").join(shown.select("site", "n", F.explode(words).alias("word")).filter("word <> ''"), "site")
+    names = c.imports.select(F.col("file_path").alias("caller_file_path"), F.explode(local_names(F.col("importedNames"), types=True)).alias("word"), "resolvedPath", F.col("id").alias("imp"))
+    return _candidate(_first(asked.join(names, ["caller_file_path", "word"]), "n", "resolvedPath", "imp"), "import", "lsp_hover", 7, imports="imp")
+
+
+def resolve_calls(c: Catalog, sites: DataFrame | None = None, stages=STAGES, definitions: DataFrame | None = None, hovers: DataFrame | None = None, builtin_paths: tuple[str, ...] = ()) -> DataFrame:
+    """One edge for each call site.
+
+    What a language server gave ranks below builtins: `definitions`, as
+    (call_site_id, callee_id) or as the locations of `by_definition`, then
+    `hovers` as `by_hover` takes them.
+    """
     sites = (c.call_sites if sites is None else sites).withColumnRenamed("id", "site")
     found = [stage(sites, c) for stage in stages]
-    if definitions is not None:
+    if definitions is not None and "callee_id" in definitions.columns:
         found.append(_candidate(sites.join(definitions.select(F.col("call_site_id").alias("site"), "callee_id"), "site"), "project_symbol", "lsp_definition", 6, callee="callee_id"))
+    elif definitions is not None:
+        found.append(by_definition(sites, c, definitions, builtin_paths))
+    if hovers is not None:
+        found.append(by_hover(sites, c, hovers))
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)
@@ -170,8 +219,3 @@ def resolve_calls(c: Catalog, sites: DataFrame | None = None, stages=STAGES, def
         F.sha2(F.concat_ws("|", "call_site_id", "caller_id"), 256).alias("id"), "call_site_id", "caller_id", "target_kind", "callee_id", "imports_id", "resolution_source",
         confidence(F.col("resolution_source")).cast("int").alias("confidence"), F.lit(None).cast("string").alias("reason"),
     )
-
-
-def sibling_imports(c: Catalog) -> DataFrame:
-    """(id, dir) of imports by the folder that they resolve to."""
-    return c.imports.filter("resolvedPath is not null").select("id", dirname("resolvedPath").alias("dir"))

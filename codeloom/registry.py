@@ -17,7 +17,7 @@ from .catalog import Catalog
 from .functions import scalars
 from .functions.paths import extension, is_test, top_dir
 from .operators import aggregates as agg
-from .operators import calltree, changes, graph, joins, lookup, nearest, prefixes, resolve, search, spans
+from .operators import calltree, changes, enhance, graph, joins, lookup, nearest, prefixes, resolve, search, spans
 from .plans import modes
 from .sources import projection
 from .streaming import watch
@@ -560,3 +560,95 @@ _add("g03_outbound_tree", lambda c: calltree.call_lines(_nested(c), "p3", "out",
     made as (select x.caller_id as t, callee_id as id, min(call_line) as line from call_edges x join call_sites y on y.id = x.call_site_id where callee_id is not null group by 1, 2),
     g as (select t, id, 0 as g, line from made union all select parent, id, 2, line from s where parent is not null and id in (select caller_id from call_edges)),
     kids as (select t, list({'id': id, 'm': false, 'g': 0} order by g, line, id) as ks from g group by t)"""))
+
+# What language servers and signatures say ------------------------------------------
+
+
+def _moved(c: Catalog) -> Catalog:
+    """Call sites as if they stood in the file of their caller's imports."""
+    return c.with_(call_sites=c.call_sites.withColumn("caller_file_path", F.concat(F.lit("parts/"), "caller_id", F.lit(".ts"))).withColumn("callee_expression", F.concat(F.lit("made."), "callee_name", F.lit("?.go"))))
+
+
+def _definitions(c: Catalog) -> DataFrame:
+    """For each call site by its caller: the callee's own place, a place in the language, in the folder of imports, or one that only the expression explains; and before that one that leads nowhere."""
+    k = F.substring("caller_id", 2, 20).cast("long") % 5
+    y = F.regexp_extract("id", "([0-9]+)$", 1).cast("long")
+    path = F.when(k == 0, F.format_string("parts/f%d.ts", y % 97)).when(k == 1, "lib/es5.d.ts").when(k == 2, "parts/other.ts").otherwise("far/away.ts")
+    given = c.call_sites.select(F.col("id").alias("call_site_id"), F.lit(1).alias("n"), path.alias("path"), F.floor(y / 97).cast("int").alias("line"), F.lit(0).alias("column"))
+    return given.unionByName(given.select("call_site_id", F.lit(0).alias("n"), F.lit("no/where.ts").alias("path"), "line", "column").filter("line % 2 = 0"))
+
+
+def _edges(df: DataFrame) -> DataFrame:
+    return df.select("call_site_id", "target_kind", "callee_id", "imports_id", "resolution_source", "confidence")
+
+
+_add("c12_definition_edges", lambda c: _edges(resolve.resolve_calls(_moved(c), stages=(resolve.unresolved,), definitions=_definitions(c), builtin_paths=("lib/",))), """
+    with q as (select id as site, 'parts/' || caller_id || '.ts' as file_path, cast(caller_id[2:] as bigint) % 5 as k, cast(regexp_extract(id, '([0-9]+)$', 1) as bigint) as y, callee_name from call_sites),
+    i as (select id, file_path, resolvedPath, importedNames[1] as name from imports),
+    near as (select site, min({'r': resolvedPath, 'i': id})['i'] as imp from q join i using (file_path) where k in (0, 2) group by 1),
+    chained as (select site, min({'r': resolvedPath, 'i': id})['i'] as imp from q join i using (file_path) where name in ('made', callee_name, 'go') group by 1),
+    r as (select q.*, s.id as callee, case when s.id is null and k <> 1 then coalesce(near.imp, chained.imp) end as imp from q left join near using (site) left join chained using (site)
+      left join symbols s on k = 0 and s.id = 'p' || y and s.kind in ('function', 'method', 'arrowFunction', 'class'))
+    select site as call_site_id, case when callee is not null then 'project_symbol' when k = 1 then 'builtin' when imp is not null then 'import' else 'unresolved' end as target_kind, callee as callee_id, imp as imports_id,
+      if(callee is null and k <> 1 and imp is null, 'unresolved', 'lsp_definition') as resolution_source, if(callee is null and k <> 1 and imp is null, 0, 100) as confidence from r""")
+
+
+def _hovers(c: Catalog) -> DataFrame:
+    """Two hovers for each call site: one that shows a type that no import has, or nothing, and one that names the callee."""
+    k = F.substring("caller_id", 2, 20).cast("long") % 4
+    name = F.col("callee_name")
+    text = F.when(k == 0, F.concat(name, F.lit(": Widget"))).when(k == 1, F.concat(F.lit("Look:\n```typescript\n(method) ("), name, F.lit(") => Promise<void>\n```\nmore"))).when(k == 2, F.concat(F.lit("no mark "), name)).otherwise(F.concat(F.lit("(alias) q: "), name))
+    one = c.call_sites.select(F.col("id").alias("call_site_id"), F.lit(1).alias("n"), text.alias("text"))
+    return one.unionByName(one.select("call_site_id", F.lit(0).alias("n"), F.lit("(property) other: Missing").alias("text")))
+
+
+_add("c13_hover_edges", lambda c: _edges(resolve.resolve_calls(_moved(c), stages=(resolve.unresolved,), hovers=_hovers(c))), """
+    with q as (select id as site, 'parts/' || caller_id || '.ts' as file_path, cast(caller_id[2:] as bigint) % 4 as k, callee_name from call_sites),
+    f as (select site, min({'r': resolvedPath, 'i': i.id})['i'] as imp from q join imports i on i.file_path = q.file_path and importedNames[1] = callee_name where k in (0, 1) group by 1)
+    select site as call_site_id, if(imp is null, 'unresolved', 'import') as target_kind, null::varchar as callee_id, imp as imports_id, if(imp is null, 'unresolved', 'lsp_hover') as resolution_source, if(imp is null, 0, 60) as confidence from q left join f using (site)""")
+
+
+def _signed(c: Catalog, spark: SparkSession, sf_dir: str) -> Catalog:
+    """Parts with signatures that name nations, brands and types as bases."""
+    n = F.substring("id", 2, 20).cast("long")
+    nation = projection.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("_k"), F.regexp_replace("n_name", "[^A-Za-z0-9_]", "_").alias("_n"))
+    s = c.symbols.filter("id like 'p%'").withColumn("_k", n % 25).join(nation, "_k")
+    text = (
+        F.when(F.col("kind") == "class", F.concat(F.lit("class P<T extends Q> extends "), "_n", F.lit("<Map<A, B>, C>\n  implements I1, "), "decorator", F.lit(" {")))
+        .when(F.col("kind") == "interface", F.concat(F.lit("interface P extends Missing, Lost")))
+        .when((F.col("kind") == "type") & (n % 3 == 0), F.concat(F.lit("type P = "), "_n", F.lit(" & Fn<(a: X) => Y & Z> & Last")))
+        .when((F.col("kind") == "type") & (n % 3 == 1), F.concat(F.lit("type P =\n  | "), "_n", F.lit("\n  | 'text'")))
+        .when(F.col("kind") == "type", F.concat(F.lit("type P = Pick<"), "_n", F.lit(", 'a' | 'b'>")))
+    )
+    # Nations are symbols by the same names, so that bases are found among them.
+    named = c.symbols.filter("id like 'n%'").withColumn("name", F.regexp_replace("name", "[^A-Za-z0-9_]", "_"))
+    return c.with_(symbols=s.withColumn("signature", text).withColumn("inheritence", F.when(F.lit(False), F.col("inheritence"))).select(*c.symbols.columns).unionByName(named))
+
+
+_add("h03_signature_bases", lambda spark, d: (lambda c: enhance.enhance_bases(_signed(c, spark, d)).symbols.filter("inheritence is not null").select("id", F.posexplode("inheritence").alias("at", "b")).select("id", "at", F.col("b.inherits_from_name").alias("base"), F.col("b.inheritence_type").alias("how")))(projection.project(spark, d)), """
+    with p as (select 'p' || p_partkey as id, p_partkey % 3 as k, regexp_replace(n_name, '[^A-Za-z0-9_]', '_', 'g') as n, split_part(p_type, ' ', 1) as t, p_brand from part join nation on n_nationkey = p_partkey % 25),
+    x as (select id, case when t = 'ECONOMY' then [{'b': n, 'h': 'extends'}, {'b': 'I1', 'h': 'implements'}] when t = 'SMALL' and k = 0 then [{'b': n, 'h': 'intersection'}, {'b': 'Fn', 'h': 'intersection'}, {'b': 'Last', 'h': 'intersection'}]
+      when t = 'SMALL' and k = 1 then [{'b': n, 'h': 'union'}] when t = 'SMALL' then [{'b': n, 'h': 'extends'}] else [] end as l from p)
+    select id, unnest(range(0, len(l)))::int as at, unnest(l)['b'] as base, unnest(l)['h'] as how from x""", raw=True)
+
+
+def _implemented(c: Catalog) -> DataFrame:
+    """Interfaces of parts with the places of the two parts after them in their file."""
+    face = c.symbols.filter("kind = 'interface' and id like 'p%'").select(F.col("id").alias("interface_id"), "file_path", "line")
+    return face.select("interface_id", "file_path", F.explode(F.array(F.col("line") + 1, F.col("line") + 2, F.col("line") + 2)).alias("line"))
+
+
+_add("h02_implementations", lambda c: enhance.enhance_implementations(c.with_(symbols=c.symbols.filter("id like 'p%'").withColumn("inheritence", F.when(F.lit(False), F.col("inheritence")))), _implemented(c)).symbols.filter("inheritence is not null").select("id", F.explode("inheritence").alias("b")).select("id", F.col("b.inherits_from_name").alias("base"), F.col("b.inheritence_type").alias("how")), """
+    with hit as (select distinct s.id, f.name from symbols f join symbols s on s.file_path = f.file_path and s.line in (f.line + 1, f.line + 2) and s.id like 'p%' where f.kind = 'interface' and f.id like 'p%')
+    select distinct id, name as base, 'implements' as how from hit""")
+
+
+def _hovered(c: Catalog) -> DataFrame:
+    n = F.substring("id", 2, 20).cast("long")
+    text = F.when(n % 3 == 0, F.concat(F.lit("```typescript\n(method) A.f(a: Map<string, number>, b?: "), "return_type", F.lit(", c): Promise<void>\n```"))).when(n % 3 == 1, F.concat(F.lit("(function) def f() -> "), "return_type")).otherwise(F.lit("nothing here"))
+    return c.symbols.filter("id like 'p%'").select("id", text.alias("text"))
+
+
+_add("h01_callable_types", lambda c: enhance.enhance_callables(c, _hovered(c)).symbols.filter("parameters_json is not null").select("id", "parameters_json", "return_type"), """
+    select id, case when k = 0 then '[{"name":"a","type":"Map<string, number>"},{"name":"b?","type":"' || return_type || '"},{"name":"c","type":"any"}]' else '[]' end as parameters_json, if(k = 0, 'Promise<void>', return_type) as return_type
+    from (select *, cast(id[2:] as bigint) % 3 as k from symbols where id like 'p%') where kind in ('function', 'method', 'arrowFunction') and k < 2""")
