@@ -15,6 +15,7 @@ from ..config import Config
 from ..functions.parsers import resolve_module
 from ..operators import changes, nearest, resolve
 from ..sources import files as source_files
+from ..sources import walk
 from ..storage import Store
 
 #: Candidates that an import's aliases come before.
@@ -117,13 +118,15 @@ def index(spark: SparkSession, root: str, config: Config | None = None, before:
     """The index of a source tree. With one from before, only new and changed files are read, and those gone are dropped (of `only` (path), if given). `definitions` and `hovers` are what a language server gave (see `resolve.resolve_calls`)."""
     config = config or Config()
     store = Store(spark, "index")
-    found = store.keep(source_files.scan(spark, root, config), "scan")
-    return apply(spark, found, config, before, now_millis, only, store, settings_of(spark, root, config, store), definitions, hovers)
+    found, settings = scanned(spark, root, config, store)
+    return apply(spark, found, config, before, now_millis, only, store, settings, definitions, hovers)
 
 
-def settings_of(spark: SparkSession, root: str, config: Config, store: Store) -> DataFrame | None:
-    """The tree's compiler settings, where `config` names no aliases itself."""
-    return None if config.path_aliases else store.keep(source_files.settings(spark, root, source_files.ignore_rules(root, config)), "settings")
+def scanned(spark: SparkSession, root: str, config: Config, store: Store) -> tuple[DataFrame, DataFrame | None]:
+    """The tree's files with their contents, and its compiler settings where `config` names no aliases itself; both from one walk."""
+    listing = store.keep(walk.walk(spark, root, config, store), "listing")
+    found = store.keep(walk.read(spark, root, listing, config), "scan")
+    return found, None if config.path_aliases else store.keep(source_files.settings(spark, root, listing), "settings")
 
 
 def apply(spark: SparkSession, found: DataFrame, config: Config, before: Catalog | None, now_millis: int, only: DataFrame | None, store: Store, settings: DataFrame | None = None, definitions: DataFrame | None = None, hovers: DataFrame | None = None) -> Catalog:

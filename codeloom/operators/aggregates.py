@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema
@@ -70,6 +70,12 @@ def coupling(c: Catalog, min_symbols: int = 1, file_pattern: str | None = None,
     return out.withColumn("distance", F.abs(F.col("abstractness") + F.col("instability") - 1)).select("file_path", "ce", "ca", "instability", "abstractness", "distance", "total")
 
 
+def by_file(df: DataFrame, order: Column) -> DataFrame:
+    """(file_path, n, rows): the rows of each file together, by `order`; files without rows have none."""
+    listed = F.transform(F.sort_array(F.collect_list(F.struct(order.alias("_o"), F.struct(*df.columns).alias("row")))), lambda x: x["row"])
+    return df.groupBy("file_path").agg(F.count("*").alias("n"), listed.alias("rows"))
+
+
 def files_by_dir(c: Catalog, depth: int = 1) -> DataFrame:
     return c.files.groupBy(top_dir("path", depth).alias("dir")).agg(F.count("*").alias("files"), F.sum("estimated_tokens").alias("tokens"))
 

@@ -41,7 +41,8 @@ def callers(c: Catalog, name: str) -> DataFrame:
     edges = _edges_with_sites(c).select("caller_id", "callee_id", "callee_name")
     named = c.symbols.filter(F.col("name") == name).select("id")
     by_id = edges.join(named.withColumnRenamed("id", "callee_id"), "callee_id", "left_semi").select("caller_id")
-    by_name = edges.filter(F.col("callee_name") == name).join(F.broadcast(named.limit(1).select(F.lit(1).alias("known"))), how="inner").select("caller_id")
+    known = c.symbols.filter(F.col("name") == name).select(F.col("name").alias("callee_name"))
+    by_name = edges.filter(F.col("callee_name") == name).join(known, "callee_name", "left_semi").select("caller_id")
     return by_id.unionByName(by_name).join(_caller(c), "caller_id").distinct().select("caller_file", "caller_name", "caller_line", "caller_id")
 
 

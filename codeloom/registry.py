@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from . import registry_sources
 from .catalog import Catalog
-from .functions import scalars
+from .functions import parsers, scalars
+from .functions.globs import LinkedGlobs
 from .functions.paths import extension, is_test, top_dir
 from .operators import aggregates as agg
 from .operators import calltree, changes, enhance, graph, joins, lookup, nearest, prefixes, resolve, search, spans
@@ -219,13 +220,7 @@ _add("v02_rrf", lambda c: search.hybrid(c, "*e*", _vector7(c), ("function", "cla
     t as (select id, row_number() over (order by file_path, line, id) as p from (select * from symbols where name ilike '%e%' and kind in ('function', 'class') and file_path ilike '%parts%' order by file_path, line, id limit 40)),
     v as (select s.id, row_number() over (order by distance, symbol_id) as p from top join symbols s on s.id = symbol_id where kind in ('function', 'class') and contains(file_path, 'parts'))
     select id, round(score, 9) as score from (select coalesce(t.id, v.id) as id, coalesce(1 / (60.0 + t.p), 0) + coalesce(1 / (60.0 + v.p), 0) as score from t full join v on t.id = v.id) order by score desc, id limit 20""")
-_add("v03_embedding_text", lambda c: search.embedding_text(lookup_only(c)).select("id", "text"), "select id, concat_ws(chr(10), name, kind, file_path) as text from symbols where file_path = 'geo/r1.ts'")
-
-
-def lookup_only(c: Catalog) -> Catalog:
-    return c.with_(symbols=c.symbols.filter("file_path = 'geo/r1.ts'"))
-
-
+_add("v03_embedding_text", lambda c: search.embedding_text(c.with_(symbols=joins.needing_embeddings(c))).select("id", "text"), "select id, concat_ws(chr(10), name, kind, file_path) as text from symbols where id not in (select symbol_id from vec_symbols)")
 _add("v03_embedding_text_all", search.embedding_text, "select id, concat_ws(chr(10), name, kind, file_path) as text from symbols")
 
 
@@ -248,9 +243,12 @@ _add("m18_required_env_vars", lambda c: modes.required_env_vars(c, "NATION_3").s
 _add("m19_error_flow", lambda c: modes.error_flow(c, "NATION_3").select("id", "exception_type", "scope"), """
     with f as (select id from symbols where name = 'NATION_3'), r as (select id from f union select parent_id from symbols where name = 'NATION_3' union select s.id from symbols s join f on s.parent_id = f.id)
     select x.id, x.exception_type, case when lower(s.name) = 'nation_3' then 'direct' else 'downstream' end as scope from exceptions x left join symbols s on s.id = x.symbol_id where x.symbol_id in (select id from r)""")
-_add("m20_data_flow", lambda c: modes.data_flow(c, "p3", 15).filter("role = 'callee'").select("name", "file_path", "line"), """
-    select coalesce(t.name, s.callee_name) as name, coalesce(t.file_path, i."sourceModule") as file_path, s.call_line as line from call_edges e join call_sites s on s.id = e.call_site_id
-    left join symbols t on t.id = e.callee_id left join imports i on i.id = e.imports_id where e.caller_id = 'p3' order by 3, 1, 2 nulls first limit 15""")
+_add("m20_data_flow", lambda c: modes.data_flow(c.with_(symbols=c.symbols.withColumn("parameters_json", F.lit('[{"name":"a","type":"int"},{"name":"b","type":"X"}]'))), "p3", 15), f"""
+    with callee as (select coalesce(t.name, s.callee_name) as name, coalesce(t.file_path, i."sourceModule") as file_path, s.call_line as line from call_edges e join call_sites s on s.id = e.call_site_id
+      left join symbols t on t.id = e.callee_id left join imports i on i.id = e.imports_id where e.caller_id = 'p3' order by 3, 1, 2 nulls first limit 15),
+    caller as (select distinct caller_name as name, caller_file as file_path, caller_line as line from ({_NESTED.format(caller=_CALLER, target="t.id = 'p3'")}) order by 2, 3, 1 limit 15)
+    select 'callee' as role, name, file_path, line from callee union all select 'caller', name, file_path, line from caller
+    union all select 'return', return_type, null, null from symbols where id = 'p3' and return_type is not null union all select 'parameter', n, t, null from (values ('a', 'int'), ('b', 'X')) v(n, t)""")
 _add("m21_key_symbols_by_dir", lambda c: modes.codebase_map(c.with_(files=c.symbols.select(F.col("file_path").alias("path"), F.lit(0).cast("long").alias("estimated_tokens")).distinct())).select("dir", "files", "layer", F.array_join(F.transform("key_symbols", lambda x: x["name"]), ",").alias("keys")), f"""
     with pub as ({_PUBLIC}), k as (select pub.id, pub.name, string_split(file_path, '/')[1] as dir, count(e.id) as n from pub left join call_edges e on e.callee_id = pub.id group by 1, 2, 3),
     best as (select *, row_number() over (partition by dir order by n desc, id) as r from k), top as (select dir, string_agg(name, ',' order by r) as keys from best where r <= 5 group by 1)
@@ -358,10 +356,10 @@ def _cascade(c: Catalog) -> DataFrame:
     key = F.regexp_extract("callee_name", r"^(.*)$", 1)
     sites = c.call_sites.withColumn("callee_name", F.when(F.col("call_line") == 1, "parseInt").when(F.col("call_line") == 2, "nowhere").otherwise(key)).withColumn("call_kind", F.when(F.col("call_line") == 7, "dynamic_call").otherwise(F.col("call_kind")))
     imports = c.imports.withColumn("file_path", F.concat(F.lit("parts/f"), F.regexp_extract("file_path", r"([0-9]+)", 1).cast("long") % 97, F.lit(".ts"))).withColumn("resolvedPath", F.concat(F.lit("parts/f"), F.regexp_extract("resolvedPath", r"([0-9]+)", 1).cast("long") % 97, F.lit(".ts")))
-    return resolve.resolve_calls(c.with_(imports=imports), sites).groupBy("resolution_source", "target_kind", "confidence").agg(F.count("*").alias("n"))
+    return resolve.resolve_calls(c.with_(imports=imports), sites)
 
 
-_add("c06_cascade", _cascade, f"""
+_add("c06_cascade", lambda c: _cascade(c).groupBy("resolution_source", "target_kind", "confidence").agg(F.count("*").alias("n")), f"""
     with cs as (select id, caller_file_path as f, call_line, case when call_line = 1 then 'parseInt' when call_line = 2 then 'nowhere' else callee_name end as nm from call_sites),
     i as (select {_FILE97.format('file_path')} as f, {_FILE97.format('"resolvedPath"')} as dst, unnest("importedNames") as nm, id from imports),
     fn as (select file_path as f, name as nm, min(kind) as k from symbols where kind in ('function', 'method', 'arrowFunction', 'class') group by 1, 2),
@@ -371,6 +369,16 @@ _add("c06_cascade", _cascade, f"""
       from cs left join fn on fn.f = cs.f and fn.nm = cs.nm left join hit on hit.id = cs.id)
     select src as resolution_source, case src when 'dynamic_pattern' then 'dynamic' when 'same_file' then 'project_symbol' when 'builtin_list' then 'builtin' when 'unresolved' then 'unresolved' else case when found then 'project_symbol' else 'import' end end as target_kind,
       case src when 'dynamic_pattern' then 100 when 'source_import' then 90 when 'unresolved' then 0 else 80 end as confidence, count(*) as n from r group by 1, 2, 3""")
+_add("c06_edges", lambda c: _cascade(c).select("call_site_id", "caller_id", "target_kind", "callee_id", "imports_id", "resolution_source", "confidence"), f"""
+    with cs as (select id, caller_id, caller_file_path as f, call_line, case when call_line = 1 then 'parseInt' when call_line = 2 then 'nowhere' else callee_name end as nm from call_sites),
+    i as (select {_FILE97.format('file_path')} as f, {_FILE97.format('"resolvedPath"')} as dst, unnest("importedNames") as nm, id from imports),
+    fn as (select file_path as f, name as nm, arg_min(id, {{'l': line, 'i': id}}) as k from symbols where kind in ('function', 'method', 'arrowFunction', 'class') group by 1, 2),
+    hit as (select cs.id, cs.nm, min(i.id) as imp, arg_min(i.dst, i.id) as dst from cs join i on i.f = cs.f and i.nm = cs.nm group by 1, 2),
+    mem as (select hit.id, arg_min(s.id, {{'l': s.line, 'i': s.id}}) as m from hit join symbols s on s.file_path = hit.dst and s.name = hit.nm group by 1),
+    r as (select cs.*, fn.k, hit.imp, mem.m, case when call_line = 7 then 'dynamic_pattern' when fn.k is not null then 'same_file' when hit.dst is not null then 'source_import' when cs.nm = 'parseInt' then 'builtin_list' else 'unresolved' end as src
+      from cs left join fn on fn.f = cs.f and fn.nm = cs.nm left join hit on hit.id = cs.id left join mem on mem.id = cs.id)
+    select id as call_site_id, caller_id, case src when 'dynamic_pattern' then 'dynamic' when 'same_file' then 'project_symbol' when 'builtin_list' then 'builtin' when 'unresolved' then 'unresolved' else if(m is null, 'import', 'project_symbol') end as target_kind,
+      case src when 'same_file' then k when 'source_import' then m end as callee_id, case src when 'source_import' then imp end as imports_id, src as resolution_source, case src when 'dynamic_pattern' then 100 when 'source_import' then 90 when 'unresolved' then 0 else 80 end as confidence from r""")
 _add("r07_import_targets", lambda c: resolve.import_targets(c.imports.select("id", F.regexp_replace("sourceModule", r"^parts/p(\d+)$", "parts/f$1").alias("target")), c.symbols.select(F.col("file_path").alias("path")).distinct()), """
     with f as (select distinct file_path as path from symbols) select i.id, f.path as "resolvedPath" from imports i join f on f.path = replace(i."sourceModule", 'parts/p', 'parts/f') || '.ts'""")
 
@@ -503,9 +511,9 @@ def _marked(c: Catalog) -> DataFrame:
     return folder.filter("dir = '' or length(dir) % 3 = 0")
 
 
-_NEAR = """folder as (select distinct unnest(['', regexp_extract(path, '^[^/]*/[^/]*'), regexp_replace(path, '/[^/]*$', '')]) as dir from files), marked as (select dir from folder where dir = '' or length(dir) % 3 = 0),
+_ABOVE = """folder as (select distinct unnest(['', regexp_extract(path, '^[^/]*/[^/]*'), regexp_replace(path, '/[^/]*$', '')]) as dir from files), marked as (select dir from folder where dir = '' or length(dir) % 3 = 0),
     near as (select path, arg_max(dir, length(dir)) as dir from files join marked on dir = '' or starts_with(path, dir || '/') group by 1)"""
-_add("r04_nearest_settings", lambda c: nearest.nearest(c.files, _marked(c)), f"with {_NEAR} select path, dir from near")
+_add("r04_nearest_settings", lambda c: nearest.nearest(c.files, _marked(c)), f"with {_ABOVE} select path, dir from near")
 
 
 def _aliased(c: Catalog) -> DataFrame:
@@ -517,7 +525,7 @@ def _aliased(c: Catalog) -> DataFrame:
 
 
 _add("r03_alias_targets", _aliased, f"""
-    with {_NEAR}, q as (select path, dir, parse_filename(path) as name, if(length(dir) % 2 = 1, concat_ws('/', nullif(dir, ''), 'base'), dir) as base, length(dir) % 2 = 1 as based, unnest(['@/', '~/', '@/sub/']) as start from near),
+    with {_ABOVE}, q as (select path, dir, parse_filename(path) as name, if(length(dir) % 2 = 1, concat_ws('/', nullif(dir, ''), 'base'), dir) as base, length(dir) % 2 = 1 as based, unnest(['@/', '~/', '@/sub/']) as start from near),
     t as (select start || path as id, base, based, start || name as module, list_concat(
       case when dir = '' and start = '~/' then ['top/' || name, name] when dir = '' and start = '@/' then ['all/' || name] when dir = '' then ['all/sub/' || name]
         when start = '@/' then [concat_ws('/', nullif(base, ''), 'own/' || name)] when start = '@/sub/' then [concat_ws('/', nullif(regexp_replace(base, '/?[^/]*$', ''), ''), 'deep/' || name || '/index')] else [] end,
@@ -652,3 +660,33 @@ def _hovered(c: Catalog) -> DataFrame:
 _add("h01_callable_types", lambda c: enhance.enhance_callables(c, _hovered(c)).symbols.filter("parameters_json is not null").select("id", "parameters_json", "return_type"), """
     select id, case when k = 0 then '[{"name":"a","type":"Map<string, number>"},{"name":"b?","type":"' || return_type || '"},{"name":"c","type":"any"}]' else '[]' end as parameters_json, if(k = 0, 'Promise<void>', return_type) as return_type
     from (select *, cast(id[2:] as bigint) % 3 as k from symbols where id like 'p%') where kind in ('function', 'method', 'arrowFunction') and k < 2""")
+
+# Changes and lookups that had no row of their own ----------------------------------
+
+_add("w09_delete_vectors", lambda c: changes.delete_vectors(c, c.symbols.filter("line % 3 = 0").select("id")).vec_symbols.select("symbol_id", F.size("embedding").alias("n")), "select symbol_id, len(embedding)::int as n from vec_symbols where symbol_id not in (select id from symbols where line % 3 = 0)")
+_add("w16_record_usage", lambda c: agg.usage_totals(changes.record_usage(c, changes.usage_row(c, "click", ["src/src1/en/d1.txt"], 17, 5))), """
+    with f as (select coalesce(sum(estimated_tokens), 18) as t from files where path = 'src/src1/en/d1.txt')
+    select count(*) + 1 as calls, cast(sum(tokens_saved) + max(greatest(0, f.t - 5)) as bigint) as tokens_saved, cast(sum(source_tokens) + max(f.t) as bigint) as source_tokens, cast(sum(response_tokens) + 5 as bigint) as response_tokens from tool_usage, f""")
+_add("a15_imports_by_file", lambda c: agg.by_file(c.imports, F.struct("resolvedPath", "id")).select("file_path", "n", F.array_join(F.transform("rows", lambda r: r["id"]), ",").alias("ids")), """select file_path, count(*) as n, string_agg(id, ',' order by "resolvedPath", id) as ids from imports group by 1""")
+_add("f35_symbols_by_file", lambda c: agg.by_file(c.symbols, F.struct("line", "id")).select("file_path", "n", F.array_join(F.transform("rows", lambda r: r["id"]), ",").alias("ids")), "select file_path, count(*) as n, string_agg(id, ',' order by line, id) as ids from symbols group by 1")
+_add("m03_semantic_search", lambda c: modes.semantic_search(c, "*e*", _vector7(c), ("function", "class"), None, 20, "parts").select("id", "name", F.round("score", 9).alias("score")), f"""
+    with {_NEAR}, top as (select * from near order by distance, symbol_id limit 40),
+    t as (select id, row_number() over (order by file_path, line, id) as p from (select * from symbols where name ilike '%e%' and kind in ('function', 'class') and file_path ilike '%parts%' order by file_path, line, id limit 40)),
+    v as (select s.id, row_number() over (order by distance, symbol_id) as p from top join symbols s on s.id = symbol_id where kind in ('function', 'class') and contains(file_path, 'parts'))
+    select x.id, s.name, round(score, 9) as score from (select coalesce(t.id, v.id) as id, coalesce(1 / (60.0 + t.p), 0) + coalesce(1 / (60.0 + v.p), 0) as score from t full join v on t.id = v.id) x join symbols s on s.id = x.id order by score desc, x.id limit 20""")
+_add("x24_linked_globs", lambda c: c.files.select("path", LinkedGlobs().plus(["# sources", "src/src1*/**", "!src/src12/**", "src/src3*/en/**", "!src/src3/**", "d7.txt"]).column(F.col("path")).alias("ignored")), """
+    select path, case when regexp_matches(path, '^src/src1[^/]*/') then not starts_with(path, 'src/src12/') else regexp_matches(path, '^src/src3[^/]*/en/') or path like '%/d7.txt' end as ignored from files""")
+_add("x31_comments", lambda spark, d: projection.table(spark, d, "part").select("p_partkey", parsers.udf_of(lambda t: parsers.comment(t, "typescript", "  "), "string")(F.concat_ws("\n", "p_name", F.when(F.col("p_size") > 25, F.col("p_brand")))).alias("script"), parsers.udf_of(lambda t: parsers.comment(t, "python"), "string")(F.concat_ws("\n", "p_name", "p_brand")).alias("plain")), """
+    select p_partkey, if(p_size > 25, '  /**' || chr(10) || '   * ' || p_name || chr(10) || '   * ' || p_brand || chr(10) || '   */', '  /** ' || p_name || ' */') as script, repeat(chr(34), 3) || p_name || chr(10) || p_brand || chr(10) || repeat(chr(34), 3) as plain from part""", raw=True)
+_add("x06_receiver_chains", lambda c: c.call_sites.select("id", F.array_join(parsers.udf_of(lambda t: parsers.receiver_chain(t, "go"), "array<string>")(F.concat(F.lit("a(b.c)."), "callee_name", F.lit("?.go(x.y)"))), "|").alias("chain")), "select id, 'a(b.c)|' || callee_name as chain from call_sites")
+
+
+def _rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rings of five parts, in chains of four rings."""
+    p = projection.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("p"))
+    ring = p.select("p", (F.floor(F.col("p") / 5) * 5 + (F.col("p") + 1) % 5).alias("q"))
+    chain = p.filter("p % 5 = 0 and floor(p / 5) % 4 < 3").select("p", (F.col("p") + 5).alias("q"))
+    return ring.unionByName(chain).select(F.col("p").cast("string").alias("src"), F.col("q").cast("string").alias("dst"))
+
+
+_add("g11_layers_of_rings", lambda spark, d: graph.layers(_rings(spark, d), projection.table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("node"))), "select p_partkey::varchar as node, 3 - p_partkey // 5 % 4 as layer from part", raw=True)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions.globs import IgnoreRules, LinkedGlobs
-from ..functions.paths import dirname, extension
+from ..functions.paths import extension
 from ..functions.scalars import content_hash, token_estimate
 from ..functions.workspace import loose_json
 
@@ -49,30 +49,33 @@ def _relative(spark: SparkSession, root: str, path):
     return F.substring(at, F.lit(len(prefix) + 2), F.length(at))
 
 
-def settings(spark: SparkSession, root: str, rules: IgnoreRules | LinkedGlobs) -> DataFrame:
-    """(dir, base_url, paths) of the compiler settings below `root`, as Spark lists and reads them; those of ignored folders and of packages, and ones that are no JSON, are left out."""
+def settings(spark: SparkSession, root: str, listing: DataFrame) -> DataFrame:
+    """(dir, base_url, paths) of the compiler settings among the files (path) of a tree, read by tasks; those of packages, and ones that are no JSON, are left out."""
+    from .walk import opened
 
     def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for folder, text in zip(batch["dir"], batch["value"]):
+            for path, raw in opened(root, batch["path"]):
                 try:
-                    options = (loose_json(text) or {}).get("compilerOptions") or {}
+                    options = (loose_json(raw.decode(errors="replace")) or {}).get("compilerOptions") or {}
                     paths = [{"pattern": k, "targets": [str(t) for t in v]} for k, v in (options.get("paths") or {}).items()]
-                    rows.append((folder, options.get("baseUrl"), paths))
+                    rows.append((path.rpartition("/")[0], options.get("baseUrl"), paths))
                 except (ValueError, AttributeError, TypeError):
                     continue
             yield pd.DataFrame(rows, columns=["dir", "base_url", "paths"])
 
-    raw = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="tsconfig.json")
-    path = _relative(spark, root, F.col("_metadata.file_path"))
-    found = raw.select(path.alias("path"), "value").filter(~rules.column(F.col("path")) & ~F.col("path").rlike("(^|/)node_modules/"))
-    return found.select(dirname("path").alias("dir"), "value").mapInPandas(parsed, "dir string, base_url string, paths array<struct<pattern:string,targets:array<string>>>")
+    found = listing.select("path").filter(F.col("path").rlike("(^|/)tsconfig[.]json$") & ~F.col("path").rlike("(^|/)node_modules/"))
+    return found.mapInPandas(parsed, "dir string, base_url string, paths array<struct<pattern:string,targets:array<string>>>")
 
 
 def scan(spark: SparkSession, root: str, config: Config | None = None, compat: bool = False) -> DataFrame:
-    """Files of enabled languages under `root` that no pattern ignores, wherever Spark can read."""
+    """Files of enabled languages under `root` that no pattern ignores, listed and read by tasks (see `walk`). With `compat` patterns are linked as `ignore_rules` says, and Spark lists the tree."""
     config = config or Config()
+    if not compat:
+        from . import walk
+
+        return walk.read(spark, root, walk.walk(spark, root, config), config)
     rules = ignore_rules(root, config, compat)
     # Files of other extensions are left out of the listing, so that no task opens them.
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*{" + ",".join(config.extensions) + "}").load(root)

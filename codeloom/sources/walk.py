@@ -31,28 +31,34 @@ def _open(root: str):
     return fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
 
 
+def entries(system, base: str, folder: str, rules: IgnoreRules, gitignore: bool) -> tuple[IgnoreRules, list[tuple[str, bool, int, int]]]:
+    """The rules that hold in a folder, and its (path, is a folder, size, modified) entries that none of them ignores; a folder that is gone is empty."""
+    from pyarrow import fs
+
+    here = f"{base}/{folder}".rstrip("/")
+    found = system.get_file_info(fs.FileSelector(here, allow_not_found=True))
+    if gitignore and any(e.base_name == ".gitignore" for e in found):
+        with system.open_input_stream(f"{here}/.gitignore") as f:
+            rules = rules.plus(f.read().decode(errors="replace").splitlines(), folder)
+    out = []
+    for e in found:
+        path = f"{folder}/{e.base_name}".lstrip("/")
+        if e.type in (fs.FileType.Directory, fs.FileType.File) and not rules.ignored(path):
+            out.append((path, e.type == fs.FileType.Directory, e.size or 0, e.mtime_ns or 0))
+    return rules, out
+
+
 def _listed(root: str, gitignore: bool):
-    """Lists the folders (path, rules) of a batch; what a pattern ignores is not given."""
+    """Lists the folders (path, rules) of a batch."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
         system, base = _open(root)
         for batch in batches:
             rows = []
             for folder, held in zip(batch["path"], batch["rules"]):
-                rules = IgnoreRules(tuple((r["regex"], r["negated"]) for r in held))
-                here = f"{base}/{folder}".rstrip("/")
-                entries = system.get_file_info(fs.FileSelector(here, allow_not_found=True))
-                if gitignore and any(e.base_name == ".gitignore" for e in entries):
-                    with system.open_input_stream(f"{here}/.gitignore") as f:
-                        rules = rules.plus(f.read().decode(errors="replace").splitlines(), folder)
+                rules, found = entries(system, base, folder, IgnoreRules(tuple((r["regex"], r["negated"]) for r in held)), gitignore)
                 kept = [{"regex": r, "negated": n} for r, n in rules.rules]
-                for e in entries:
-                    path = f"{folder}/{e.base_name}".lstrip("/")
-                    if e.type in (fs.FileType.Directory, fs.FileType.File) and not rules.ignored(path):
-                        inside = e.type == fs.FileType.Directory
-                        rows.append((path, inside, e.size or 0, e.mtime_ns or 0, kept if inside else []))
+                rows += [(*e, kept if e[1] else []) for e in found]
             yield pd.DataFrame(rows, columns=["path", "folder", "size", "modified", "rules"])
 
     return run
@@ -74,22 +80,29 @@ def walk(spark: SparkSession, root: str, config: Config | None = None, store: St
         level = level.repartition(spark.sparkContext.defaultParallelism)
 
 
+def opened(root: str, paths) -> Iterator[tuple[str, bytes]]:
+    """(path, bytes) of files below `root`, one at a time; a file that is gone is left out."""
+    system, base = _open(root)
+    for path in paths:
+        try:
+            with system.open_input_stream(f"{base}/{path}") as f:
+                yield path, f.read()
+        except FileNotFoundError:
+            continue
+
+
 def read(spark: SparkSession, root: str, files: DataFrame, config: Config | None = None) -> DataFrame:
-    """(path, content, language, hash, estimated_tokens) of files (path), those of enabled languages; one that is gone is left out."""
+    """(path, content, language, hash, estimated_tokens) of files (path), those of enabled languages."""
     config = config or Config()
 
-    def opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        system, base = _open(root)
+    def contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for path, language in zip(batch["path"], batch["language"]):
-                try:
-                    with system.open_input_stream(f"{base}/{path}") as f:
-                        yield pd.DataFrame([(path, f.read(), language)], columns=["path", "raw", "language"])
-                except FileNotFoundError:
-                    continue
+            language = dict(zip(batch["path"], batch["language"]))
+            for path, raw in opened(root, batch["path"]):
+                yield pd.DataFrame([(path, raw, language[path])], columns=["path", "raw", "language"])
 
     wanted = files.select("path", language_of("path", config).alias("language")).filter("language is not null")
-    raw = wanted.mapInPandas(opened, "path string, raw binary, language string")
+    raw = wanted.mapInPandas(contents, "path string, raw binary, language string")
     text = raw.select("path", F.make_valid_utf8(F.col("raw").cast("string")).alias("content"), "language")
     return text.withColumn("hash", content_hash(F.col("content"))).withColumn("estimated_tokens", token_estimate(F.col("content")))
 

@@ -9,72 +9,118 @@ or in numbered snapshots; a batch that is run again gives the same.
 
 from __future__ import annotations
 
-import os
+import json
 import time
-from collections.abc import Callable, Sequence
+import zlib
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.window import Window
 
 from ..buckets import BucketedIndex
 from ..catalog import Catalog
 from ..config import Config
-from ..extract.run import apply, settings_of
-from ..sources import files as source_files
+from ..extract.run import apply, scanned
+from ..functions.globs import IgnoreRules
+from ..sources import walk
 from ..storage import Store
 from .debounce import debounced, debounced_stream  # noqa: F401
 
 EVENTS = "path string, kind string, seq long"
+#: Parts that the paths of a listing are cut into.
+BUCKETS = 8
 
 
-class TreeReader(SimpleDataSourceStreamReader):
-    """Offsets are listings of the tree: what differs between two is what changed."""
+class Changed(InputPartition):
+    """A bucket of the paths of two versions."""
+
+    def __init__(self, start: int, end: int, bucket: int):
+        self.start, self.end, self.bucket = start, end, bucket
+
+
+class TreeReader(DataSourceStreamReader):
+    """Versions of a tree's listing, kept as tables; an offset is the number of one.
+
+    A version is written when the tree differs from the one before. What two
+    versions differ in is found by tasks, a bucket of paths each. Versions before a
+    batch that has been committed are removed. Ignored folders are not opened.
+    """
 
     def __init__(self, options):
-        self.root = options["path"]
-
-    def _listing(self) -> dict[str, str]:
-        out = {}
-        for at, folders, names in os.walk(self.root):
-            folders[:] = sorted(d for d in folders if not d.startswith("."))
-            for n in names:
-                full = os.path.join(at, n)
-                try:
-                    s = os.stat(full)
-                except OSError:
-                    continue
-                out[os.path.relpath(full, self.root).replace(os.sep, "/")] = f"{s.st_mtime_ns}:{s.st_size}"
-        return out
+        self.root, self.versions = options["path"], options["versions"].rstrip("/")
+        self.rules = IgnoreRules().plus(json.loads(options.get("ignore", "[]")))
+        self.gitignore = options.get("gitignore", "true") == "true"
+        self.last: tuple[int, pa.Table] | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"last": None}  # tasks load what they need
+
+    def _listing(self) -> pa.Table:
+        system, base = walk._open(self.root)
+        todo, rows = [("", self.rules)], []
+        while todo:
+            folder, rules = todo.pop()
+            rules, found = walk.entries(system, base, folder, rules, self.gitignore)
+            todo += [(path, rules) for path, inside, _, _ in found if inside]
+            rows += [(zlib.crc32(path.encode()) % BUCKETS, path, f"{modified}:{size}") for path, inside, size, modified in found if not inside]
+        rows.sort()
+        return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "path": pa.array([r[1] for r in rows], pa.string()), "mark": pa.array([r[2] for r in rows], pa.string())})
+
+    def _numbers(self) -> list[int]:
+        system, base = walk._open(self.versions)
+        from pyarrow import fs
+
+        names = [e.base_name for e in system.get_file_info(fs.FileSelector(base, allow_not_found=True))]
+        return sorted(int(n.removesuffix(".parquet")) for n in names if n.endswith(".parquet"))
+
+    def _load(self, number: int, bucket: int | None = None) -> pa.Table:
+        system, base = walk._open(self.versions)
+        return pq.read_table(f"{base}/{number}.parquet", filesystem=system, filters=None if bucket is None else [("bucket", "=", bucket)])
+
+    def _version(self) -> int:
+        """The number of the tree as it is now."""
+        if self.last is None and (known := self._numbers()):
+            self.last = known[-1], self._load(known[-1])
+        now = self._listing()
+        if self.last is None or not now.equals(self.last[1]):
+            number = (self.last[0] if self.last else 0) + 1
+            system, base = walk._open(self.versions)
+            system.create_dir(base)
+            pq.write_table(now, f"{base}/{number}.part", filesystem=system)
+            system.move(f"{base}/{number}.part", f"{base}/{number}.parquet")
+            self.last = number, now
+        return self.last[0]
 
     def initialOffset(self) -> dict:
-        return {"n": 0, "tree": self._listing()}
+        return {"version": self._version()}
 
-    def read(self, start: dict):
-        tree = self._listing()
-        rows = list(self._between(start, {"n": start["n"] + 1, "tree": tree}))
-        return iter(rows), {"n": start["n"] + bool(rows), "tree": tree}
+    def latestOffset(self) -> dict:
+        return {"version": self._version()}
 
-    def readBetweenOffsets(self, start: dict, end: dict):
-        return self._between(start, end)
+    def partitions(self, start: dict, end: dict) -> list[Changed]:
+        return [Changed(start["version"], end["version"], k) for k in range(BUCKETS)]
 
-    @staticmethod
-    def _between(start: dict, end: dict):
-        a, b = start["tree"], end["tree"]
-        for p in sorted(a.keys() | b.keys()):
-            if p not in b:
-                yield (p, "unlink", end["n"])
-            elif a.get(p) != b[p]:
-                yield (p, "upsert", end["n"])
+    def read(self, partition: Changed) -> Iterator[tuple[str, str, int]]:
+        marks = lambda n: dict(zip(*(self._load(n, partition.bucket).column(c).to_pylist() for c in ("path", "mark"))))
+        before, after = marks(partition.start), marks(partition.end)
+        for path in sorted(before.keys() | after.keys()):
+            if before.get(path) != after.get(path):
+                yield path, "upsert" if path in after else "unlink", partition.end
 
     def commit(self, end: dict) -> None:
-        pass
+        system, base = walk._open(self.versions)
+        for n in self._numbers():
+            if n < end["version"]:
+                system.delete_file(f"{base}/{n}.parquet")
 
 
 class TreeSource(DataSource):
-    """`spark.readStream.format("codeloom_tree").load(folder)`; the tree as it is at the start is no event."""
+    """`spark.readStream.format("codeloom_tree").option("versions", shared_folder).load(folder)`; the tree as it is at the start is no event."""
 
     @classmethod
     def name(cls) -> str:
@@ -83,7 +129,7 @@ class TreeSource(DataSource):
     def schema(self) -> str:
         return EVENTS
 
-    def simpleStreamReader(self, schema) -> TreeReader:
+    def streamReader(self, schema) -> TreeReader:
         return TreeReader(self.options)
 
 
@@ -98,7 +144,8 @@ def process_batch(spark: SparkSession, c: Catalog, events: DataFrame, root: str,
     latest = last_events(events)
     store = Store(spark, "batch")
     only = store.keep(latest.select("path"), "paths")
-    return apply(spark, source_files.scan(spark, root, config), config, c, now_millis, only, store, settings_of(spark, root, config, store))
+    found, settings = scanned(spark, root, config, store)
+    return apply(spark, found, config, c, now_millis, only, store, settings)
 
 
 class Snapshots:
@@ -171,6 +218,6 @@ def watch(spark: SparkSession, root: str, snapshots: Snapshots | BucketedIndex,
         finally:
             events.unpersist()
 
-    stream = spark.readStream.format("codeloom_tree").load(root).withColumn("ts", F.current_timestamp()).withColumn("root", F.lit(root))
+    stream = spark.readStream.format("codeloom_tree").option("versions", f"{checkpoint}-versions").option("ignore", json.dumps(config.ignore)).option("gitignore", str(config.use_gitignore).lower()).load(root).withColumn("ts", F.current_timestamp()).withColumn("root", F.lit(root))
     bursts = debounced_stream(stream, None)
     return Watch(bursts.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(processingTime=trigger).start())

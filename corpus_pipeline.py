@@ -28,13 +28,27 @@ def _small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that a classifier of labelled quality rejects."""
+    """Drops documents that a classifier of labelled quality rejects.
+
+    A null text counts as empty and is scored like any other; very long texts
+    are scored whole. Rows that repeat, or have no id, are judged one by one;
+    equal texts have equal scores, and a score of LEAST_QUALITY is kept. Without
+    labels nothing is learned, every score is 0.5, and all documents stay. An
+    empty table gives an empty one. All columns of `docs` are kept, whatever
+    their names.
+    """
     weights = quality.train(quality.labelled(docs, common.read(spark, sf_dir, "labels")))
     return quality.scored(docs, weights).filter(F.col("score") >= LEAST_QUALITY).select(*docs.columns)
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that of the smallest id, of each component of near-duplicates; of rows that repeat an id and its text, one."""
+    """Keeps one document, that of the smallest id, of each component of near-duplicates; of rows that repeat an id and its text, one.
+
+    Texts that are null or without words are alike to none, so their rows stay,
+    and so do rows without an id. Different texts under one id are different
+    documents; of equal ids the smaller text hash comes first. An empty table
+    gives an empty one.
+    """
     scratch = common.Scratch(spark, "near-dedup")
     again = scratch.keep(docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "again")
     if again.isEmpty():
@@ -56,14 +70,26 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a test item."""
+    """Drops documents that hold a test item.
+
+    Items of fewer than five words are searched as they are; null or empty
+    items, and texts, match nothing. Rows are told apart by id and text, so of
+    documents that share an id, or have none, only those that hold an item go;
+    of equal rows all go or stay. An empty table of items removes nothing.
+    """
     scratch = common.Scratch(spark, "decontamination")
     found = scratch.keep(decontam.held(docs, common.read(spark, sf_dir, "benchmark")), "found")
     return decontam.without(docs, _small(found, BROADCAST_KEYED)).select(*docs.columns)
 
 
 def mixing_to_target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or drops documents so that sources meet their targets; a document occurs once for each copy taken."""
+    """Repeats or drops documents so that sources meet their targets; a document occurs once for each copy taken.
+
+    A null source is a source of its own. Documents without words have no part
+    in a target and are dropped. Ties of size are in order of a hash of id and
+    text; equal rows are one document that is repeated for all of them. An
+    empty table gives an empty one.
+    """
     scratch = common.Scratch(spark, "mixing")
     row = common.row_key(*docs.columns)
     mixed = mixing.mix(docs.withColumn("__row", row), scratch, keys=("__row",)).groupBy(F.col("doc_id").alias("__taken"), F.col("__row").alias("__taken_row"))
@@ -75,7 +101,12 @@ def mixing_to_target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Writes token files, and returns every document's place in them."""
+    """Writes token files, and returns every document's place in them.
+
+    A null or empty text is its end id alone. Documents are in the order of
+    ids, null first; equal ids, such as copies from mixing, in the order of
+    a hash of their text. An empty table gives no rows and no tokens.
+    """
     return tokens.token_table(docs, f"{common.Scratch(spark, 'token-output').at}/ids")
 
 

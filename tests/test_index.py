@@ -191,7 +191,7 @@ def test_types_put_together():
 
 
 def test_aliases(spark, tmp_path):
-    from codeloom.functions.globs import IgnoreRules
+    from codeloom.sources import walk
     from codeloom.sources.files import settings
 
     (tmp_path / "web" / "lib").mkdir(parents=True)
@@ -200,7 +200,7 @@ def test_aliases(spark, tmp_path):
     (tmp_path / "web" / "lib" / "a.ts").write_text("export const a = 1")
     (tmp_path / "web" / "b.ts").write_text("import { a } from '@lib/a'\nimport { a as c } from 'lib/a'")
     (tmp_path / "d.ts").write_text("import { a } from '~/web/lib/a'\nimport { a as e } from '@lib/a'")
-    assert {(r.dir, r.base_url): [(x.pattern, x.targets) for x in r.paths] for r in settings(spark, str(tmp_path), IgnoreRules()).collect()} == {("", None): [("~/*", ["./*"])], ("web", "."): [("@lib/*", ["lib/*"])]}
+    assert {(r.dir, r.base_url): [(x.pattern, x.targets) for x in r.paths] for r in settings(spark, str(tmp_path), walk.walk(spark, str(tmp_path))).collect()} == {("", None): [("~/*", ["./*"])], ("web", "."): [("@lib/*", ["lib/*"])]}
     got = names(index(spark, str(tmp_path)).imports, "file_path", "sourceModule", "resolvedPath")
     assert got == {("web/b.ts", "@lib/a", "web/lib/a.ts"), ("web/b.ts", "lib/a", "web/lib/a.ts"), ("d.ts", "~/web/lib/a", "web/lib/a.ts"), ("d.ts", "@lib/a", None)}
 
