@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..catalog import Catalog
 from ..functions.paths import is_test
+from ..storage import Store
 from .lookup import among
 
 
@@ -46,26 +47,73 @@ def callers(c: Catalog, name: str) -> DataFrame:
     return by_id.unionByName(by_name).join(_caller(c), "caller_id").distinct().select("caller_file", "caller_name", "caller_line", "caller_id")
 
 
-def nested_callers(c: Catalog, targets: DataFrame, keep_module: bool = False, with_ids: bool = False) -> DataFrame:
+def named_calls(c: Catalog) -> DataFrame:
+    """(caller_id, callee_id, called): what distinguishes calls when callers are looked for, the name at the site in lower case; each once."""
+    return _edges_with_sites(c).select("caller_id", "callee_id", F.lower("callee_name").alias("called")).distinct()
+
+
+def _children(c: Catalog, t: DataFrame) -> DataFrame:
+    """Members of the symbols (t), with their name in lower case as `called`."""
+    kids = c.symbols.select(F.col("id").alias("child"), F.col("name").alias("child_name"), F.col("file_path").alias("child_file"), F.col("line").alias("child_line"), F.col("parent_id").alias("t"), F.lower("name").alias("called"))
+    return kids.join(t.distinct(), "t").distinct()
+
+
+def nested_callers(c: Catalog, targets: DataFrame, keep_module: bool = False, with_ids: bool = False, calls: DataFrame | None = None) -> DataFrame:
     """Callers of the target symbols (id, name) or of their children, with the child called if it is one.
 
     A call that reaches a target and one of its children alike counts as the child's.
     Names compare without case. `with_ids` adds the target `t` and the `child`, for targets that are looked at together.
+    `calls` are the `named_calls`, for those who have them written already.
+
+    Many symbols share few names, so callers of a name are never paired with
+    what bears it, unless the pairs are the result: its rows come from distinct
+    callers of a name and distinct children, and are not shuffled again.
     """
-    low = lambda x: F.lower(F.col(x))
-    edges = _edges_with_sites(c).select(F.col("id").alias("edge"), "caller_id", "callee_id", low("callee_name").alias("called"))
-    target = targets.select(F.col("id").alias("t"), low("name").alias("t_name")).distinct()
-    kids = c.symbols.select(F.col("id").alias("child"), F.col("name").alias("child_name"), F.col("file_path").alias("child_file"), F.col("line").alias("child_line"), F.col("parent_id").alias("t"))
-    kids = kids.join(target.select("t"), "t")
-    direct = edges.join(target, F.col("callee_id") == F.col("t")).unionByName(edges.join(target, F.col("called") == F.col("t_name"))).select("edge", "caller_id", "t").distinct()
-    on_child = edges.join(kids, F.col("callee_id") == F.col("child")).unionByName(edges.join(kids, F.col("called") == low("child_name")))
-    on_child = on_child.select("edge", "caller_id", "t", "child", "child_name", "child_file", "child_line").distinct()
-    plain = direct.join(on_child.select("edge", "t").distinct(), ["edge", "t"], "left_anti")
-    none = {"child_name": F.lit(None).cast("string"), "child_file": F.lit(None).cast("string"), "child_line": F.lit(None).cast("int")}
+    store = Store(c.spark, "callers")
+    calls = store.keep(named_calls(c), "calls") if calls is None else calls
+    target = store.keep(targets.select(F.col("id").alias("t"), F.lower("name").alias("t_name")).distinct(), "targets")
+    kids = store.keep(_children(c, target.select("t")), "children")
     ids = ["t", "child"] if with_ids else []
-    found = plain.withColumns(none).withColumn("child", F.lit(None).cast("string")).select("caller_id", *none, *ids).unionByName(on_child.select("caller_id", *none, *ids))
-    out = found.join(_caller(c), "caller_id").distinct().select("caller_file", "caller_name", "caller_line", "caller_id", *none, *ids)
-    return out if keep_module else out.filter(F.col("caller_name") != schema.MODULE)
+    child = ["child_name", "child_file", "child_line", *ids]
+
+    # Calls of children by id that no call of the caller makes by name.
+    pairs = calls.select("caller_id", "called").distinct()
+    held = calls.withColumnRenamed("called", "_called").join(kids, F.col("callee_id") == F.col("child")).filter(~F.coalesce(F.col("_called") == F.col("called"), F.lit(False)))
+    held = held.join(pairs, ["caller_id", "called"], "left_anti").select("caller_id", *child)
+
+    # Calls of a target that reach none of its children.
+    own = kids.select("t", F.col("called").alias("t_name")).distinct()
+    free = target.join(own, ["t", "t_name"], "left_anti").withColumnRenamed("t_name", "called")
+    inside = kids.select("t", F.col("child").alias("callee_id")).distinct()
+    by_id = calls.join(target.select(F.col("t").alias("callee_id"), "t").distinct(), "callee_id").join(own.withColumnRenamed("t_name", "called"), ["t", "called"], "left_anti").join(inside, ["t", "callee_id"], "left_anti")
+    if with_ids:
+        by_name = calls.join(free, "called").join(inside, ["t", "callee_id"], "left_anti")
+    else:
+        # Some target of the name is reached unless the callee is a child of every one.
+        covered = inside.join(free, "t").groupBy("called", "callee_id").agg(F.count("*").alias("covered"))
+        by_name = calls.join(free.groupBy("called").agg(F.count("*").alias("n")), "called").join(covered, ["called", "callee_id"], "left").filter(F.col("n") > F.coalesce("covered", F.lit(0)))
+    none = {"child_name": F.lit(None).cast("string"), "child_file": F.lit(None).cast("string"), "child_line": F.lit(None).cast("int"), "child": F.lit(None).cast("string")}
+    plain = by_id.select("caller_id", *ids[:1]).unionByName(by_name.select("caller_id", *ids[:1])).withColumns(none).select("caller_id", *child)
+    caller = _caller(c).distinct()
+    caller = caller if keep_module else caller.filter(F.col("caller_name") != schema.MODULE)
+    few = held.unionByName(plain).distinct().join(caller, "caller_id")
+    shown = ["caller_file", "caller_name", "caller_line", "caller_id", *child]
+    if kids.isEmpty():
+        return few.select(*shown)
+    many = pairs.join(caller, "caller_id").join(kids.select("called", *child).distinct(), "called")
+    return few.select(*shown).unionByName(many.select(*shown))
+
+
+def calling(c: Catalog, targets: DataFrame, keep_module: bool = False) -> DataFrame:
+    """(caller_file, caller_name, caller_line, caller_id) of `nested_callers`, each once, whatever child they call."""
+    store = Store(c.spark, "calling")
+    target = store.keep(targets.select(F.col("id").alias("t"), F.lower("name").alias("called")).distinct(), "targets")
+    met = store.keep(_children(c, target.select("t")).select(F.col("child").alias("t"), "called").unionByName(target), "met")
+    calls = store.keep(named_calls(c), "calls")
+    by_name = calls.join(met.select("called").distinct(), "called", "left_semi").select("caller_id")
+    by_id = calls.join(met.select(F.col("t").alias("callee_id")).distinct(), "callee_id", "left_semi").select("caller_id")
+    found = by_name.unionByName(by_id).distinct().join(_caller(c).distinct(), "caller_id").select("caller_file", "caller_name", "caller_line", "caller_id")
+    return found if keep_module else found.filter(F.col("caller_name") != schema.MODULE)
 
 
 def callers_nested(c: Catalog, name: str) -> DataFrame:

@@ -92,7 +92,7 @@ def references(c: Catalog, name: str, calls: bool = True, imports: bool = True,
     """(ref_kind, file_path, name, line): callers, imports and heirs of a name."""
     parts = []
     if calls:
-        parts.append(joins.callers_nested(c, name).select(F.lit("call").alias("ref_kind"), F.col("caller_file").alias("file_path"), F.col("caller_name").alias("name"), F.col("caller_line").alias("line")).distinct())
+        parts.append(joins.calling(c, c.symbols.filter(F.lower("name") == name.lower())).select(F.lit("call").alias("ref_kind"), F.col("caller_file").alias("file_path"), F.col("caller_name").alias("name"), F.col("caller_line").alias("line")).distinct())
     if imports:
         parts.append(lookup.imports_by_name(c, name, compat=compat).select(F.lit("import").alias("ref_kind"), "file_path", F.col("sourceModule").alias("name"), F.lit(None).cast("int").alias("line")))
         if "/" in name or "." in name:
@@ -192,7 +192,7 @@ def related_tests(c: Catalog, symbol_or_path: str) -> DataFrame:
     if "/" in symbol_or_path:
         found = c.imports.filter(lookup.contains("resolvedPath", symbol_or_path) | lookup.contains("sourceModule", symbol_or_path)).select(F.col("file_path").alias("path"), F.lit("imports file").alias("reason"))
     else:
-        called = joins.callers_nested(c, symbol_or_path).select(F.col("caller_file").alias("path"), F.lit("calls symbol").alias("reason"))
+        called = joins.calling(c, c.symbols.filter(F.lower("name") == symbol_or_path.lower())).select(F.col("caller_file").alias("path"), F.lit("calls symbol").alias("reason"))
         found = called.unionByName(lookup.imports_by_name(c, symbol_or_path).select(F.col("file_path").alias("path"), F.lit("imports symbol").alias("reason")))
     return found.filter(is_test("path")).groupBy("path").agg(F.array_sort(F.collect_set("reason")).alias("reasons")).orderBy("path")
 
@@ -220,7 +220,7 @@ def data_flow(c: Catalog, id_: str, limit: int = 15) -> DataFrame:
     here = c.symbols.filter(F.col("id") == id_)
     params = here.select(F.explode(scalars.parameters(F.col("parameters_json"))).alias("p")).select(F.lit("parameter").alias("role"), F.col("p.name").alias("name"), F.col("p.type").alias("file_path"), none_i.alias("line"))
     returns = here.filter("return_type is not null").select(F.lit("return").alias("role"), F.col("return_type").alias("name"), none_s.alias("file_path"), none_i.alias("line"))
-    callers = joins.callers_nested_by_id(c, id_).select(F.lit("caller").alias("role"), F.col("caller_name").alias("name"), F.col("caller_file").alias("file_path"), F.col("caller_line").alias("line")).distinct().orderBy("file_path", "line", "name").limit(limit)
+    callers = joins.calling(c, c.symbols.filter(F.col("id") == id_)).select(F.lit("caller").alias("role"), F.col("caller_name").alias("name"), F.col("caller_file").alias("file_path"), F.col("caller_line").alias("line")).distinct().orderBy("file_path", "line", "name").limit(limit)
     out = joins.outbound(c, [id_]).join(c.symbols.select(F.col("id").alias("callee_id"), F.col("name").alias("s_name"), F.col("file_path").alias("s_file")), "callee_id", "left")
     out = out.join(c.imports.select(F.col("id").alias("imports_id"), F.col("sourceModule").alias("i_module")), "imports_id", "left")
     callees = out.select(F.lit("callee").alias("role"), F.coalesce("s_name", "callee_name").alias("name"), F.coalesce("s_file", "i_module").alias("file_path"), F.col("call_line").alias("line")).orderBy("line", "name", "file_path").limit(limit)
