@@ -52,7 +52,7 @@ def imports_of_definitions(c: Catalog, sites: DataFrame, language: str = "typesc
     local = c.imports.select("file_path", F.explode(local_names(F.col("importedNames"))).alias("_word"), rank)
     local = local.groupBy("file_path", "_word").agg(F.min("rank").alias("rank"))
     asked = sites.select("site", "file_path", dirname("definition_path").alias("_dir"), "callee_expression")
-    parts = asked.select("site", "file_path", F.explode(F.array_distinct(callee_parts(F.col("callee_expression"), language))).alias("_word"))
-    chained = parts.join(local, ["file_path", "_word"]).groupBy("site").agg(F.min("rank")["id"].alias("chained"))
-    found = asked.join(near, ["file_path", "_dir"], "left").join(chained, "site", "left")
-    return found.select("site", F.coalesce("near", "chained").alias("imports_id")).filter("imports_id is not null")
+    met = asked.join(near, ["file_path", "_dir"], "left")
+    parts = met.filter("near is null").select("site", "file_path", F.explode(F.array_distinct(callee_parts(F.col("callee_expression"), language))).alias("_word"))
+    chained = parts.join(local, ["file_path", "_word"]).groupBy("site").agg(F.min("rank")["id"].alias("imports_id"))
+    return met.filter("near is not null").select("site", F.col("near").alias("imports_id")).unionByName(chained)

@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 from .. import schema
 from ..catalog import Catalog
 from ..functions.scalars import confidence, local_names
+from ..storage import Store
 from . import prefixes
 
 # Names that a language brings along, by kind of call.
@@ -102,41 +103,53 @@ def dynamic(sites: DataFrame, c: Catalog) -> DataFrame:
     return _candidate(sites.filter("call_kind = 'dynamic_call'"), "dynamic", "dynamic_pattern", 0)
 
 
+def _least(df: DataFrame, by: list[str], *order, **more) -> DataFrame:
+    """The first row of each key by `order`, before a join: what many rows share is met once by every site."""
+    cols = [F.col(x) if isinstance(x, str) else x for x in order]
+    best = F.min(F.struct(*cols, *[F.col(v).alias(k) for k, v in more.items()])).alias("_best")
+    return df.groupBy(*by).agg(best)
+
+
 def same_class(sites: DataFrame, c: Catalog) -> DataFrame:
     """Methods called on `this` or `self`, by the caller's class; else its properties that begin the expression."""
     own = F.when(F.col("language_name") == "python", "self").otherwise("this")
     mine = sites.filter((F.col("call_kind") == "method_call") & (F.get(F.split("callee_base", r"\."), F.lit(0)) == own))
     placed = mine.join(c.symbols.select(F.col("id").alias("caller_id"), F.col("parent_id").alias("cls")), "caller_id").filter("cls is not null")
-    member = c.symbols.select(F.col("id").alias("member"), F.col("parent_id").alias("cls"), F.col("name").alias("callee_name"), "kind", "line")
-    method = _first(placed.join(member.filter(F.col("kind").isin(*schema.CALLABLE_KINDS)), ["cls", "callee_name"]), "line", "member")
+    member = c.symbols.select(F.col("id").alias("member"), F.col("parent_id").alias("cls"), F.col("name").alias("callee_name"), "kind", "line").filter("cls is not null")
+    methods = _least(member.filter(F.col("kind").isin(*schema.CALLABLE_KINDS)), ["cls", "callee_name"], "line", "member")
+    method = _first(placed.join(methods, ["cls", "callee_name"]).select("site", "caller_id", "_best.*"), "line", "member")
     field = F.get(F.split("callee_base", r"\."), F.lit(1))
-    held = placed.filter(field.isNotNull()).withColumn("field", field).join(member.filter("kind = 'property'").withColumnRenamed("callee_name", "field"), ["cls", "field"])
+    fields = _least(member.filter("kind = 'property'").withColumnRenamed("callee_name", "field"), ["cls", "field"], "line", "member")
+    held = placed.filter(field.isNotNull()).withColumn("field", field).join(fields, ["cls", "field"]).select("site", "caller_id", "_best.*")
     return _candidate(method, "project_symbol", "same_class", 1, callee="member").unionByName(_candidate(_first(held, "line", "member"), "project_symbol", "same_class_property", 2, callee="member"))
 
 
 def same_file(sites: DataFrame, c: Catalog) -> DataFrame:
     """Callables and classes of the file with the callee's name, or variables of the caller that begin the expression; first by line."""
-    there = c.symbols.select(F.col("id").alias("member"), F.col("file_path").alias("caller_file_path"), F.col("name").alias("callee_name"), "kind", "line", F.col("parent_id").alias("owner"))
-    named = sites.join(there.filter(F.col("kind").isin(*schema.CALLABLE_KINDS, "class")).drop("owner"), ["caller_file_path", "callee_name"])
+    there = c.symbols.select(F.col("id").alias("member"), F.col("file_path").alias("caller_file_path"), F.col("name").alias("callee_name"), "kind", "line", F.col("parent_id").alias("caller_id"))
+    callables = _least(there.filter(F.col("kind").isin(*schema.CALLABLE_KINDS, "class")), ["caller_file_path", "callee_name"], "line", "member").withColumnRenamed("_best", "_named")
+    var = _least(there.filter(F.col("kind").isin("var", "let", "const")).withColumnRenamed("callee_name", "head"), ["caller_file_path", "head", "caller_id"], "line", "member").withColumnRenamed("_best", "_held")
     head = F.coalesce(F.get(F.split("callee_base", r"\."), F.lit(0)), F.col("callee_name"))
-    var = there.filter(F.col("kind").isin("var", "let", "const")).withColumnRenamed("callee_name", "head")
-    held = sites.withColumn("head", head).join(var, ["caller_file_path", "head"]).filter("owner = caller_id")
-    both = named.select("site", "caller_id", "member", "line").unionByName(held.select("site", "caller_id", "member", "line"))
-    return _candidate(_first(both, "line", "member"), "project_symbol", "same_file", 3, callee="member")
+    asked = sites.select("site", "caller_id", "caller_file_path", "callee_name", head.alias("head"))
+    met = asked.join(callables, ["caller_file_path", "callee_name"], "left").join(var, ["caller_file_path", "head", "caller_id"], "left")
+    found = met.withColumn("member", F.least("_named", "_held")["member"]).filter("member is not null")
+    return _candidate(found, "project_symbol", "same_file", 3, callee="member")
 
 
 def by_import(sites: DataFrame, c: Catalog) -> DataFrame:
     """Imports whose local names have the callee or the head of its receiver; with the symbol in the resolved file, or one re-export further, if found."""
     usable = c.imports.filter("importKind not in ('side-effect', 'type-only') and resolvedKind <> 'unresolved'")
     names = usable.select(F.col("id").alias("imp"), F.col("file_path").alias("caller_file_path"), "resolvedPath", "resolvedKind", F.explode(local_names(F.col("importedNames"))).alias("word"))
-    words = F.array_distinct(F.array_compact(F.array("callee_name", F.get(F.split("callee_base", r"\."), F.lit(0)))))
-    hit = _first(sites.withColumn("word", F.explode(words)).join(names, ["caller_file_path", "word"]), F.col("resolvedKind") != "source", "imp")
-    goal = c.symbols.select(F.col("id").alias("member"), F.col("file_path").alias("resolvedPath"), F.col("name").alias("callee_name"), "line")
-    direct = hit.join(goal, ["resolvedPath", "callee_name"], "left")
-    again = c.imports.filter("edgeKind <> 'import' and resolvedPath is not null").select(F.col("file_path").alias("resolvedPath"), F.col("resolvedPath").alias("next"))
-    further = hit.select("site", "resolvedPath", "callee_name").join(again, "resolvedPath").join(goal.select(F.col("resolvedPath").alias("next"), "callee_name", F.col("member").alias("far"), F.col("line").alias("far_line")), ["next", "callee_name"])
-    further = further.groupBy("site").agg(F.min_by("far", F.struct("far_line", "far")).alias("far"))
-    out = _first(direct, "line", "member").join(further, "site", "left").withColumn("member", F.coalesce("member", "far"))
+    names = _least(names, ["caller_file_path", "word"], (F.col("resolvedKind") != "source").alias("away"), "imp", resolvedPath="resolvedPath", resolvedKind="resolvedKind")
+    head = F.get(F.split("callee_base", r"\."), F.lit(0))
+    asked = sites.select("site", "caller_id", "caller_file_path", "callee_name", head.alias("head"))
+    met = asked.join(names.select("caller_file_path", F.col("word").alias("callee_name"), F.col("_best").alias("_a")), ["caller_file_path", "callee_name"], "left")
+    met = met.join(names.select("caller_file_path", F.col("word").alias("head"), F.col("_best").alias("_b")), ["caller_file_path", "head"], "left")
+    hit = met.withColumn("_hit", F.least("_a", "_b")).filter("_hit is not null").select("site", "caller_id", "callee_name", "_hit.imp", "_hit.resolvedPath", "_hit.resolvedKind")
+    goal = _least(c.symbols.select(F.col("id").alias("member"), F.col("file_path").alias("resolvedPath"), F.col("name").alias("callee_name"), "line"), ["resolvedPath", "callee_name"], "line", "member")
+    again = c.imports.filter("edgeKind <> 'import' and resolvedPath is not null").select(F.col("file_path").alias("_at"), "resolvedPath").distinct()
+    far = again.join(goal, "resolvedPath").groupBy(F.col("_at").alias("resolvedPath"), "callee_name").agg(F.min("_best")["member"].alias("far"))
+    out = hit.join(goal, ["resolvedPath", "callee_name"], "left").join(far, ["resolvedPath", "callee_name"], "left").withColumn("member", F.coalesce("_best.member", "far"))
     source = F.when(F.col("resolvedKind") == "source", "source_import").otherwise("external_import")
     found = _candidate(out, "import", source, 4, callee="member", imports="imp")
     return found.withColumn("target_kind", F.when(F.col("callee_id").isNotNull(), "project_symbol").otherwise("import"))
@@ -171,13 +184,14 @@ def by_definition(sites: DataFrame, c: Catalog, locations: DataFrame, builtin_pa
     language = F.lit(False)
     for start in builtin_paths:
         language = language | F.col("path").startswith(start)
-    known = known.withColumn("language", language)
+    known = Store(c.spark, "definitions").keep(known.withColumn("language", language), "known")
     open_ = known.filter("member is null and not language").select(F.col("place").alias("site"), F.col("caller_file_path").alias("file_path"), F.col("path").alias("definition_path"), "callee_expression", "language_name")
     found = None
     for name in ("typescript", "python"):
         one = prefixes.imports_of_definitions(c, open_.filter(F.col("language_name") == name if name == "python" else F.coalesce(F.col("language_name") != "python", F.lit(True))), name)
         found = one if found is None else found.unionByName(one)
-    full = known.join(found.select(F.col("site").alias("place"), F.col("imports_id").alias("imp")), "place", "left").filter("member is not null or language or imp is not null")
+    led = found.select(F.col("site").alias("place"), F.col("imports_id").alias("imp"))
+    full = known.filter("member is not null or language").withColumn("imp", F.lit(None).cast("string")).unionByName(known.filter("member is null and not language").join(led, "place"))
     last = _first(full, F.desc("n"), "member", "imp")
     kind = F.when(F.col("member").isNotNull(), "project_symbol").when(F.col("language"), "builtin").otherwise("import")
     out = last.withColumn("imp", F.when(kind == "import", F.col("imp"))).withColumn("kind_", kind)
@@ -190,9 +204,13 @@ def by_hover(sites: DataFrame, c: Catalog, hovers: DataFrame) -> DataFrame:
 
     shown = hovers.select(F.col("call_site_id").alias("site"), "n", hover_parts(F.col("text")).alias("h")).filter("h.name <> '' and h.type <> ''")
     words = F.array_distinct(F.array(F.col("h.name"), F.array_join(type_names(F.col("h.type")), " ")))
-    asked = sites.select("site", "caller_id", "caller_file_path").join(shown.select("site", "n", F.explode(words).alias("word")).filter("word <> ''"), "site")
     names = c.imports.select(F.col("file_path").alias("caller_file_path"), F.explode(local_names(F.col("importedNames"), types=True)).alias("word"), "resolvedPath", F.col("id").alias("imp"))
-    return _candidate(_first(asked.join(names, ["caller_file_path", "word"]), "n", "resolvedPath", "imp"), "import", "lsp_hover", 7, imports="imp")
+    names = _least(names, ["caller_file_path", "word"], "resolvedPath", "imp")
+    # Words that no import has are dropped before the hovers meet their sites.
+    said = shown.select("site", "n", F.explode(words).alias("word")).filter("word <> ''").join(names.select("word").distinct(), "word", "left_semi")
+    asked = sites.select("site", "caller_id", "caller_file_path").join(said, "site").join(names, ["caller_file_path", "word"])
+    first = asked.groupBy("site", "caller_id").agg(F.min(F.struct("n", "_best")).alias("_best")).withColumn("imp", F.col("_best._best.imp"))
+    return _candidate(first, "import", "lsp_hover", 7, imports="imp")
 
 
 def resolve_calls(c: Catalog, sites: DataFrame | None = None, stages=STAGES, definitions: DataFrame | None = None, hovers: DataFrame | None = None, builtin_paths: tuple[str, ...] = ()) -> DataFrame:
@@ -202,7 +220,9 @@ def resolve_calls(c: Catalog, sites: DataFrame | None = None, stages=STAGES, def
     (call_site_id, callee_id) or as the locations of `by_definition`, then
     `hovers` as `by_hover` takes them.
     """
-    sites = (c.call_sites if sites is None else sites).withColumnRenamed("id", "site")
+    store = Store(c.spark, "resolve")
+    sites = store.keep((c.call_sites if sites is None else sites).withColumnRenamed("id", "site"), "sites")
+    c = c.with_(imports=store.keep(c.imports, "imports"))
     found = [stage(sites, c) for stage in stages]
     if definitions is not None and "callee_id" in definitions.columns:
         found.append(_candidate(sites.join(definitions.select(F.col("call_site_id").alias("site"), "callee_id"), "site"), "project_symbol", "lsp_definition", 6, callee="callee_id"))

@@ -58,3 +58,15 @@ def test_callers_of_a_common_name_are_not_paired_with_its_bearers(spark):
     c = catalog(spark, symbols=symbols, call_sites=sites, call_edges=edges)
     got, rows = shuffled(spark, lambda: joins.callers_nested(c, "a").count())
     assert got > 0 and rows < 20_000  # 600 calls, 500 symbols; their pairs were 150,000 rows
+
+
+def test_sites_of_a_common_name_are_not_paired_with_its_bearers(spark):
+    from codeloom.operators import resolve
+
+    symbols, sites, _ = named(spark, 600, 500, ["a"])
+    imports = [{"id": f"i{i}", "file_path": "a.ts", "importedNames": ["Other"], "resolvedPath": "a.ts", "resolvedKind": "source", "importKind": "named", "edgeKind": "import"} for i in range(200)]
+    c = catalog(spark, symbols=symbols, call_sites=sites, imports=imports)
+    got, rows = shuffled(spark, lambda: {(r.call_site_id, r.callee_id, r.imports_id) for r in resolve.resolve_calls(c).collect()})
+    want = min(((s["line"], s["id"]) for s in symbols))[1]
+    assert got == {(s["id"], want, None) if s["callee_name"] == "a" else (s["id"], None, "i0") for s in sites}
+    assert rows < 20_000  # 600 sites, 500 symbols, 200 imports; their pairs were some 200,000 rows
