@@ -9,12 +9,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..catalog import Catalog
 from ..storage import Store
 
 DAMPING, ITERATIONS, KEEP_EVERY = 0.85, 30, 6
 
+def _side(df: DataFrame) -> DataFrame:
+    """A side of a round's join, by a shuffle. Files are small for their rows, so that their size would have Spark send large tables through the driver, in every round."""
+    return df.hint("shuffle_hash")
+
 
 def call_graph(c: Catalog) -> DataFrame:
     """Resolved calls, with repeats."""
@@ -29,8 +34,9 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataF
     step = 0
     while depth is None or step < depth:
         step += 1
-        after = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
-        frontier = store.keep(after.join(found.select("node"), "node", "left_anti").withColumn("depth", F.lit(step)), str(step))
+        after = edges.join(_side(frontier.select(F.col("node").alias("src"))), "src", "left_semi").select(F.col("dst").alias("node"))
+        met = after.withColumn("depth", F.lit(step)).unionByName(found).groupBy("node").agg(F.min("depth").alias("depth"))
+        frontier = store.keep(met.filter(F.col("depth") == step), str(step))
         if frontier.isEmpty():
             break
         found = found.unionByName(frontier)
@@ -124,23 +130,22 @@ def cyclic_components(edges: DataFrame) -> DataFrame:
         if not left:
             break
         colour = _colour(store, edges, f"c{turn}")
-        same = edges.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("a")), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("b")), "dst").filter("a = b")
+        same = edges.join(_side(colour.select(F.col("node").alias("src"), F.col("colour").alias("a"))), "src").join(_side(colour.select(F.col("node").alias("dst"), F.col("colour").alias("b"))), "dst").filter("a = b")
         back = reach(same.select(F.col("dst").alias("src"), F.col("src").alias("dst")), colour.filter("node = colour").select("node")).select("node")
-        found = store.keep(colour.join(back, "node", "left_semi").select(F.col("colour").alias("scc"), "node"), f"f{turn}")
+        found = store.keep(colour.join(_side(back), "node", "left_semi").select(F.col("colour").alias("scc"), "node"), f"f{turn}")
         out = found if out is None else out.unionByName(found)
         gone = found.select("node")
-        rest = edges.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti")
+        rest = edges.join(_side(gone.withColumnRenamed("node", "src")), "src", "left_anti").join(_side(gone.withColumnRenamed("node", "dst")), "dst", "left_anti")
         edges = store.keep(rest.select("src", "dst"), f"e{turn}")
     if out is None:
         return edges.select(F.col("src").alias("scc"), F.col("dst").alias("node")).limit(0)
-    big = out.groupBy("scc").count().filter("count > 1").select("scc")
-    return out.join(big, "scc", "left_semi")
+    return out.withColumn("_n", F.count("*").over(Window.partitionBy("scc"))).filter("_n > 1").select("scc", "node")
 
 
 def _trim(store: Store, edges: DataFrame, name: str) -> tuple[DataFrame, int]:
     before, step = edges.count(), 0
     while before:
-        kept = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        kept = edges.join(_side(edges.select(F.col("dst").alias("src")).distinct()), "src", "left_semi").join(_side(edges.select(F.col("src").alias("dst")).distinct()), "dst", "left_semi")
         edges = store.keep(kept.select("src", "dst"), f"{name}-{step}")
         after, step = edges.count(), step + 1
         if after == before:
@@ -154,9 +159,9 @@ def _colour(store: Store, edges: DataFrame, name: str) -> DataFrame:
     step = 0
     while True:
         step += 1
-        sent = edges.join(colour.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), F.col("colour").alias("sent"))
+        sent = edges.join(_side(colour.withColumnRenamed("node", "src")), "src").select(F.col("dst").alias("node"), F.col("colour").alias("sent"))
         best = sent.groupBy("node").agg(F.min("sent").alias("sent"))
-        moved = colour.join(best, "node", "left").select("node", F.least("colour", F.coalesce("sent", "colour")).alias("colour"), (F.col("sent") < F.col("colour")).alias("moved"))
+        moved = colour.join(_side(best), "node", "left").select("node", F.least("colour", F.coalesce("sent", "colour")).alias("colour"), (F.col("sent") < F.col("colour")).alias("moved"))
         moved = store.keep(moved, f"{name}-{step}")
         colour = moved.select("node", "colour")
         if moved.filter("moved").isEmpty():
@@ -169,20 +174,20 @@ def layers(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     Nodes of a cycle share the layer of the whole cycle.
     """
     store = Store(nodes.sparkSession, "layers")
-    members = cyclic_components(edges)
-    name = store.keep(nodes.select("node").distinct().join(members, "node", "left").select("node", F.coalesce("scc", "node").alias("group")), "groups")
-    ends = edges.join(name.select(F.col("node").alias("src"), F.col("group").alias("a")), "src").join(name.select(F.col("node").alias("dst"), F.col("group").alias("b")), "dst")
+    members = store.keep(cyclic_components(edges), "members")
+    name = store.keep(nodes.select("node").distinct().join(_side(members), "node", "left").select("node", F.coalesce("scc", "node").alias("group")), "groups")
+    ends = edges.join(_side(name.select(F.col("node").alias("src"), F.col("group").alias("a"))), "src").join(_side(name.select(F.col("node").alias("dst"), F.col("group").alias("b"))), "dst")
     dag = store.keep(ends.filter("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct(), "dag")
     layer = store.keep(name.select("group").distinct().withColumn("layer", F.lit(0)), "l0")
     step = 0
     while True:
         step += 1
-        raised = dag.join(layer.select(F.col("group").alias("dst"), "layer"), "dst").groupBy("src").agg((F.max("layer") + 1).alias("up"))
-        after = layer.join(raised, layer["group"] == raised["src"], "left").select("group", F.greatest("layer", F.coalesce("up", "layer")).alias("layer"), (F.col("up") > F.col("layer")).alias("moved"))
+        raised = dag.join(_side(layer.select(F.col("group").alias("dst"), "layer")), "dst").groupBy("src").agg((F.max("layer") + 1).alias("up"))
+        after = layer.join(_side(raised), layer["group"] == raised["src"], "left").select("group", F.greatest("layer", F.coalesce("up", "layer")).alias("layer"), (F.col("up") > F.col("layer")).alias("moved"))
         after = store.keep(after, f"l{step}")
         layer = after.select("group", "layer")
         if after.filter("moved").isEmpty():
-            return name.join(layer, "group").select("node", "layer")
+            return name.join(_side(layer), "group").select("node", "layer")
 
 
 def ancestors(c: Catalog, id_: str) -> DataFrame:

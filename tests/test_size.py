@@ -70,3 +70,16 @@ def test_sites_of_a_common_name_are_not_paired_with_its_bearers(spark):
     want = min(((s["line"], s["id"]) for s in symbols))[1]
     assert got == {(s["id"], want, None) if s["callee_name"] == "a" else (s["id"], None, "i0") for s in sites}
     assert rows < 20_000  # 600 sites, 500 symbols, 200 imports; their pairs were some 200,000 rows
+
+
+def test_rounds_send_nothing_to_the_driver(spark):
+    from codeloom.operators import graph
+
+    runs = spark._jsparkSession.sharedState().statusStore()
+    before = runs.executionsCount()
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(6)] + [("n3", "n1")], "src string, dst string")
+    nodes = edges.selectExpr("src as node").union(edges.selectExpr("dst"))
+    assert graph.reach(edges, nodes.filter("node = 'n0'")).count() == 7
+    assert {r.node: r.layer for r in graph.layers(edges, nodes).collect()} == {"n0": 4, "n1": 3, "n2": 3, "n3": 3, "n4": 2, "n5": 1, "n6": 0}
+    plans = [e.physicalPlanDescription() for e in _list(runs.executionsList(before, 10_000))]
+    assert plans and not [p for p in plans if "BroadcastExchange" in p]
