@@ -52,9 +52,13 @@ def containing(positions: DataFrame, held: DataFrame) -> DataFrame:
 
 def innermost(positions: DataFrame, held: DataFrame) -> DataFrame:
     """(position, id): the span around each position (position, file_path, line, column) that begins last; of those, the one that ends first, then by id."""
-    best = F.struct(-F.col("first"), -F.col("first_column"), "last", "last_column", "id")
-    found = containing(positions.select("position", "file_path", "line", "column"), held)
-    return found.groupBy("position").agg(F.min_by("id", best).alias("id"))
+    best = F.struct((-F.col("first")).alias("a"), (-F.col("first_column")).alias("ac"), F.col("last").alias("b"), F.col("last_column").alias("bc"), "id")
+    asked = positions.select("position", "file_path", "line", F.coalesce("column", F.lit(0)).alias("column"))
+    # Many positions share a place, so each place is looked for once, and meets the spans around it.
+    places = asked.select("file_path", "line", "column").distinct()
+    met = containing(places, held).groupBy("file_path", "line", "column").agg(F.min(best).alias("best"))
+    found = asked.join(met, ["file_path", "line", "column"])
+    return found.groupBy("position").agg(F.min("best").alias("best")).select("position", "best.id")
 
 
 def symbols_at(c: Catalog, positions: DataFrame, kinds=None) -> DataFrame:
