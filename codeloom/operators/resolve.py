@@ -177,7 +177,7 @@ def by_definition(sites: DataFrame, c: Catalog, locations: DataFrame, builtin_pa
     one that leads to anything counts.
     """
     n = F.col("n") if "n" in locations.columns else F.lit(0)
-    asked = sites.join(locations.select(F.col("call_site_id").alias("site"), n.alias("n"), "path", F.col("line").alias("at_line"), F.col("column").alias("at_column")), "site")
+    asked = sites.select("site", "caller_id", "caller_file_path", "callee_expression", "language_name").join(locations.select(F.col("call_site_id").alias("site"), n.alias("n"), "path", F.col("line").alias("at_line"), F.col("column").alias("at_column")), "site")
     asked = asked.withColumn("place", F.concat_ws("#", "site", F.col("n").cast("string")))
     there = c.symbols.filter(F.col("kind").isin(*schema.CALLABLE_KINDS, "class")).groupBy(F.col("file_path").alias("path"), F.col("line").alias("at_line"), F.col("column").alias("at_column")).agg(F.min("id").alias("member"))
     known = asked.join(there, ["path", "at_line", "at_column"], "left")
@@ -202,12 +202,16 @@ def by_hover(sites: DataFrame, c: Catalog, hovers: DataFrame) -> DataFrame:
     """What hovers over the receivers of a call say: (call_site_id, n, text), the nearest receiver first. The first import of a name or type that one of them shows is called."""
     from .enhance import hover_parts, type_names
 
-    shown = hovers.select(F.col("call_site_id").alias("site"), "n", hover_parts(F.col("text")).alias("h")).filter("h.name <> '' and h.type <> ''")
+    store = Store(c.spark, "hovers")
+    hovers = store.keep(hovers.select(F.col("call_site_id").alias("site"), "n", "text"), "given")
+    # Many sites show the same text, so each is read once: from a written table, or Spark reads texts before it drops repeats.
+    shown = store.keep(hovers.select("text").distinct(), "texts").select("text", hover_parts(F.col("text")).alias("h")).filter("h.name <> '' and h.type <> ''")
     words = F.array_distinct(F.array(F.col("h.name"), F.array_join(type_names(F.col("h.type")), " ")))
     names = c.imports.select(F.col("file_path").alias("caller_file_path"), F.explode(local_names(F.col("importedNames"), types=True)).alias("word"), "resolvedPath", F.col("id").alias("imp"))
     names = _least(names, ["caller_file_path", "word"], "resolvedPath", "imp")
-    # Words that no import has are dropped before the hovers meet their sites.
-    said = shown.select("site", "n", F.explode(words).alias("word")).filter("word <> ''").join(names.select("word").distinct(), "word", "left_semi")
+    # Texts without a word that an import has are dropped before the hovers meet their sites.
+    known = shown.select("text", F.explode(words).alias("word")).filter("word <> ''").join(names.select("word").distinct(), "word", "left_semi")
+    said = hovers.join(store.keep(known, "known"), "text").select("site", "n", "word")
     asked = sites.select("site", "caller_id", "caller_file_path").join(said, "site").join(names, ["caller_file_path", "word"])
     first = asked.groupBy("site", "caller_id").agg(F.min(F.struct("n", "_best")).alias("_best")).withColumn("imp", F.col("_best._best.imp"))
     return _candidate(first, "import", "lsp_hover", 7, imports="imp")

@@ -29,9 +29,9 @@ _SQL: dict[str, str] = {}
 NOW = 1_800_000_000_000
 
 
-def _add(name: str, plan: Callable[..., DataFrame], sql: str | None, raw: bool = False) -> None:
-    """`plan` takes a catalog; or, raw, (spark, sf_dir)."""
-    _QUERIES[name] = plan if raw else lambda spark, sf_dir: plan(projection.project(spark, sf_dir))
+def _add(name: str, plan: Callable[..., DataFrame], sql: str | None, raw: bool = False, written: bool = False) -> None:
+    """`plan` takes a catalog, with its calls `written` if it looks at them several times; or, raw, (spark, sf_dir)."""
+    _QUERIES[name] = plan if raw else lambda spark, sf_dir: plan(projection.project(spark, sf_dir, written))
     if sql is not None:
         _SQL[name] = _with_tables(sql)
 
@@ -606,14 +606,14 @@ def _hovers(c: Catalog) -> DataFrame:
     k = F.substring("caller_id", 2, 20).cast("long") % 4
     name = F.col("callee_name")
     text = F.when(k == 0, F.concat(name, F.lit(": Widget"))).when(k == 1, F.concat(F.lit("Look:\n```typescript\n(method) ("), name, F.lit(") => Promise<void>\n```\nmore"))).when(k == 2, F.concat(F.lit("no mark "), name)).otherwise(F.concat(F.lit("(alias) q: "), name))
-    one = c.call_sites.select(F.col("id").alias("call_site_id"), F.lit(1).alias("n"), text.alias("text"))
-    return one.unionByName(one.select("call_site_id", F.lit(0).alias("n"), F.lit("(property) other: Missing").alias("text")))
+    both = F.array(F.lit("(property) other: Missing"), text)
+    return c.call_sites.select(F.col("id").alias("call_site_id"), F.posexplode(both).alias("n", "text"))
 
 
 _add("c13_hover_edges", lambda c: _edges(resolve.resolve_calls(_moved(c), stages=(resolve.unresolved,), hovers=_hovers(c))), """
     with q as (select id as site, 'parts/' || caller_id || '.ts' as file_path, cast(caller_id[2:] as bigint) % 4 as k, callee_name from call_sites),
     f as (select site, min({'r': resolvedPath, 'i': i.id})['i'] as imp from q join imports i on i.file_path = q.file_path and importedNames[1] = callee_name where k in (0, 1) group by 1)
-    select site as call_site_id, if(imp is null, 'unresolved', 'import') as target_kind, null::varchar as callee_id, imp as imports_id, if(imp is null, 'unresolved', 'lsp_hover') as resolution_source, if(imp is null, 0, 60) as confidence from q left join f using (site)""")
+    select site as call_site_id, if(imp is null, 'unresolved', 'import') as target_kind, null::varchar as callee_id, imp as imports_id, if(imp is null, 'unresolved', 'lsp_hover') as resolution_source, if(imp is null, 0, 60) as confidence from q left join f using (site)""", written=True)
 
 
 def _signed(c: Catalog, spark: SparkSession, sf_dir: str) -> Catalog:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..catalog import Catalog
+from ..storage import Store
 
 FILES = """
 select concat('src/', source, '/', lang, '/d', doc_id, '.txt') as path, sha2(text, 256) as hash, 1704067200000 + doc_id * 60000 as indexed_at,
@@ -102,9 +103,14 @@ def _run(spark: SparkSession, sf_dir: str, text: str, **more: DataFrame) -> Data
     return spark.sql(text, **{n: more[n] if n in more else table(spark, sf_dir, n) for n in names})
 
 
-def project(spark: SparkSession, sf_dir: str) -> Catalog:
-    """A catalog over the driver's tables; nothing is read until a query asks for it."""
+def project(spark: SparkSession, sf_dir: str, written: bool = False) -> Catalog:
+    """A catalog over the driver's tables; nothing is read until a query asks for it.
+
+    `written` pairs the lines of orders at once and writes the calls, for queries that look at sites and edges several times.
+    """
     calls = _run(spark, sf_dir, CALLS)
+    if written:
+        calls = Store(spark, "projection").keep(calls, "calls")
     return Catalog(
         files=_run(spark, sf_dir, FILES),
         symbols=_run(spark, sf_dir, SYMBOLS),

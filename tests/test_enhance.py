@@ -66,3 +66,28 @@ def test_definitions_and_hovers_are_optional(spark):
     assert shown(resolve.resolve_calls(c, stages=only, definitions=where, hovers=hovers, builtin_paths=("node/",))) == {
         "s0": ("project_symbol", "f", None, "lsp_definition"), "s1": ("builtin", None, None, "lsp_definition"), "s2": ("import", None, "i", "lsp_definition"), "s3": ("import", None, "i", "lsp_hover"), "s4": none,
     }
+
+
+def test_a_hover_text_is_read_once_however_many_sites_show_it(spark):
+    names = ["Box", "Far"]
+    sites = [{"id": f"s{i}", "caller_id": "f", "callee_name": "go"} for i in range(400)]
+    imports = [{"id": "i", "file_path": "a.ts", "importedNames": ["Box"], "resolvedPath": "b.ts"}]
+    c = catalog(spark, call_sites=sites, imports=imports, symbols=[{"id": "f", "name": "f"}])
+    hovers = spark.createDataFrame([(f"s{i}", 0, f"const v: {names[i % 2]}") for i in range(400)], "call_site_id string, n int, text string")
+    seen = spark.sparkContext.accumulator(0)
+    whole = enhance.hover_parts
+
+    def counted(text):
+        def count(x):
+            seen.add(1)
+            return x
+
+        return whole(F.udf(count, "string")(text))
+
+    enhance.hover_parts = counted
+    try:
+        got = {r.call_site_id: r.imports_id for r in resolve.resolve_calls(c, stages=(resolve.unresolved,), hovers=hovers).collect()}
+    finally:
+        enhance.hover_parts = whole
+    assert got == {f"s{i}": None if i % 2 else "i" for i in range(400)}
+    assert seen.value < 40  # two texts, in a few expressions and runs; one for each of 400 sites before
