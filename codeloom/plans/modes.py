@@ -16,6 +16,7 @@ from ..functions import scalars
 from ..functions.paths import is_test, top_dir
 from ..operators import aggregates as agg, calltree
 from ..operators import graph, joins, lookup, search
+from ..storage import Store
 
 
 
@@ -239,8 +240,9 @@ def dir_dependencies(c: Catalog, depth: int = 1) -> DataFrame:
 def codebase_map(c: Catalog, depth: int = 1, max_key_symbols: int = 5, file_pattern: str | None = None) -> DataFrame:
     """A row for each folder: its files, layer, targets, and most called public symbols."""
     files = c.files.filter(F.contains("path", F.lit(file_pattern))) if file_pattern else c.files
-    dirs = files.groupBy(top_dir("path", depth).alias("dir")).agg(F.count("*").alias("files"))
-    edges = dir_dependencies(c, depth)
+    store = Store(c.spark, "map")
+    dirs = store.keep(files.groupBy(top_dir("path", depth).alias("dir")).agg(F.count("*").alias("files")), "dirs")
+    edges = store.keep(dir_dependencies(c, depth), "edges")
     layer = graph.layers(edges, dirs.select(F.col("dir").alias("node")).unionByName(edges.select(F.explode(F.array("src", "dst")).alias("node"))))
     best = Window.partitionBy("dir").orderBy(F.desc("call_count"), "id")
     keys = joins.key_symbols(c, limit=None).withColumn("dir", top_dir("file_path", depth)).withColumn("n", F.row_number().over(best)).filter(F.col("n") <= max_key_symbols)

@@ -83,3 +83,24 @@ def test_rounds_send_nothing_to_the_driver(spark):
     assert {r.node: r.layer for r in graph.layers(edges, nodes).collect()} == {"n0": 4, "n1": 3, "n2": 3, "n3": 3, "n4": 2, "n5": 1, "n6": 0}
     plans = [e.physicalPlanDescription() for e in _list(runs.executionsList(before, 10_000))]
     assert plans and not [p for p in plans if "BroadcastExchange" in p]
+
+
+def test_folders_of_a_map_are_paired_once(spark):
+    from pyspark.sql import functions as F
+
+    from codeloom.plans import modes
+
+    symbols = [{"id": f"{d}{i}", "name": f"{d}{i}", "file_path": f"{d}/x.ts", "exported": True} for d in "ab" for i in range(100)]
+    sites = [{"id": f"s{i}", "caller_id": f"a{i}", "callee_name": f"b{i}", "caller_file_path": "a/x.ts"} for i in range(100)]
+    edges = [{"id": f"e{i}", "call_site_id": f"s{i}", "caller_id": f"a{i}", "callee_id": f"b{i}"} for i in range(100)]
+    c = catalog(spark, symbols=symbols, call_sites=sites, call_edges=edges, files=[{"path": f"{d}/x.ts"} for d in "ab"])
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(x):
+        seen.add(1)
+        return x
+
+    c = c.with_(call_sites=c.call_sites.withColumn("caller_file_path", F.udf(count, "string")("caller_file_path")))
+    got = {r.dir: (r.files, r.layer, r.depends_on) for r in modes.codebase_map(c).collect()}
+    assert got == {"a": (1, 1, ["b"]), "b": (1, 0, None)}
+    assert seen.value <= 300  # 100 sites, looked at once; a few expressions may each call for the value
