@@ -104,3 +104,13 @@ def test_folders_of_a_map_are_paired_once(spark):
     got = {r.dir: (r.files, r.layer, r.depends_on) for r in modes.codebase_map(c).collect()}
     assert got == {"a": (1, 1, ["b"]), "b": (1, 0, None)}
     assert seen.value <= 300  # 100 sites, looked at once; a few expressions may each call for the value
+
+
+def test_calls_of_other_names_are_dropped_before_repeats_are_looked_for(spark):
+    symbols, sites, edges = named(spark, 3000, 300, [f"n{i}" for i in range(60)])
+    c = catalog(spark, symbols=symbols, call_sites=sites, call_edges=edges)
+    ids = {s["id"] for s in symbols if s["name"] == "n7"}
+    want = {e["caller_id"] for e, s in zip(edges, sites) if s["callee_name"] == "n7" or e["callee_id"] in ids}
+    got, rows = shuffled(spark, lambda: {r.caller_id for r in joins.callers_nested(c, "n7").collect()})
+    assert got == want and ids
+    assert rows < 8_000  # the join of calls and sites; the distinct calls of all names came on top
