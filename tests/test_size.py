@@ -114,3 +114,27 @@ def test_calls_of_other_names_are_dropped_before_repeats_are_looked_for(spark):
     got, rows = shuffled(spark, lambda: {r.caller_id for r in joins.callers_nested(c, "n7").collect()})
     assert got == want and ids
     assert rows < 8_000  # the join of calls and sites; the distinct calls of all names came on top
+
+
+def test_a_tree_of_callers_takes_only_calls_that_lead_to_it(spark):
+    from codeloom.operators import calltree
+
+    symbols, sites, edges = named(spark, 3000, 300, [f"n{i}" for i in range(60)])
+    symbols += [{"id": x, "name": x} for x in ("root", "up", "top")]
+    sites += [{"id": f"r{i}", "caller_id": a, "callee_name": b} for i, (a, b) in enumerate([("up", "root"), ("top", "up")])]
+    edges += [{"id": f"re{i}", "call_site_id": f"r{i}", "caller_id": a, "callee_id": b} for i, (a, b) in enumerate([("up", "root"), ("top", "up")])]
+    c = catalog(spark, symbols=symbols, call_sites=sites, call_edges=edges)
+    got, rows = shuffled(spark, lambda: [(r.level, r.id, r.mark) for r in calltree.call_lines(c, "root", "in", 3).orderBy("path").collect()])
+    assert got == [(0, "root", ""), (1, "up", ""), (2, "top", "")]
+    assert rows < 2_000  # two calls lead to it; the distinct ones of all were 3,000 rows and more
+
+
+def test_tables_of_the_projection_are_not_sent_through_the_driver(spark, monkeypatch):
+    from codeloom import storage
+    from codeloom.sources import projection
+
+    plan = lambda df: (df.collect(), df._jdf.queryExecution().executedPlan().toString())[1]
+    assert "BroadcastExchange" not in plan(projection.project(spark, "/root/testdata/sf0.001").call_edges)
+    monkeypatch.setattr(storage, "BROADCAST_ROWS", 10, raising=False)
+    c = projection.project(spark, "/root/testdata/sf0.001")
+    assert "BroadcastExchange" not in plan(c.call_sites) and "BroadcastExchange" not in plan(c.imports)
