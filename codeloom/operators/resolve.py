@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from .. import schema
 from ..catalog import Catalog
 from ..functions.scalars import confidence, local_names
-from ..storage import Store
+from ..storage import Store, counted
 from . import prefixes
 
 # Names that a language brings along, by kind of call.
@@ -110,6 +110,16 @@ def _least(df: DataFrame, by: list[str], *order, **more) -> DataFrame:
     return df.groupBy(*by).agg(best)
 
 
+def _asked_for(store: Store, name: str, side: DataFrame, sites: DataFrame, key: str, *words, least: tuple = (), **more) -> DataFrame:
+    """What `_least` finds in a side by `least`, keys before the order, for names `key` that a site has as one of `words`.
+
+    It is written and counted, so that sites are not shuffled to meet the few names they share, nor a long list of names sent to the driver.
+    """
+    asked = sites.select(F.explode(F.array(*words)).alias(key)).filter(F.col(key).isNotNull()).distinct()
+    known = side.join(counted(store.keep(asked, f"{name}-asked")), key, "left_semi")
+    return counted(store.keep(_least(known, *least, **more), name))
+
+
 def same_class(sites: DataFrame, c: Catalog) -> DataFrame:
     """Methods called on `this` or `self`, by the caller's class; else its properties that begin the expression."""
     own = F.when(F.col("language_name") == "python", "self").otherwise("this")
@@ -127,9 +137,11 @@ def same_class(sites: DataFrame, c: Catalog) -> DataFrame:
 def same_file(sites: DataFrame, c: Catalog) -> DataFrame:
     """Callables and classes of the file with the callee's name, or variables of the caller that begin the expression; first by line."""
     there = c.symbols.select(F.col("id").alias("member"), F.col("file_path").alias("caller_file_path"), F.col("name").alias("callee_name"), "kind", "line", F.col("parent_id").alias("caller_id"))
-    callables = _least(there.filter(F.col("kind").isin(*schema.CALLABLE_KINDS, "class")), ["caller_file_path", "callee_name"], "line", "member").withColumnRenamed("_best", "_named")
-    var = _least(there.filter(F.col("kind").isin("var", "let", "const")).withColumnRenamed("callee_name", "head"), ["caller_file_path", "head", "caller_id"], "line", "member").withColumnRenamed("_best", "_held")
-    head = F.coalesce(F.get(F.split("callee_base", r"\."), F.lit(0)), F.col("callee_name"))
+    head, store = F.coalesce(F.get(F.split("callee_base", r"\."), F.lit(0)), F.col("callee_name")), Store(c.spark, "same-file")
+    callables = there.filter(F.col("kind").isin(*schema.CALLABLE_KINDS, "class"))
+    callables = _asked_for(store, "callables", callables, sites, "callee_name", F.col("callee_name"), least=(["caller_file_path", "callee_name"], "line", "member")).withColumnRenamed("_best", "_named")
+    var = there.filter(F.col("kind").isin("var", "let", "const")).withColumnRenamed("callee_name", "head")
+    var = _asked_for(store, "var", var, sites, "head", head, least=(["caller_file_path", "head", "caller_id"], "line", "member")).withColumnRenamed("_best", "_held")
     asked = sites.select("site", "caller_id", "caller_file_path", "callee_name", head.alias("head"))
     met = asked.join(callables, ["caller_file_path", "callee_name"], "left").join(var, ["caller_file_path", "head", "caller_id"], "left")
     found = met.withColumn("member", F.least("_named", "_held")["member"]).filter("member is not null")
@@ -140,15 +152,16 @@ def by_import(sites: DataFrame, c: Catalog) -> DataFrame:
     """Imports whose local names have the callee or the head of its receiver; with the symbol in the resolved file, or one re-export further, if found."""
     usable = c.imports.filter("importKind not in ('side-effect', 'type-only') and resolvedKind <> 'unresolved'")
     names = usable.select(F.col("id").alias("imp"), F.col("file_path").alias("caller_file_path"), "resolvedPath", "resolvedKind", F.explode(local_names(F.col("importedNames"))).alias("word"))
-    names = _least(names, ["caller_file_path", "word"], (F.col("resolvedKind") != "source").alias("away"), "imp", resolvedPath="resolvedPath", resolvedKind="resolvedKind")
-    head = F.get(F.split("callee_base", r"\."), F.lit(0))
+    head, store = F.get(F.split("callee_base", r"\."), F.lit(0)), Store(c.spark, "by-import")
+    names = _asked_for(store, "names", names, sites, "word", F.col("callee_name"), head, least=(["caller_file_path", "word"], (F.col("resolvedKind") != "source").alias("away"), "imp"), resolvedPath="resolvedPath", resolvedKind="resolvedKind")
     asked = sites.select("site", "caller_id", "caller_file_path", "callee_name", head.alias("head"))
     met = asked.join(names.select("caller_file_path", F.col("word").alias("callee_name"), F.col("_best").alias("_a")), ["caller_file_path", "callee_name"], "left")
     met = met.join(names.select("caller_file_path", F.col("word").alias("head"), F.col("_best").alias("_b")), ["caller_file_path", "head"], "left")
     hit = met.withColumn("_hit", F.least("_a", "_b")).filter("_hit is not null").select("site", "caller_id", "callee_name", "_hit.imp", "_hit.resolvedPath", "_hit.resolvedKind")
-    goal = _least(c.symbols.select(F.col("id").alias("member"), F.col("file_path").alias("resolvedPath"), F.col("name").alias("callee_name"), "line"), ["resolvedPath", "callee_name"], "line", "member")
+    goal = c.symbols.select(F.col("id").alias("member"), F.col("file_path").alias("resolvedPath"), F.col("name").alias("callee_name"), "line")
+    goal = _asked_for(store, "goal", goal, sites, "callee_name", F.col("callee_name"), least=(["resolvedPath", "callee_name"], "line", "member"))
     again = c.imports.filter("edgeKind <> 'import' and resolvedPath is not null").select(F.col("file_path").alias("_at"), "resolvedPath").distinct()
-    far = again.join(goal, "resolvedPath").groupBy(F.col("_at").alias("resolvedPath"), "callee_name").agg(F.min("_best")["member"].alias("far"))
+    far = counted(store.keep(again.join(goal, "resolvedPath").groupBy(F.col("_at").alias("resolvedPath"), "callee_name").agg(F.min("_best")["member"].alias("far")), "far"))
     out = hit.join(goal, ["resolvedPath", "callee_name"], "left").join(far, ["resolvedPath", "callee_name"], "left").withColumn("member", F.coalesce("_best.member", "far"))
     source = F.when(F.col("resolvedKind") == "source", "source_import").otherwise("external_import")
     found = _candidate(out, "import", source, 4, callee="member", imports="imp")

@@ -138,3 +138,21 @@ def test_tables_of_the_projection_are_not_sent_through_the_driver(spark, monkeyp
     monkeypatch.setattr(storage, "BROADCAST_ROWS", 10, raising=False)
     c = projection.project(spark, "/root/testdata/sf0.001")
     assert "BroadcastExchange" not in plan(c.call_sites) and "BroadcastExchange" not in plan(c.imports)
+
+
+def test_sites_are_not_shuffled_to_meet_the_names_they_share(spark):
+    from codeloom.operators import resolve
+
+    symbols, sites, _ = named(spark, 4000, 200, ["a"])
+    symbols += [{"id": f"u{i}", "name": f"u{i}", "kind": "function" if i % 2 else "const"} for i in range(3000)]  # no site calls them
+    imports = [{"id": "i0", "file_path": "a.ts", "importedNames": ["Other"], "resolvedPath": "a.ts", "resolvedKind": "source", "importKind": "named", "edgeKind": "import"}]
+    c = catalog(spark, symbols=symbols, call_sites=sites, imports=imports)
+    rounds = [resolve.same_file, resolve.by_import]
+    kept = resolve.Store(spark, "t").keep(c.call_sites.withColumnRenamed("id", "site"), "sites")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1k")  # as with symbols beyond the limit
+    try:
+        got, rows = shuffled(spark, lambda: sum(stage(kept, c).count() for stage in rounds))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == 4000
+    assert rows < 1_000  # sites and symbols were 4,000 and 3,000 rows, in each join
