@@ -38,6 +38,8 @@ SEGMENT = 1 << 20
 PART_BYTES, LARGE_BYTES, MANY = 16 << 20, 512 << 20, 1 << 15
 #: Pieces whose ids a worker remembers, of late and from before; others are encoded anew.
 REMEMBERED = 300_000
+#: Rows that a task sends to its worker at once, and Spark's setting for it: a worker and its executor hold one such batch.
+BATCH, BATCHES = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: The letters, digits and marks for which the splitting below equals the tokenizer's own.
 LETTERS = "a-zA-Z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff"
 MARKS = "\\x21-\\x2f\\x3a-\\x40\\x5b-\\x60\\x7b-\\x7e\\xa1\\xab\\xbb\\xbf\\u2013\\u2014\\u2018-\\u201e\\u2026"
@@ -91,6 +93,11 @@ def encoder_of(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def forget() -> None:
+    """Frees the worker's encoders, whose pieces would otherwise be held as long as it lives."""
+    _ENCODERS.clear()
+
+
 def pack(ids: np.ndarray, docs: list[int | None], lengths: list[int], block: int = BLOCK, bits: bool = False) -> bytes:
     """A segment of `ids` (u32), whose documents have `lengths` ids each."""
     squeeze = zstandard.ZstdCompressor(level=1).compress
@@ -185,13 +192,18 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, bits: bo
     parts = max(1, -(-total // min(max(part_bytes, total // MANY), max(part_bytes, LARGE_BYTES))))
     order = [F.col("doc_id").asc(), F.xxhash64("text").asc()]
     ordered = docs.select("doc_id", "text").repartitionByRange(parts, *order).sortWithinPartitions(*order, F.col("text").asc())
-    ordered.mapInArrow(_writer(tokenizer, bits, segment), SEGMENTS).write.mode("overwrite").option("compression", "none").parquet(path)
-
+    conf = docs.sparkSession.conf
+    before = conf.get(BATCHES)
+    conf.set(BATCHES, BATCH)
+    try:
+        ordered.mapInArrow(_writer(tokenizer, bits, segment), SEGMENTS).write.mode("overwrite").option("compression", "none").parquet(path)
+    finally:
+        conf.set(BATCHES, before)
 
-def read_ids(segments: DataFrame, crc: bool = True) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of each document, from a table of segments; without `crc`, (doc_id, start, ids)."""
 
+def _reader(crc: bool):
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for part, seq, data in zip(*(batch.column(k) for k in range(3))):
                 ids, docs, lengths = unpack(data.as_py())
@@ -205,8 +217,13 @@ def read_ids(segments: DataFrame, crc: bool = True) -> DataFrame:
                     out["ids"] = pa.array([ids[a:b].astype(np.int64) for a, b in zip(starts, ends)], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_pydict(out)
 
+    return decode
+
+
+def read_ids(segments: DataFrame, crc: bool = True) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of each document, from a table of segments; without `crc`, (doc_id, start, ids)."""
     last = "ids_crc32 long" if crc else "ids array<long>"
-    decoded = segments.select("part", "seq", "data").mapInArrow(decode, f"part int, seq long, doc_id long, at long, n_tokens long, {last}")
+    decoded = segments.select("part", "seq", "data").mapInArrow(_reader(crc), f"part int, seq long, doc_id long, at long, n_tokens long, {last}")
     before = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     parts = segments.groupBy("part").agg(F.sum("n_ids").alias("n"))
     base = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))  # a row per partition

@@ -3,9 +3,11 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark import cloudpickle
 from tokenizers import Tokenizer
 
 from codeloom.llm import common, tokens
@@ -61,3 +63,26 @@ def test_ties_and_null_ids_have_one_order(spark, corpus, tmp_path):
     ends = sorted((r[1], r[1] + r[2]) for r in got[0])
     assert ends[0][0] == 0 and all(a[1] == b[0] for a, b in zip(ends, ends[1:]))
     assert spark.read.parquet(str(tmp_path / "ids0")).select("part").distinct().count() > 5
+
+
+def test_workers_hold_few_rows_and_no_pieces_after_the_files_are_written(spark, corpus, tmp_path, monkeypatch):
+    def rows_at_once(tokenizer, bits, segment):
+        def write(batches):
+            for k, b in enumerate(batches):
+                yield pa.RecordBatch.from_pydict({"part": pa.array([0], "int32"), "seq": [k], "n_ids": [b.num_rows], "n_docs": [b.num_rows], "data": pa.array([b""], "binary")})
+
+        return write
+
+    docs = common.read(spark, corpus([(i, "a b", "s") for i in range(3500)]), "documents")
+    before = spark.conf.get(tokens.BATCHES)
+    with monkeypatch.context() as m:
+        m.setattr(tokens, "_writer", rows_at_once)
+        tokens.write_ids(docs, str(tmp_path / "rows"))
+    sent = [r.n_ids for r in spark.read.schema(tokens.SEGMENTS).parquet(str(tmp_path / "rows")).collect()]
+    assert sum(sent) == 3500 and max(sent) <= tokens.BATCH
+    assert spark.conf.get(tokens.BATCHES) == before
+
+    monkeypatch.setattr(tokens, "_ENCODERS", {"some": tokens.Encoder(tokens.default_tokenizer())})
+    segment = pa.RecordBatch.from_pydict({"part": pa.array([0], "int32"), "seq": [0], "data": pa.array([tokens.pack(np.array([5, 0], "<u4"), [1], [2])], "binary")})
+    read = cloudpickle.loads(cloudpickle.dumps(tokens._reader(True)))  # as a worker gets it
+    assert [b.column(4).to_pylist() for b in read([segment])] == [[2]] and not tokens._ENCODERS
