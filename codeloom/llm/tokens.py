@@ -94,8 +94,10 @@ def encoder_of(path: str) -> Encoder:
 
 
 def forget() -> None:
-    """Frees the worker's encoders, whose pieces would otherwise be held as long as it lives."""
-    _ENCODERS.clear()
+    """Frees the pieces of the worker's encoders, which would otherwise be held as long as it lives; tokenizers, slow to load, stay."""
+    for encoder in _ENCODERS.values():
+        encoder.clear()
+        encoder.before.clear()
 
 
 def pack(ids: np.ndarray, docs: list[int | None], lengths: list[int], block: int = BLOCK, bits: bool = False) -> bytes:

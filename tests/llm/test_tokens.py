@@ -82,7 +82,10 @@ def test_workers_hold_few_rows_and_no_pieces_after_the_files_are_written(spark,
     assert sum(sent) == 3500 and max(sent) <= tokens.BATCH
     assert spark.conf.get(tokens.BATCHES) == before
 
-    monkeypatch.setattr(tokens, "_ENCODERS", {"some": tokens.Encoder(tokens.default_tokenizer())})
+    encoder = tokens.Encoder(tokens.default_tokenizer())
+    encoder.ids("some words")
+    encoder.before = dict(encoder)
+    monkeypatch.setattr(tokens, "_ENCODERS", {"some": encoder})
     segment = pa.RecordBatch.from_pydict({"part": pa.array([0], "int32"), "seq": [0], "data": pa.array([tokens.pack(np.array([5, 0], "<u4"), [1], [2])], "binary")})
     read = cloudpickle.loads(cloudpickle.dumps(tokens._reader(True)))  # as a worker gets it
-    assert [b.column(4).to_pylist() for b in read([segment])] == [[2]] and not tokens._ENCODERS
+    assert [b.column(4).to_pylist() for b in read([segment])] == [[2]] and not encoder and not encoder.before
