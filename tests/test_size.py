@@ -60,6 +60,27 @@ def test_callers_of_a_common_name_are_not_paired_with_its_bearers(spark):
     assert got > 0 and rows < 20_000  # 600 calls, 500 symbols; their pairs were 150,000 rows
 
 
+@pytest.mark.parametrize("with_ids", [False, True])
+def test_callers_and_children_of_a_common_name_meet_in_many_tasks(spark, monkeypatch, with_ids):
+    from pyspark.sql import functions as F
+
+    for name, n in (("TILE_ROWS", 500), ("PART", 64), ("BLOCK", 16)):
+        monkeypatch.setattr(joins, name, n, raising=False)
+    kids = [{"id": f"k{i}", "name": "A" if i % 10 else "b", "line": i if i % 7 else None, "file_path": f"{i % 3}.ts", "parent_id": "top"} for i in range(200)]
+    symbols = [{"id": "top", "name": "top"}, *kids, *({"id": f"c{i}", "name": f"c{i}"} for i in range(80))]
+    sites = [{"id": f"s{i}", "caller_id": f"c{i % 80}", "callee_name": "b" if i % 5 == 0 else "a"} for i in range(160)]
+    edges = [{"id": f"e{i}", "call_site_id": s["id"], "caller_id": s["caller_id"], "callee_id": f"k{i}" if i % 11 == 0 else None} for i, s in enumerate(sites)]
+    c = catalog(spark, symbols=symbols, call_sites=sites, call_edges=edges)
+    row = lambda caller, k: (caller, k["name"], k["file_path"], k["line"], *((k["id"],) if with_ids else ()))
+    want = {row(e["caller_id"], k) for e, s in zip(edges, sites) for k in kids if k["id"] == e["callee_id"] or k["name"].lower() == s["callee_name"]}
+    found = joins.nested_callers(c, c.symbols.filter("id = 'top'"), with_ids=with_ids)
+    rows = found.withColumn("task", F.spark_partition_id()).collect()
+    got = [(r.caller_id, r.child_name, r.child_file, r.child_line, *((r.child,) if with_ids else ())) for r in rows]
+    assert len(got) == len(set(got)) and set(got) == want
+    by_task = [sum(r.task == t for r in rows) for t in {r.task for r in rows}]
+    assert max(by_task) < len(rows) / 2  # all rows of a name used to come from one task
+
+
 def test_sites_of_a_common_name_are_not_paired_with_its_bearers(spark):
     from codeloom.operators import resolve
 
