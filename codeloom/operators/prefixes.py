@@ -41,18 +41,26 @@ def imports_of_types(c: Catalog, types: DataFrame) -> DataFrame:
     return prefix_pairs(names, known).groupBy(F.col("left_id").alias("id")).agg(F.min("rank")["id"].alias("imports_id"))
 
 
-def imports_of_definitions(c: Catalog, sites: DataFrame, language: str = "typescript") -> DataFrame:
+def imports_of_definitions(c: Catalog, sites: DataFrame, language: str | None = "typescript", by: tuple[str, ...] = ()) -> DataFrame:
     """(site, imports_id): for call sites (site, file_path, definition_path, callee_expression), the file's import that leads to the folder of the definition; else one whose local name is a part of the expression.
 
     Of several imports the first by resolved path and id counts. Sites without either are left out.
+    Without a `language`, each site has one in `language_name`. With `by`, sites are gone through in one pass: those that agree in these columns
+    give one row, with the least import of theirs and of what further columns they have.
     """
     rank = F.struct("resolvedPath", "id").alias("rank")
     near = c.imports.filter("edgeKind = 'import' and resolvedPath is not null").select("file_path", dirname("resolvedPath").alias("_dir"), rank)
     near = near.groupBy("file_path", "_dir").agg(F.min("rank")["id"].alias("near"))
     local = c.imports.select("file_path", F.explode(local_names(F.col("importedNames"))).alias("_word"), rank)
     local = local.groupBy("file_path", "_word").agg(F.min("rank").alias("rank"))
-    asked = sites.select("site", "file_path", dirname("definition_path").alias("_dir"), "callee_expression")
+    known = {"file_path", "definition_path", "callee_expression", "language_name"}
+    kept = [x for x in sites.columns if x not in known] if by else ["site"]
+    parts = F.array_distinct(callee_parts(F.col("callee_expression"), F.col("language_name") if language is None else language)).alias("_parts")
+    asked = sites.select(*kept, "file_path", dirname("definition_path").alias("_dir"), "callee_expression", *(["language_name"] if language is None else []))
     met = asked.join(near, ["file_path", "_dir"], "left")
-    parts = met.filter("near is null").select("site", "file_path", F.explode(F.array_distinct(callee_parts(F.col("callee_expression"), language))).alias("_word"))
-    chained = parts.join(local, ["file_path", "_word"]).groupBy("site").agg(F.min("rank")["id"].alias("imports_id"))
+    if by:
+        words = met.select(*kept, "file_path", "near", F.explode_outer(F.when(F.col("near").isNull(), parts)).alias("_word"))
+        led = words.join(local, ["file_path", "_word"], "left").filter("near is not null or rank is not null")
+        return led.groupBy(*by).agg(*[F.min(x).alias(x) for x in kept if x not in by], F.least(F.min("near"), F.min("rank")["id"]).alias("imports_id"))
+    chained = met.filter("near is null").select("site", "file_path", F.explode(parts).alias("_word")).join(local, ["file_path", "_word"]).groupBy("site").agg(F.min("rank")["id"].alias("imports_id"))
     return met.filter("near is not null").select("site", F.col("near").alias("imports_id")).unionByName(chained)

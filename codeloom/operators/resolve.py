@@ -190,21 +190,18 @@ def by_definition(sites: DataFrame, c: Catalog, locations: DataFrame, builtin_pa
     one that leads to anything counts.
     """
     n = F.col("n") if "n" in locations.columns else F.lit(0)
-    asked = sites.select("site", "caller_id", "caller_file_path", "callee_expression", "language_name").join(locations.select(F.col("call_site_id").alias("site"), n.alias("n"), "path", F.col("line").alias("at_line"), F.col("column").alias("at_column")), "site")
-    asked = asked.withColumn("place", F.concat_ws("#", "site", F.col("n").cast("string")))
     there = c.symbols.filter(F.col("kind").isin(*schema.CALLABLE_KINDS, "class")).groupBy(F.col("file_path").alias("path"), F.col("line").alias("at_line"), F.col("column").alias("at_column")).agg(F.min("id").alias("member"))
-    known = asked.join(there, ["path", "at_line", "at_column"], "left")
+    # Symbols are looked up for the short rows of locations, so that those of sites are shuffled only once.
+    placed = locations.select(F.col("call_site_id").alias("site"), n.alias("n"), "path", F.col("line").alias("at_line"), F.col("column").alias("at_column"))
+    placed = placed.join(there, ["path", "at_line", "at_column"], "left").select("site", "n", "path", "member")
     language = F.lit(False)
     for start in builtin_paths:
         language = language | F.col("path").startswith(start)
-    known = Store(c.spark, "definitions").keep(known.withColumn("language", language), "known")
-    open_ = known.filter("member is null and not language").select(F.col("place").alias("site"), F.col("caller_file_path").alias("file_path"), F.col("path").alias("definition_path"), "callee_expression", "language_name")
-    found = None
-    for name in ("typescript", "python"):
-        one = prefixes.imports_of_definitions(c, open_.filter(F.col("language_name") == name if name == "python" else F.coalesce(F.col("language_name") != "python", F.lit(True))), name)
-        found = one if found is None else found.unionByName(one)
-    led = found.select(F.col("site").alias("place"), F.col("imports_id").alias("imp"))
-    full = known.filter("member is not null or language").withColumn("imp", F.lit(None).cast("string")).unionByName(known.filter("member is null and not language").join(led, "place"))
+    asked = sites.select("site", "caller_id", "caller_file_path", "callee_expression", "language_name").join(placed, "site")
+    known = Store(c.spark, "definitions").keep(asked.withColumn("language", language), "known")
+    open_ = known.filter("member is null and not language").select("site", "n", "caller_id", F.col("caller_file_path").alias("file_path"), F.col("path").alias("definition_path"), "callee_expression", "language_name")
+    led = prefixes.imports_of_definitions(c, open_, None, by=("site", "n")).withColumnRenamed("imports_id", "imp")
+    full = known.filter("member is not null or language").select("site", "n", "caller_id", "member", "language").unionByName(led.withColumn("language", F.lit(False)), allowMissingColumns=True)
     last = _first(full, F.desc("n"), "member", "imp")
     kind = F.when(F.col("member").isNotNull(), "project_symbol").when(F.col("language"), "builtin").otherwise("import")
     out = last.withColumn("imp", F.when(kind == "import", F.col("imp"))).withColumn("kind_", kind)

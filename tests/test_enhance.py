@@ -91,3 +91,25 @@ def test_a_hover_text_is_read_once_however_many_sites_show_it(spark):
         enhance.hover_parts = whole
     assert got == {f"s{i}": None if i % 2 else "i" for i in range(400)}
     assert seen.value < 40  # two texts, in a few expressions and runs; one for each of 400 sites before
+
+
+def test_locations_are_gone_through_once_for_all_languages(spark, monkeypatch):
+    symbols = [{"id": "f", "name": "f", "kind": "function", "file_path": "b.ts", "line": 3, "column": 2}, {"id": "v", "name": "v", "kind": "var", "file_path": "b.ts", "line": 4, "column": 0}]
+    says = [("s0", "typescript", "q.f"), ("s1", "typescript", "w?.k"), ("s2", "python", "w?.k"), ("s3", None, "Box!.h"), ("s4", "python", "a.Box"), ("s5", "typescript", None), ("s6", "typescript", "w.k"), ("s6", "typescript", "w.k"), ("s7", "typescript", "w.k")]
+    sites = [{"id": i, "caller_id": f"of {i}", "caller_file_path": "a.ts", "language_name": l, "callee_expression": e} for i, l, e in says]
+    imports = [{"id": "i1", "file_path": "a.ts", "importedNames": ["Box", "w"], "resolvedPath": "lib/box.ts", "edgeKind": "import"}, {"id": "i0", "file_path": "a.ts", "importedNames": ["w"], "resolvedPath": "lib/c.ts", "edgeKind": "import"}, {"id": "i2", "file_path": "a.ts", "importedNames": [None], "resolvedPath": None, "edgeKind": "import"}]
+    places = [
+        ("s0", 0, "far/y.ts", 0, 0), ("s0", 1, "b.ts", 3, 2), ("s1", 0, "b.ts", 3, 2), ("s1", 1, "far/y.ts", 0, 0), ("s2", 0, "b.ts", 4, 0), ("s3", 2, "far/y.ts", 0, 0), ("s3", None, "node/x", 0, 0), ("s4", 0, "node/x", 1, 1),
+        ("s4", 0, "far/y.ts", 1, 1), ("s5", 0, "lib/z.ts", 1, 1), ("s5", 1, None, 1, 1), ("s6", 0, "lib/z.ts", 1, 1), ("s6", 0, "far/y.ts", 1, 1), ("s7", None, "b.ts", 3, 2), ("s7", None, "far/y.ts", 3, 2), (None, 0, "b.ts", 3, 2), ("gone", 0, "b.ts", 3, 2),
+    ]
+    c = catalog(spark, symbols=symbols, call_sites=sites, imports=imports)
+    where = spark.createDataFrame(places, "call_site_id string, n int, path string, line int, column int")
+    calls, whole = [], resolve.prefixes.imports_of_definitions
+    monkeypatch.setattr(resolve.prefixes, "imports_of_definitions", lambda *a, **b: calls.append(1) or whole(*a, **b))
+    found = resolve.by_definition(c.call_sites.withColumnRenamed("id", "site"), c, where, builtin_paths=("node/",))
+    got = {r.call_site_id: (r.caller_id, r.target_kind, r.callee_id, r.imports_id) for r in found.collect()}
+    own = lambda s, *x: {s: (f"of {s}", *x)}
+    assert got == own("s0", "project_symbol", "f", None) | own("s1", "import", None, "i1") | own("s3", "import", None, "i1") | own("s4", "builtin", None, None) | own("s5", "import", None, "i1") | own("s6", "import", None, "i1") | own("s7", "import", None, "i1")
+    leaves = found._jdf.queryExecution().optimizedPlan().collectLeaves()
+    read = [x for x in (leaves.apply(i).toString() for i in range(leaves.size())) if "member#" in x]
+    assert len(calls) == 1 and len(read) == 2  # once for what a location leads to by itself, once for imports; six times before
