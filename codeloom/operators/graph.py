@@ -103,12 +103,19 @@ def pagerank(edges: DataFrame, damping: float = DAMPING, iterations: int = ITERA
     n = nodes.count()
     if n == 0:
         return nodes.withColumn("rank", F.lit(0.0))
-    base = (1 - damping) / n
-    ranks = nodes.withColumn("rank", F.lit(1.0 / n))
+    base, start = (1 - damping) / n, 1.0 / n
+    ranks = nodes.withColumn("rank", F.lit(start))
     for step in range(1, iterations + 1):
-        passed = shares.join(ranks, shares["src"] == ranks["node"]).select(F.col("dst").alias("node"), (F.col("rank") * F.col("share")).alias("v"))
-        all_ = passed.unionByName(nodes.withColumn("v", F.lit(0.0)))
-        ranks = all_.groupBy("node").agg((F.lit(base) + damping * F.sum("v")).alias("rank"))
+        if step == 1:
+            passed = shares.select(F.col("dst").alias("node"), (F.lit(start) * F.col("share")).alias("v"))
+        else:
+            # Nodes that nothing is passed to have no row between the steps: their rank stays the same. The filter is the same in all steps, so that shares are shuffled once for several.
+            sent = shares if step == iterations else shares.filter("dst is not null")
+            met = sent.join(_side(ranks), sent["src"] == ranks["node"], "left")
+            passed = met.select(F.col("dst").alias("node"), (F.coalesce("rank", F.lit(base)) * F.col("share")).alias("v"))
+        if step == iterations:
+            passed = passed.unionByName(nodes.withColumn("v", F.lit(0.0)))
+        ranks = passed.groupBy("node").agg((F.lit(base) + damping * F.sum("v")).alias("rank"))
         if step % KEEP_EVERY == 0 or step == iterations:
             ranks = store.keep(ranks, f"r{step}")
     return ranks

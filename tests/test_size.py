@@ -177,3 +177,23 @@ def test_sites_are_not_shuffled_to_meet_the_names_they_share(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert got == 4000
     assert rows < 1_000  # sites and symbols were 4,000 and 3,000 rows, in each join
+
+
+def test_nodes_that_nothing_leads_to_are_not_shuffled_in_each_step(spark):
+    from codeloom.operators import graph
+
+    edges = [(f"s{i}", f"t{i % 3}") for i in range(600)] + [("t0", "t1"), ("t0", "t1"), ("t0", "t2"), ("t1", "t1"), ("t1", None), (None, "t2"), (None, None), ("t2", "end")]
+    nodes = {x for e in edges for x in e}
+    want = dict.fromkeys(nodes, 1 / len(nodes))
+    for _ in range(graph.ITERATIONS):
+        after = dict.fromkeys(nodes, 0.0)
+        for src, dst in edges:
+            if src is not None:
+                after[dst] += want[src] / sum(s == src for s, _ in edges) if src[0] == "t" else want[src]
+        want = {v: (1 - graph.DAMPING) / len(nodes) + graph.DAMPING * x for v, x in after.items()}
+    got, rows = shuffled(spark, lambda: {r.node: r.rank for r in graph.pagerank(spark.createDataFrame(edges, "src string, dst string")).collect()})
+    assert got.keys() == want.keys() and all(abs(got[v] - want[v]) < 1e-12 for v in want)
+    assert rows < 12_000  # five times 600 edges and some; the 600 nodes went through each of 30 steps as well before
+    few = graph.pagerank(spark.createDataFrame(edges, "src string, dst string"), iterations=1).collect()
+    none = graph.pagerank(spark.createDataFrame(edges, "src string, dst string"), iterations=0).collect()
+    assert len(few) == len(none) == len(nodes) and {r.rank for r in none} == {1 / len(nodes)}
