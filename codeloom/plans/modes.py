@@ -299,8 +299,9 @@ def dead_code(c: Catalog, kind=None, exclude_tests: bool = True, limit: int | No
 
     `compat` takes imported names as written, with aliases, and counts constructors towards the limit before it drops them.
     """
+    c = joins.resolved(c.with_(imports=Store(c.spark, "dead-code").keep(c.imports.select("id", "importedNames"), "imports")))
     names = c.imports.select(F.explode("importedNames" if compat else scalars.original_names(F.col("importedNames"), types=True)).alias("name")).distinct()
-    alive = joins.called_ids(c).unionByName(joins.inheritance_covered(c))
+    alive = joins.called_ids(c).unionByName(joins.inheritance_covered(c, written=True))
     exports = joins.entrypoint_symbols(c, kind).join(names, "name", "left_anti").withColumn("part", F.lit(0))
     inner = joins.internal_callables(c).withColumn("part", F.lit(1))
     out = exports.select("part", *c.symbols.columns).unionByName(inner.select("part", *c.symbols.columns)).join(alive, "id", "left_anti")

@@ -197,3 +197,25 @@ def test_nodes_that_nothing_leads_to_are_not_shuffled_in_each_step(spark):
     few = graph.pagerank(spark.createDataFrame(edges, "src string, dst string"), iterations=1).collect()
     none = graph.pagerank(spark.createDataFrame(edges, "src string, dst string"), iterations=0).collect()
     assert len(few) == len(none) == len(nodes) and {r.rank for r in none} == {1 / len(nodes)}
+
+
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_sites_of_imports_that_bring_in_no_base_are_not_shuffled(spark, monkeypatch, few):
+    from codeloom import storage
+    from codeloom.plans import modes
+
+    base = lambda *names: [(n, None, None, "extends") for n in names]
+    tops = [{"id": "Base", "name": "Base"}, {"id": "Free", "name": "Free"}, {"id": "H1", "inheritence": base("Nope", "Base", "Lib")}, {"id": "H2", "inheritence": base(None, "Lib")}, {"id": "H3", "inheritence": base("Silent", "Base")}, {"id": "H4", "inheritence": []}]
+    kids = [{"id": f"{t}.{n}", "name": n, "parent_id": t, "kind": "method"} for t in ("Base", "Free", "H1", "H2", "H3", "H4") for n in ("run", "go", None)]
+    symbols = [*tops, *kids, kids[6], {"id": "gone.run", "name": "run", "parent_id": "gone"}]
+    imports = [{"id": "i", "importedNames": ["Lib", "Other"]}, {"id": "i", "importedNames": ["Lib"]}, {"id": "s", "importedNames": ["Silent", None]}, {"id": "o", "importedNames": ["Other"]}, {"id": "n", "importedNames": None}]
+    calls = [("Base.run", None, "run"), ("Free.go", "i", "go"), ("Base.None", None, None), (None, "i", "go"), (None, "i", None), (None, "s", None), (None, None, "run"), (None, "gone", "run"), (None, "n", "run")] + [(None, "o", f"x{i}") for i in range(2000)]
+    sites = [{"id": f"s{i}", "callee_name": n} for i, (_, _, n) in enumerate(calls)]
+    edges = [{"id": f"e{i}", "call_site_id": f"s{i}", "callee_id": s, "imports_id": m} for i, (s, m, _) in enumerate(calls)] + [{"id": "lost", "call_site_id": "lost", "imports_id": "s"}, {"id": "twice", "call_site_id": "s3", "imports_id": "i"}]
+    c = catalog(spark, symbols=symbols, imports=imports, call_sites=sites, call_edges=edges)
+    monkeypatch.setattr(storage, "BROADCAST_ROWS", few)
+    got, rows = shuffled(spark, lambda: sorted(r.id for r in joins.inheritance_covered(c).collect()))
+    assert got == ["H1.run", "H2.go"]  # nothing of H3, as its first base is called by no name
+    if few:
+        assert rows < 2000  # some 2,000 sites and as many edges; they were shuffled more than once before
+    assert {r.id for r in modes.dead_code(c, limit=None).collect()} == {"Base.go", "Free.run", "H1.go", "H2.run", "H3.run", "H3.go", "H4.run", "H4.go", "gone.run", "Base", "Free", "H1", "H2", "H3", "H4"}
