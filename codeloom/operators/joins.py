j20_inheritance_covered: pairs of base and member are written without a distinct

Symptom: where the parents were few enough to be broadcast, the distinct over the pairs ran in the same task as the join of called members, beside its two sorts, and the task held one more buffer.
Evidence: event log, 6 times sf0.1, local[8]: the largest task held 141 MB in one of two runs, 111 MB in the other.
Fix: no distinct over the pairs; they are only looked up by semi joins, which repeats do not change.
Effect, together with 3 more commits on this code: at 1 GB of input CPU 592 -> 336 s, shuffle 5.06 -> 3.47 GB, spill 0.00 -> 0.00 GB, read 1.68 -> 2.07 GB, longest task 6 -> 6 s, most memory of a task 470 -> 470 MB; at 6 GB of input CPU 2542 -> 1291 s, shuffle 31.24 -> 21.33 GB, spill 0.00 -> 0.00 GB, read 10.73 -> 13.27 GB, longest task 8 -> 8 s, most memory of a task 470 -> 474 MB.

@@ -287,7 +287,7 @@ def inheritance_covered(c: Catalog, written: bool = False) -> DataFrame:
     called = c.symbols.join(called_ids(c), "id", "left_semi").filter("parent_id is not null").select("parent_id", F.col("name").alias("callee_name"))
     parents = c.symbols.select(F.col("id").alias("parent_id"), F.col("name").alias("type_name")).join(wanted, "type_name", "left_semi")
     own = called.join(parents, "parent_id").select("type_name", "callee_name")
-    through = store.keep(own.unionByName(via_imports(c, wanted)).distinct(), "through")
+    through = store.keep(own.unionByName(via_imports(c, wanted)), "through")
     usable = bases.join(through.select("type_name").distinct(), "type_name", "left_semi")
     first = usable.groupBy("parent_id").agg(F.min_by("type_name", "at").alias("type_name"))
     members = c.symbols.filter("parent_id is not null").select("id", "parent_id", F.col("name").alias("callee_name"))
